@@ -4,6 +4,8 @@ A batch of strings reaches the kernels as one byte buffer with offsets, so a pas
 batch is a pass over flat arrays; nothing here loops over characters.
 """
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,13 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bytes that Spark hands to a Python worker at a time, whatever the length of texts.
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The whole table `name` of the folder."""
+    """The whole table `name` of the folder; batches for Python workers are bounded in bytes from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +41,21 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; one is set only where it is unset, as in tests."""
+    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: every output bit depends on every input bit."""
     x = x + _ODD
@@ -113,9 +135,9 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, width: int = 5) -> list[np
             h = np.sort(runs[a : b - width + 1])
             out.append(h[np.append(True, h[1:] != h[:-1])])
         elif b > a:
-            h = np.uint64(b - a)
-            for k in range(a, b):
-                h = h * _ODD + words[k] if k > a else h + words[k]
+            h = b - a
+            for w in words[a:b].tolist():
+                h = (h * int(_ODD) + w) % (1 << 64)
             out.append(mix(np.array([h], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))

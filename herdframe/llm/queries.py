@@ -6,8 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdframe.llm import pieces, token_counts
-from herdframe.llm.common import table, whole
+from herdframe.llm import fingerprints, pieces, token_counts, warc
+from herdframe.llm.common import scratch, table, whole
+
+
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = scratch(spark, "warc")
+    warc.write(pages.select(F.col("page_id").alias("id"), "url", F.col("html").cast("binary").alias("payload")), path)
+    read = warc.read(spark, path)
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprints.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        fingerprints.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
 
 
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +52,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_piece_encoding": op4_piece_encoding, "op7_token_counts": op7_token_counts}
+    return {"op1_warc_bundles": op1_warc_bundles, "op2_fingerprints": op2_fingerprints, "op4_piece_encoding": op4_piece_encoding, "op7_token_counts": op7_token_counts}
+
+
+OP1_SQL = f"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+k as (select page_id, html, strlen(html) as n, min(page_id) over (partition by html) as first_id, count(*) over (partition by html) as copies from p)
+select page_id, n::bigint as payload_bytes, sha256(html) as payload_digest,
+  case when n >= {warc.REVISIT} and copies > 1 and first_id is not null and page_id is distinct from first_id then 'revisit' else 'response' end as record_type,
+  case when n >= {warc.REVISIT} and copies > 1 and page_id is distinct from first_id then first_id end as refers_to
+from k
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_bundles": OP1_SQL}
