@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdframe.llm import fingerprints, pieces, token_counts, warc
+from herdframe.llm import fingerprints, line_dedup, pieces, substring_dedup, token_counts, warc
 from herdframe.llm.common import scratch, table, whole
 
 
@@ -31,6 +31,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose sentences."""
+    spans = substring_dedup.deduped_spans(table(spark, sf_dir, "documents"))
+    return spans.where("n_removed > 0").select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", whole("text").alias("text"))
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -51,8 +57,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.deduped_lines(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc_bundles": op1_warc_bundles, "op2_fingerprints": op2_fingerprints, "op4_piece_encoding": op4_piece_encoding, "op7_token_counts": op7_token_counts}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_fingerprints, op3_substring_dedup, op4_piece_encoding, op7_token_counts, op10_line_dedup)}
 
 
 OP1_SQL = f"""
@@ -65,5 +76,18 @@ from k
 """
 
 
+OP10_SQL = f"""
+with l as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+  from documents),
+k as (select doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+r as (select key, min(doc_id) as first_id from k where length(key) >= {line_dedup.SHORTEST} group by key having count(distinct doc_id) > 1),
+m as (select k.*, r.first_id is not null and r.first_id <> k.doc_id as gone from k left join r using (key))
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": OP1_SQL}
+    return {"op1_warc_bundles": OP1_SQL, "op10_line_dedup": OP10_SQL}
