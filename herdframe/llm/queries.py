@@ -3,10 +3,10 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdframe.llm import fingerprints, line_dedup, pieces, substring_dedup, token_counts, warc
+from herdframe.llm import fingerprints, language_id, line_dedup, pieces, substring_dedup, token_counts, warc
 from herdframe.llm.common import scratch, table, whole
 
 
@@ -50,6 +50,18 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bucket(mod: int) -> Column:
+    """crc32 of doc_id as text, modulo mod; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (bucket(3) == 1).alias("held_out"))
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    found = language_id.predict(docs.select("doc_id", "text", "held_out"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", whole("text").alias("text"))
     n = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -63,7 +75,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_fingerprints, op3_substring_dedup, op4_piece_encoding, op7_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_fingerprints, op3_substring_dedup, op4_piece_encoding, op6_language_id, op7_token_counts, op10_line_dedup)}
 
 
 OP1_SQL = f"""
