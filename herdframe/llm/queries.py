@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdframe.llm import fingerprints, language_id, line_dedup, pieces, substring_dedup, token_counts, warc
+from herdframe.llm import decontaminate, fingerprints, language_id, line_dedup, pieces, substring_dedup, token_counts, warc
 from herdframe.llm.common import scratch, table, whole
 
 
@@ -50,6 +50,12 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_edits", "first_byte", "end_byte")
+
+
 def bucket(mod: int) -> Column:
     """crc32 of doc_id as text, modulo mod; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
@@ -75,7 +81,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_fingerprints, op3_substring_dedup, op4_piece_encoding, op6_language_id, op7_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_fingerprints, op3_substring_dedup, op4_piece_encoding, op5_benchmark_leaks, op6_language_id, op7_token_counts, op10_line_dedup)}
 
 
 OP1_SQL = f"""
