@@ -23,7 +23,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 #: Bytes that Spark hands to a Python worker at a time, whatever the length of texts.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

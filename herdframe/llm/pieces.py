@@ -28,7 +28,7 @@ from herdframe.llm.common import flat
 
 MARK = "▁"
 #: Symbols of a word that the rounds take, words that a worker remembers, words encoded in one go.
-LONG, CACHE, GROUP = 512, 300_000, 20_000
+LONG, CACHE, GROUP = 512, 120_000, 20_000
 _NONE = np.int32(2**31 - 1)
 _PIECES = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _shared: dict[int, "Pieces"] = {}
