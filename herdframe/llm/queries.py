@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdframe.llm import decontaminate, fingerprints, language_id, lattice, line_dedup, pieces, substring_dedup, token_counts, warc
+from herdframe.llm import decontaminate, fingerprints, language_id, lattice, line_dedup, near_dedup, pieces, substring_dedup, token_counts, warc
 from herdframe.llm.common import scratch, table, whole
 
 
@@ -81,13 +81,17 @@ def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("held_out", bucket(7) == 2)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_dedup.deduped_lines(table(spark, sf_dir, "documents"))
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_fingerprints, op3_substring_dedup, op4_piece_encoding, op5_benchmark_leaks, op6_language_id, op7_token_counts, op8_lattice_scores, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_fingerprints, op3_substring_dedup, op4_piece_encoding, op5_benchmark_leaks, op6_language_id, op7_token_counts, op8_lattice_scores, op9_near_dedup, op10_line_dedup)}
 
 
 OP1_SQL = f"""
