@@ -1,14 +1,70 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, piece encoding."""
+"""The corpus pipeline over documents: five stages, each over all that the one before kept.
 
+Language ID rejects documents without a language (null or no letter), line dedup drops lines
+that an earlier document holds (and documents that consist of such lines), near-dedup keeps the document with the smallest id of each
+group of likeness 0.8 or more, decontamination rejects documents that hold a benchmark item,
+and encoding gives the piece ids and the text that they decode to. All stages but the last
+return the columns of documents; n_chars follows the text.
+"""
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from herdframe.llm import decontaminate, language_id, line_dedup, near_dedup, pieces
+from herdframe.llm.common import bounded, table, whole
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The least score of a language, and the likeness of near-duplicates in per cent with the width of bands that finds it.
+LEAST_SCORE, PERCENT, BAND = 0.25, 80, 5
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language can't be told: `und`, or a score below LEAST_SCORE."""
+    bounded(spark)
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    told = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return language_id.predict(docs, model).where(told).select(COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out lines that a document with a smaller id holds too, and documents of which nothing is left so."""
+    bounded(spark)
+    lines = line_dedup.deduped_lines(docs, keep=("lang", "source"))
+    return lines.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, that with the smallest id."""
+    bounded(spark)
+    found = near_dedup.near_duplicates(docs, percent=PERCENT, width=BAND)
+    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    bounded(spark)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows: doc_id, lang, source, n_tokens, ids, text (decoded from the ids)."""
+    bounded(spark)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = docs.select("doc_id", "lang", "source", whole("text").alias("text"))
+    coded = rows.select("doc_id", "lang", "source", pieces.encode(rows, model).alias("ids"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", pieces.decode(coded, model).alias("text"))
+
+
+STAGES = [("language_id", identify), ("line_dedup", drop_lines), ("near_dedup", drop_copies), ("decontamination", drop_leaks), ("encoding", encode)]
 
-STAGES = []
+#: Perfect hashes, sketches, alignments and merges aren't SQL; tests/llm compares the rows with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that all stages keep of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

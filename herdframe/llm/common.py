@@ -26,9 +26,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 BATCH_BYTES = 4 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The whole table `name` of the folder; batches for Python workers are bounded in bytes from now on."""
+def bounded(spark: SparkSession) -> None:
+    """Batches for Python workers are bounded in bytes from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The whole table `name` of the folder."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,11 +16,12 @@ documents for each, so what is broadcast has a bound whatever the benchmark's si
 fewer than SHORTEST normalised bytes carry no passage and never match. Null texts are empty.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdframe.llm.common import flat, slices
@@ -166,15 +167,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     The region is exact at its end; its first byte is an item's length before. Documents with
     the same id each give their rows. An empty table on either side gives none.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.length("t") >= SHORTEST)
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // BLOCK))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= SHORTEST // 2)
     found = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        shared = spark.sparkContext.broadcast(Index([r.i for r in block], [r.t for r in block], rate))
+    for shared in _indexes(benchmark, item_id, item_text, rate):
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -188,3 +183,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         part = rows.mapInArrow(search, "doc_id long, item_id long, n_edits long, first_byte long, end_byte long")
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
+    """The rows of docs whose text holds no item, with all their columns; nothing is shuffled."""
+    for shared in _indexes(benchmark, item_id, item_text, rate):
+        docs = docs.where(~_leaky(shared)(F.coalesce(F.col(text), F.lit(""))))
+    return docs
+
+
+def _leaky(shared: Broadcast) -> Callable[[Column], Column]:
+    @F.arrow_udf("boolean")
+    def leaky(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = np.zeros(len(batch), bool)
+            for at, part in slices(batch, SLICE):
+                out[[at + h[0] for h in shared.value.leaks(part)]] = True
+            yield pa.array(out)
+
+    return leaky
+
+
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, rate: float) -> Iterator[Broadcast]:
+    """The benchmark as broadcast indexes of about BLOCK bytes of items each."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.length("t") >= SHORTEST)
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // BLOCK))
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([r.i for r in block], [r.t for r in block], rate))

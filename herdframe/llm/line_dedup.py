@@ -37,8 +37,8 @@ def _lines(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
     return [line for lines in split for line in lines], np.array(list(map(len, split)), np.int64)
 
 
-def deduped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
-    """Rows: doc_id, n_lines (before), n_dropped, text (the lines that stay, joined by line feeds)."""
+def deduped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows: doc_id, n_lines (before), n_dropped, text (the lines that stay, joined by line feeds), and the columns to keep."""
 
     def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lines, n = _lines(texts)
@@ -62,4 +62,4 @@ def deduped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
             at += long
         return {"n_lines": pa.array(n), "n_dropped": pa.array(dropped.astype(np.int64)), "text": pa.array(kept, pa.string())}
 
-    return probed(docs, hashes, work, "n_lines long, n_dropped long, text string", doc_id, text)
+    return probed(docs, hashes, work, "n_lines long, n_dropped long, text string", doc_id, text, keep)

@@ -2,13 +2,13 @@
 
 A document's set is its distinct shingles of WIDTH words (A-Z lower-cased; a text of fewer
 words is one shingle, one without words has none and links with nothing). Two documents are
-linked if 100 * intersection >= PERCENT * union; a component is what links reach.
+linked if 100 * intersection >= percent * union; a component is what links reach.
 
-Equal sets are one class, represented by its smallest id. A sketch has BANDS * ROWS buckets;
+Equal sets are one class, represented by its smallest id. A sketch has BUCKETS buckets;
 each keeps, of the smallest hash that falls into it, the number of leading zeros and four
 more bits, one byte in all. Empty buckets borrow from others in an order that depends on the
-bucket only. Classes that agree in all ROWS buckets of a band meet; at a likeness of 0.85
-a pair misses all BANDS bands with a probability of 5e-6.
+bucket only. Classes that agree in all buckets of a band meet. With bands of 6 buckets a pair of likeness
+0.85 misses all 26 bands with a probability of 5e-6, with bands of 5 one of 0.8 all 31 with 5e-6.
 
 Pairs from bands of up to CROWD classes pass if sizes allow a link and the likeness estimated
 from the sketches, corrected for buckets that agree by chance, isn't over SIGMAS deviations
@@ -29,8 +29,7 @@ from herdframe.llm.common import flat, mix, partitions, shingle_hashes, slices,
 from herdframe.llm.components import components
 
 WIDTH, PERCENT = 5, 85
-BANDS, ROWS = 26, 6
-BUCKETS = BANDS * ROWS
+BUCKETS, ROWS = 156, 6
 #: Classes of a band whose pairs become rows, deviations of the estimate, classes and shingles in a part of a tile.
 CROWD, SIGMAS, PART, PART_SHINGLES = 24, 4.5, 1024, 500_000
 #: The chance that two unlike buckets agree: as many leading zeros, and the same four bits.
@@ -88,21 +87,21 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, c1 long, c2 long, registers binary")
 
 
-def passed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def passed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches don't rule a link out."""
 
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
         x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in (a, b))
-        spread = np.sqrt(0.01 * PERCENT * (1 - 0.01 * PERCENT) / np.minimum(n.to_numpy(), BUCKETS))
-        return pa.array(likeness(x, y) >= 0.01 * PERCENT - SIGMAS * spread - 1 / BUCKETS)
+        spread = np.sqrt(0.01 * percent * (1 - 0.01 * percent) / np.minimum(n.to_numpy(), BUCKETS))
+        return pa.array(likeness(x, y) >= 0.01 * percent - SIGMAS * spread - 1 / BUCKETS)
 
     one = classes.select(F.col("rep").alias("a"), F.col("registers").alias("ra"), F.col("n").alias("na"))
     two = classes.select(F.col("rep").alias("b"), F.col("registers").alias("rb"), F.col("n").alias("nb"))
     return pairs.join(one, "a").join(two, "b").where(near("ra", "rb", F.greatest(F.least("na", "nb"), F.lit(1)))).select("a", "b", "na", "nb")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that full sets link; texts has (doc_id, text) of every class.
 
     The text of the smaller set goes to the larger one's place, where a task reads the larger
@@ -126,7 +125,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         continue
                     assert key == at
                     both = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(own) + len(s) - both):
+                    if 100 * both >= percent * (len(own) + len(s) - both):
                         found.append((key, doc))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
@@ -134,7 +133,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long")
 
 
-def tile_links(ids: np.ndarray, right: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def tile_links(ids: np.ndarray, right: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links within one part, or between the left and the right one if both occur, that connect what links connect."""
     both = right.any() and not right.all()
     sides = [~right, right] if both else [np.ones(len(ids), bool)] * 2
@@ -151,7 +150,7 @@ def tile_links(ids: np.ndarray, right: np.ndarray, sets: list[np.ndarray]) -> li
             shared &= (np.bincount(size, sides[0][owner], len(column)) > 0) & (np.bincount(size, sides[1][owner], len(column)) > 0)
         use = shared[size]
         kept = np.bincount(owner[use], minlength=len(ids))
-        still = live & (100 * kept >= PERCENT * n)
+        still = live & (100 * kept >= percent * n)
         if still.sum() == live.sum():
             break
         live = still
@@ -174,7 +173,7 @@ def tile_links(ids: np.ndarray, right: np.ndarray, sets: list[np.ndarray]) -> li
         y[place[1, o[on]], c[on]] = 1
         both_n += x @ y.T
     union = n[left][:, None] + n[rite][None, :] - both_n
-    linked = 100 * both_n >= PERCENT * union
+    linked = 100 * both_n >= percent * union
     # a forest of the links: breadth first over the rows of the matrix
     out, seen = [], np.zeros(len(ids), bool)
     row_of = {int(k): i for i, k in enumerate(left)}
@@ -198,7 +197,7 @@ def tile_links(ids: np.ndarray, right: np.ndarray, sets: list[np.ndarray]) -> li
     return out
 
 
-def crowd_links(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+def crowd_links(members: DataFrame, texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links among the classes of large crowds: members has (key, rep, leader)."""
     near = components(members.select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     crowds = near.join(classes.select(F.col("rep").alias("node"), "n"), "node")
@@ -210,14 +209,14 @@ def crowd_links(members: DataFrame, texts: DataFrame, classes: DataFrame) -> Dat
     def link(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        found = tile_links(table.column("doc_id").to_numpy(), table.column("right").to_numpy(zero_copy_only=False), _sets(texts))
+        found = tile_links(table.column("doc_id").to_numpy(), table.column("right").to_numpy(zero_copy_only=False), _sets(texts), percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return dealt.groupBy("component", "i", "j").applyInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows: doc_id, n_shingles, component_id, kept, for every document.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = ROWS) -> DataFrame:
+    """Rows: doc_id, n_shingles, component_id, kept, for every document; `width` is the number of buckets in a band.
 
     Rows of one id are one document only if their sets are linked. A null id can't name a
     component: such rows link with nothing, have a null component and are kept.
@@ -227,17 +226,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = sets.where("doc_id is not null and n > 0")
     classes = named.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
     classes = written(classes, "classes")
-    bands = classes.select("rep", "n", F.posexplode(F.array(*[F.substring("registers", 1 + ROWS * b, ROWS) for b in range(BANDS)])).alias("band", "bytes"))
+    bands = classes.select("rep", "n", F.posexplode(F.array(*[F.substring("registers", 1 + width * b, width) for b in range(BUCKETS // width)])).alias("band", "bytes"))
     bands = bands.select("rep", "n", F.xxhash64("band", "bytes").alias("key"))
     crowds = bands.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("leader")).where("many > 1")
     members = written(bands.join(crowds, "key").select("key", "rep", "n", "many", "leader"), "members")
     few = members.where(F.col("many") <= CROWD)
     other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    sizes = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT
+    sizes = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
     pairs = few.select("key", F.col("rep").alias("a"), "n").join(other, "key").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
-    near = written(passed(pairs, classes), "pairs")
+    near = written(passed(pairs, classes, percent), "pairs")
     many = members.where(F.col("many") > CROWD)
-    links = confirmed(near, rows).unionByName(crowd_links(many, rows, classes))
+    links = confirmed(near, rows, percent).unionByName(crowd_links(many, rows, classes, percent))
     found = components(written(links, "links"))
     named_classes = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("component", "rep").alias("component"))
     known = F.col("doc_id").isNotNull()

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from herdframe.llm.common import partitions, slices, whole
 from herdframe.llm.perfect_hash import PerfectHash
@@ -100,16 +101,17 @@ def repeated(docs: DataFrame, hashes: Hashes, n: int) -> DataFrame:
     return sums.where("first < last").select(F.explode("blocks").alias("block"), "h1", "h2", "n_docs", "first")
 
 
-def probed(docs: DataFrame, hashes: Hashes, work: Callable[[pa.Array, np.ndarray, Firsts], dict], schema: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Both passes. work(texts, ids, firsts) returns columns for a run of texts, to which doc_id is added.
+def probed(docs: DataFrame, hashes: Hashes, work: Callable[[pa.Array, np.ndarray, Firsts], dict], schema: str, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Both passes. work(texts, ids, firsts) returns columns for a run of texts, to which doc_id and those to keep are added.
 
     A null id counts as the smallest; rows of one id are one document. Null texts are empty.
     """
     n = partitions(docs)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(doc_id).isNull().alias("no_id"), whole(text).alias("text"))
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(doc_id).isNull().alias("no_id"), whole(text).alias("text"), kept.alias("kept"))
     firsts = repeated(rows, hashes, n)
-    dealt = rows.select(_block(F.col("doc_id"), n).alias("block"), F.lit(1).alias("kind"), "doc_id", "no_id", "text", *[F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "n_docs")])
-    ahead = firsts.select("block", F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.lit(False).alias("no_id"), F.lit(None).cast("string").alias("text"), "h1", "h2", "n_docs")
+    dealt = rows.select(_block(F.col("doc_id"), n).alias("block"), F.lit(1).alias("kind"), "doc_id", "no_id", "text", "kept", *[F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "n_docs")])
+    ahead = firsts.select("block", F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.lit(False).alias("no_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(rows.schema["kept"].dataType).alias("kept"), "h1", "h2", "n_docs")
     both = dealt.unionByName(ahead).repartition(n, "block").sortWithinPartitions("block", "kind")
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -123,7 +125,7 @@ def probed(docs: DataFrame, hashes: Hashes, work: Callable[[pa.Array, np.ndarray
                 if blocks[a] != block:
                     block, held, firsts = blocks[a], [], None
                 if kinds[a] == 0:
-                    held.append([part.column(c).to_numpy(zero_copy_only=False) for c in (5, 6, 7, 2)])
+                    held.append([part.column(c).to_numpy(zero_copy_only=False) for c in (6, 7, 8, 2)])
                     continue
                 if firsts is None:
                     cols = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 4
@@ -133,6 +135,9 @@ def probed(docs: DataFrame, hashes: Hashes, work: Callable[[pa.Array, np.ndarray
                     ids = part.column(2).slice(at, len(texts))
                     made = work(texts, ids.to_numpy(), firsts)
                     ids = pa.compute.if_else(part.column(3).slice(at, len(texts)), pa.scalar(None, pa.int64()), ids)
-                    yield pa.RecordBatch.from_arrays([ids, *[made[c] for c in names]], names=["doc_id", *names])
+                    rest = part.column(5).slice(at, len(texts))
+                    rest = rest.flatten() if keep else []
+                    yield pa.RecordBatch.from_arrays([ids, *[made[c] for c in names], *rest], names=["doc_id", *names, *keep])
 
-    return both.mapInArrow(stream, f"doc_id long, {schema}")
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
+    return both.mapInArrow(stream, T.StructType([*T._parse_datatype_string(f"doc_id long, {schema}").fields, *fields]))
