@@ -11,6 +11,7 @@ fitted to the machines' margins. A null text and one without a letter is `und` w
 and so is every text if nothing was learnt.
 """
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -24,6 +25,8 @@ from herdframe.llm.common import flat, mix, slices
 
 #: Labelled texts of a language that training takes at most, hashed features, texts in one matrix.
 PER_LANGUAGE, FEATURES, ROWS = 500, 4096, 512
+#: Bytes of text in one pass over arrays.
+PASS = 4 << 20
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 #: Families of languages, by ISO 639-1 code.
@@ -54,15 +57,18 @@ def frequencies(texts: pa.Array) -> np.ndarray:
     low = _LETTER[raw]
     accented = np.append(False, raw[:-1] == 0xC3) & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
     low[accented] += 32
-    owner = np.repeat(np.arange(n) * FEATURES, np.diff(at))
     counts = np.zeros(n * FEATURES, np.int64)
-    code = np.zeros(len(low), np.uint32)
-    for k in range(1, max(ORDERS) + 1):
-        code = code[: len(low) - k + 1] * np.uint32(256) + low[k - 1 :]
-        if k in ORDERS and len(code):
-            same = owner[: len(code)] == owner[k - 1 :]
-            spot = ((code * np.uint32(2654435761) + np.uint32(k * 40503)) >> np.uint32(20)) & np.uint32(FEATURES - 1)
-            counts += np.bincount((owner[: len(code)] + spot)[same], minlength=n * FEATURES)
+    for start in range(0, len(low), PASS):  # each pass has the n-grams that begin in it
+        part = low[start : start + PASS + max(ORDERS) - 1]
+        owner = (np.searchsorted(at, np.arange(start, start + len(part)), side="right") - 1) * FEATURES
+        code = np.zeros(len(part), np.uint32)
+        for k in range(1, max(ORDERS) + 1):
+            code = code[: len(part) - k + 1] * np.uint32(256) + part[k - 1 :]
+            own = min(len(code), PASS)
+            if k in ORDERS and own:
+                same = owner[:own] == owner[k - 1 : k - 1 + own]
+                spot = ((code[:own] * np.uint32(2654435761) + np.uint32(k * 40503)) >> np.uint32(20)) & np.uint32(FEATURES - 1)
+                counts += np.bincount((owner[:own] + spot)[same], minlength=n * FEATURES)
     shares = counts.reshape(n, FEATURES).astype(np.float32)
     return np.sqrt(shares / np.maximum(shares.sum(1, keepdims=True), 1))
 
@@ -220,6 +226,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], ["lang", "p"])
 
     known = has_letter(text)
-    out = docs.withColumn("_guess", guess(F.coalesce(F.col(text), F.lit(""))))
-    out = out.withColumn("lang_pred", F.when(known, F.col("_guess.lang")).otherwise(UNKNOWN))
-    return out.withColumn("score", F.when(known, F.col("_guess.p")).otherwise(0.0)).drop("_guess")
+    name = f"guess_{uuid.uuid4().hex}"
+    told = F.col(name)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    out = docs.withColumn(name, F.when(known, guess(F.coalesce(F.col(text), F.lit("")))))
+    return out.select(*others, F.coalesce(told["lang"], F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(told["p"], F.lit(0.0)).alias("score"))

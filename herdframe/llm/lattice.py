@@ -33,8 +33,8 @@ from herdframe.llm.pieces import MARK, Pieces, _Table
 SMOOTH, HELD, CACHE = 0.1, 150_000, 200_000
 #: Taken from each word's count for the arcs of pieces.
 DISCOUNT = 0.75
-#: Words of a group in the forward recursion.
-GROUP = 8192
+#: Words of a group in the forward recursion, and characters of its table.
+GROUP, CELLS = 8192, 1 << 20
 _STEP = np.int64(0x5851F42D4C957F2D)
 #: Keys of rows other than words: ends of texts, and pieces from here on.
 WORD, END, PIECE = 0, 1, 2
@@ -118,8 +118,9 @@ class Lattice:
         order = np.argsort(long, kind="stable")
         for k in range(0, len(order), GROUP):
             rows = order[k : k + GROUP]
-            while len(rows):  # groups of about one length
-                same = rows[: max(1, int(np.searchsorted(long[rows], 2 * long[rows[0]] + 8, side="right")))]
+            while len(rows):  # groups of about one length, and of bounded size
+                most = max(1, CELLS // int(2 * long[rows[0]] + 8))
+                same = rows[: max(1, min(most, int(np.searchsorted(long[rows], 2 * long[rows[0]] + 8, side="right"))))]
                 out[same] = self._forward([words[i] for i in same.tolist()], long[same])
                 rows = rows[len(same) :]
         return out
