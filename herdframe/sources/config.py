@@ -1,5 +1,6 @@
 """Project configuration on the driver: YAML with comments, its rules, and the skeleton as a tree."""
 
+import json
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -52,7 +53,7 @@ def generate_config(project: str, **options) -> None:  # noqa: ANN003
     for name, section in SECTIONS.items():
         lines.append(f"# {name} ".ljust(80, "-"))
         for key, (_, comment) in section.items():
-            lines += [f"# {comment}", yaml.safe_dump({key: values[key]}, default_flow_style=None, sort_keys=False).strip(), ""]
+            lines += [f"# {comment}", f"{key}: {json.dumps(values[key])}", ""]
     Path(project, FILE).write_text("\n".join(lines))
 
 
