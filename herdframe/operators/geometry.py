@@ -74,10 +74,29 @@ def rectified_error(y1: Column, y2: Column) -> Column:
     return F.abs(y1 - y2) / 2
 
 
+def cell_pairs(points: DataFrame, identity: DataFrame, n: int, value: str = "logp") -> DataFrame:
+    """(recording, frame, keypoint, cam1, inst1, x1, y1, probs1, cam2, ..., probs2) with cam1 > cam2.
+
+    A cell has at most cameras x instances detections, so both tables are gathered by cell, one
+    exchange each, and the pairs come out of the cell's own array: nothing is joined by pair. Rows
+    stay dealt out by cell, which is what the graph stages need.
+    """
+    place = (F.col("camera") * n + F.col("instance")) * n
+    probs = identity.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct((place + F.col("animal")).alias("at"), F.exp(value).alias("p")))).alias("p"))
+    cells = points.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("camera", "instance", "x", "y"))).alias("d"))
+
+    def weights(d: str) -> str:
+        return f"transform(sequence(0, {n - 1}), a -> coalesce(p[({d}.camera * {n} + {d}.instance) * {n} + a], 0D))"
+
+    both = "flatten(transform(d, a -> transform(filter(d, b -> b.camera < a.camera), b -> struct(a as u, b as v))))"
+    rows = cells.join(probs, CELL).select(*CELL, "p", F.explode(F.expr(both)).alias("e")).select(*CELL, "p", "e.u", "e.v")
+    sides = [c for k, d in ((1, "u"), (2, "v")) for c in (F.col(f"{d}.camera").alias(f"cam{k}"), F.col(f"{d}.instance").alias(f"inst{k}"), F.col(f"{d}.x").alias(f"x{k}"), F.col(f"{d}.y").alias(f"y{k}"), F.expr(weights(d)).alias(f"probs{k}"))]
+    return rows.select(*CELL, *sides)
+
+
 def pair_scores(detections: DataFrame, identity: DataFrame, n: int, projections: list[list[list[float]]] | None, most_outlier: float = 0.2) -> DataFrame:
     """(recording, frame, keypoint, cam1, inst1, cam2, inst2, error, divergence); without projections the rig is rectified."""
-    points = located(detections, most_outlier).select(*CELL, "camera", "instance", "x", "y").join(identity_arrays(identity, n), [*SERIES, "frame"])
-    pairs = camera_pairs(points)
+    pairs = cell_pairs(located(detections, most_outlier), identity, n)
     error = rectified_error(F.col("y1"), F.col("y2")) if projections is None else triangulation_error(projections)("cam1", "cam2", "x1", "y1", "x2", "y2")
     return pairs.select(*CELL, "cam1", "inst1", "cam2", "inst2", error.alias("error"), divergence(F.col("probs1"), F.col("probs2")).alias("divergence"))
 

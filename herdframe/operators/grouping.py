@@ -174,9 +174,13 @@ def assemble(groups: DataFrame, affinities: DataFrame, identities: DataFrame, n:
 
 
 def initial_assignments(detections: DataFrame, affinity: DataFrame, identity: DataFrame, n: int, parents: list[int], projections: list[list[list[float]]] | None, most_outlier: float = 0.2, most_error: float = 15.0, most_divergence: float = 0.1, split: bool = True) -> DataFrame:
-    """The flagship: from detections with outlier_prob and log-probabilities to animals."""
+    """The flagship: from detections with outlier_prob and log-probabilities to animals.
+
+    Groups are read four times from here on, so they are written once.
+    """
     from herdframe.operators.geometry import edges, pair_scores
+    from herdframe.sources.shared import written
 
     pairs = pair_scores(detections, identity, n, projections, most_outlier)
-    groups = group_across_cameras(edges(pairs, most_error, most_divergence), detections, n, split)
+    groups = written(group_across_cameras(edges(pairs, most_error, most_divergence), detections, n, split), "groups")
     return assemble(groups, affinity, identity, n, parents)
