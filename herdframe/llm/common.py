@@ -4,6 +4,8 @@ A batch of strings reaches the kernels as one byte buffer with offsets, so a pas
 batch is a pass over flat arrays; nothing here loops over characters.
 """
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +63,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidied(batches: Iterator) -> Iterator:
+    """The batches; after the last one the worker hands freed memory back, as it stays for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: every output bit depends on every input bit."""
     x = x + _ODD
@@ -106,6 +116,16 @@ def slices(strings: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa
         start = end
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers ascending, a place of each, and for each number which of them it is."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])[: len(x)]
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], which
+
+
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and len + 1 offsets of each text's words."""
     inside = ~_IS_SPACE[raw]

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import flat, slices
+from herdframe.llm.common import flat, slices, tidied
 
 #: Length of q-grams, edits for each byte of an item, shortest item, bytes of items in a block, bytes of text at once.
 Q, RATE, SHORTEST, BLOCK, SLICE = 8, 0.1, 24, 4 << 20, 1 << 20
@@ -172,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     for shared in _indexes(benchmark, item_id, item_text, rate):
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in tidied(batches):
                 for at, part in slices(batch.column(1), SLICE):
                     hits = shared.value.leaks(part)
                     if hits:
@@ -195,7 +195,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
 def _leaky(shared: Broadcast) -> Callable[[Column], Column]:
     @F.arrow_udf("boolean")
     def leaky(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidied(batches):
             out = np.zeros(len(batch), bool)
             for at, part in slices(batch, SLICE):
                 out[[at + h[0] for h in shared.value.leaks(part)]] = True

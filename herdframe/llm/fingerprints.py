@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import flat, partitions, shingle_hashes, slices, whole, word_hashes
+from herdframe.llm.common import flat, partitions, shingle_hashes, slices, tidied, whole, word_hashes
 
 #: Hashes in a sketch: the standard error of a resemblance J is sqrt(J * (1 - J) / K).
 K = 128
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K, width: int = W
 
     @F.arrow_udf("string")
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidied(batches):
             yield pa.array(map(text_of, sketches(batch, k, width)), pa.string())
 
     return docs.withColumn("fingerprint", make(F.col(text)))
@@ -132,7 +132,7 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (range, ahead, id, text, sketch) of the row before
-        for batch in batches:
+        for batch in tidied(batches):
             for at, part in slices(batch.column(3), PART):
                 keys = list(zip(*(batch.column(c).slice(at, len(part)).to_pylist() for c in (0, 1, 2)), strict=True))
                 made, edits = [], []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import flat, mix, slices
+from herdframe.llm.common import flat, mix, slices, tidied
 
 #: Labelled texts of a language that training takes at most, hashed features, texts in one matrix.
 PER_LANGUAGE, FEATURES, ROWS = 500, 4096, 512
@@ -188,7 +188,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     picked = rows.where((place < share[F.col("l")]) | (share[F.col("l")] >= 1)).limit(2 * per_language * len(counts))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for at, part in slices(batch.column(1)):
                 for k in range(0, len(part), ROWS):
                     x = frequencies(part.slice(k, ROWS)).astype(np.float16)
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     @F.arrow_udf("lang string, p double")
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidied(batches):
             names, scores = [], []
             for _, part in slices(batch):
                 for k in range(0, len(part), ROWS):

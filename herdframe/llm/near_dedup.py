@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import flat, mix, partitions, shingle_hashes, slices, whole, word_hashes, written
+from herdframe.llm.common import flat, mix, partitions, shingle_hashes, slices, tidied, whole, word_hashes, written
 from herdframe.llm.components import components
 
 WIDTH, PERCENT = 5, 85
@@ -75,7 +75,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, n, c1, c2, registers): the set's size, its hash of 128 bits, its sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for at, part in slices(batch.column(1)):
                 sets = shingle_hashes(*word_hashes(*flat(part)), WIDTH)
                 c1 = np.array([mix(s ^ _A).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -115,7 +115,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in tidied(batches):
             for start, part in slices(batch.column(3)):
                 found = []
                 keys, ids = batch.column(0).slice(start, len(part)).to_pylist(), batch.column(2).slice(start, len(part)).to_pylist()

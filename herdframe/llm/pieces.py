@@ -24,11 +24,11 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import flat
+from herdframe.llm.common import slices, tidied
 
 MARK = "▁"
 #: Symbols of a word that the rounds take, words that a worker remembers, words encoded in one go.
-LONG, CACHE, GROUP = 512, 120_000, 20_000
+LONG, CACHE, GROUP = 512, 80_000, 20_000
 _NONE = np.int32(2**31 - 1)
 _PIECES = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _shared: dict[int, "Pieces"] = {}
@@ -331,10 +331,8 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from herdframe.llm.common import slices
-
         pieces = _pieces(model.value)
-        for batch in batches:
+        for batch in tidied(batches):
             parts = [pieces.encode(s.to_pylist()) for _, s in slices(batch)] or [(np.zeros(0, np.int32), np.zeros(1, np.int64))]
             values = np.concatenate([i for i, _ in parts])
             at = np.append(0, np.cumsum(np.concatenate([np.diff(a) for _, a in parts])))
@@ -351,7 +349,7 @@ def decode(docs: DataFrame, model_file: str, ids: str = "ids") -> Column:
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _pieces(model.value)
-        for batch in batches:
+        for batch in tidied(batches):
             batch = batch.fill_null([]) if batch.null_count else batch
             out = []
             for k in range(0, len(batch), 500):

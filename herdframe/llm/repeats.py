@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from herdframe.llm.common import partitions, slices, whole
+from herdframe.llm.common import partitions, slices, tidied, whole
 from herdframe.llm.perfect_hash import PerfectHash
 
 #: Hashes that a task makes distinct before it hands them on.
@@ -83,7 +83,7 @@ def repeated(docs: DataFrame, hashes: Hashes, n: int) -> DataFrame:
             n_docs = np.add.reduceat(fresh.astype(np.int64), at)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[at].view(np.int64), h2[at].view(np.int64), block[at], doc[at], doc[last], n_docs)], names=["h1", "h2", "block", "lo", "hi", "n"])
 
-        for batch in batches:
+        for batch in tidied(batches):
             for at, part in slices(batch.column(2)):
                 blocks, ids = (batch.column(c).slice(at, len(part)).to_numpy(zero_copy_only=False) for c in (0, 1))
                 h1, h2, of = hashes(part)
@@ -117,7 +117,7 @@ def probed(docs: DataFrame, hashes: Hashes, work: Callable[[pa.Array, np.ndarray
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, firsts = None, [], None
-        for batch in batches:
+        for batch in tidied(batches):
             blocks, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             cuts = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(blocks)], strict=True):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from herdframe.llm.common import slices
+from herdframe.llm.common import slices, tidied
 
 #: The byte-level pre-token pattern.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -86,7 +86,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str, text: str = "text") -> Co
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = Counting(model.value, shared.value)
-        for batch in batches:
+        for batch in tidied(batches):
             yield pa.array([n for _, part in slices(batch) for n in counter.count(part.to_pylist())], pa.int64())
 
     return count(F.col(text))

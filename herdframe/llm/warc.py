@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from herdframe.llm.common import tidied
+
 #: Plain bytes of a frame and of a bundle, Zstandard's level, and the smallest payload that is worth a revisit.
 FRAME, BUNDLE, LEVEL, REVISIT = 256 << 10, 16 << 20, 3, 100
 #: Fixed values of the seekable format: magic numbers of skippable frames and of the seek table.
@@ -152,7 +154,7 @@ def bundles(records: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bundle", pa.string()), ("archive", pa.binary()), ("ids", pa.list_(pa.int64())), ("frames", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
         bundle = Bundle()
-        for batch in batches:
+        for batch in tidied(batches):
             for k in range(batch.num_rows):
                 record_id, url, payload, digest, refers = (c[k].as_py() for c in batch.columns)
                 bundle.add(record_id, record_bytes(record_id, url, payload or b"", digest, refers))
@@ -181,7 +183,7 @@ def read(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFr
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
         reader = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in tidied(batches):
             for k in range(batch.num_rows):
                 _, archive, keys, frames, offsets, lengths = (c[k].as_py() for c in batch.columns)
                 table, now, plain, out = seek_table(archive), -1, b"", []
@@ -211,7 +213,7 @@ def export(spark: SparkSession, path: str, folder: str) -> DataFrame:
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        for batch in batches:
+        for batch in tidied(batches):
             names = batch.column(0).to_pylist()
             for name, archive in zip(names, batch.column(1), strict=True):
                 part = f"{root}/.{name}.{uuid.uuid4().hex}"
