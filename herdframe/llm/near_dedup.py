@@ -31,7 +31,7 @@ from herdframe.llm.components import components
 WIDTH, PERCENT = 5, 85
 BUCKETS, ROWS = 156, 6
 #: Classes of a band whose pairs become rows, deviations of the estimate, classes and shingles in a part of a tile.
-CROWD, SIGMAS, PART, PART_SHINGLES = 24, 4.5, 1024, 500_000
+CROWD, SIGMAS, PART, PART_SHINGLES = 24, 4.5, 512, 250_000
 #: The chance that two unlike buckets agree: as many leading zeros, and the same four bits.
 CHANCE = 1 / 3 / 16
 _ORDERS = np.argsort(mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)).reshape(BUCKETS, BUCKETS), axis=1)
