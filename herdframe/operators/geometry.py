@@ -104,3 +104,43 @@ def pair_scores(detections: DataFrame, identity: DataFrame, n: int, projections:
 def edges(pairs: DataFrame, most_error: float = 15.0, most_divergence: float = 0.1) -> DataFrame:
     """Pairs that agree in place and identity; NULL never agrees."""
     return pairs.where((F.col("error") < most_error) & (F.col("divergence") < most_divergence))
+
+
+def many_view_points(projections: np.ndarray, cameras: list[np.ndarray], xy: list[np.ndarray]) -> np.ndarray:
+    """Points in space from two or more views each; cells with equally many views are one SVD. NaN for fewer."""
+    out, views = np.full((len(cameras), 3), np.nan), np.array(list(map(len, cameras)), np.int64)
+    for n in set(views.tolist()) - {0, 1}:
+        rows = np.flatnonzero(views == n)
+        p = projections[np.stack([cameras[k] for k in rows])]
+        at = np.stack([xy[k] for k in rows])
+        system = at[..., None] * p[:, :, 2:3] - p[:, :, :2]
+        point = np.linalg.svd(system.reshape(len(rows), 2 * n, 4))[2][:, -1]
+        with np.errstate(all="ignore"):
+            out[rows] = point[:, :3] / point[:, 3:]
+    return out
+
+
+def triangulated(located_by_animal: DataFrame, projections: list[list[list[float]]]) -> DataFrame:
+    """(recording, frame, keypoint, animal, x, y, z) of what at least two cameras see; at most one row a camera and cell."""
+    table = np.array(projections, float)
+    seen = located_by_animal.where(~is_missing(F.col("x"), F.col("y")))
+    cells = seen.groupBy(*CELL, "animal").agg(F.array_sort(F.collect_list(F.struct("camera", "x", "y"))).alias("views")).where(F.size("views") > 1)
+
+    @F.arrow_udf("x double, y double, z double")
+    def solve(views: pa.Array) -> pa.Array:
+        rows = views.to_pylist()
+        points = many_view_points(table, [np.array([v["camera"] for v in r]) for r in rows], [np.array([[v["x"], v["y"]] for v in r], float) for r in rows])
+        bad = ~np.isfinite(points).all(1)
+        return pa.StructArray.from_arrays([pa.array(points[:, d], pa.float64(), mask=bad) for d in range(3)], ["x", "y", "z"])
+
+    return cells.select(*CELL, "animal", solve("views").alias("point")).select(*CELL, "animal", "point.x", "point.y", "point.z").where("x is not null")
+
+
+def projected(points: DataFrame, projections: list[list[list[float]]]) -> DataFrame:
+    """Points (..., x, y, z) in every camera: (..., camera, px, py). Matrices are constants of the plan."""
+    cameras = []
+    for c, p in enumerate(projections):
+        u, v, w = (sum((F.lit(float(row[d])) * F.col(a) for d, a in enumerate("xyz")), F.lit(float(row[3]))) for row in p)
+        depth = F.when(w != 0, w)
+        cameras.append(F.struct(F.lit(c).cast("long").alias("camera"), (u / depth).alias("px"), (v / depth).alias("py")))
+    return points.select(*[c for c in points.columns if c not in "xyz"], F.inline(F.array(*cameras)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from herdframe.functions.scalars import mixture_log
-from herdframe.operators import tree
+from herdframe.operators import geometry, tree
 from herdframe.schemas import SERIES, VIEW
 
 
@@ -51,6 +51,31 @@ class RandomWalk:
         return both.select(*SERIES, "frame", "animal", mixture_log(error, F.col("outlier_prob"), self.inlier, self.outlier).alias("logp"))
 
 
+class SpaceWalk:
+    """Keypoints in space: triangulated from all cameras, near their mean over the `reach` frames around, seen again in each camera."""
+
+    def __init__(self, projections: list[list[list[float]]], reach: int = 5, inlier_variance: float = 10.0, outlier_variance: float = 1e6, segment: int = 10_000):
+        self.projections, self.reach, self.inlier, self.outlier, self.segment = projections, reach, inlier_variance, outlier_variance, segment
+        self.points: DataFrame | None = None
+
+    def initialize(self, located: DataFrame) -> "SpaceWalk":
+        return self.step(located)
+
+    def step(self, located: DataFrame) -> "SpaceWalk":
+        by = W.partitionBy("recording", "keypoint", "animal", F.expr(f"frame div {self.segment}")).orderBy("frame").rangeBetween(-self.reach, self.reach)
+        new = SpaceWalk(self.projections, self.reach, self.inlier, self.outlier, self.segment)
+        points = geometry.triangulated(located, self.projections)
+        new.points = points.select("recording", "frame", "keypoint", "animal", *[F.avg(c).over(by).alias(c) for c in "xyz"])
+        return new
+
+    def log_likelihood(self, detections: DataFrame) -> DataFrame:
+        if self.points is None:
+            raise ValueError("the model needs initialize() first")
+        both = detections.join(geometry.projected(self.points, self.projections), ["recording", "camera", "frame", "keypoint"])
+        error = F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)
+        return both.select(*SERIES, "frame", "animal", mixture_log(error, F.col("outlier_prob"), self.inlier, self.outlier).alias("logp"))
+
+
 class KeypointSorter:
     """Gibbs sampling: identities given tracks by a sample down the tree, then tracks given identities.
 

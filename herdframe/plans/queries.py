@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from herdframe.functions.scalars import mixture_log
 from herdframe.operators import geometry, grouping, permutations, poses, transforms, tree
-from herdframe.operators.kinematics import KeypointSorter, RandomWalk
+from herdframe.operators.kinematics import KeypointSorter, RandomWalk, SpaceWalk
 from herdframe.plans import views
 from herdframe.schemas import CELL, SERIES, VIEW
 
@@ -286,5 +286,20 @@ def gibbs_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return sorter.assignments
 
 
+@query
+def triangulated_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points in space of decoded animals; tests project known points and get them back."""
+    located = permutations.split_by_animal(views.detections(spark, sf), tree.assignments(_decoded(spark, sf), N))
+    return rounded(geometry.triangulated(located, PROJECTIONS), "x", "y", "z")
+
+
+@query
+def space_loglik(spark: SparkSession, sf: str) -> DataFrame:
+    """Likelihoods of all detections under tracks in space."""
+    d = _outliers(spark, sf)
+    located = permutations.split_by_animal(d, tree.assignments(_decoded(spark, sf), N))
+    return rounded(SpaceWalk(PROJECTIONS).initialize(located).log_likelihood(d), "logp")
+
+
 def queries() -> dict[str, Query]:
     return dict(_all)

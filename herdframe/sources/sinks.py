@@ -19,6 +19,15 @@ def write_detections(rows: DataFrame, path: str, overwrite: bool = False) -> Non
     writer.option("partitionOverwriteMode", "dynamic").mode("overwrite" if overwrite else "append").parquet(path)
 
 
+def convert_deeplabcut(recordings: DataFrame, path: str, bodyparts: list[str], order: list[int], parents: list[int], n: int, individuals: list[str] | None = None, recorded: list[str] | None = None, overwrite: bool = False) -> None:
+    """All files of recordings (recording, camera, path) to `path`/detections, /affinities and /identities, as one job each."""
+    from herdframe.sources.detections import read_deeplabcut
+
+    tables = read_deeplabcut(recordings.sparkSession, recordings, bodyparts, order, parents, n, individuals, recorded)
+    for name, rows in zip(("detections", "affinities", "identities"), tables, strict=True):
+        write_detections(rows, f"{path}/{name}", overwrite)
+
+
 def crop_boxes(centroids: DataFrame, width: int, height: int, crop: int) -> DataFrame:
     """(x0, y0, x1, y1, pad_left, pad_top) of a square around each centroid, clamped to the image."""
     half = crop // 2
@@ -60,3 +69,25 @@ def overlay(frames: DataFrame, segments: DataFrame, width: int, height: int) ->
         return pa.array(out, pa.binary())
 
     return frames.join(drawn, keys, "left").withColumn("image", paint("image", "lines")).drop("lines")
+
+
+def cropped(frames: DataFrame, boxes: DataFrame, width: int, height: int, crop: int) -> DataFrame:
+    """Each frame's box as an image of crop x crop x 3 bytes, what lies outside the image black; boxes from crop_boxes."""
+    import pyarrow as pa
+
+    keys = ["recording", "camera", "frame"]
+
+    @F.arrow_udf("binary")
+    def cut(images: pa.Array, boxes: pa.Array) -> pa.Array:
+        import numpy as np
+
+        out = []
+        for raw, b in zip(images.to_pylist(), boxes.to_pylist(), strict=True):
+            image, canvas = np.frombuffer(raw, np.uint8).reshape(height, width, 3), np.zeros((crop, crop, 3), np.uint8)
+            part = image[b["y0"] : b["y1"], b["x0"] : b["x1"]]
+            canvas[b["pad_top"] : b["pad_top"] + len(part), b["pad_left"] : b["pad_left"] + part.shape[1]] = part
+            out.append(canvas.tobytes())
+        return pa.array(out, pa.binary())
+
+    box = F.struct("x0", "y0", "x1", "y1", "pad_left", "pad_top")
+    return frames.join(boxes, keys).select(*keys, cut("image", box).alias("image"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from herdframe.functions.scalars import angle, jensen_shannon, log_sigmoid, mixture_log, rotation_matrix
 from herdframe.operators import geometry, grouping, transforms
+from herdframe.operators.kinematics import SpaceWalk
 from herdframe.plans import views
 
 RIG = [views.projection(c) for c in range(3)]
@@ -103,3 +104,19 @@ def test_one_camera_has_no_groups(spark):
     ids = spark.createDataFrame([("r", 0, 0, 0, i, a, -0.7) for i in range(2) for a in range(2)], "recording string, camera long, frame long, keypoint long, instance long, animal long, logp double")
     aff = spark.createDataFrame([], "recording string, camera long, frame long, keypoint long, instance long, parent_instance long, logp double")
     assert grouping.initial_assignments(d, aff, ids, 2, [0, 0], RIG).count() == 0
+
+
+def test_points_in_space(spark):
+    rng = np.random.default_rng(4)
+    points = {(t, a): np.append(rng.normal(size=2), rng.uniform(4, 8)) for t in range(6) for a in (0, 1)}
+    rows = [("r", c, t, 0, a, *map(float, seen(p, c)), a) for (t, a), p in points.items() for c in range(3) if (t, c) != (5, 2)]
+    rows += [("r", 0, 9, 0, 0, 1.0, 1.0, 0), ("r", 1, 8, 0, 0, None, None, 0)]
+    d = spark.createDataFrame(rows, "recording string, camera long, frame long, keypoint long, instance long, x double, y double, animal long")
+    got = {(r.frame, r.animal): (r.x, r.y, r.z) for r in geometry.triangulated(d, RIG).collect()}
+    assert got.keys() == points.keys() and all(np.allclose(got[k], points[k]) for k in points)
+    again = geometry.projected(geometry.triangulated(d, RIG), RIG).collect()
+    assert len(again) == 36 and all(np.allclose((r.px, r.py), seen(points[r.frame, r.animal], r.camera)) for r in again)
+    model = SpaceWalk(RIG, reach=0).initialize(d)
+    scored = model.log_likelihood(d.where("frame < 5").drop("animal").withColumn("outlier_prob", F.lit(0.01))).collect()
+    best = max((r for r in scored if (r.frame, r.camera, r.instance) == (0, 0, 1)), key=lambda r: r.logp)
+    assert best.animal == 1

@@ -136,6 +136,23 @@ def test_pictures(spark):
     assert got[0][1, 1:5, 1].tolist() == [255] * 4 and got[0].sum() == 4 * 255 and got[1].sum() == 0
 
 
+def test_crop(spark):
+    image = np.arange(300, dtype=np.uint16).astype(np.uint8).reshape(10, 10, 3)
+    frames = spark.createDataFrame([("r", 0, 0, image.tobytes())], "recording string, camera long, frame long, image binary")
+    boxes = sinks.crop_boxes(spark.createDataFrame([("r", 0, 0, 5.0, 1.0)], "recording string, camera long, frame long, cx double, cy double"), 10, 10, 4)
+    got = np.frombuffer(bytes(sinks.cropped(frames, boxes, 10, 10, 4).first().image), np.uint8).reshape(4, 4, 3)
+    assert (got[:3] == image[0:3, 3:7]).all() and got[3].sum() == 0
+
+
+def test_conversion(spark, tmp_path):
+    dlc_file(tmp_path / "cam0_full.pickle")
+    tree = config.node_hierarchy(PARTS, [["nose", "tail"], ["tail", "neck"]], "nose")
+    rec = spark.createDataFrame([("r", 0, str(tmp_path / "cam0_full.pickle"))], "recording string, camera long, path string")
+    for _ in range(2):  # the second time nothing is added
+        sinks.convert_deeplabcut(rec, str(tmp_path / "out"), PARTS, tree.order, tree.parents, 2)
+    assert [spark.read.parquet(f"{tmp_path}/out/{t}").count() for t in ("detections", "affinities", "identities")] == [8, 8, 16]
+
+
 def test_inference(spark):
     frames = spark.createDataFrame([("r", 0, t, bytes([t])) for t in range(5)], "recording string, camera long, frame long, image binary")
     found = detections.infer_peaks(frames, lambda images: [[(0, float(i[0]), 1.0, 0.5)] for i in images], batch_size=2).collect()
