@@ -114,18 +114,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rows = rows.repartition(n, "at").sortWithinPartitions("at", "other")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, np.zeros(0, np.uint64)
+        at, own = None, []  # an id that occurs with several texts has several sets
         for batch in tidied(batches):
             for start, part in slices(batch.column(3)):
                 found = []
                 keys, ids = batch.column(0).slice(start, len(part)).to_pylist(), batch.column(2).slice(start, len(part)).to_pylist()
                 for key, doc, s in zip(keys, ids, shingle_hashes(*word_hashes(*flat(part)), WIDTH), strict=True):
                     if key == doc:
-                        at, own = key, s.copy()
+                        own = [*own, s.copy()] if key == at else [s.copy()]
+                        at = key
                         continue
-                    assert key == at
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(s) - both):
+                    both = [len(np.intersect1d(o, s, assume_unique=True)) for o in own]
+                    if any(100 * n >= percent * (len(o) + len(s) - n) for n, o in zip(both, own, strict=True)):
                         found.append((key, doc))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
@@ -218,7 +218,8 @@ def crowd_links(members: DataFrame, texts: DataFrame, classes: DataFrame, percen
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = ROWS) -> DataFrame:
     """Rows: doc_id, n_shingles, component_id, kept, for every document; `width` is the number of buckets in a band.
 
-    Rows of one id are one document only if their sets are linked. A null id can't name a
+    A row counts by its own text: rows of one id and different texts may have different
+    components, and links of one reach the other through the id. A null id can't name a
     component: such rows link with nothing, have a null component and are kept.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))

@@ -275,6 +275,14 @@ def test_near_dedup(spark, docs):
     assert near_dedup.near_duplicates(corpus.empty(spark)).count() == 0
 
 
+def test_near_dedup_of_an_id_with_several_texts(spark):
+    rng = random.Random(1)
+    a, b = (" ".join(f"{c}{rng.randint(0, 99)}" for _ in range(60)) for c in "ab")
+    rows = [(5, a, None, None, 0), (5, b, None, None, 0), (8, a + " more", None, None, 0), (9, b + " more", None, None, 0)]
+    found = near_dedup.near_duplicates(corpus.frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(5, 5, True), (5, 5, True), (8, 5, False), (9, 5, False)]
+
+
 def test_near_dedup_of_a_crowd(spark, monkeypatch):
     """A large group of near copies goes through tiles, and the result is the same as by all pairs."""
     rng = random.Random(11)
