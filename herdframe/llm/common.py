@@ -6,8 +6,6 @@ batch is a pass over flat arrays; nothing here loops over characters.
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from herdframe.sources.shared import scratch, written  # noqa: F401  the operators take them from here
+
 #: Bytes of text that a kernel handles at once; a longer text is a batch of its own.
 SLICE_BYTES = 2 << 20
 #: The separators of words: space and \t \n \v \f \r.
@@ -48,21 +48,6 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; one is set only where it is unset, as in tests."""
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def tidied(batches: Iterator) -> Iterator:
     """The batches; after the last one the worker hands freed memory back, as it stays for other tasks."""
     yield from batches
