@@ -136,35 +136,68 @@ def viterbi(scores: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.array(state[::-1])
 
 
-def smooth_permutations(located: DataFrame, scores: DataFrame, n: int, eta: float = 10.0) -> DataFrame:
+def _steps(table: pa.Table, n: int, eta: float) -> np.ndarray:
+    """Scores (frames, from, to) of entering each frame of a table in order of frames."""
+    perms = all_permutations(n)
+    score = np.array(table.column("score").to_pylist(), float).reshape(-1, len(perms))
+    steps = np.zeros((len(score), len(perms), len(perms)))
+    for t, found in enumerate(table.column("moves").to_pylist()):
+        d = np.zeros((n, n))
+        for cell in found or []:
+            d[divmod(cell["at"], n)] = cell["d"] or 0.0
+        cost = np.array([[-sum(d[q[k], p[k]] for k in range(n)) / eta for q in perms] for p in perms])
+        move = np.exp(cost - cost.max(1, keepdims=True)) + 1e-6
+        steps[t] = np.log(move / move.sum(1, keepdims=True)) + score[t]
+    return steps
+
+
+def smooth_permutations(located: DataFrame, scores: DataFrame, n: int, eta: float = 10.0, segment: int = 10_000) -> DataFrame:
     """Temporal continuity: the best sequence of permutations of each (recording, camera), frame by frame.
 
     located: (recording, camera, frame, keypoint, animal, x, y), decoded frames; scores:
     (recording, camera, frame, p, score) of relabelling a frame's animals. Going from p to q
-    costs the squared moves of all animals over eta. Two states' moves are sums in Spark; the
-    recursion itself needs a sequence's frames in order and takes n! numbers a frame.
+    costs the squared moves of all animals over eta; frames without a frame before them are free.
+
+    A sequence may have any length: each segment of frames becomes one matrix, the best score
+    from any state before it to any state at its end; a sequence's matrices, one a segment, give
+    the states at the ends; and each segment is decoded between its two ends. The result is the
+    best sequence as a whole.
     """
-    perms = all_permutations(n)
-    a = located.select("recording", "camera", "frame", "keypoint", "animal", "x", "y")
+    states = len(all_permutations(n))
+    view = ["recording", "camera", "frame"]
+    a = located.select(*view, "keypoint", "animal", "x", "y")
     b = located.select("recording", "camera", (F.col("frame") + 1).alias("frame"), "keypoint", F.col("animal").alias("was"), F.col("x").alias("px"), F.col("y").alias("py"))
-    moves = a.join(b, ["recording", "camera", "frame", "keypoint"]).groupBy("recording", "camera", "frame", "animal", "was")
+    moves = a.join(b, [*view, "keypoint"]).groupBy(*view, "animal", "was")
     moves = moves.agg(F.sum((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2).alias("d"))
-    cells = moves.groupBy("recording", "camera", "frame").agg(F.collect_list(F.struct((F.col("animal") * n + F.col("was")).alias("at"), "d")).alias("moves"))
-    states = scores.groupBy("recording", "camera", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "score"))), lambda s: s["score"]).alias("score"))
-    rows = states.join(cells, ["recording", "camera", "frame"], "left")
-
-    def run(table: pa.Table) -> pa.Table:
+    cells = moves.groupBy(*view).agg(F.collect_list(F.struct((F.col("animal") * n + F.col("was")).alias("at"), "d")).alias("moves"))
+    own = scores.groupBy(*view).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "score"))), lambda s: s["score"]).alias("score"))
+    rows = own.join(cells, view, "left").withColumn("segment", F.expr(f"frame div {segment}"))
+
+    def matrix(table: pa.Table) -> pa.Table:
+        best = None
+        for step in _steps(table.sort_by("frame"), n, eta):
+            best = step if best is None else (best[:, :, None] + step[None]).max(1)
+        return table.select(["recording", "camera", "segment"]).slice(0, 1).append_column("m", pa.array([best.reshape(-1).tolist()], pa.list_(pa.float64())))
+
+    def ends(table: pa.Table) -> pa.Table:
+        table = table.sort_by("segment")
+        m = np.array(table.column("m").to_pylist()).reshape(-1, states, states)
+        path = viterbi(m, np.zeros(states))
+        out = table.select(["recording", "camera", "segment"])
+        return out.append_column("start", pa.array(path[:-1], pa.int64())).append_column("stop", pa.array(path[1:], pa.int64()))
+
+    def decode_segment(table: pa.Table) -> pa.Table:
         table = table.sort_by("frame")
-        score = np.array(table.column("score").to_pylist(), float)
-        steps = np.zeros((len(score) - 1, len(perms), len(perms)))
-        for t, found in enumerate(table.column("moves").to_pylist()[1:]):
-            d = np.zeros((n, n))
-            for cell in found or []:
-                d[divmod(cell["at"], n)] = cell["d"] or 0.0
-            cost = np.array([[-sum(d[q[k], p[k]] for k in range(n)) / eta for q in perms] for p in perms])
-            move = np.exp(cost - cost.max(1, keepdims=True)) + 1e-6
-            steps[t] = np.log(move / move.sum(1, keepdims=True)) + score[t + 1]
-        best = viterbi(steps, score[0] if len(score) else np.zeros(len(perms)))
-        return table.select(["recording", "camera", "frame"]).append_column("p", pa.array(best, pa.int64()))
-
-    return rows.groupBy("recording", "camera").applyInArrow(run, "recording string, camera long, frame long, p long")
+        steps = _steps(table, n, eta)
+        start = np.full(states, -np.inf)
+        start[table.column("start")[0].as_py()] = 0
+        last = np.full((states, states), -np.inf)
+        stop = table.column("stop")[0].as_py()
+        last[stop, stop] = 0
+        path = viterbi(np.concatenate([steps, last[None]]), start)[1:-1]
+        return table.select(view).append_column("p", pa.array(path, pa.int64()))
+
+    matrices = rows.groupBy("recording", "camera", "segment").applyInArrow(matrix, "recording string, camera long, segment long, m array<double>")
+    bounds = matrices.groupBy("recording", "camera").applyInArrow(ends, "recording string, camera long, segment long, start long, stop long")
+    bounded = rows.join(bounds, ["recording", "camera", "segment"])
+    return bounded.groupBy("recording", "camera", "segment").applyInArrow(decode_segment, "recording string, camera long, frame long, p long")

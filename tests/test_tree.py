@@ -101,3 +101,23 @@ def test_permutation_tables(spark):
     one = spark.createDataFrame([(1, 3)], "frame long, p long")
     two = spark.createDataFrame([(1, 3)], "frame long, p long")
     assert perms[permutations.compose(one, two, ["frame"], 3).first().p] == tuple(perms[3][perms[3][k]] for k in range(3))
+
+
+def test_smoothing_over_segments_is_the_best_sequence(spark):
+    rng = np.random.default_rng(6)
+    n, frames, eta = 2, 6, 3.0
+    xy = rng.normal(size=(frames, n, 2)) * 2
+    score = rng.normal(size=(frames, 2))
+    located = spark.createDataFrame([("r", 0, t, 0, a, *map(float, xy[t, a])) for t in range(frames) for a in range(n)], "recording string, camera long, frame long, keypoint long, animal long, x double, y double")
+    scores = spark.createDataFrame([("r", 0, t, p, float(score[t, p])) for t in range(frames) for p in range(2)], "recording string, camera long, frame long, p long, score double")
+    perms = permutations.all_permutations(n)
+
+    def move(t, p, q):
+        cost = [-sum(((xy[t, perms[w][k]] - xy[t - 1, perms[p][k]]) ** 2).sum() for k in range(n)) / eta for w in range(2)]
+        odds = np.exp(np.array(cost) - max(cost)) + 1e-6
+        return np.log(odds / odds.sum())[q]
+
+    best = max(product(range(2), repeat=frames), key=lambda s: sum(score[t, s[t]] for t in range(frames)) + sum(move(t, s[t - 1], s[t]) for t in range(1, frames)))
+    for segment in (2, 4, 100):
+        found = {r.frame: r.p for r in tree.smooth_permutations(located, scores, n, eta, segment).collect()}
+        assert [found[t] for t in range(frames)] == list(best)
