@@ -2,6 +2,11 @@
 
 import re
 from collections import defaultdict
+from functools import cache
+
+import numpy as np
+
+from herdframe.llm.common import word_hashes
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -14,6 +19,12 @@ def words(text):
     return re.findall("[^\x20\x09-\x0d]+", fold(text))
 
 
+@cache
+def word_hash(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return int(word_hashes(raw, np.array([0, len(raw)]))[0][0])
+
+
 def shingles(text):
     w = words(text)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -41,14 +52,19 @@ def deduped_lines(docs, shortest=10):
 def deduped_spans(docs, sentences=3, least=24, longest=12):
     found, units_of, spans = {}, {}, defaultdict(list)
     for at, (i, t) in enumerate(docs):
-        t, units, unit = t or "", [], []
+        t, units = t or "", []
+        sentence_of = [[]]
         for m in re.finditer("[^ \t\n\x0b\x0c\r]+", t):
-            if unit and (unit[-1][0][-1] in ".!?" or "\n" in t[unit[-1][2] : m.start()] or len(unit) == longest):
-                units.append(unit)
-                unit = []
-            unit.append((fold(m[0]), m.start(), m.end()))
-        if unit:
-            units.append(unit)
+            last = sentence_of[-1]
+            if last and (last[-1][0][-1] in ".!?" or "\n" in t[last[-1][2] : m.start()]):
+                sentence_of.append([])
+            sentence_of[-1].append((fold(m[0]), m.start(), m.end()))
+        for sentence in filter(None, sentence_of):
+            units.append([])
+            for k, w in enumerate(sentence):
+                if k and len(sentence) > longest and (word_hash(sentence[k - 1][0]) % 6 == 0 or len(units[-1]) == longest):
+                    units.append([])
+                units[-1].append(w)
         units_of[at] = t, units
         for u in range(len(units)):
             j, n = u, 0
