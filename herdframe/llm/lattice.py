@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import _IS_SPACE, flat, partitions, slices, whole, word_hashes, written
+from herdframe.llm.common import _IS_SPACE, distinct, flat, partitions, slices, tidied, whole, word_hashes, written
 from herdframe.llm.pieces import MARK, Pieces, _Table
 
 #: Added to each piece's count; distinct words that pass 1 sums up in a task, and words whose scores a worker remembers.
@@ -39,7 +39,28 @@ _STEP = np.int64(0x5851F42D4C957F2D)
 #: Keys of rows other than words: ends of texts, and pieces from here on.
 WORD, END, PIECE = 0, 1, 2
 _pieces: dict[int, Pieces] = {}
-_scores: dict[int, dict[int, float]] = {}
+_scores: dict[int, "Remembered"] = {}
+
+
+class Remembered(dict):
+    """Scores of words by hash: when full it starts anew and takes over what is asked for from what it held before."""
+
+    def __init__(self):
+        self.before: dict[int, float] = {}
+
+    def __missing__(self, key: int) -> float:
+        found = self[key] = self.before[key]
+        return found
+
+    def lacks(self, keys: list[int]) -> list[int]:
+        """Places of the keys that it has no score of."""
+        before = self.before
+        return [k for k, h in enumerate(keys) if h not in self and h not in before]
+
+    def age(self) -> None:
+        if len(self) > CACHE:
+            self.before = dict(self)
+            self.clear()
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,14 +122,22 @@ class Lattice:
                     h = h * _STEP + np.int64(ord(c) + 1)
             keys.append(h)
         ids = np.array([i for _, i in many], np.int32)
-        self.table = _Table(np.array(keys, np.int64), ids, ids)
+        keys = np.array(keys, np.int64)
+        self.table = _Table(keys, ids, ids)
+        self.natural = self.logs * np.log(10.0)
+        self.seen = np.zeros(1 << 18, bool)  # most substrings are no pieces: a small table says so first
+        self.seen[self._slot(keys)] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
 
     def _char(self, points: np.ndarray) -> np.ndarray:
-        """log10 of the one-character arcs."""
+        """log of the one-character arcs."""
         s = self.single[points]
-        out = self.logs[np.maximum(s, 0)]
+        out = self.natural[np.maximum(s, 0)]
         for k in np.flatnonzero(s < 0).tolist():
-            out[k] = sum(self.logs[self.bytes[b]] for b in chr(points[k]).encode())
+            out[k] = sum(self.natural[self.bytes[b]] for b in chr(points[k]).encode())
         return out
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -137,28 +166,35 @@ class Lattice:
         alpha = np.full((wide + 1, n), -np.inf)
         alpha[0] = 0
         hashes = np.zeros((self.longest + 1, n), np.int64)  # of the last characters, by length
-        result = np.zeros(n)
+        result, arcs = np.zeros(n), np.empty((self.longest, n))
         for end in range(1, wide + 1):
             live = slice(int(np.searchsorted(long, end)), n)  # words are in order of length
             most = min(end, self.longest)
             # the hash of the last L characters comes from that of the L - 1 before
-            arcs = [alpha[end - 1, live] + char[end - 1, live]]
             new = hashes.copy()
             new[1] = points[end - 1] + 1
             for size in range(2, most + 1):
                 new[size] = hashes[size - 1] * _STEP + points[end - 1] + 1
             hashes = new
+            arcs[0, live] = alpha[end - 1, live] + char[end - 1, live]
+            used = 1
             for size in range(2, most + 1):
-                piece, _ = self.table.find(hashes[size, live])
+                own = hashes[size, live]
+                at = np.flatnonzero(self.seen[self._slot(own)])
+                if not len(at):
+                    continue
+                piece, _ = self.table.find(own[at])
                 hit = piece < len(self.logs)
-                if hit.any():
-                    arcs.append(np.where(hit, alpha[end - size, live] + self.logs[np.where(hit, piece, 0)], -np.inf))
-            stack = np.stack(arcs)
+                at, piece = at[hit], piece[hit]
+                arcs[used, live] = -np.inf
+                arcs[used, at + live.start] = alpha[end - size, at + live.start] + self.natural[piece]
+                used += 1
+            stack = arcs[:used, live]
             top = stack.max(0)
-            alpha[end, live] = top + np.log10(np.power(10.0, stack - top).sum(0))
+            alpha[end, live] = top + np.log(np.exp(stack - top).sum(0))
             done = long == end
             result[done] = alpha[end, done]
-        return result
+        return result / np.log(10.0)
 
 
 def _vocabulary(model: bytes) -> Pieces:
@@ -190,7 +226,7 @@ def counted(train: DataFrame, model_file: str, n: int, block: Column) -> DataFra
             at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (blk[1:] != blk[:-1])))
             return out(WORD, key[at], blk[at], np.add.reduceat(cnt, at))
 
-        for batch in batches:
+        for batch in tidied(batches):
             for at, part in slices(batch.column(1)):
                 blocks = batch.column(0).slice(at, len(part)).to_numpy()
                 train_too = batch.column(2).slice(at, len(part)).to_numpy(zero_copy_only=False)
@@ -200,7 +236,7 @@ def counted(train: DataFrame, model_file: str, n: int, block: Column) -> DataFra
                     continue
                 owner = np.repeat(np.arange(len(part)), np.diff(offsets))
                 use = train_too[owner]
-                uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                uniq, first, inverse = distinct(hashes)
                 times = np.bincount(inverse[use], minlength=len(uniq))
                 learn = np.flatnonzero(times)
                 words = [MARK + w for w in _spelt(part, begin[first[learn]], end[first[learn]])]
@@ -214,7 +250,7 @@ def counted(train: DataFrame, model_file: str, n: int, block: Column) -> DataFra
                 ids = vocabulary.ids[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
                 totals += np.bincount(ids, np.repeat(times[learn], lens), minlength=len(totals)).astype(np.int64)
                 pair = inverse * n + blocks[owner]
-                pairs, spot = np.unique(pair, return_inverse=True)
+                pairs, _, spot = distinct(pair)
                 held.append((uniq[pairs // n].view(np.int64), pairs % n, np.bincount(spot, use, len(pairs)).astype(np.int64)))
                 many += len(pairs)
                 if many >= HELD:
@@ -268,12 +304,12 @@ def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "do
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         lattice = Lattice(_vocabulary(file.value), m)
-        cache = _scores.setdefault(hash(m.pieces.tobytes()), {})
+        cache = _scores.setdefault(hash(m.pieces.tobytes()), Remembered())
         log_all = np.log10(m.tokens + m.distinct + 1.0)
         base_end = np.log10(m.ends + 1.0) - log_all
         own_end = float(m.whole(np.array([m.ends]), np.array([m.end]))[0])
         now, held, keys, counts = None, [], None, None
-        for batch in batches:
+        for batch in tidied(batches):
             blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(blocks)], strict=True):
@@ -290,15 +326,14 @@ def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "do
                     keys, counts, held = keys[order], counts[order], []
                 for at, texts in slices(part.column(5)):
                     hashes, offsets, begin, end = _words(texts)
-                    uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                    uniq, first, inverse = distinct(hashes)
                     times = np.zeros(len(uniq), np.int64)
                     if len(keys) and len(uniq):
                         spot = np.minimum(np.searchsorted(keys, uniq), len(keys) - 1)
                         times = np.where(keys[spot] == uniq, counts[spot], 0)
-                    if len(cache) > CACHE:
-                        cache.clear()
+                    cache.age()
                     names = uniq.tolist()
-                    new = [k for k, h in enumerate(names) if h not in cache]
+                    new = cache.lacks(names)
                     if new:
                         made = lattice.scores(_spelt(texts, begin[first[new]], end[first[new]]))
                         cache.update(zip((names[k] for k in new), made.tolist(), strict=True))
