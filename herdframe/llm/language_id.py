@@ -185,7 +185,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         return None
     share = F.create_map(*[x for code, n in counts.items() for x in (F.lit(code), F.lit(min(1.0, 1.2 * per_language / n)))])
     place = F.pmod(F.xxhash64("k"), F.lit(1 << 20)) / float(1 << 20)
-    picked = rows.where((place < share[F.col("l")]) | (share[F.col("l")] >= 1)).limit(2 * per_language * len(counts))
+    picked = rows.where((place < share[F.col("l")]) | (share[F.col("l")] >= 1))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):
@@ -194,7 +194,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                     x = frequencies(part.slice(k, ROWS)).astype(np.float16)
                     yield pa.RecordBatch.from_arrays([batch.column(2).slice(at + k, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["l", "x"])
 
-    found = picked.mapInArrow(features, "l string, x binary").collect()
+    found = picked.mapInArrow(features, "l string, x binary").limit(2 * per_language * len(counts)).collect()
     labels = np.array([r.l for r in found], object)
     x = np.stack([np.frombuffer(bytes(r.x), np.float16) for r in found]).astype(np.float32)
     # the bound holds for each language, in the order of hashed features
