@@ -1,6 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends with a word that ends in . ! or ?, with a line feed, or after LONGEST words.
+A sentence ends with a word that ends in . ! or ?, or with a line feed. One of over LONGEST
+words is cut into parts, which count as sentences: behind every word whose hash is a multiple of
+CUT, and LONGEST words after the last cut. An edit so moves cuts only up to the next such word.
 From every sentence the span of consecutive sentences that begins there is hashed: SENTENCES
 of them at least, and as many more as make WORDS words (A-Z lower-cased, white space doesn't
 count). A span that occurred before, in a document with a smaller id or earlier in its own,
@@ -16,8 +18,8 @@ from pyspark.sql import DataFrame
 from herdframe.llm.common import _IS_SPACE, flat, mix, word_hashes
 from herdframe.llm.repeats import Firsts, probed
 
-#: The least number of sentences and of words in a span; words in a sentence at most.
-SENTENCES, WORDS, LONGEST = 3, 24, 12
+#: The least number of sentences and of words in a span; words in a sentence that isn't cut, and one in so many ends a part.
+SENTENCES, WORDS, LONGEST, CUT = 3, 24, 12, 6
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
@@ -46,7 +48,10 @@ class Spans:
         fresh = np.ones(n, bool)
         if n > 1:
             fresh[1:] = (owner[1:] != owner[:-1]) | _ENDS[raw[ends[:-1]]] | (feeds[starts[1:]] != feeds[ends[:-1]])
-        # long sentences are cut every `longest` words
+        first = np.flatnonzero(fresh)
+        long = np.diff(np.append(first, n))
+        cut = np.repeat(long > longest, long) & (hashes % np.uint64(CUT) == 0)
+        fresh[1:] |= cut[:-1]
         first = np.flatnonzero(fresh)
         place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
         fresh |= place % longest == 0
