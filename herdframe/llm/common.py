@@ -48,6 +48,18 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def range_of(rows: DataFrame, n: int, col: str = "doc_id") -> Column:
+    """Column with the number of one of n ranges of ids that hold about as many rows each; null counts as the least id.
+
+    Only ids are read for the bounds, and n of them reach the driver.
+    """
+    quantiles = F.percentile_approx(col, F.array(*[F.lit(i / n) for i in range(1, n)]), 100 * n) if n > 1 else F.array().cast("array<long>")
+    bounds = sorted(set(rows.agg(quantiles.alias("q")).first().q or []))
+    if not bounds:
+        return F.lit(0)
+    return F.expr(f"array_size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b < coalesce({col}, {-(2**63) + 1}L)))")
+
+
 def tidied(batches: Iterator) -> Iterator:
     """The batches; after the last one the worker hands freed memory back, as it stays for other tasks."""
     yield from batches

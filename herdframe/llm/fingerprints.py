@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import flat, partitions, shingle_hashes, slices, tidied, whole, word_hashes
+from herdframe.llm.common import flat, partitions, range_of, shingle_hashes, slices, tidied, whole, word_hashes
 
 #: Hashes in a sketch: the standard error of a resemblance J is sqrt(J * (1 - J) / K).
 K = 128
@@ -116,10 +116,8 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
     n = max(1, partitions(docs))
-    quantiles = F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), 100 * n) if n > 1 else F.array().cast("array<long>")
-    bounds = sorted(set(rows.agg(quantiles.alias("q")).first().q or []))
     ids = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
-    place = F.expr(f"array_size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b < coalesce(doc_id, {-(2**63) + 1}L)))") if bounds else F.lit(0)
+    place = range_of(rows, n)
     firsts = {r.range: r.id for r in rows.select(place.alias("range"), ids.alias("id")).groupBy("range").agg(F.min("id").alias("id")).collect()}
     order = sorted(firsts)
     before = {firsts[b]: a for a, b in zip([order[-1], *order[:-1]], order, strict=True)} if order else {}

@@ -12,10 +12,12 @@ mark in front, and one end, and the probabilities of all texts sum to one at mos
 Beside it a base score: words by add-one counts. Words are `[^\\x20\\x09-\\x0D]+` with A-Z
 lower-cased and known by 64-bit hashes.
 
-Pass 1 makes the distinct words of a task's training texts, with counts, and their pieces'
-counts; Spark sums both by key. Pass 2 deals the documents out by block and puts the counts
-of the words that occur in a block in front of it, so no task holds the whole vocabulary of
-words and none is broadcast. What is broadcast is one number a piece.
+Pass 1 makes the distinct words of a task's training texts in each block of documents, with
+counts, and their pieces' counts; Spark sums both by key. Blocks are ranges of ids, so where
+documents lie in their order a task meets few blocks and a word is one row for each. Pass 2
+deals the documents out by block and puts the counts of the words that occur in a block in
+front of it, so no task holds the whole vocabulary of words and none is broadcast. What is
+broadcast is one number a piece.
 """
 
 from collections.abc import Iterator
@@ -26,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import _IS_SPACE, distinct, flat, partitions, slices, tidied, whole, word_hashes, written
+from herdframe.llm.common import _IS_SPACE, distinct, flat, partitions, range_of, slices, tidied, whole, word_hashes, written
 from herdframe.llm.pieces import MARK, Pieces, _Table
 
 #: Added to each piece's count; distinct words that pass 1 sums up in a task, and words whose scores a worker remembers.
-SMOOTH, HELD, CACHE = 0.1, 150_000, 200_000
+SMOOTH, HELD, CACHE = 0.1, 600_000, 200_000
 #: Taken from each word's count for the arcs of pieces.
 DISCOUNT = 0.75
 #: Words of a group in the forward recursion, and characters of its table.
@@ -290,7 +292,7 @@ def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "do
     """
     n = partitions(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+    block = range_of(rows, n).cast("int")
     with open(model_file, "rb") as f:
         vocabulary = f.read()
     sums = written(counted(rows, model_file, n, block), "words")
