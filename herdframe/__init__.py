@@ -1 +1 @@
-"""herdframe: multi-animal keypoint sorting, and training-data operators, as Spark jobs."""
+"""herdframe: identities of animals from detected keypoints, and training-data operators, as Spark jobs."""

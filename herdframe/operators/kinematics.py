@@ -76,7 +76,7 @@ class SpaceWalk:
         return both.select(*SERIES, "frame", "animal", mixture_log(error, F.col("outlier_prob"), self.inlier, self.outlier).alias("logp"))
 
 
-class KeypointSorter:
+class IdentitySampler:
     """Gibbs sampling: identities given tracks by a sample down the tree, then tracks given identities.
 
     State is a table in the shared folder after each step, so lineage stays short and an executor
@@ -90,7 +90,7 @@ class KeypointSorter:
     def _located(self, assignments: DataFrame) -> DataFrame:
         return self.detections.join(assignments, [*VIEW, "keypoint", "instance"])
 
-    def initialize(self) -> "KeypointSorter":
+    def initialize(self) -> "IdentitySampler":
         """The most likely identities without a kinematics model."""
         found = tree.decode(tree.views(self.identity, self.affinity, self.n, self.parents), self.n, self.parents)
         self.assignments = self.write(tree.assignments(found, self.n), "assignments")

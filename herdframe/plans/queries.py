@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from herdframe.functions.scalars import mixture_log
 from herdframe.operators import geometry, grouping, permutations, poses, transforms, tree
-from herdframe.operators.kinematics import KeypointSorter, RandomWalk, SpaceWalk
+from herdframe.operators.kinematics import IdentitySampler, RandomWalk, SpaceWalk
 from herdframe.plans import views
 from herdframe.schemas import CELL, SERIES, VIEW
 
@@ -281,7 +281,7 @@ def _write(df: DataFrame, what: str) -> DataFrame:
 @query
 def gibbs_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Identities after one Gibbs sweep with a random-walk model."""
-    sorter = KeypointSorter(RandomWalk(), _outliers(spark, sf), _affinity(spark, sf), _identity(spark, sf), N, PARENTS, _write).initialize()
+    sorter = IdentitySampler(RandomWalk(), _outliers(spark, sf), _affinity(spark, sf), _identity(spark, sf), N, PARENTS, _write).initialize()
     sorter.step()
     return sorter.assignments
 

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from herdframe.operators import poses, transforms
-from herdframe.operators.kinematics import KeypointSorter, RandomWalk
+from herdframe.operators.kinematics import IdentitySampler, RandomWalk
 from herdframe.plans import queries
 from herdframe.plans.queries import MIXTURE
 from herdframe.sources.shared import written
@@ -98,7 +98,7 @@ def test_pose_filter_and_alignment(spark):
 
 def test_gibbs(spark):
     sf = "/root/testdata/sf0.001"
-    make = lambda: KeypointSorter(RandomWalk(), queries._outliers(spark, sf), queries._affinity(spark, sf), queries._identity(spark, sf), 2, [0, 0, 1, 2], written, seed=3).initialize()
+    make = lambda: IdentitySampler(RandomWalk(), queries._outliers(spark, sf), queries._affinity(spark, sf), queries._identity(spark, sf), 2, [0, 0, 1, 2], written, seed=3).initialize()
     one, two = make(), make()
     a, b = one.step(), two.step()
     assert a == b and a < 0
