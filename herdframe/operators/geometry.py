@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdframe.functions.scalars import is_missing, jensen_shannon
+from herdframe.operators.spread import spread
 from herdframe.schemas import CELL, SERIES
 
 
@@ -82,8 +83,8 @@ def cell_pairs(points: DataFrame, identity: DataFrame, n: int, value: str = "log
     stay dealt out by cell, which is what the graph stages need.
     """
     place = (F.col("camera") * n + F.col("instance")) * n
-    probs = identity.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct((place + F.col("animal")).alias("at"), F.exp(value).alias("p")))).alias("p"))
-    cells = points.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("camera", "instance", "x", "y"))).alias("d"))
+    probs = spread(identity, CELL).groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct((place + F.col("animal")).alias("at"), F.exp(value).alias("p")))).alias("p"))
+    cells = spread(points, CELL).groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("camera", "instance", "x", "y"))).alias("d"))
 
     def weights(d: str) -> str:
         return f"transform(sequence(0, {n - 1}), a -> coalesce(p[({d}.camera * {n} + {d}.instance) * {n} + a], 0D))"

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from herdframe.operators.spread import spread
 from herdframe.schemas import CELL
 
 GROUPS = "recording string, frame long, keypoint long, camera long, instance long, group_id long"
@@ -35,23 +36,23 @@ def connected(n: int, links: list[tuple[int, int]]) -> list[list[int]]:
 
 def kmeans(points: np.ndarray, k: int, seed: int = 0, max_iters: int = 100, n_init: int = 10, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """Lloyd's algorithm, the best of n_init starts: labels, centroids, inertia. Ties go to the lowest cluster; an empty one is at 0."""
-    k, rng, best = min(k, len(points)), np.random.default_rng(seed), None
-    for _ in range(n_init):
-        centroids, last = points[rng.choice(len(points), k, replace=False)], np.inf
-        for _ in range(max_iters):
-            d = ((points[:, None] - centroids[None]) ** 2).sum(-1)
-            labels = np.argmin(d, 1)
-            inertia = float(d[np.arange(len(points)), labels].sum())
-            counts = np.bincount(labels, minlength=k)[:, None]
-            sums = np.zeros_like(centroids)
-            np.add.at(sums, labels, points)
-            centroids = np.where(counts > 0, sums / np.maximum(counts, 1), 0.0)
-            if abs(last - inertia) < tol:
-                break
-            last = inertia
-        if best is None or inertia < best[2]:
-            best = labels, centroids, inertia
-    return best
+    k, rng = min(k, len(points)), np.random.default_rng(seed)
+    order = rng.permuted(np.tile(np.arange(len(points)), (n_init, 1)), axis=1)[:, :k]
+    centroids, last, live = points[order], np.full(n_init, np.inf), np.ones(n_init, bool)
+    for _ in range(max_iters):  # all starts at once; those that stand still are left alone
+        d = ((points[None, :, None] - centroids[:, None]) ** 2).sum(-1)
+        labels = np.argmin(d, 2)
+        inertia = np.take_along_axis(d, labels[..., None], 2).sum((1, 2))
+        member = (labels[..., None] == np.arange(k)).astype(float)
+        counts = member.sum(1)[..., None]
+        means = np.where(counts > 0, np.einsum("rnk,nd->rkd", member, points) / np.maximum(counts, 1), 0.0)
+        centroids = np.where(live[:, None, None], means, centroids)
+        live &= np.abs(last - inertia) >= tol
+        if not live.any():
+            break
+        last = inertia
+    best = int(np.argmin(inertia))
+    return labels[best], centroids[best], float(inertia[best])
 
 
 def spectral(adjacency: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -102,7 +103,7 @@ def cell_groups(cameras: np.ndarray, instances: np.ndarray, links: list[tuple[in
 def cell_components(edges: DataFrame, detections: DataFrame) -> DataFrame:
     """(recording, frame, keypoint, camera, instance, component): detections with an edge and their component's number, by lowest node."""
     links = edges.groupBy(*CELL).agg(F.collect_list(F.struct("cam1", "inst1", "cam2", "inst2")).alias("links"))
-    nodes = detections.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("camera", "instance"))).alias("nodes"))
+    nodes = spread(detections, CELL).groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("camera", "instance"))).alias("nodes"))
 
     @F.arrow_udf("array<bigint>")
     def run(links: pa.Array, nodes: pa.Array) -> pa.Array:
@@ -127,7 +128,7 @@ def group_across_cameras(edges: DataFrame, detections: DataFrame, n: int, split:
     edges come from geometry.edges, detections carry outlier_prob. Only cells with an edge do any work.
     """
     links = edges.groupBy(*CELL).agg(F.collect_list(F.struct("cam1", "inst1", "cam2", "inst2")).alias("links"))
-    nodes = detections.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("camera", "instance", "outlier_prob"))).alias("nodes"))
+    nodes = spread(detections, CELL).groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("camera", "instance", "outlier_prob"))).alias("nodes"))
     cells = links.join(nodes, CELL)
 
     @F.arrow_udf("array<bigint>")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from herdframe.functions.scalars import is_missing, log_normalized, log_sigmoid, outlier_prob, undistorted
+from herdframe.operators.spread import spread
 from herdframe.schemas import SERIES, VIEW
 
 #: Frames of a segment: a series is interpolated by segments, so one series may be of any length.
@@ -56,13 +57,13 @@ def affinity_logprobs(affinities: DataFrame, center: float = 0.2, gain: float =
     """
     score = log_sigmoid((F.coalesce("weight", F.lit(0.0)) - center) * gain)
     normal, _ = log_normalized(F.col("score"), [*SERIES, "frame"])
-    return affinities.repartition(*VIEW).withColumn("score", score).withColumn("logp", normal).drop("score")
+    return spread(affinities, VIEW).withColumn("score", score).withColumn("logp", normal).drop("score")
 
 
 def identity_logprobs(identities: DataFrame, pseudocount: float = 0.1) -> DataFrame:
     """log(weight + pseudocount), normalised over animals; dealt out by view, like affinities."""
     normal, _ = log_normalized(F.col("score"), [*SERIES, "frame"])
-    return identities.repartition(*VIEW).withColumn("score", F.log(F.coalesce("weight", F.lit(0.0)) + pseudocount)).withColumn("logp", normal).drop("score")
+    return spread(identities, VIEW).withColumn("score", F.log(F.coalesce("weight", F.lit(0.0)) + pseudocount)).withColumn("logp", normal).drop("score")
 
 
 def transform_detections(detections: DataFrame, affinities: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
