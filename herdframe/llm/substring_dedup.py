@@ -9,6 +9,13 @@ count). A span that occurred before, in a document with a smaller id or earlier
 is repeated, and every sentence that a repeated span covers goes, with the white space behind
 it. First occurrences stay. The work is that of herdframe.llm.repeats; a null or empty text
 has no sentences.
+
+Cuts depend on the context of a passage, so spans alone can miss one. Runs of WORDS words are
+hashed besides, wherever they lie in sentences: those whose hash is the least of any RUN - WORDS + 1
+neighbouring ones. RUN equal words hold as many runs, and the least of them is taken in every text
+that has these words, whatever is around them; so a passage of RUN words or more always has a common
+run. Every sentence that lies wholly in a repeated run goes too. As sentences are of LONGEST words
+at most and a run of twice as many, there is one at least.
 """
 
 import numpy as np
@@ -20,6 +27,8 @@ from herdframe.llm.repeats import Firsts, probed
 
 #: The least number of sentences and of words in a span; words in a sentence that isn't cut, and one in so many ends a part.
 SENTENCES, WORDS, LONGEST, CUT = 3, 24, 12, 6
+#: Words of a passage that is never missed.
+RUN = 51
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
@@ -67,6 +76,27 @@ class Spans:
         self.span, self.stop = np.flatnonzero(ok), stop[ok]
         a, b = first[self.span], word_end[self.stop - 1]
         self.h1, self.h2 = (self._hash(hashes, a, b, p) for p in (_A, _B))
+        self._runs(hashes, word_at, word_end, words)
+
+    def _runs(self, hashes: np.ndarray, word_at: np.ndarray, word_end: np.ndarray, words: int) -> None:
+        """Adds the least runs of words to the spans; a run stands for the sentences that lie wholly in it."""
+        wide = RUN - words + 1
+        n = len(hashes) - RUN + 1  # places where a passage can begin
+        if wide < 1 or n < 1:
+            return
+        a = np.arange(n + wide - 1)
+        h1 = ~self._hash(hashes, a, a + words, _A)  # never that of a span
+        least = _sliding(np.minimum, h1, wide)
+        close = np.repeat(word_at[1:], np.diff(word_at))
+        least[np.arange(n) + RUN > close[:n]] = 0  # not in one text
+        zeros = np.zeros(wide - 1, np.uint64)
+        a = np.flatnonzero((h1 == _sliding(np.maximum, np.concatenate([zeros, least, zeros]), wide)) & (h1 > 0))
+        span, stop = np.searchsorted(self.first, a), np.searchsorted(word_end, a + words, side="right")
+        some = span < stop
+        a = a[some]
+        self.span, self.stop = np.append(self.span, span[some]), np.append(self.stop, stop[some])
+        self.h1 = np.append(self.h1, h1[a])
+        self.h2 = np.append(self.h2, ~self._hash(hashes, a, a + words, _B))
 
     @staticmethod
     def _hash(words: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.uint64) -> np.ndarray:
@@ -81,6 +111,15 @@ class Spans:
         return mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
 
 
+def _sliding(least: np.ufunc, x: np.ndarray, wide: int) -> np.ndarray:
+    """The minimum or maximum of each wide neighbours."""
+    out, have = x, 1
+    while have < wide:
+        step = min(have, wide - have)
+        out, have = least(out[:-step], out[step:]), have + step
+    return out
+
+
 def deduped_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: int = SENTENCES, words: int = WORDS, longest: int = LONGEST) -> DataFrame:
     """Rows: doc_id, n_sentences (before), n_removed, text (what stays). Every document has a row."""
 
