@@ -4,12 +4,13 @@ Texts and benchmark items are compared as normalised bytes: A-Z and accented Lat
 in lower case, every run of other ASCII characters than letters and digits as one space. An
 item of m bytes leaks into a document if some region is within k = rate * m edits of all of it.
 
-Filter: such a region shares at least m + 1 - Q * (k + 1) q-grams with the item, all within
+Filter: such a region shares at least m + 1 - q * (k + 1) q-grams with the item, all within
 k + 1 neighbouring diagonals (place in the text minus place in the item). Shared q-grams are
 counted in bands of 2 * (k + 1) diagonals that overlap by half, so each such run of diagonals
 lies within one band; bands with fewer are out. Verification: alignment of the item with the
 band's region, the dynamic programme over the band's diagonals only, all candidates of a
-batch at once. k is lowered where the bound would be under two q-grams, so the filter is exact.
+batch at once. q is Q, or less for items whose bound would be under one q-gram (m // (k + 1) is
+always at least one), so the filter is exact with the whole k.
 
 The benchmark is handed to the tasks in blocks of about BLOCK bytes, one pass over the
 documents for each, so what is broadcast has a bound whatever the benchmark's size. Items of
@@ -28,8 +29,8 @@ from herdframe.llm.common import flat, slices, tidied
 
 #: Length of q-grams, edits for each byte of an item, shortest item, bytes of items in a block, bytes of text at once.
 Q, RATE, SHORTEST, BLOCK, SLICE = 8, 0.1, 24, 4 << 20, 1 << 20
-#: Rows of one alignment at a time.
-ALIGNED = 256
+#: Rows of one alignment at a time at least, and cells.
+ALIGNED, CELLS = 256, 1 << 16
 
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[48:58], _PLAIN[97:123], _PLAIN[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(128, 256)
@@ -54,11 +55,41 @@ def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low[keep], ends, place[keep]
 
 
-def _codes(data: np.ndarray) -> np.ndarray:
-    """The Q bytes from each place on, as one integer."""
-    if len(data) < Q:
+def _codes(data: np.ndarray, q: int) -> np.ndarray:
+    """The q bytes from each place on, as one integer."""
+    if len(data) < q:
         return np.zeros(0, np.uint64)
-    return np.ndarray((len(data) - Q + 1,), np.dtype("<u8"), np.ascontiguousarray(data).data, strides=(1,)).copy()
+    data = np.append(data, np.zeros(Q - q, np.uint8))
+    codes = np.ndarray((len(data) - Q + 1,), np.dtype("<u8"), np.ascontiguousarray(data).data, strides=(1,)).copy()
+    return codes & np.uint64((1 << 8 * q) - 1)
+
+
+class Grams:
+    """The q-grams of those items of a block that have the same q."""
+
+    def __init__(self, q: int, codes: np.ndarray, item: np.ndarray, place: np.ndarray):
+        self.q = q
+        order = np.argsort(codes, kind="stable")
+        self.codes, first = np.unique(codes[order], return_index=True)
+        self.first = np.append(first, len(codes))
+        self.item, self.place = item[order], place[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self._slot(self.codes)] = True
+
+    @staticmethod
+    def _slot(codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def shared(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and diagonals of all q-grams that they share with the data."""
+        codes = _codes(data, self.q)
+        at = np.flatnonzero(self.seen[self._slot(codes)])
+        slot = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
+        hit = self.codes[slot] == codes[at]
+        at, slot = at[hit], slot[hit]
+        many = self.first[slot + 1] - self.first[slot]
+        post = np.repeat(self.first[slot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return self.item[post], np.repeat(at, many) - self.place[post]
 
 
 class Index:
@@ -70,46 +101,30 @@ class Index:
         use = np.flatnonzero(long >= SHORTEST)
         self.ids = np.array(ids, np.int64)[use]
         self.m = long[use]
-        self.k = np.minimum((rate * self.m).astype(np.int64), (self.m - 1) // Q - 1)
-        self.need = self.m + 1 - Q * (self.k + 1)
+        self.k = (rate * self.m).astype(np.int64)
+        q = np.clip(self.m // (self.k + 1), 1, Q)
+        self.need = np.maximum(self.m + 1 - q * (self.k + 1), 1)
         self.items = np.zeros((len(use), int(self.m.max(initial=0))), np.uint8)
         codes, item, place = [], [], []
         for row, i in enumerate(use.tolist()):
             own = data[at[i] : at[i] + long[i]]
             self.items[row, : len(own)] = own
-            c = _codes(own)
+            c = _codes(own, int(q[row]))
             codes.append(c)
             item.append(np.full(len(c), row))
             place.append(np.arange(len(c)))
-        codes = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-        order = np.argsort(codes, kind="stable")
-        self.codes, first = np.unique(codes[order], return_index=True)
-        self.first = np.append(first, len(codes))
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if item else np.zeros(0, np.int64)
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self._slot(self.codes)] = True
-
-    @staticmethod
-    def _slot(codes: np.ndarray) -> np.ndarray:
-        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        self.grams = []
+        for each in np.unique(q).tolist():
+            rows = np.flatnonzero(q == each)
+            self.grams.append(Grams(each, *(np.concatenate([x[r] for r in rows]) for x in (codes, item, place))))
 
     def bands(self, data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and first diagonals of the bands that share enough q-grams with the data."""
-        codes = _codes(data)
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(codes) or not len(self.codes):
-            return none
-        at = np.flatnonzero(self.seen[self._slot(codes)])
-        slot = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
-        hit = self.codes[slot] == codes[at]
-        at, slot = at[hit], slot[hit]
-        many = self.first[slot + 1] - self.first[slot]
-        if not many.sum():
-            return none
-        post = np.repeat(self.first[slot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        item = self.item[post]
-        diagonal = np.repeat(at, many) - self.place[post] + self.items.shape[1]  # not negative
+        shared = [g.shared(data) for g in self.grams]
+        if not sum(len(i) for i, _ in shared):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        item = np.concatenate([i for i, _ in shared])
+        diagonal = np.concatenate([d for _, d in shared]) + self.items.shape[1]  # not negative
         wide = self.k[item] + 1
         band = diagonal // wide
         span = int(band.max()) + 2
@@ -147,8 +162,10 @@ class Index:
         item, start = self.bands(data, owner)
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         order = np.argsort(self.m[item], kind="stable")  # alignments of like lengths together
-        for k in range(0, len(order), ALIGNED):
-            rows = order[k : k + ALIGNED]
+        k = 0
+        while k < len(order):
+            rows = order[k : k + max(ALIGNED, CELLS // int(4 * (self.k[item[order[k]]] + 1)))]
+            k += len(rows)
             edits, end = self.align(data, item[rows], start[rows])
             for i, e, stop in zip(item[rows].tolist(), edits.tolist(), end.tolist(), strict=True):
                 if e <= self.k[i]:
@@ -167,7 +184,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     The region is exact at its end; its first byte is an item's length before. Documents with
     the same id each give their rows. An empty table on either side gives none.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= SHORTEST // 2)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = None
     for shared in _indexes(benchmark, item_id, item_text, rate):
 
@@ -206,7 +223,7 @@ def _leaky(shared: Broadcast) -> Callable[[Column], Column]:
 
 def _indexes(benchmark: DataFrame, item_id: str, item_text: str, rate: float) -> Iterator[Broadcast]:
     """The benchmark as broadcast indexes of about BLOCK bytes of items each."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.length("t") >= SHORTEST)
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.octet_length("t") >= SHORTEST)  # normalised bytes aren't more
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK))
     for b in range(blocks):

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from herdframe.llm import substring_dedup
+from herdframe.llm import decontaminate, substring_dedup
 
 
 def test_passages_of_51_words_always_share_a_span(spark):
@@ -28,3 +28,26 @@ def test_passages_of_51_words_always_share_a_span(spark):
     assert not missed
     found = substring_dedup.deduped_spans(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0")
     assert sorted(r.doc_id for r in found.collect()) == list(range(1, 1200, 2))
+
+
+def test_short_items_leak_with_the_whole_budget(spark):
+    chinese, russian = "水星绕太阳一周要多少天时间", "Где течёт Волга"
+    bench = spark.createDataFrame([(1, chinese), (2, russian), (3, "é" * 11), (4, chinese[:7])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, chinese), (2, "Вопрос: " + russian + "?"), (3, "é" * 11), (4, None), (5, "")], "doc_id long, text string")
+    found = decontaminate.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id, r.n_edits) for r in found} == {(1, 1, 0), (2, 2, 0)}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {3, 4, 5}
+    rng = random.Random(5)
+    for m in range(24, 100):
+        item = "".join(rng.choice("abcdefghijklm") for _ in range(m))
+        index = decontaminate.Index([7], [item], decontaminate.RATE)
+        k = m // 10
+        assert index.k[0] == k
+        for _ in range(4):
+            for n in (k, k + 1):
+                # changes spread out as evenly as can be leave the fewest common q-grams
+                text = list(item)
+                for j in range(n):
+                    text[round((j + 1) * (m + 1) / (n + 1)) - 1] = "z"
+                hits = index.leaks(pa.array(["zz zz", "zz " + "".join(text) + " zz"]))
+                assert [h[2] for h in hits] == ([n] if n <= k else []), (m, n)
