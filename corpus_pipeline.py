@@ -1,6 +1,7 @@
 """The corpus pipeline over documents: five stages, each over all that the one before kept.
 
-Language ID rejects documents without a language (null or no letter), line dedup drops lines
+Language ID rejects documents without a language (null or no letter) and those that aren't like
+the labelled texts of any learnt language (junk, keys, tables, other languages), line dedup drops lines
 that an earlier document holds (and documents that consist of such lines), near-dedup keeps the document with the smallest id of each
 group of likeness 0.8 or more, decontamination rejects documents that hold a benchmark item,
 and encoding gives the piece ids and the text that they decode to. All stages but the last
@@ -15,16 +16,15 @@ from herdframe.llm import decontaminate, language_id, line_dedup, near_dedup, pi
 from herdframe.llm.common import bounded, table, whole
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The least score of a language, and the likeness of near-duplicates in per cent with the width of bands that finds it.
-LEAST_SCORE, PERCENT, BAND = 0.25, 80, 5
+#: The likeness of near-duplicates in per cent with the width of bands that finds it.
+PERCENT, BAND = 80, 5
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: `und`, or a score below LEAST_SCORE."""
+    """Drops documents whose language can't be told: `und`, or a text unlike the language's labelled ones."""
     bounded(spark)
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    told = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return language_id.predict(docs, model).where(told).select(COLUMNS)
+    return language_id.predict(docs, model, like="known").where("known").select(COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,13 @@ are fitted on the driver. A language that isn't in the table of families is a fa
 score is the probability of the family times that of the language in it, by logistic curves
 fitted to the machines' margins. A null text and one without a letter is `und` with score 0,
 and so is every text if nothing was learnt.
+
+score only compares learnt languages, so junk and other languages have high ones too. Whether
+a text is like its language at all tells the mean log share of its n-grams in that language's
+labelled texts. It is known if that is at least what separates the labelled texts of the language
+from those of other languages (the middle of both means, or less if over OUTLIERS of its own
+lie below), less DEVIATIONS standard deviations of a text of its length, and if what isn't a
+letter has at most twice the share that the language's texts have in the mean, with the same slack.
 """
 
 import uuid
@@ -27,6 +34,8 @@ from herdframe.llm.common import flat, mix, slices, tidied
 PER_LANGUAGE, FEATURES, ROWS = 500, 4096, 512
 #: Bytes of text in one pass over arrays.
 PASS = 4 << 20
+#: The share of labelled texts that may be unlike their language; deviations of slack.
+OUTLIERS, DEVIATIONS = 0.005, 2.0
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 #: Families of languages, by ISO 639-1 code.
@@ -46,6 +55,8 @@ _LETTER = np.full(256, 32, np.uint8)
 _LETTER[65:91] = np.arange(97, 123)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
+#: The feature of a single byte that isn't a letter.
+_BLANK = ((32 * 2654435761 + 40503) % (1 << 32)) >> 20
 
 
 def frequencies(texts: pa.Array) -> np.ndarray:
@@ -154,21 +165,66 @@ class OneVersusOne:
         return best, total[np.arange(n), best] / (m - 1)
 
 
+@dataclass
+class Likeness:
+    """Log shares of n-grams in a language, the least mean of them that its texts have, the deviation of one n-gram, and the largest share of blanks."""
+
+    logs: np.ndarray
+    least: float
+    deviation: float
+    most: float
+
+    @staticmethod
+    def blanks(x: np.ndarray) -> np.ndarray:
+        """The share of bytes that aren't letters: a blank is a third of its n-grams."""
+        return np.minimum(len(ORDERS) * x[:, _BLANK].astype(np.float64) ** 2, 1)
+
+    @staticmethod
+    def fit(x: np.ndarray, own: np.ndarray) -> "Likeness":
+        shares = (x[own].astype(np.float64) ** 2).mean(0)
+        logs = np.log(0.99 * shares / max(shares.sum(), 1e-12) + 0.01 / FEATURES)
+        means = (x.astype(np.float64) ** 2) @ logs
+        inside = np.sort(means[own])
+        least = inside[int(OUTLIERS * len(inside))]
+        if (~own).any():
+            least = min(least, (inside.mean() + means[~own].mean()) / 2)
+        blank = np.sort(Likeness.blanks(x[own]))
+        most = max(2 * blank.mean(), blank[-1 - int(OUTLIERS * len(blank))])
+        return Likeness(logs.astype(np.float32), float(least), float(np.sqrt(max(0, shares @ logs**2 - (shares @ logs) ** 2))), float(most))
+
+    def known(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        slack = DEVIATIONS / np.sqrt(np.maximum(sizes, 1))
+        return ((x**2) @ self.logs >= self.least - 1e-3 - self.deviation * slack) & (self.blanks(x) <= self.most + 1e-3 + 0.5 * slack)
+
+
 @dataclass
 class Model:
     families: OneVersusOne
     languages: dict[str, OneVersusOne]
+    like: dict[str, Likeness]
 
     @staticmethod
     def fit(x: np.ndarray, labels: np.ndarray) -> "Model":
         family = np.array([_FAMILY.get(code, code) for code in labels.tolist()], dtype=object)
         within = {f: OneVersusOne.fit(x[family == f], labels[family == f]) for f in sorted(set(family.tolist()))}
-        return Model(OneVersusOne.fit(x, family), within)
+        return Model(OneVersusOne.fit(x, family), within, {code: Likeness.fit(x, labels == code) for code in sorted(set(labels.tolist()))})
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        return self._predict(frequencies(texts))
+
+    def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and whether the texts are like their languages."""
         x = frequencies(texts)
+        names, score = self._predict(x)
+        found, known, sizes = np.array(names, object), np.zeros(len(names), bool), np.diff(flat(texts)[1])
+        for code, like in self.like.items():
+            if len(own := np.flatnonzero(found == code)):
+                known[own] = like.known(x[own], sizes[own])
+        return names, score, known
+
+    def _predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         family, score = self.families.predict(x)
-        names = np.full(len(texts), UNKNOWN, object)
+        names = np.full(len(x), UNKNOWN, object)
         for k, f in enumerate(self.families.classes):
             if len(own := np.flatnonzero(family == k)):
                 lang, p = self.languages[f].predict(x[own])
@@ -207,27 +263,31 @@ def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; columns of these names are replaced. The prediction sees the text only."""
+def predict(docs: DataFrame, model: Model | None, text: str = "text", like: str | None = None) -> DataFrame:
+    """docs with lang_pred and score, and on demand a column that tells if the text is like its language; columns of these names are replaced. The prediction sees the text only."""
     if model is None:
-        return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        docs = docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return docs.withColumn(like, F.lit(False)) if like else docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang string, p double")
+    @F.arrow_udf("lang string, p double, known boolean")
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in tidied(batches):
-            names, scores = [], []
+            names, scores, likes = [], [], []
             for _, part in slices(batch):
                 for k in range(0, len(part), ROWS):
-                    found, p = shared.value.predict(part.slice(k, ROWS))
+                    found, p, known = shared.value.judge(part.slice(k, ROWS))
                     names += found
                     scores.append(p)
+                    likes.append(known)
             score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], ["lang", "p"])
+            likes = np.concatenate(likes) if likes else np.zeros(0, bool)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(likes)], ["lang", "p", "known"])
 
     known = has_letter(text)
     name = f"guess_{uuid.uuid4().hex}"
     told = F.col(name)
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", like)]
     out = docs.withColumn(name, F.when(known, guess(F.coalesce(F.col(text), F.lit("")))))
-    return out.select(*others, F.coalesce(told["lang"], F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(told["p"], F.lit(0.0)).alias("score"))
+    extra = [F.coalesce(told["known"], F.lit(False)).alias(like)] if like else []
+    return out.select(*others, F.coalesce(told["lang"], F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(told["p"], F.lit(0.0)).alias("score"), *extra)

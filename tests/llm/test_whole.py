@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from herdframe.llm import decontaminate, substring_dedup
+from tests.llm import corpus
 
 
 def test_passages_of_51_words_always_share_a_span(spark):
@@ -51,3 +53,21 @@ def test_short_items_leak_with_the_whole_budget(spark):
                     text[round((j + 1) * (m + 1) / (n + 1)) - 1] = "z"
                 hits = index.leaks(pa.array(["zz zz", "zz " + "".join(text) + " zz"]))
                 assert [h[2] for h in hits] == ([n] if n <= k else []), (m, n)
+
+
+def test_language_stage_rejects_junk_and_unlearnt_languages(spark):
+    rng = random.Random(2)
+
+    def drawn(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    rows = [(k, " ".join(corpus.sentence(rng, lang, 9) for _ in range(6)), lang) for k, lang in enumerate(["en", "de", "fr", "es"] * 250)]
+    clean = [(k, corpus.sentence(rng, "en", 3), None) for k in range(2000, 2020)]
+    junk = [drawn("0123456789abcdef", 400), drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 400), " ".join(drawn("bcdfghjklmnpqvwxz", 6) for _ in range(60)), "x=1;y=22;z=333;\t" * 30]
+    junk += ["Вулканы на Камчатке известны своими извержениями, и учёные следят за ними круглый год.", "Suomen kieli kuuluu uralilaisten kielten joukkoon ja sitä puhutaan pääasiassa Suomessa ja myös Ruotsissa."]
+    docs = spark.createDataFrame([*rows, *clean, *[(3000 + k, t, None) for k, t in enumerate(junk)]], "doc_id long, text string, lang string")
+    docs = docs.selectExpr("doc_id", "text", "lang", "'s' as source", "cast(length(text) as long) as n_chars")
+    kept = {r.doc_id for r in corpus_pipeline.identify(spark, docs, "").collect()}
+    assert not kept & set(range(3000, 3100))
+    assert kept >= {r[0] for r in clean}
+    assert len(kept & set(range(1000))) >= 990
