@@ -23,6 +23,12 @@ class Kinematics(Protocol):
         ...
 
 
+def _bordered(rows: DataFrame, segment: int, reach: int) -> DataFrame:
+    """Each row in all segments whose frames it is within reach of; `own` in that of its frame."""
+    at = lambda shift: F.floor((F.col("frame") + shift) / segment)
+    return rows.withColumn("segment", F.explode(F.sequence(at(-reach), at(reach)))).withColumn("own", F.col("segment") == at(0))
+
+
 class RandomWalk:
     """Keypoints stay near their mean over the `reach` frames around: a Gaussian random walk, one 2-D track a camera.
 
@@ -38,9 +44,10 @@ class RandomWalk:
         return self.step(located)
 
     def step(self, located: DataFrame) -> "RandomWalk":
-        by = W.partitionBy("recording", "camera", "keypoint", "animal", F.expr(f"frame div {self.segment}")).orderBy("frame").rangeBetween(-self.reach, self.reach)
+        by = W.partitionBy("recording", "camera", "keypoint", "animal", "segment").orderBy("frame").rangeBetween(-self.reach, self.reach)
         new = RandomWalk(self.reach, self.inlier, self.outlier, self.segment)
-        new.track = located.select("recording", "camera", "frame", "keypoint", "animal", F.avg("x").over(by).alias("tx"), F.avg("y").over(by).alias("ty"))
+        rows = _bordered(located, self.segment, self.reach)
+        new.track = rows.select("recording", "camera", "frame", "keypoint", "animal", "own", F.avg("x").over(by).alias("tx"), F.avg("y").over(by).alias("ty")).where("own").drop("own")
         return new
 
     def log_likelihood(self, detections: DataFrame) -> DataFrame:
@@ -62,10 +69,10 @@ class SpaceWalk:
         return self.step(located)
 
     def step(self, located: DataFrame) -> "SpaceWalk":
-        by = W.partitionBy("recording", "keypoint", "animal", F.expr(f"frame div {self.segment}")).orderBy("frame").rangeBetween(-self.reach, self.reach)
+        by = W.partitionBy("recording", "keypoint", "animal", "segment").orderBy("frame").rangeBetween(-self.reach, self.reach)
         new = SpaceWalk(self.projections, self.reach, self.inlier, self.outlier, self.segment)
-        points = geometry.triangulated(located, self.projections)
-        new.points = points.select("recording", "frame", "keypoint", "animal", *[F.avg(c).over(by).alias(c) for c in "xyz"])
+        points = _bordered(geometry.triangulated(located, self.projections), self.segment, self.reach)
+        new.points = points.select("recording", "frame", "keypoint", "animal", "own", *[F.avg(c).over(by).alias(c) for c in "xyz"]).where("own").drop("own")
         return new
 
     def log_likelihood(self, detections: DataFrame) -> DataFrame:
