@@ -9,7 +9,8 @@ k + 1 neighbouring diagonals (place in the text minus place in the item). Shared
 counted in bands of 2 * (k + 1) diagonals that overlap by half, so each such run of diagonals
 lies within one band; bands with fewer are out. Verification: alignment of the item with the
 band's region, the dynamic programme over the band's diagonals only, all candidates of a
-batch at once. q is Q, or less for items whose bound would be under one q-gram (m // (k + 1) is
+batch at once; the byte that closes a text can't be taken, so no region reaches from one text
+into the next. q is Q, or less for items whose bound would be under one q-gram (m // (k + 1) is
 always at least one), so the filter is exact with the whole k.
 
 The benchmark is handed to the tasks in blocks of about BLOCK bytes, one pass over the
@@ -135,24 +136,48 @@ class Index:
         return item[ok], band[ok] * (self.k[item[ok]] + 1) - self.items.shape[1]
 
     def align(self, data: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The fewest edits of each item within its band of diagonals, and where that region ends (exclusive)."""
+        """The fewest edits of each item within its band of diagonals, and where that region ends (exclusive).
+
+        No region takes the byte that closes a text, so each lies in one text.
+        """
         m = self.m[item]
         width = int(4 * (self.k[item].max() + 1))
         left = start - (self.k[item] + 1)
+        closes = np.append(0, np.cumsum(data == 0))
+        low, high = np.clip(left, 0, len(data)), np.clip(left + m + width, 0, len(data))
+        best, end = np.full(len(item), 1 << 20, np.int64), np.zeros(len(item), np.int64)
+        inside = (left >= 0) & (left + m + width <= len(data)) & (closes[low] == closes[high])
+        for rows, barred in ((np.flatnonzero(inside), False), (np.flatnonzero(~inside), True)):
+            if len(rows):
+                best[rows], end[rows] = self._banded(data, item[rows], left[rows], width, barred)
+        return best, end
+
+    def _banded(self, data: np.ndarray, item: np.ndarray, left: np.ndarray, width: int, barred: bool) -> tuple[np.ndarray, np.ndarray]:
+        m, steps = self.m[item], np.arange(width)
+        bar = int(self.k[item].max()) + 2  # more edits than any item may have
+        kind = np.int32 if width * bar < 1 << 30 else np.int64
         padded = np.concatenate([np.zeros(1, np.uint8), data])
-        steps = np.arange(width)
-        cells = np.zeros((len(item), width), np.int32)
-        best, end = np.full(len(item), 1 << 20, np.int32), np.zeros(len(item), np.int64)
+        cells = np.zeros((len(item), width), kind)
+        best, end = np.full(len(item), 1 << 20, np.int64), np.zeros(len(item), np.int64)
+        along = steps.astype(kind)
         for i in range(int(m.max())):
             place = left[:, None] + i + steps
-            text = padded[np.where((place >= 0) & (place < len(data)), place + 1, 0)]
+            text = padded[np.where((place >= 0) & (place < len(data)), place + 1, 0)] if barred else data[place]
             new = cells + (text != self.items[item, i][:, None])
+            if barred:
+                shut = text == 0
+                new[shut] = bar
+                along = np.cumsum(np.where(shut, bar, 1), axis=1, dtype=kind)
             new[:, :-1] = np.minimum(new[:, :-1], cells[:, 1:] + 1)
             # bytes of the text that the item lacks: a running minimum along the diagonals
-            cells = (np.minimum.accumulate(new - steps, axis=1) + steps).astype(np.int32)
+            cells = (np.minimum.accumulate(new - along, axis=1) + along).astype(kind)
+            if barred:
+                cells = np.minimum(cells, bar)
             if len(done := np.flatnonzero(m == i + 1)):
                 d = np.argmin(cells[done], axis=1)
                 best[done], end[done] = cells[done, d], left[done] + i + 1 + d
+                if not barred and (i + 1 < m.max()):  # what is done may run past the data
+                    left[done] = 0
         return best, end
 
     def leaks(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
