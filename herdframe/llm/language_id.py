@@ -2,7 +2,7 @@
 
 Features are the shares of hashed letter n-grams of a text (one to three bytes of UTF-8, A-Z
 and the accented Latin-1 capitals lower-cased, what isn't a letter as a space). Training
-takes PER_LANGUAGE labelled texts of each language at most, picked by a hash of their id;
+takes PER_LANGUAGE distinct labelled texts of each language at most, picked by a hash of the text;
 their features are made by Spark tasks and the support vector machines, small linear models,
 are fitted on the driver. A language that isn't in the table of families is a family itself.
 
@@ -26,9 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import flat, mix, slices, tidied
+from herdframe.llm.common import constant, flat, slices, tidied
 
 #: Labelled texts of a language that training takes at most, hashed features, texts in one matrix.
 PER_LANGUAGE, FEATURES, ROWS = 500, 4096, 512
@@ -233,30 +234,38 @@ class Model:
         return names.tolist(), np.clip(score, 0, 1)
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from rows with a language; None if there are none. per_language bounds what reaches the driver."""
-    rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & has_letter("t"))
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
+    """A model from rows with a language; None if there are none.
+
+    Of each language the per_language distinct texts with the smallest hashes are taken, or all if it
+    has fewer, so copies and ids don't matter. A share of the hashes that holds about twice as many,
+    from an approximate count of distinct texts, is all that is shuffled; one row a language
+    and the features of per_language texts of each reach the driver.
+    """
+    h = F.xxhash64("t")
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & has_letter("t"))
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.approx_count_distinct(h).alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[x for code, n in counts.items() for x in (F.lit(code), F.lit(min(1.0, 1.2 * per_language / n)))])
-    place = F.pmod(F.xxhash64("k"), F.lit(1 << 20)) / float(1 << 20)
-    picked = rows.where((place < share[F.col("l")]) | (share[F.col("l")] >= 1))
+    names = F.array(*[F.lit(code) for code in counts])
+    shares = constant([min(1 << 30, int((1 << 30) * 2.0 * per_language / max(1, n))) for n in counts.values()])
+    share = F.get(shares, (F.array_position(names, F.col("l")) - 1).cast("int"))
+    picked = rows.where(F.pmod(h, F.lit(1 << 30)) < share).withColumn("h", h)
+    picked = picked.groupBy("l", "h").agg(F.min("t").alias("t"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):
-            for at, part in slices(batch.column(1)):
+            for at, part in slices(batch.column(2)):
                 for k in range(0, len(part), ROWS):
                     x = frequencies(part.slice(k, ROWS)).astype(np.float16)
-                    yield pa.RecordBatch.from_arrays([batch.column(2).slice(at + k, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["l", "x"])
+                    keys = [batch.column(c).slice(at + k, len(x)) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([r.tobytes() for r in x], pa.binary())], names=["l", "h", "x"])
 
-    found = picked.mapInArrow(features, "l string, x binary").limit(2 * per_language * len(counts)).collect()
-    labels = np.array([r.l for r in found], object)
+    made = picked.mapInArrow(features, "l string, h long, x binary")
+    rank = F.row_number().over(W.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    found = made.withColumn("rank", rank).where(F.col("rank") <= per_language).orderBy("l", "rank").collect()
     x = np.stack([np.frombuffer(bytes(r.x), np.float16) for r in found]).astype(np.float32)
-    # the bound holds for each language, in the order of hashed features
-    order = np.argsort(mix(x.view(np.uint32).astype(np.uint64).sum(1)), kind="stable")
-    keep = np.concatenate([order[labels[order] == code][:per_language] for code in sorted(set(labels.tolist()))])
-    return Model.fit(x[keep], labels[keep])
+    return Model.fit(x, np.array([r.l for r in found], object))
 
 
 def has_letter(text: str) -> Column:
