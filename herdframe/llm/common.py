@@ -6,7 +6,7 @@ batch is a pass over flat arrays; nothing here loops over characters.
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from herdframe.sources.shared import scratch, written  # noqa: F401  the operato
 
 #: Bytes of text that a kernel handles at once; a longer text is a batch of its own.
 SLICE_BYTES = 2 << 20
+#: Ids that are sampled for each range of them.
+SAMPLED = 64
 #: The separators of words: space and \t \n \v \f \r.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -48,16 +50,31 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_of(rows: DataFrame, n: int, col: str = "doc_id") -> Column:
-    """Column with the number of one of n ranges of ids that hold about as many rows each; null counts as the least id.
+def constant(values: Iterable[int], kind: str = "array<bigint>") -> Column:
+    """An array of numbers as one constant of the plan, whose places are read without a search."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(kind)
 
-    Only ids are read for the bounds, and n of them reach the driver.
+
+def bounds_of(rows: DataFrame, n: int, col: str = "doc_id") -> list[int]:
+    """At most n - 1 ids that cut the rows into ranges of about as many each, from a sample by hash of SAMPLED ids a range.
+
+    They only say where rows go. Of the table only ids are read, and the driver gets as much for a
+    range as Spark's own partitioning by range takes.
     """
-    quantiles = F.percentile_approx(col, F.array(*[F.lit(i / n) for i in range(1, n)]), 100 * n) if n > 1 else F.array().cast("array<long>")
-    bounds = sorted(set(rows.agg(quantiles.alias("q")).first().q or []))
+    ids = rows.where(F.col(col).isNotNull()).select(F.col(col).cast("long").alias("id"))
+    share = min(1.0, SAMPLED * n / max(1, ids.count()))
+    found = ids.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else ids
+    some = np.sort(np.array([r.id for r in found.collect()], np.int64))
+    return np.unique(some[np.arange(1, n) * len(some) // n]).tolist() if len(some) else []
+
+
+def range_of(bounds: list[int], col: str = "doc_id") -> Column:
+    """The number of bounds below the id, by bisection over a constant; null counts as the least id."""
     if not bounds:
         return F.lit(0)
-    return F.expr(f"array_size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b < coalesce({col}, {-(2**63) + 1}L)))")
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    held, key = constant(bounds), F.coalesce(F.col(col).cast("long"), F.lit(-(2**63) + 1))
+    return F.aggregate(constant(steps, "array<int>"), F.lit(0), lambda low, step: F.when(F.get(held, low + step - 1) < key, low + step).otherwise(low))
 
 
 def tidied(batches: Iterator) -> Iterator:
@@ -81,8 +98,12 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _FOLDED = np.arange(256)
 _FOLDED[65:91] += 32
-#: A random word for each byte, the same for A-Z and a-z; 0 for separators.
-_FOLD_BYTE = np.where(_IS_SPACE, np.uint64(0), _BYTE[_FOLDED])
+#: Places of a word whose bytes have random numbers of their own.
+PLACES = 64
+#: A random number for each byte at each place, the same for A-Z and a-z; 0 for separators.
+_FOLD_BYTE = mix(_BYTE[_FOLDED][None, :] ^ mix(np.arange(PLACES, dtype=np.uint64) * _ODD)[:, None])
+_FOLD_BYTE[:, _IS_SPACE] = 0
+_FOLD_BYTE = np.ascontiguousarray(_FOLD_BYTE.reshape(-1))
 
 
 def flat(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +145,11 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and len + 1 offsets of each text's words."""
+    """Hashes of the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and len + 1 offsets of each text's words.
+
+    A hash mixes the sum of random numbers, one for each byte at its place; beyond PLACES the
+    number of the place goes through the mixer too, so no two places have related numbers.
+    """
     inside = ~_IS_SPACE[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -136,10 +161,11 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint64), words
     ends = np.append(starts[1:], len(raw))
     inner = np.arange(starts[0], len(raw)) - np.repeat(starts, ends - starts)
-    powers = np.full(int(inner.max()) + 1, _ODD)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    terms = _FOLD_BYTE[raw[starts[0] :]] * powers[inner]
+    own = raw[starts[0] :]
+    terms = _FOLD_BYTE[((inner & (PLACES - 1)) << 8) | own]
+    far = np.flatnonzero((inner >= PLACES) & inside[starts[0] :])
+    if len(far):
+        terms[far] = mix(terms[far] ^ mix(inner[far].astype(np.uint64)))
     return mix(np.add.reduceat(terms, starts - starts[0])), words
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import flat, partitions, range_of, shingle_hashes, slices, tidied, whole, word_hashes
+from herdframe.llm.common import bounds_of, constant, flat, partitions, range_of, shingle_hashes, slices, tidied, whole, word_hashes
 
 #: Hashes in a sketch: the standard error of a resemblance J is sqrt(J * (1 - J) / K).
 K = 128
@@ -110,22 +110,23 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     The next document is the next in (doc_id, text) order, and the first one after the last;
     a single document is its own next. Null ids come first, null texts are empty.
 
-    Documents are dealt out by ranges of ids, whose bounds come from the ids alone. Each range
-    also gets the first document of the following range, so every pair of neighbours meets in a
+    Documents are dealt out by ranges of ids, whose bounds come from a sample of the ids. Each range
+    is a task and also gets the first document of the following range, so every pair of neighbours meets in a
     task that reads its range once, in order, and holds two documents at a time.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
     n = max(1, partitions(docs))
     ids = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
-    place = range_of(rows, n)
+    place = range_of(bounds_of(rows, n))
     firsts = {r.range: r.id for r in rows.select(place.alias("range"), ids.alias("id")).groupBy("range").agg(F.min("id").alias("id")).collect()}
     order = sorted(firsts)
-    before = {firsts[b]: a for a, b in zip([order[-1], *order[:-1]], order, strict=True)} if order else {}
-    ahead = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[ids] if before else F.lit(None)
-    own = F.struct(place.cast("int").alias("range"), F.lit(0).alias("ahead"))
-    spare = F.struct(ahead.cast("int").alias("range"), F.lit(1).alias("ahead"))
-    dealt = rows.withColumn("to", F.explode(F.filter(F.array(own, spare), lambda x: x["range"].isNotNull())))
-    dealt = dealt.select("to.range", "to.ahead", "doc_id", "text").repartition(n, "range").sortWithinPartitions("range", "ahead", "doc_id", "text")
+    before = dict(zip(order, [*order[-1:], *order[:-1]], strict=True))
+    first, back = ([x.get(r, -1) for r in range(n)] for x in (firsts, before))
+    ahead = (F.get(constant(first), F.col("range")) == ids) & (F.get(constant(back), F.col("range")) >= 0)
+    own = F.struct("range", F.lit(0).alias("ahead"))
+    spare = F.struct(F.get(constant(back, "array<int>"), F.col("range")).alias("range"), F.lit(1).alias("ahead"))
+    dealt = rows.withColumn("range", place).withColumn("to", F.explode(F.when(ahead, F.array(own, spare)).otherwise(F.array(own))))
+    dealt = dealt.select("to.range", "to.ahead", "doc_id", "text").repartitionById(n, "range").sortWithinPartitions("range", "ahead", "doc_id", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("next_fingerprint", pa.string())])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

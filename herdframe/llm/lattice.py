@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import _IS_SPACE, distinct, flat, partitions, range_of, slices, tidied, whole, word_hashes, written
+from herdframe.llm.common import _IS_SPACE, bounds_of, distinct, flat, partitions, range_of, slices, tidied, whole, word_hashes, written
 from herdframe.llm.pieces import MARK, Pieces, _Table
 
 #: Added to each piece's count; distinct words that pass 1 sums up in a task, and words whose scores a worker remembers.
@@ -292,7 +292,7 @@ def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "do
     """
     n = partitions(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    block = range_of(rows, n).cast("int")
+    block = range_of(bounds_of(rows, n)).cast("int")
     with open(model_file, "rb") as f:
         vocabulary = f.read()
     sums = written(counted(rows, model_file, n, block), "words")
@@ -301,7 +301,7 @@ def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "do
     shared, file = sc.broadcast(model), sc.broadcast(vocabulary)
     ahead = sums.where(F.col("kind") == WORD).select(F.explode("blocks").alias("block"), F.lit(0).alias("kind"), "key", "n", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     dealt = rows.select(block.alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n"), "doc_id", "text")
-    both = dealt.unionByName(ahead).repartition(n, "block").sortWithinPartitions("block", "kind")
+    both = dealt.unionByName(ahead).repartitionById(n, "block").sortWithinPartitions("block", "kind")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value

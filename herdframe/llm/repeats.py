@@ -3,7 +3,7 @@
 Pass 1 reads the documents where they lie. Each task makes its hashes distinct by (hash,
 block of documents) and Spark sums them up by hash, with partial sums: the smallest and the
 largest id that hold it, how many documents do, and in which blocks. Hashes of one document
-end there. Pass 2 deals documents out by block and, in front of each block's documents, the
+end there. Pass 2 deals documents out by block, one a task, and, in front of each block's documents, the
 repeated hashes that occur in it. The task builds a minimal perfect hash over them with
 arrays of fingerprints, counts and first holders, and the block's documents probe the arrays
 as they stream by. A hash held by a third of all documents is one row a task in pass 1 and
@@ -112,7 +112,7 @@ def probed(docs: DataFrame, hashes: Hashes, work: Callable[[pa.Array, np.ndarray
     firsts = repeated(rows, hashes, n)
     dealt = rows.select(_block(F.col("doc_id"), n).alias("block"), F.lit(1).alias("kind"), "doc_id", "no_id", "text", "kept", *[F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "n_docs")])
     ahead = firsts.select("block", F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.lit(False).alias("no_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(rows.schema["kept"].dataType).alias("kept"), "h1", "h2", "n_docs")
-    both = dealt.unionByName(ahead).repartition(n, "block").sortWithinPartitions("block", "kind")
+    both = dealt.unionByName(ahead).repartitionById(n, "block").sortWithinPartitions("block", "kind")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
