@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdframe.llm import decontaminate, language_id, line_dedup, near_dedup, pieces
-from herdframe.llm.common import bounded, table, whole
+from herdframe.llm.common import bounded, table, whole, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The likeness of near-duplicates in per cent with the width of bands that finds it.
@@ -23,7 +23,7 @@ PERCENT, BAND = 80, 5
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: `und`, or a text unlike the language's labelled ones."""
     bounded(spark)
-    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    model = language_id.fit(docs.select("text", "lang"))
     return language_id.predict(docs, model, like="known").where("known").select(COLUMNS)
 
 
@@ -63,8 +63,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that all stages keep of documents."""
+    """The rows that all stages keep of documents. Each stage but the last is written once, in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
