@@ -2,13 +2,18 @@
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; one is set only where it is unset, as in tests."""
+    """A new path in the shared folder; a local session gets one where none is set, a cluster must name it."""
     if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -18,4 +23,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of written tables that nothing reads any more."""
+    for t in tables:
+        if path := _paths.pop(t, None):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
