@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdframe.sources.shared import scratch, written  # noqa: F401  the operators take them from here
+from herdframe.sources.shared import removed, scratch, written  # noqa: F401  the operators take them from here
 
 #: Bytes of text that a kernel handles at once; a longer text is a batch of its own.
 SLICE_BYTES = 2 << 20
@@ -98,12 +98,18 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _FOLDED = np.arange(256)
 _FOLDED[65:91] += 32
-#: Places of a word whose bytes have random numbers of their own.
+#: Places of a run of bytes that have random numbers of their own.
 PLACES = 64
-#: A random number for each byte at each place, the same for A-Z and a-z; 0 for separators.
-_FOLD_BYTE = mix(_BYTE[_FOLDED][None, :] ^ mix(np.arange(PLACES, dtype=np.uint64) * _ODD)[:, None])
-_FOLD_BYTE[:, _IS_SPACE] = 0
-_FOLD_BYTE = np.ascontiguousarray(_FOLD_BYTE.reshape(-1))
+
+
+def _numbers(byte: np.ndarray) -> np.ndarray:
+    """A random number for each byte at each of PLACES places, in a row."""
+    return mix(byte[None, :] ^ mix(np.arange(PLACES, dtype=np.uint64) * _ODD)[:, None])
+
+
+_PLAIN_BYTE = _numbers(_BYTE).reshape(-1)
+#: The same for A-Z and a-z; 0 for separators.
+_FOLD_BYTE = np.where(_IS_SPACE, np.uint64(0), _numbers(_BYTE[_FOLDED])).reshape(-1)
 
 
 def flat(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,29 +150,31 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[new], order[new], which
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and len + 1 offsets of each text's words.
+def run_hashes(raw: np.ndarray, starts: np.ndarray, numbers: np.ndarray = _PLAIN_BYTE) -> np.ndarray:
+    """A hash of each run of bytes; runs begin at the starts, the last one ends with the bytes.
 
     A hash mixes the sum of random numbers, one for each byte at its place; beyond PLACES the
     number of the place goes through the mixer too, so no two places have related numbers.
     """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    inner = np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    terms = numbers[((inner & (PLACES - 1)) << 8) | raw[starts[0] :]]
+    far = np.flatnonzero((inner >= PLACES) & (terms != 0))
+    if len(far):
+        terms[far] = mix(terms[far] ^ mix(inner[far].astype(np.uint64)))
+    return mix(np.add.reduceat(terms, starts - starts[0]))
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and len + 1 offsets of each text's words."""
     inside = ~_IS_SPACE[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = at[:-1][at[:-1] < at[1:]]
     begins[first] = inside[first]
     starts = np.flatnonzero(begins)
-    words = np.searchsorted(starts, at)
-    if not len(starts):
-        return np.zeros(0, np.uint64), words
-    ends = np.append(starts[1:], len(raw))
-    inner = np.arange(starts[0], len(raw)) - np.repeat(starts, ends - starts)
-    own = raw[starts[0] :]
-    terms = _FOLD_BYTE[((inner & (PLACES - 1)) << 8) | own]
-    far = np.flatnonzero((inner >= PLACES) & inside[starts[0] :])
-    if len(far):
-        terms[far] = mix(terms[far] ^ mix(inner[far].astype(np.uint64)))
-    return mix(np.add.reduceat(terms, starts - starts[0])), words
+    return run_hashes(raw, starts, _FOLD_BYTE), np.searchsorted(starts, at)
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, width: int = 5) -> list[np.ndarray]:

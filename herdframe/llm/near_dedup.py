@@ -9,13 +9,17 @@ each keeps, of the smallest hash that falls into it, the number of leading zeros
 more bits, one byte in all. Empty buckets borrow from others in an order that depends on the
 bucket only. Classes that agree in all buckets of a band meet. With bands of 6 buckets a pair of likeness
 0.85 misses all 26 bands with a probability of 5e-6, with bands of 5 one of 0.8 all 31 with 5e-6.
+Sets of up to SMALL shingles fill few buckets, which borrow alike, so they have a second sketch
+from other hashes, and meet in its bands too.
 
 Pairs from bands of up to CROWD classes pass if sizes allow a link and the likeness estimated
 from the sketches, corrected for buckets that agree by chance, isn't over SIGMAS deviations
-short; then full sets confirm them. Classes that meet in larger crowds are compared on full
-sets at once: the crowds that share members are dealt out as tiles of bounded size, each pair
-of parts once, and a tile gives back no more links than it has members. So no pair of a band
-is left out, and none is a row before it has passed.
+short; then full sets confirm them. A larger crowd first meets as a star: its members against one
+of them, each member once a round, with the leader that its sketch is most like. Links of STARS
+rounds unite most of a group of near copies at the cost of a text a member. What is left is
+compared in full, crowd by crowd: members in parts of bounded size, every two parts as one
+tile but those of one component, and a tile gives back no more links than it has members. So no
+pair of a band is left out unless it is connected already, and none is a row before it has passed.
 """
 
 from collections.abc import Iterator
@@ -25,26 +29,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import flat, mix, partitions, shingle_hashes, slices, tidied, whole, word_hashes, written
+from herdframe.llm.common import flat, mix, partitions, removed, shingle_hashes, slices, tidied, whole, word_hashes, written
 from herdframe.llm.components import components
 
 WIDTH, PERCENT = 5, 85
 BUCKETS, ROWS = 156, 6
+#: Sets of up to so many shingles (and those that they may be linked with) have a second sketch.
+SMALL = 64
 #: Classes of a band whose pairs become rows, deviations of the estimate, classes and shingles in a part of a tile.
 CROWD, SIGMAS, PART, PART_SHINGLES = 24, 4.5, 512, 250_000
+#: Rounds of stars, and texts that one task compares with a leader.
+STARS, POINTS = 3, 256
 #: The chance that two unlike buckets agree: as many leading zeros, and the same four bits.
 CHANCE = 1 / 3 / 16
 _ORDERS = np.argsort(mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)).reshape(BUCKETS, BUCKETS), axis=1)
-_A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_A, _B, _C = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
+def registers(sets: list[np.ndarray], salt: np.uint64 = _A) -> np.ndarray:
     """A row of BUCKETS bytes for each set."""
     n = np.array(list(map(len, sets)), np.int64)
     out = np.zeros((len(sets), BUCKETS), np.uint8)
     if not n.sum():
         return out
-    h = mix(np.concatenate(sets) ^ _A)
+    h = mix(np.concatenate(sets) ^ salt)
     bucket = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(BUCKETS)) >> np.uint64(32)
     cell = np.repeat(np.arange(len(sets), dtype=np.uint64) * np.uint64(BUCKETS), n) + bucket
     least = np.sort((cell << np.uint64(32)) | (h >> np.uint64(32)))
@@ -67,12 +75,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(((a == b).mean(1) - CHANCE) / (1 - CHANCE), 0, 1)
 
 
-def _sets(texts: pa.Array) -> list[np.ndarray]:
-    return [s for _, part in slices(texts) for s in shingle_hashes(*word_hashes(*flat(part)), WIDTH)]
-
-
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, n, c1, c2, registers): the set's size, its hash of 128 bits, its sketch."""
+def sketched(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, text) to (doc_id, n, c1, c2, registers, more): the set's size, its hash of 128 bits, its sketch, and the second one of small sets."""
+    small = SMALL * 100 // percent
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):
@@ -80,53 +85,70 @@ def sketched(docs: DataFrame) -> DataFrame:
                 sets = shingle_hashes(*word_hashes(*flat(part)), WIDTH)
                 c1 = np.array([mix(s ^ _A).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 c2 = np.array([mix(s ^ _B).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                n = pa.array(list(map(len, sets)), pa.int64())
-                rows = registers(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), n, pa.array(c1), pa.array(c2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "n", "c1", "c2", "registers"])
+                n = list(map(len, sets))
+                few = [k for k, size in enumerate(n) if 0 < size <= small]
+                more = dict(zip(few, registers([sets[k] for k in few], _C), strict=True)) if few else {}
+                cells = [[r.tobytes() for r in registers(sets)], [more[k].tobytes() if k in more else None for k in range(len(n))]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), *(pa.array(c, pa.binary()) for c in cells)], names=["doc_id", "n", "c1", "c2", "registers", "more"])
+
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, c1 long, c2 long, registers binary, more binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, c1 long, c2 long, registers binary")
+def banded(classes: DataFrame, width: int) -> DataFrame:
+    """(key, rep, n): a row for each band of each sketch of a class."""
 
+    def bands(sketch: str) -> list:
+        return [F.substring(sketch, 1 + width * b, width) for b in range(BUCKETS // width)]
 
-def passed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches don't rule a link out."""
+    both = F.concat(F.array(*bands("registers")), F.when(F.col("more").isNotNull(), F.array(*bands("more"))).otherwise(F.array().cast("array<binary>")))
+    return classes.select("rep", "n", F.posexplode(both).alias("band", "bytes")).select(F.xxhash64("band", "bytes").alias("key"), "rep", "n")
 
-    @F.arrow_udf("boolean")
-    def near(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in (a, b))
-        spread = np.sqrt(0.01 * percent * (1 - 0.01 * percent) / np.minimum(n.to_numpy(), BUCKETS))
-        return pa.array(likeness(x, y) >= 0.01 * percent - SIGMAS * spread - 1 / BUCKETS)
 
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, like) of the pairs (a, b) whose sizes and sketches don't rule a link out."""
+
+    @F.arrow_udf("double")
+    def near(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(likeness(*(np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in (a, b))))
+
+    share = 0.01 * percent
     one = classes.select(F.col("rep").alias("a"), F.col("registers").alias("ra"), F.col("n").alias("na"))
     two = classes.select(F.col("rep").alias("b"), F.col("registers").alias("rb"), F.col("n").alias("nb"))
-    return pairs.join(one, "a").join(two, "b").where(near("ra", "rb", F.greatest(F.least("na", "nb"), F.lit(1)))).select("a", "b", "na", "nb")
+    both = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    spread = F.sqrt(share * (1 - share) / F.least("na", "nb", F.lit(BUCKETS)))
+    return both.select("a", "b", "na", "nb", near("ra", "rb").alias("like")).where(F.col("like") >= share - SIGMAS * spread - 1 / BUCKETS)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that full sets link; texts has (doc_id, text) of every class.
 
     The text of the smaller set goes to the larger one's place, where a task reads the larger
-    text and then those to compare it with, a few at a time.
+    text and then those to compare it with, a few at a time. A text that many are compared
+    with has a place for every POINTS of them or so.
     """
     n = partitions(pairs)
-    pairs = pairs.select(F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("at"), F.when(F.col("na") >= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("doc_id"))
-    pairs = pairs.union(pairs.select("at", F.col("at").alias("doc_id")).distinct())
-    rows = pairs.join(texts, "doc_id").select("at", (F.col("at") != F.col("doc_id")).alias("other"), "doc_id", "text")
-    rows = rows.repartition(n, "at").sortWithinPartitions("at", "other")
+    larger = F.col("na") >= F.col("nb")
+    pairs = pairs.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("at"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("doc_id"))
+    places = pairs.groupBy("at").agg(F.ceil(F.count("*") / POINTS).alias("places"))
+    pairs = pairs.join(places, "at").select("at", F.pmod(F.xxhash64("doc_id"), F.col("places")).alias("place"), "doc_id")
+    pairs = pairs.union(pairs.select("at", "place", F.col("at").alias("doc_id")).distinct())
+    rows = pairs.join(texts, "doc_id").select("at", "place", (F.col("at") != F.col("doc_id")).alias("other"), "doc_id", "text")
+    rows = rows.repartition(n, "at", "place").sortWithinPartitions("at", "place", "other")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []  # an id that occurs with several texts has several sets
+        now, own = None, []  # an id that occurs with several texts has several sets
         for batch in tidied(batches):
-            for start, part in slices(batch.column(3)):
+            for start, part in slices(batch.column(4)):
                 found = []
-                keys, ids = batch.column(0).slice(start, len(part)).to_pylist(), batch.column(2).slice(start, len(part)).to_pylist()
-                for key, doc, s in zip(keys, ids, shingle_hashes(*word_hashes(*flat(part)), WIDTH), strict=True):
-                    if key == doc:
-                        own = [*own, s.copy()] if key == at else [s.copy()]
-                        at = key
+                at, place, ids = (batch.column(c).slice(start, len(part)).to_pylist() for c in (0, 1, 3))
+                for key, doc, s in zip(zip(at, place, strict=True), ids, shingle_hashes(*word_hashes(*flat(part)), WIDTH), strict=True):
+                    if key[0] == doc:
+                        own = [*own, s.copy()] if key == now else [s.copy()]
+                        now = key
                         continue
                     both = [len(np.intersect1d(o, s, assume_unique=True)) for o in own]
                     if any(100 * n >= percent * (len(o) + len(s) - n) for n, o in zip(both, own, strict=True)):
-                        found.append((key, doc))
+                        found.append((key[0], doc))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
@@ -197,22 +219,95 @@ def tile_links(ids: np.ndarray, right: np.ndarray, sets: list[np.ndarray], perce
     return out
 
 
-def crowd_links(members: DataFrame, texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links among the classes of large crowds: members has (key, rep, leader)."""
-    near = components(members.select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-    crowds = near.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    parts = crowds.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
-    placed = crowds.join(parts, "component").select("component", "parts", F.col("node").alias("doc_id"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    tiles = F.explode(F.expr("transform(sequence(0, parts - 1), k -> struct(least(k, part) as i, greatest(k, part) as j))"))
-    dealt = placed.join(texts, "doc_id").withColumn("tile", tiles).select("component", "tile.i", "tile.j", "doc_id", (F.col("part") > F.col("tile.i")).alias("right"), "text")
+def star_pairs(members: DataFrame, classes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b, na, nb): every member (key, rep, component) of a crowd with that leader of its crowds, in another component, which its sketch is most like."""
+    leaders = members.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("leader"))
+    spokes = members.join(leaders, "key").where(F.col("component") != F.col("leader.component"))
+    like = estimated(spokes.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent)
+    best = like.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("like", "a")).alias("x"))
+    return best.select("x.a", "b", "x.na", "x.nb")
+
+
+def divided(members: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Members (key, rep, n, component) of the crowds that lie in several components; without labels a class is its own component."""
+    component = F.col("rep")
+    if labels is not None:
+        members = members.drop("component").join(labels, F.col("rep") == F.col("node"), "left")
+        component = F.coalesce("component", "rep")
+    members = members.select("key", "rep", "n", component.alias("component"))
+    several = members.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one < other").select("key")
+    return members.join(several, "key", "left_semi")
+
+
+def crowd_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links among the members (key, rep, n, component) of each crowd that connect what links between different components connect.
+
+    A component with PART members in a crowd has parts of its own, which aren't compared with each other.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("many"))
+    cell = F.when(F.col("many") >= PART, F.col("component").cast("string")).otherwise("")
+    placed = members.join(sizes, ["key", "component"]).select("key", "rep", "n", cell.alias("cell"))
+    parts = placed.groupBy("key", "cell").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    placed = placed.join(parts, ["key", "cell"]).select("key", "rep", F.struct("cell", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("k")).alias("part"))
+    listed = parts.select("key", F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("key", F.struct(F.col("c").alias("cell"), "k").alias("part"))
+    tiles = listed.withColumnRenamed("part", "i").join(listed.withColumnRenamed("part", "j"), "key").where((F.col("i") <= F.col("j")) & ((F.col("i.cell") != F.col("j.cell")) | (F.col("i.cell") == "")))
+    sides = tiles.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
+    shingled = written(_shingled(texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "shingles")
+    dealt = placed.join(sides, ["key", "part"]).select("key", "i", "j", F.col("rep").alias("doc_id"), (F.col("part") > F.col("i")).alias("right")).join(shingled, "doc_id")
 
     def link(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        found = tile_links(table.column("doc_id").to_numpy(), table.column("right").to_numpy(zero_copy_only=False), _sets(texts), percent)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("shingles").chunks for x in c]
+        found = tile_links(table.column("doc_id").to_numpy(), table.column("right").to_numpy(), sets, percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.groupBy("component", "i", "j").applyInArrow(link, "a long, b long")
+    return dealt.groupBy("key", "i", "j").applyInArrow(link, "a long, b long")
+
+
+def _shingled(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) to (doc_id, shingles): the set's hashes as bytes, eight each."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tidied(batches):
+            for at, part in slices(batch.column(1)):
+                sets = shingle_hashes(*word_hashes(*flat(part)), WIDTH)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+
+    return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, shingles binary")
+
+
+def linked(classes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """(node, component) of the classes (rep, n, registers, more) that have links."""
+    bands = banded(classes, width)
+    crowds = bands.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    members = written(bands.join(crowds, "key").select("key", "rep", "n", "many"), "members")
+    few = members.where(F.col("many") <= CROWD)
+    other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    sizes = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
+    pairs = few.select("key", F.col("rep").alias("a"), "n").join(other, "key").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+    near = estimated(pairs, classes, percent).drop("like")
+    left = divided(members.where(F.col("many") > CROWD))
+    crowded = not members.where(F.col("many") > CROWD).isEmpty()
+    if crowded:
+        near = near.unionByName(star_pairs(left, classes, percent, 0)).distinct()
+    near = written(near, "pairs")
+    links = written(confirmed(near, texts, percent), "links")
+    labels = components(links)
+    removed(near, links)
+    for turn in range(1, STARS + 1):
+        if not crowded:
+            break
+        left = written(divided(left, labels), "crowds")
+        if left.isEmpty():
+            break
+        if turn < STARS:
+            found = confirmed(written(star_pairs(left, classes, percent, turn), "pairs"), texts, percent)
+        else:
+            found = crowd_links(left, texts, percent)
+        held = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        links = written(held.unionByName(found), "links")
+        labels = components(links)
+        removed(links)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = ROWS) -> DataFrame:
@@ -223,22 +318,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component: such rows link with nothing, have a null component and are kept.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
-    sets = written(sketched(rows), "sketches")
+    sets = written(sketched(rows, percent), "sketches")
     named = sets.where("doc_id is not null and n > 0")
-    classes = named.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
-    classes = written(classes, "classes")
-    bands = classes.select("rep", "n", F.posexplode(F.array(*[F.substring("registers", 1 + width * b, width) for b in range(BUCKETS // width)])).alias("band", "bytes"))
-    bands = bands.select("rep", "n", F.xxhash64("band", "bytes").alias("key"))
-    crowds = bands.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("leader")).where("many > 1")
-    members = written(bands.join(crowds, "key").select("key", "rep", "n", "many", "leader"), "members")
-    few = members.where(F.col("many") <= CROWD)
-    other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    sizes = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
-    pairs = few.select("key", F.col("rep").alias("a"), "n").join(other, "key").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
-    near = written(passed(pairs, classes, percent), "pairs")
-    many = members.where(F.col("many") > CROWD)
-    links = confirmed(near, rows, percent).unionByName(crowd_links(many, rows, classes, percent))
-    found = components(written(links, "links"))
+    classes = written(named.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("more").alias("more")), "classes")
+    found = linked(classes, rows, percent, width)
     named_classes = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("component", "rep").alias("component"))
     known = F.col("doc_id").isNotNull()
     joined = sets.select("doc_id", "n", "c1", "c2").join(named_classes, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & known & (F.col("n") > 0), "left")
