@@ -1,13 +1,18 @@
 """Language-model scores by a subword lattice: the probability of a text over all its segmentations.
 
-The vocabulary is that of a piece model file. Its pieces' own merge scores cut the training
-words into pieces, the pieces' counts give unigram probabilities (add-SMOOTH), and a word's
-lattice probability is the sum over all ways to write it as pieces, by a forward recursion
-in log space over its characters: arrays hold a step of all words of a batch. A character
-without a piece is written as its byte pieces. The lattice of a word also has one arc over
-all of it, for words that training holds, with the word's count less DISCOUNT; what all
-words give up so is the weight of the arcs of pieces. A text is its words, each with a space
-mark in front, and one end, and the probabilities of all texts sum to one at most.
+The vocabulary and its scores are those of a piece model file. The scores of such a file only
+order the pieces (each is one less than the one before), so they are scaled to log-probabilities
+by a power law: that of a piece is -POWER * log(place in the order of scores), less a constant. The
+power is learnt: the one under which the training texts, cut by the same scores, are the most
+probable. A word's lattice probability is the sum over all ways to write it as pieces, by a
+forward recursion in log space over its characters: arrays hold a step of all words of a batch.
+A character without a piece is written as its byte pieces, which come last in the order. A text is
+its words, each with a space mark in front, and one end, and the probabilities of all texts
+sum to one at most.
+
+On demand (`word_arcs`) the lattice of a word also has one arc over all of it, for words that training
+holds, with the word's count less DISCOUNT; what all words give up so is the weight of the
+arcs of pieces.
 
 Beside it a base score: words by add-one counts. Words are `[^\\x20\\x09-\\x0D]+` with A-Z
 lower-cased and known by 64-bit hashes.
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from herdframe.llm.common import _IS_SPACE, bounds_of, distinct, flat, partitions, range_of, slices, tidied, whole, word_hashes, written
 from herdframe.llm.pieces import MARK, Pieces, _Table
 
-#: Added to each piece's count; distinct words that pass 1 sums up in a task, and words whose scores a worker remembers.
+#: Added to the count of ends and of pieces; distinct words that pass 1 sums up in a task, and words whose scores a worker remembers.
 SMOOTH, HELD, CACHE = 0.1, 600_000, 200_000
 #: Taken from each word's count for the arcs of pieces.
 DISCOUNT = 0.75
@@ -93,10 +98,11 @@ class Model:
     tokens: int
     distinct: int
     ends: int
+    word_arcs: bool = False
 
     def whole(self, counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """log10 probabilities of tokens from their counts and those that the pieces give them."""
-        if not self.tokens:
+        if not (self.word_arcs and self.tokens):
             return logs
         arcs = logs + np.log10(DISCOUNT * self.distinct / self.tokens)
         words = np.log10(np.maximum(counts - DISCOUNT, 1e-300) / self.tokens)
@@ -269,25 +275,44 @@ def counted(train: DataFrame, model_file: str, n: int, block: Column) -> DataFra
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")).where("n > 0")
 
 
-def learnt(sums: DataFrame, vocabulary: Pieces) -> Model:
+def power(places: np.ndarray, mean: float) -> float:
+    """The exponent p for which numbers drawn as places ** -p have this mean logarithm: the most probable one."""
+    logs = np.log(places)
+    low, high = 0.0, 16.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        weights = np.exp(-middle * logs)
+        low, high = (middle, high) if weights @ logs / weights.sum() > mean else (low, middle)
+    return low
+
+
+def learnt(sums: DataFrame, vocabulary: Pieces, word_arcs: bool = False) -> Model:
     """The model from the sums of pass 1. What reaches the driver is a row for each piece of the vocabulary."""
     total = {r.kind: r for r in sums.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    counts = np.full(vocabulary.v.size, SMOOTH)
+    v = vocabulary.v
+    live = v.order >= 0
+    places = v.order[live] + 1.0
+    counts = np.zeros(v.size)
     for r in sums.where(F.col("kind") == PIECE).select("key", "n").collect():
         counts[r.key] += r.n
+    used = counts[live].sum()
+    weights = places ** -(power(places, counts[live] @ np.log(places) / used) if used else 1.0)
     ends = total[END].n if END in total else 0
-    whole_sum = counts.sum() + ends + SMOOTH
+    end = (ends + SMOOTH) / (used + SMOOTH)
+    shares = np.zeros(v.size)
+    shares[live] = weights / weights.sum() / (1 + end)
     words, kinds = (total[WORD].n, total[WORD].v) if WORD in total else (0, 0)
     # after a word's first piece the others go on until the next mark or the end
-    inner = counts[~vocabulary.v.marked].sum()
-    return Model(np.log10(counts / whole_sum), float(np.log10((ends + SMOOTH) / (whole_sum - inner))), words + ends, kinds + (ends > 0), ends)
+    inner = shares[~v.marked].sum()
+    with np.errstate(divide="ignore"):
+        return Model(np.log10(shares), float(np.log10(end / (1 + end) / (1 - inner))), words + ends, kinds + (ends > 0), ends, word_arcs)
 
 
-def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "doc_id", text: str = "text", word_arcs: bool = False) -> DataFrame:
     """Rows: doc_id, n_tokens, n_known, train_tokens, base_score, score for every document, learning from those where `training` holds.
 
     Null texts are empty: one token, the end. Null ids are kept. Without any training text all
-    words are unknown and pieces are equally probable. Texts score with their own words' counts
+    words are unknown and the power is one. Texts score with their own words' counts
     even if they were learnt from.
     """
     n = partitions(docs)
@@ -296,7 +321,7 @@ def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "do
     with open(model_file, "rb") as f:
         vocabulary = f.read()
     sums = written(counted(rows, model_file, n, block), "words")
-    model = learnt(sums, Pieces(vocabulary))
+    model = learnt(sums, Pieces(vocabulary), word_arcs)
     sc = docs.sparkSession.sparkContext
     shared, file = sc.broadcast(model), sc.broadcast(vocabulary)
     ahead = sums.where(F.col("kind") == WORD).select(F.explode("blocks").alias("block"), F.lit(0).alias("kind"), "key", "n", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))

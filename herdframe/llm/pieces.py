@@ -57,6 +57,9 @@ class Vocabulary:
         self.symbols = symbols
         self.chars = {c: s for c, s in symbols.items() if len(c) == 1}
         order = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in normal}, reverse=True))}
+        # the place of each piece in the order of scores; byte pieces come last, others have none
+        self.order = np.array([len(order) if sp.is_byte(i) else -1 for i in range(n)])
+        self.order[normal] = [order[sp.get_score(i)] for i in normal]
         width = max(symbols.values()) + 2
         keys, ranks, made = [], [], []
         for p, i in ids.items():
