@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from herdframe.llm import decontaminate, fingerprints, language_id, lattice, line_dedup, near_dedup, pieces, substring_dedup, token_counts, warc
-from herdframe.llm.common import scratch, whole
+from herdframe.llm.common import bounds_of, range_of, scratch, whole
 from herdframe.llm.perfect_hash import PerfectHash
 from tests.llm import brute, corpus
 
@@ -139,6 +139,26 @@ def test_pieces(spark, docs):
     assert corpus.empty(spark).select(pieces.encode(docs, PIECES)).count() == 0
 
 
+def test_ranges_of_ids(spark):
+    rows = spark.range(5000).selectExpr("case when id % 10 = 0 then null else id * id end as doc_id").cache()
+    for n in (1, 2, 7, 300):
+        bounds = bounds_of(rows, n)
+        found = rows.select("doc_id", range_of(bounds).alias("r")).collect()
+        assert all(r.r == (0 if r.doc_id is None else sum(b < r.doc_id for b in bounds)) for r in found)
+        assert len(bounds) <= n - 1 and max(Counter(r.r for r in found if r.doc_id is not None).values()) < 2 * 4500 / n + 40
+
+
+def test_word_hashes_have_no_algebra():
+    """Words in the order of Thue and Morse and their complement, longer ones too, and words that differ in one far letter."""
+    from herdframe.llm.common import flat, word_hashes
+
+    order = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << 14))
+    other = order.translate(str.maketrans("ab", "ba"))
+    words = [x[:k] for k in (64, 1024, 1 << 14) for x in (order, other)] + ["x" * 100 + c + "x" * 100 for c in "yz"]
+    hashes, _ = word_hashes(*flat(pa.array([" ".join([*words, *map(str.upper, words)])])))
+    assert len(set(hashes[: len(words)].tolist())) == len(words) and (hashes[: len(words)] == hashes[len(words) :]).all()
+
+
 def test_pieces_rounds_and_heap_agree(monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rng = random.Random(5)
@@ -161,9 +181,12 @@ def test_token_counts(spark, docs):
     assert len(found) == len(DOCS)
     assert all(r.n_tokens == len(tok.encode(r.text or "").ids) for r in found)
     rng = random.Random(2)
-    counter = token_counts.Counting(tok.to_str(), {})
-    texts = ["".join(rng.choice(["a", " the", " ", "\n", "\t", "é", "　", "\x1c", "'s", "12", "!", "<|endoftext|>"]) for _ in range(rng.randint(0, 30))) for _ in range(500)]
-    assert counter.count(texts) == [len(e.ids) for e in tok.encode_batch(texts)]
+    nothing = np.zeros(0, np.int64)
+    counter = token_counts.Counting(tok.to_str(), pieces._Table(nothing, nothing.astype(np.int32), nothing.astype(np.int32)))
+    parts = ["a", " the", " ", "  ", "\n", "\t", "\r", "é", "\u3000", "\xa0", "\x85", "\u2003", "\u200b", "’", "\x1c", "\x00", "'s", "12", "!", "<|endoftext|>", "<|endo", "ftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    assert counter.count(pa.array(texts)).tolist() == [len(e.ids) for e in tok.encode_batch(texts)]
+    assert counter.count(pa.array([None, "", "a"])).tolist() == [0, 0, 1]
     empty = corpus.empty(spark)
     assert empty.select(token_counts.token_counts(empty, BYTES)).count() == 0
 
@@ -183,6 +206,63 @@ def test_language_id(spark, docs):
     assert language_id.predict(docs, None).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_id_of_null_ids_and_copies(spark):
+    """Neither null ids nor thousands of copies of a text hide a language."""
+    rng = random.Random(8)
+    rows = [(None, corpus.sentence(rng, "en", 9), "en") for _ in range(1500)] + [(None, "the same text of all these rows", "en")] * 1500
+    rows += [(None, corpus.sentence(rng, "fr", 9), "fr") for _ in range(30)] + [(k, corpus.sentence(rng, "de", 9), "de") for k in range(30)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(labelled, per_language=20)
+    assert {c for m in model.languages.values() for c in m.classes} == {"en", "fr", "de"}
+    found = language_id.predict(labelled, model).groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"))
+    assert all(r.right > 0.9 for r in found.collect())
+
+
+def test_language_id_against_plain_python(spark, docs):
+    """Features, margins and the choice of family and language, text by text."""
+    model = language_id.fit(docs)
+    found = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in language_id.predict(docs, model).select("doc_id", "text", "lang_pred", "score").collect()}
+
+    def features(text):
+        counts, raw = Counter(), text.encode()
+        low, k = [], 0
+        for c in text:
+            b = c.encode()
+            if len(b) == 1:
+                low.append(ord(c.lower()) if c.isalpha() else 32)
+            else:
+                low += (c.lower() if 0xC0 <= ord(c) <= 0xDE and ord(c) != 0xD7 else c).encode()
+        for size in (1, 2, 3):
+            for k in range(len(low) - size + 1):
+                code = 0
+                for b in low[k : k + size]:
+                    code = code * 256 + b
+                counts[(code * 2654435761 + size * 40503) % 2**32 >> 20] += 1
+        assert len(low) == len(raw)
+        total = sum(counts.values())
+        return {f: math.sqrt(c / total) for f, c in counts.items()}
+
+    def voted(machines, classes, x):
+        wins, sums = [0] * len(classes), [0.0] * len(classes)
+        for (i, j), m in machines.items():
+            margin = sum(v * float(m.weights[f]) for f, v in x.items()) + m.bias
+            p = 1 / (1 + math.exp(-(m.slope * margin + m.offset)))
+            wins[i if p >= 0.5 else j] += 1
+            sums[i] += p
+            sums[j] += 1 - p
+        if len(classes) == 1:
+            return classes[0], 1.0
+        best = max(range(len(classes)), key=lambda k: (wins[k], sums[k]))
+        return classes[best], sums[best] / (len(classes) - 1)
+
+    for i, t in DOCS:
+        if t and any(c.isalpha() for c in t) and len(t) < 5000:
+            x = features(t)
+            family, p = voted(model.families.machines, model.families.classes, x)
+            lang, q = voted(model.languages[family].machines, model.languages[family].classes, x)
+            assert found[i, t][0] == lang and found[i, t][1] == pytest.approx(p * q, abs=1e-3)
+
+
 def test_long_texts_have_the_same_features(monkeypatch):
     text = pa.array(["".join(random.Random(1).choice("abc é\n") for _ in range(5000)), "", "xyz"])
     whole_text = language_id.frequencies(text)
@@ -215,12 +295,27 @@ def test_lattice_scores(spark, docs):
             for p in own.ids[own.starts[at] : own.starts[at] + own.lens[at]].tolist():
                 piece[p] += k
     size, n, v = sp.get_piece_size(), sum(counts.values()) + ends, len(counts) + 1
-    total = sum(piece.values()) + 0.1 * size + ends + 0.1
-    inner = sum(piece[i] + 0.1 for i in range(size) if not sp.id_to_piece(i).startswith("▁"))
+    rank = {x: k for k, x in enumerate(sorted({sp.get_score(i) for i in range(259, size)}, reverse=True), 1)}
+    place = {i: rank[sp.get_score(i)] for i in range(259, size)} | dict.fromkeys(range(3, 259), len(rank) + 1)
+    used = sum(piece.values())
+
+    def gain(power):
+        """The log-likelihood of the training pieces for each of them."""
+        return -power * sum(c * math.log(place[i]) for i, c in piece.items()) / used - math.log(sum(p**-power for p in place.values()))
+
+    low, high = 0.0, 10.0
+    while high - low > 1e-9:
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (a, high) if gain(a) < gain(b) else (low, b)
+    mass = sum(p**-low for p in place.values())
+    assert lattice.power(np.array(list(place.values()), float), sum(c * math.log(place[i]) for i, c in piece.items()) / used) == pytest.approx(low, abs=1e-6)
+    low = lattice.power(np.array([place[i] for i in range(3, size)], float), sum(c * math.log(place[i]) for i, c in piece.items()) / used)
+    mass, end = sum(p**-low for p in place.values()), (ends + 0.1) / (used + 0.1)
     ids = {sp.id_to_piece(i): i for i in range(259, size)}
-
-    def log(i):
-        return math.log10((piece[i] + 0.1) / total)
+    logs = {i: math.log10(p**-low / mass / (1 + end)) for i, p in place.items()}
+    inner = sum(10 ** logs[i] for i in logs if not sp.id_to_piece(i).startswith("▁"))
+    own_end = math.log10(end / (1 + end) / (1 - inner))
+    log = logs.__getitem__
 
     cache = {}
 
@@ -248,15 +343,17 @@ def test_lattice_scores(spark, docs):
         a = math.log10((count - 0.75) / n)
         return max(a, b) + math.log10(1 + 10 ** (min(a, b) - max(a, b)))
 
-    want = []
+    want, mixed = [], []
     for i, t in DOCS:
         w = brute.words(t)
         base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
-        score = sum(token(counts[x], word(x)) for x in w) + token(ends, math.log10((ends + 0.1) / (total - inner)))
-        want.append((i, len(w) + 1, sum(x in counts for x in w) + 1, n, base, score))
-    for r, w in zip(ordered(found), ordered(want), strict=True):
-        assert r[:4] == w[:4]
-        assert r[4:] == pytest.approx(w[4:], rel=1e-9)
+        first = (i, len(w) + 1, sum(x in counts for x in w) + 1, n, base)
+        want.append((*first, sum(map(word, w)) + own_end))
+        mixed.append((*first, sum(token(counts[x], word(x)) for x in w) + token(ends, own_end)))
+    for rows, right in ((found, want), (lattice.scored(docs, PIECES, training, word_arcs=True).collect(), mixed)):
+        for r, w in zip(ordered(rows), ordered(right), strict=True):
+            assert r[:4] == w[:4]
+            assert r[4:] == pytest.approx(w[4:], rel=1e-9)
     assert lattice.scored(corpus.empty(spark), PIECES, F.lit(True)).count() == 0
     untrained = lattice.scored(docs, PIECES, F.lit(False)).where("doc_id = 113").first()
     assert untrained.train_tokens == 0 and untrained.n_known == 0 and untrained.score < 0
@@ -294,9 +391,44 @@ def test_near_dedup_of_a_crowd(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"edit{k}x{rng.randint(0, 9)}"
         rows.append((k, " ".join(w), None, None, 0))
     monkeypatch.setattr(near_dedup, "PART", 40)
-    found = near_dedup.near_duplicates(corpus.frame(spark, rows)).collect()
+    monkeypatch.setattr(near_dedup, "POINTS", 16)
     want = brute.components([(r[0], r[1]) for r in rows])
-    assert {r.doc_id: r.component_id for r in found} == want
+    for stars in (3, 1):
+        monkeypatch.setattr(near_dedup, "STARS", stars)
+        found = near_dedup.near_duplicates(corpus.frame(spark, rows)).collect()
+        assert {r.doc_id: r.component_id for r in found} == want
+
+
+def test_near_dedup_of_a_crowd_without_a_centre(spark, monkeypatch):
+    """Chains of copies of copies in one crowd, and texts that are just too unlike: tiles alone can connect them."""
+    rng = random.Random(4)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for chain in range(4):
+        w = list(base)
+        for k in range(24):
+            for _ in range(2):
+                w[rng.randrange(150)] = f"c{chain}e{k}x{rng.randint(0, 99)}"
+            rows.append((100 * chain + k, " ".join(w), None, None, 0))
+    monkeypatch.setattr(near_dedup, "CROWD", 2)
+    monkeypatch.setattr(near_dedup, "PART", 8)
+    want = brute.components([(r[0], r[1]) for r in rows])
+    found = near_dedup.near_duplicates(corpus.frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == want and len(set(want.values())) > 1
+
+
+def test_small_sets_meet_in_bands():
+    """Pairs at the threshold, of sets of 5 to 40 shingles: none in 3000 misses all bands of both sketches."""
+    rng = np.random.default_rng(0)
+    for n in (7, 13, 20, 40):
+        shared = -(-85 * n // 100)
+        sets = rng.integers(0, 2**63, (3000, n + n - shared), dtype=np.uint64)
+        one = [np.unique(r[:n]) for r in sets]
+        two = [np.unique(r[:shared]) for r in sets]  # likeness shared / n
+        met = np.zeros(len(sets), bool)
+        for salt in (near_dedup._A, near_dedup._C):
+            same = near_dedup.registers(one, salt) == near_dedup.registers(two, salt)
+            met |= same[:, : 6 * 26].reshape(len(sets), 26, 6).all(2).any(1)
+        assert met.all()
 
 
 def test_sketches_estimate_likeness():
@@ -324,6 +456,19 @@ def test_decontamination(spark, docs):
     assert decontaminate.leaks(corpus.empty(spark), bench).count() == 0
 
 
+def test_decontamination_by_document(spark):
+    """Halves of an item in two texts are no leak, and the rows don't depend on partitions."""
+    cut = len(corpus.ITEM) // 2
+    rows = [(1, "Some words. " + corpus.ITEM[:cut]), (2, corpus.ITEM[cut:] + " Some words."), (3, corpus.ITEM), (4, corpus.ITEM.replace("planet", "plamet")), (5, None), (6, corpus.ITEM[: cut + 40]), (7, corpus.ITEM[cut + 40 :]), (7, "xx " + corpus.ITEM[4:])]
+    bench = spark.createDataFrame([(7, corpus.ITEM), (8, corpus.ITEM[20:90])], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").orderBy("doc_id")
+    found = [ordered(decontaminate.leaks(docs.repartitionByRange(n, "doc_id"), bench).collect()) for n in (1, 2, 7)]
+    assert found[0] == found[1] == found[2]
+    assert {r[:3] for r in found[0]} == {(3, 7, 0), (3, 8, 0), (4, 7, 1), (4, 8, 0), (6, 8, 0), (7, 7, 4), (7, 8, 0)}
+    for n in (1, 2, 7):
+        assert sorted(r.doc_id for r in decontaminate.clean(docs.repartitionByRange(n, "doc_id"), bench).collect()) == [1, 2, 5, 7]
+
+
 def test_decontamination_finds_edits_within_the_budget(monkeypatch):
     rng = random.Random(7)
 
