@@ -70,16 +70,25 @@ def deeplabcut_rows(raw: bytes, recording: str, camera: int, bodyparts: list[str
                     yield recording, camera, "affinity", t, a, i, b, j, None, None, number(w)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, as Spark's readers name files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def read_deeplabcut(spark: SparkSession, recordings: DataFrame, bodyparts: list[str], order: list[int], parents: list[int], n: int, individuals: list[str] | None = None, recorded: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(detections, affinities, identities) of all files of recordings (recording, camera, path).
 
     Of each frame and keypoint the n most confident peaks stay, as instances 0 to n - 1. Keypoints
     are numbered in the order of the tree; only its edges have affinities, child to parent, and
-    only recorded individuals have identities.
+    only recorded individuals have identities. Files of one name in several folders are different
+    files: recordings meet them by the whole path, as the file system completes it. The driver
+    lists the paths, one a file; no recordings give no rows.
     """
-    files = spark.read.format("binaryFile").load([r.path for r in recordings.select("path").distinct().collect()])
-    name = F.regexp_extract("path", r"[^/]+$", 0)
-    named = recordings.select("recording", "camera", name.alias("name"))
+    paths = {r.path: qualified(spark, r.path) for r in recordings.select("path").distinct().collect()}
+    files = spark.read.format("binaryFile").load(list(paths)) if paths else spark.createDataFrame([], "path string, content binary")
+    full = spark.createDataFrame(list(paths.items()), "path string, name string")
+    named = recordings.join(full, "path").select("recording", "camera", "name")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -90,7 +99,7 @@ def read_deeplabcut(spark: SparkSession, recordings: DataFrame, bodyparts: list[
                 cols = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    raw = files.withColumn("name", name).join(named, "name").select("recording", "camera", "content").mapInArrow(decode, PEAKS)
+    raw = files.withColumnRenamed("path", "name").join(named, "name").select("recording", "camera", "content").mapInArrow(decode, PEAKS)
     place = F.create_map(*[F.lit(v).cast("long") for k, s in enumerate(order) for v in (s, k)])
     raw = raw.withColumn("keypoint", place[F.col("keypoint")])
     by = ["recording", "camera", "frame", "keypoint"]

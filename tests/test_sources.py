@@ -76,6 +76,25 @@ def test_deeplabcut(spark, tmp_path):
         list(detections.deeplabcut_rows(pickle.dumps(data), "r", 0, ["x"]))
 
 
+def test_files_of_one_name_in_several_folders(spark, tmp_path):
+    rows = []
+    for k, folder in enumerate(("a", "b with space")):
+        (tmp_path / folder).mkdir()
+        data = dlc_file(tmp_path / folder / "cam0_full.pickle")
+        data["frame000"]["coordinates"][0][0][1][0] = 100.0 + k
+        (tmp_path / folder / "cam0_full.pickle").write_bytes(pickle.dumps(data))
+        rows.append((folder, 0, ("file://" if k == 0 else "") + str(tmp_path / folder / "cam0_full.pickle")))
+    tree = config.node_hierarchy(PARTS, [["nose", "tail"], ["tail", "neck"]], "nose")
+    rec = spark.createDataFrame(rows, "recording string, camera long, path string")
+    det, _, _ = detections.read_deeplabcut(spark, rec, PARTS, tree.order, tree.parents, 2)
+    tail = tree.names.index("tail")
+    found = {(r.recording, r.frame, r.keypoint, r.instance): r.x for r in det.collect()}
+    assert len(found) == 2 * 2 * 4
+    assert found["a", 0, tail, 0] == 100.0 and found["b with space", 0, tail, 0] == 101.0
+    for rows in detections.read_deeplabcut(spark, rec.where("camera > 5"), PARTS, tree.order, tree.parents, 2):
+        assert rows.count() == 0
+
+
 def test_pickles_can_not_run_code():
     with pytest.raises(pickle.UnpicklingError):
         detections.restricted_load(pickle.dumps(print))
