@@ -1,9 +1,12 @@
 """Groups of detections across cameras, and their assembly into animals along the skeleton.
 
 A (recording, frame, keypoint) has at most cameras x instances detections, so its graph is
-small and bounded; cells are spread over the cluster and each is worked out on its own.
+small and bounded; cells are spread over the cluster, and a task works out the graphs of a
+whole batch of cells at once, as stacked matrices.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,137 +15,170 @@ from pyspark.sql import functions as F
 from herdframe.operators.spread import spread
 from herdframe.schemas import CELL
 
-GROUPS = "recording string, frame long, keypoint long, camera long, instance long, group_id long"
-
-
-def connected(n: int, links: list[tuple[int, int]]) -> list[list[int]]:
-    """Components in the order of their lowest node, each ascending."""
-    root = list(range(n))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for a, b in links:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    out: dict[int, list[int]] = {}
-    for k in range(n):
-        out.setdefault(find(k), []).append(k)
-    return list(out.values())
-
-
-def kmeans(points: np.ndarray, k: int, seed: int = 0, max_iters: int = 100, n_init: int = 10, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Lloyd's algorithm, the best of n_init starts: labels, centroids, inertia. Ties go to the lowest cluster; an empty one is at 0."""
-    k, rng = min(k, len(points)), np.random.default_rng(seed)
-    order = rng.permuted(np.tile(np.arange(len(points)), (n_init, 1)), axis=1)[:, :k]
-    centroids, last, live = points[order], np.full(n_init, np.inf), np.ones(n_init, bool)
-    for _ in range(max_iters):  # all starts at once; those that stand still are left alone
-        d = ((points[None, :, None] - centroids[:, None]) ** 2).sum(-1)
-        labels = np.argmin(d, 2)
-        inertia = np.take_along_axis(d, labels[..., None], 2).sum((1, 2))
-        member = (labels[..., None] == np.arange(k)).astype(float)
-        counts = member.sum(1)[..., None]
-        means = np.where(counts > 0, np.einsum("rnk,nd->rkd", member, points) / np.maximum(counts, 1), 0.0)
-        centroids = np.where(live[:, None, None], means, centroids)
+#: Cells whose matrices a task holds at once.
+STACK = 4096
+
+
+class Graphs:
+    """The graphs of a batch of cells: nodes in order of (camera, instance), adjacency by cell, node and node."""
+
+    def __init__(self, links: pa.Array, nodes: pa.Array):
+        self.at = nodes.offsets.to_numpy().astype(np.int64)
+        self.at -= self.at[0]
+        many, flat = np.diff(self.at), nodes.flatten()
+        self.cell = np.repeat(np.arange(len(nodes)), many)
+        self.place = np.arange(len(self.cell)) - self.at[self.cell]
+        size = int(many.max(initial=1))
+        camera, instance = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        self.mask = np.arange(size) < many[:, None]
+        self.camera = np.full(self.mask.shape, -1)
+        self.camera[self.mask] = camera
+        ends = links.flatten()
+        of = np.repeat(np.arange(len(links)), np.diff(links.offsets.to_numpy().astype(np.int64)))
+        values = [ends.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+        names = [np.unique(np.concatenate(x)) for x in ((camera, values[0], values[2]), (instance, values[1], values[3]))]
+
+        def code(cell: np.ndarray, camera: np.ndarray, instance: np.ndarray) -> np.ndarray:
+            return (cell * len(names[0]) + np.searchsorted(names[0], camera)) * len(names[1]) + np.searchsorted(names[1], instance)
+
+        own = code(self.cell, camera, instance)
+        a, b = (self.place[np.searchsorted(own, code(of, *values[k : k + 2]))] if len(of) else of for k in (0, 2))
+        self.adjacent = np.zeros((len(nodes), size, size), bool)
+        self.adjacent[of, a, b] = self.adjacent[of, b, a] = True
+        self.scores = np.zeros(self.mask.shape)
+        if flat.type.num_fields > 2:
+            self.scores[self.mask] = 1 - flat.field(2).to_numpy(zero_copy_only=False)
+
+    def listed(self, labels: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.at, pa.int32()), pa.array(labels[self.mask], pa.int64()))
+
+
+def reached(adjacent: np.ndarray) -> np.ndarray:
+    """Which nodes each node reaches, itself included: the matrix squared until paths of any length are in."""
+    reach = adjacent | np.eye(adjacent.shape[1], dtype=bool)
+    for _ in range(max(1, int(np.ceil(np.log2(max(2, adjacent.shape[1])))))):
+        reach = reach.astype(np.float32) @ reach.astype(np.float32) > 0
+    return reach
+
+
+def component_labels(adjacent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the components of more than one node, by lowest node (-1: none); which nodes are lowest; what nodes reach."""
+    reach = reached(adjacent)
+    root = reach.argmax(2)
+    large = reach.sum(2) > 1
+    lowest = large & (root == np.arange(adjacent.shape[1]))
+    number = np.cumsum(lowest, 1) - 1
+    return np.where(large, np.take_along_axis(number, root, 1), -1), lowest, reach
+
+
+def repeats(labels: np.ndarray, camera: np.ndarray) -> np.ndarray:
+    """Nodes whose group holds their group's camera more than once, anywhere in the group."""
+    same = (labels[:, :, None] == labels[:, None, :]) & (labels >= 0)[:, :, None]
+    twice = (same & (camera[:, :, None] == camera[:, None, :])).sum(2) > 1
+    return (same & twice[:, None, :]).any(2)
+
+
+def group_labels(adjacent: np.ndarray, camera: np.ndarray, scores: np.ndarray, n: int, split: bool = True) -> np.ndarray:
+    """A group number for each node of each cell (-1: none).
+
+    Of more than n components those with the highest sums of scores stay, numbered ascending by
+    them. A lone component that repeats a camera is split into n clusters; a group that still
+    repeats one is left out.
+    """
+    labels, lowest, reach = component_labels(adjacent)
+    many = lowest.sum(1)
+    over = np.flatnonzero(many > n)
+    if len(over):
+        total = np.round(np.einsum("bij,bj->bi", reach[over].astype(float), scores[over]), 9)
+        order = np.argsort(np.where(lowest[over], -total, np.inf), axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
+        rank = np.take_along_axis(rank, reach[over].argmax(2), 1)
+        labels[over] = np.where((labels[over] >= 0) & (rank < n), n - 1 - rank, -1)
+    if split:
+        bad = repeats(labels, camera)
+        lone = np.flatnonzero((np.minimum(many, n) == 1) & bad.any(1))
+        size = (labels[lone] >= 0).sum(1)
+        for m in np.unique(size).tolist():
+            cells = lone[size == m]
+            nodes = np.argsort(labels[cells] < 0, axis=1, kind="stable")[:, :m]
+            found = spectral(adjacent[cells[:, None, None], nodes[:, :, None], nodes[:, None, :]].astype(float), n)
+            alone = (found[:, :, None] == found[:, None, :]).sum(2) < 2
+            # numbers go to the clusters of more than one node
+            used = np.stack([((found == g) & ~alone).any(1) for g in range(n)], 1)
+            number = np.cumsum(used, 1) - 1
+            labels[cells[:, None], nodes] = np.where(alone, -1, np.take_along_axis(number, found, 1))
+    return np.where(repeats(labels, camera), -1, labels)
+
+
+def kmeans(points: np.ndarray, k: int, seed: int = 0, max_iters: int = 100, n_init: int = 10, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lloyd's algorithm for stacked sets of points (sets, points, dimensions), the best of n_init starts each.
+
+    Labels, centroids and inertia of each set. Ties go to the lowest cluster; an empty one is at 0.
+    """
+    sets, m, _ = points.shape
+    k, rng = min(k, m), np.random.default_rng(seed)
+    order = rng.permuted(np.tile(np.arange(m), (n_init, 1)), axis=1)[:, :k]
+    centroids, last, live = points[:, order], np.full((sets, n_init), np.inf), np.ones((sets, n_init), bool)
+    for _ in range(max_iters):  # those that stand still are left alone
+        d = ((points[:, None, :, None] - centroids[:, :, None]) ** 2).sum(-1)
+        labels = np.argmin(d, 3)
+        inertia = np.take_along_axis(d, labels[..., None], 3).sum((2, 3))
         live &= np.abs(last - inertia) >= tol
         if not live.any():
             break
+        member = (labels[..., None] == np.arange(k)).astype(float)
+        counts = member.sum(2)[..., None]
+        means = np.where(counts > 0, np.einsum("brmk,bmd->brkd", member, points) / np.maximum(counts, 1), 0.0)
+        centroids = np.where(live[:, :, None, None], means, centroids)
         last = inertia
-    best = int(np.argmin(inertia))
-    return labels[best], centroids[best], float(inertia[best])
+    best, each = np.argmin(inertia, 1), np.arange(sets)
+    return labels[each, best], centroids[each, best], inertia[each, best]
 
 
 def spectral(adjacency: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Clusters of a graph by k-means on the rows of its smallest Laplacian eigenvectors; labels in order of first node."""
-    _, vectors = np.linalg.eigh(np.diag(adjacency.sum(1)) - adjacency)
-    rows = vectors[:, :k]
-    rows = rows * np.where(rows[np.abs(rows).argmax(0), np.arange(rows.shape[1])] < 0, -1, 1)
-    rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    """Clusters of stacked graphs by k-means on the rows of their smallest Laplacian eigenvectors; labels in order of first node."""
+    _, vectors = np.linalg.eigh(adjacency.sum(2)[:, :, None] * np.eye(adjacency.shape[1]) - adjacency)
+    rows = vectors[:, :, :k]
+    top = np.take_along_axis(rows, np.abs(rows).argmax(1)[:, None, :], 1)
+    rows = rows * np.where(top < 0, -1, 1)
+    rows = rows / np.maximum(np.linalg.norm(rows, axis=2, keepdims=True), 1e-12)
     labels = kmeans(rows, k, seed)[0]
-    order = {label: i for i, label in enumerate(dict.fromkeys(labels.tolist()))}
-    return np.array([order[label] for label in labels.tolist()])
-
-
-def filtered_components(n_nodes: int, links: list[tuple[int, int]], scores: np.ndarray, n: int) -> list[list[int]]:
-    """Components of more than one node; of more than n those with the highest sums of scores, ascending by them."""
-    found = [c for c in connected(n_nodes, links) if len(c) > 1]
-    if len(found) <= n:
-        return found
-    total = [round(float(scores[c].sum()), 9) for c in found]
-    best = sorted(range(len(found)), key=lambda i: (-total[i], i))[:n]
-    return [found[i] for i in sorted(best, key=lambda i: (total[i], -i))]
-
-
-def cell_groups(cameras: np.ndarray, instances: np.ndarray, links: list[tuple[int, int]], scores: np.ndarray, n: int, split: bool = True) -> np.ndarray:
-    """A group number for each node (-1: none). A lone component that repeats a camera is split into n clusters."""
-    groups = filtered_components(len(cameras), links, scores, n)
-
-    def repeats(nodes: list[int]) -> bool:
-        return len(set(cameras[nodes].tolist())) < len(nodes)
-
-    if split and len(groups) == 1 and repeats(groups[0]):
-        nodes = groups[0]
-        place = {k: i for i, k in enumerate(nodes)}
-        a = np.zeros((len(nodes), len(nodes)))
-        for i, j in links:
-            if i in place and j in place:
-                a[place[i], place[j]] = a[place[j], place[i]] = 1
-        labels = spectral(a, n)
-        groups = [[nodes[i] for i in np.flatnonzero(labels == g)] for g in range(labels.max() + 1)]
-        groups = [g for g in groups if len(g) > 1]
-    out = np.full(len(cameras), -1)
-    for label, nodes in enumerate(groups):
-        if not repeats(nodes):
-            out[nodes] = label
-    return out
+    is_of = labels[:, None, :] == np.arange(k)[None, :, None]
+    first = np.where(is_of.any(2), is_of.argmax(2), labels.shape[1])
+    rank = np.argsort(np.argsort(first, axis=1, kind="stable"), axis=1, kind="stable")
+    return np.take_along_axis(rank, labels, 1)
 
 
-def cell_components(edges: DataFrame, detections: DataFrame) -> DataFrame:
-    """(recording, frame, keypoint, camera, instance, component): detections with an edge and their component's number, by lowest node."""
-    links = edges.groupBy(*CELL).agg(F.collect_list(F.struct("cam1", "inst1", "cam2", "inst2")).alias("links"))
-    nodes = spread(detections, CELL).groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("camera", "instance"))).alias("nodes"))
+def _labelled(edges: DataFrame, nodes: DataFrame, label, name: str) -> DataFrame:  # noqa: ANN001
+    """(recording, frame, keypoint, camera, instance, name) of the nodes that label(graphs) gives a number from 0 on. Only cells with an edge do any work."""
+    links = edges.groupBy(*CELL).agg(F.collect_set(F.struct("cam1", "inst1", "cam2", "inst2")).alias("links"))
+    columns = [c for c in nodes.columns if c not in CELL]
+    gathered = spread(nodes, CELL).groupBy(*CELL).agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("nodes"))
 
     @F.arrow_udf("array<bigint>")
-    def run(links: pa.Array, nodes: pa.Array) -> pa.Array:
-        out = []
-        for pairs, rows in zip(links.to_pylist(), nodes.to_pylist(), strict=True):
-            place = {(r["camera"], r["instance"]): i for i, r in enumerate(rows)}
-            found = connected(len(rows), [(place[p["cam1"], p["inst1"]], place[p["cam2"], p["inst2"]]) for p in pairs])
-            labels = np.full(len(rows), -1)
-            for k, c in enumerate([c for c in found if len(c) > 1]):
-                labels[c] = k
-            out.append(labels.tolist())
-        return pa.array(out, pa.list_(pa.int64()))
-
-    cells = links.join(nodes, CELL)
-    cells = cells.select(*CELL, F.inline(F.arrays_zip("nodes", run("links", "nodes").alias("components"))))
-    return cells.select(*CELL, "nodes.camera", "nodes.instance", F.col("components").alias("component")).where("component >= 0")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for links, rows in batches:
+            parts = [(links.slice(k, STACK), rows.slice(k, STACK)) for k in range(0, max(1, len(rows)), STACK)]
+            yield pa.concat_arrays([g.listed(label(g)) for g in (Graphs(*p) for p in parts)])
+
+    cells = links.join(gathered, CELL)
+    cells = cells.select(*CELL, F.inline(F.arrays_zip("nodes", run("links", "nodes").alias("labels"))))
+    return cells.select(*CELL, "nodes.camera", "nodes.instance", F.col("labels").alias(name)).where(F.col(name) >= 0)
+
+
+def cell_components(edges: DataFrame, detections: DataFrame) -> DataFrame:
+    """(recording, frame, keypoint, camera, instance, component): detections with an edge and their component's number, by lowest node."""
+    return _labelled(edges, detections.select(*CELL, "camera", "instance"), lambda g: component_labels(g.adjacent)[0], "component")
 
 
 def group_across_cameras(edges: DataFrame, detections: DataFrame, n: int, split: bool = True) -> DataFrame:
     """(recording, frame, keypoint, camera, instance, group_id) of all detections in groups.
 
-    edges come from geometry.edges, detections carry outlier_prob. Only cells with an edge do any work.
+    edges come from geometry.edges, detections carry outlier_prob.
     """
-    links = edges.groupBy(*CELL).agg(F.collect_list(F.struct("cam1", "inst1", "cam2", "inst2")).alias("links"))
-    nodes = spread(detections, CELL).groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("camera", "instance", "outlier_prob"))).alias("nodes"))
-    cells = links.join(nodes, CELL)
-
-    @F.arrow_udf("array<bigint>")
-    def run(links: pa.Array, nodes: pa.Array) -> pa.Array:
-        out = []
-        for pairs, rows in zip(links.to_pylist(), nodes.to_pylist(), strict=True):
-            place = {(r["camera"], r["instance"]): i for i, r in enumerate(rows)}
-            pairs = [(place[p["cam1"], p["inst1"]], place[p["cam2"], p["inst2"]]) for p in pairs]
-            cameras, instances = np.array([r["camera"] for r in rows]), np.array([r["instance"] for r in rows])
-            out.append(cell_groups(cameras, instances, pairs, np.array([1 - r["outlier_prob"] for r in rows]), n, split).tolist())
-        return pa.array(out, pa.list_(pa.int64()))
-
-    cells = cells.select(*CELL, F.inline(F.arrays_zip("nodes", run("links", "nodes").alias("groups"))))
-    return cells.select(*CELL, "nodes.camera", "nodes.instance", F.col("groups").alias("group_id")).where("group_id >= 0")
+    nodes = detections.select(*CELL, "camera", "instance", "outlier_prob")
+    return _labelled(edges, nodes, lambda g: group_labels(g.adjacent, g.camera, g.scores, n, split), "group_id")
 
 
 def group_affinities(groups: DataFrame, affinities: DataFrame, parents: list[int], value: str = "logp") -> DataFrame:

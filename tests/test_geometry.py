@@ -6,9 +6,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from herdframe.functions.scalars import angle, jensen_shannon, log_sigmoid, mixture_log, rotation_matrix
-from herdframe.operators import geometry, grouping, transforms
+from herdframe.operators import geometry, grouping, transforms, tree
 from herdframe.operators.kinematics import SpaceWalk
 from herdframe.plans import views
+from tests import plain
 
 RIG = [views.projection(c) for c in range(3)]
 
@@ -74,29 +75,67 @@ def test_undistortion_inverts_distortion(spark):
     assert np.allclose([got[k] for k in range(30)], np.c_[u * 300 + 245, v * 300 + 50], atol=1e-6)
 
 
+def adjacency(n, links):
+    a = np.zeros((1, n, n), bool)
+    for i, j in links:
+        a[0, i, j] = a[0, j, i] = True
+    return a
+
+
 def test_groups():
-    cams, inst = np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 0, 1])
+    cams = np.array([0, 0, 1, 1, 2, 2])
     one = np.ones(6)
-    assert grouping.connected(4, [(3, 1)]) == [[0], [1, 3], [2]]
-    assert grouping.cell_groups(cams, inst, [(0, 2), (1, 3)], one, 2).tolist() == [0, 1, 0, 1, -1, -1]
+
+    def groups(cameras, links, scores, n, split=True):
+        return grouping.group_labels(adjacency(6, links), cameras[None], scores[None], n, split)[0].tolist()
+
+    assert grouping.component_labels(adjacency(4, [(3, 1)]))[0].tolist() == [[-1, 0, -1, 0]]
+    assert groups(cams, [(0, 2), (1, 3)], one, 2) == [0, 1, 0, 1, -1, -1]
     # more components than animals: the best scores stay, in ascending order of score
     scores = np.array([0.1, 0.9, 0.1, 0.9, 0.5, 0.5])
     nodes = np.array([0, 1, 1, 2, 0, 2])
-    assert grouping.cell_groups(nodes, inst, [(0, 2), (1, 3), (4, 5)], scores, 2).tolist() == [-1, 1, -1, 1, 0, 0]
+    assert groups(nodes, [(0, 2), (1, 3), (4, 5)], scores, 2) == [-1, 1, -1, 1, 0, 0]
     # one component that repeats cameras is split in two
     links = [(0, 2), (0, 4), (2, 4), (1, 3), (1, 5), (3, 5), (4, 5)]
-    assert grouping.cell_groups(cams, inst, links, one, 2).tolist() == [0, 1, 0, 1, 0, 1]
-    assert grouping.cell_groups(cams, inst, links, one, 2, split=False).tolist() == [-1] * 6
-    assert grouping.cell_groups(cams, inst, [], one, 2).tolist() == [-1] * 6
-
-
-def test_kmeans_and_spectral():
+    assert groups(cams, links, one, 2) == [0, 1, 0, 1, 0, 1]
+    assert groups(cams, links, one, 2, split=False) == [-1] * 6
+    assert groups(cams, [], one, 2) == [-1] * 6
+
+
+def test_stacked_graphs_against_one_at_a_time():
+    rng = np.random.default_rng(5)
+    for cameras, n in ((3, 2), (4, 3), (2, 1), (5, 2)):
+        many, nodes = 200, cameras * n
+        camera = np.repeat(np.arange(cameras), n)
+        links = [[(i, j) for i in range(nodes) for j in range(i) if camera[i] != camera[j] and rng.random() < p] for p in rng.choice([0.05, 0.15, 0.3, 0.6], many)]
+        scores = rng.choice([0.1, 0.2, 0.3, 0.7], (many, nodes))
+        stack = np.concatenate([adjacency(nodes, x) for x in links])
+        for split in (True, False):
+            got = grouping.group_labels(stack, np.tile(camera, (many, 1)), scores, n, split)
+            want = [plain.cell_groups(camera, np.tile(np.arange(n), cameras), x, s, n, split) for x, s in zip(links, scores, strict=True)]
+            assert (got == np.array(want)).all()
+        for a, x in zip(grouping.component_labels(stack)[0], links, strict=True):
+            assert [np.flatnonzero(a == k).tolist() for k in range(a.max() + 1)] == [c for c in plain.connected(nodes, x) if len(c) > 1]
+
+
+def test_kmeans():
     rng = np.random.default_rng(0)
     points = np.r_[rng.normal(size=(20, 2)), rng.normal(size=(20, 2)) + 20]
-    labels, centroids, inertia = grouping.kmeans(points, 2)
+    labels, centroids, inertia = (x[0] for x in grouping.kmeans(points[None], 2))
     assert len(set(labels[:20])) == len(set(labels[20:])) == 1 and labels[0] != labels[-1]
     assert np.isclose(inertia, sum(((points[labels == k] - points[labels == k].mean(0)) ** 2).sum() for k in (0, 1)))
-    assert grouping.kmeans(points[:1], 3)[0].tolist() == [0]
+    assert np.isclose(inertia, plain.kmeans(points, 2)[2])
+    assert grouping.kmeans(points[None, :1], 3)[0].tolist() == [[0]]
+
+
+def test_repeated_rows_count_once(spark):
+    d = spark.createDataFrame([("r", c, 0, 0, 0, 1.0 - 150 * c / 4, 2.0, 0.9, 0.1) for c in (0, 1, 1)], "recording string, camera long, frame long, keypoint long, instance long, x double, y double, confidence double, outlier_prob double")
+    ids = spark.createDataFrame([("r", c, 0, 0, 0, a, w) for c in (0, 1, 1) for a, w in ((0, -0.1), (1, -2.0), (1, -2.5))], "recording string, camera long, frame long, keypoint long, instance long, animal long, logp double")
+    aff = spark.createDataFrame([], "recording string, camera long, frame long, keypoint long, instance long, parent_instance long, logp double")
+    found = geometry.pair_scores(d, ids, 2, None).collect()
+    assert len(found) == 1 and found[0].divergence < 1e-9
+    views_of = tree.views(ids, aff, 2, [0]).collect()
+    assert sorted((r.camera, list(r.ll)) for r in views_of) == [(c, [-0.1, -2.0, 0.0, 0.0]) for c in (0, 1)]
 
 
 def test_one_camera_has_no_groups(spark):
