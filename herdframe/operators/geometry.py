@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdframe.functions.scalars import is_missing, jensen_shannon
-from herdframe.operators.spread import spread
+from herdframe.operators.spread import cells, spread
 from herdframe.schemas import CELL, SERIES
 
 
@@ -80,17 +80,18 @@ def cell_pairs(points: DataFrame, identity: DataFrame, n: int, value: str = "log
 
     A cell has at most cameras x instances detections, so both tables are gathered by cell, one
     exchange each, and the pairs come out of the cell's own array: nothing is joined by pair. Rows
-    stay dealt out by cell, which is what the graph stages need.
+    stay dealt out by cell, which is what the graph stages need. Equal detections count once, and of
+    repeated identity rows the largest value.
     """
     place = (F.col("camera") * n + F.col("instance")) * n
-    probs = spread(identity, CELL).groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct((place + F.col("animal")).alias("at"), F.exp(value).alias("p")))).alias("p"))
-    cells = spread(points, CELL).groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("camera", "instance", "x", "y"))).alias("d"))
+    probs = spread(identity, CELL).groupBy(*CELL).agg(cells(place + F.col("animal"), F.exp(value)).alias("p"))
+    seen = spread(points, CELL).groupBy(*CELL).agg(F.array_sort(F.collect_set(F.struct("camera", "instance", "x", "y"))).alias("d"))
 
     def weights(d: str) -> str:
         return f"transform(sequence(0, {n - 1}), a -> coalesce(p[({d}.camera * {n} + {d}.instance) * {n} + a], 0D))"
 
     both = "flatten(transform(d, a -> transform(filter(d, b -> b.camera < a.camera), b -> struct(a as u, b as v))))"
-    rows = cells.join(probs, CELL).select(*CELL, "p", F.explode(F.expr(both)).alias("e")).select(*CELL, "p", "e.u", "e.v")
+    rows = seen.join(probs, CELL).select(*CELL, "p", F.explode(F.expr(both)).alias("e")).select(*CELL, "p", "e.u", "e.v")
     sides = [c for k, d in ((1, "u"), (2, "v")) for c in (F.col(f"{d}.camera").alias(f"cam{k}"), F.col(f"{d}.instance").alias(f"inst{k}"), F.col(f"{d}.x").alias(f"x{k}"), F.col(f"{d}.y").alias(f"y{k}"), F.expr(weights(d)).alias(f"probs{k}"))]
     return rows.select(*CELL, *sides)
 
@@ -107,8 +108,12 @@ def edges(pairs: DataFrame, most_error: float = 15.0, most_divergence: float = 0
     return pairs.where((F.col("error") < most_error) & (F.col("divergence") < most_divergence))
 
 
+#: The least last coordinate of a unit homogeneous point that isn't counted as lying at infinity.
+FAR = 1e-9
+
+
 def many_view_points(projections: np.ndarray, cameras: list[np.ndarray], xy: list[np.ndarray]) -> np.ndarray:
-    """Points in space from two or more views each; cells with equally many views are one SVD. NaN for fewer."""
+    """Points in space from two or more views each; cells with equally many views are one SVD. NaN for fewer, and for points out of reach."""
     out, views = np.full((len(cameras), 3), np.nan), np.array(list(map(len, cameras)), np.int64)
     for n in set(views.tolist()) - {0, 1}:
         rows = np.flatnonzero(views == n)
@@ -116,8 +121,8 @@ def many_view_points(projections: np.ndarray, cameras: list[np.ndarray], xy: lis
         at = np.stack([xy[k] for k in rows])
         system = at[..., None] * p[:, :, 2:3] - p[:, :, :2]
         point = np.linalg.svd(system.reshape(len(rows), 2 * n, 4))[2][:, -1]
-        with np.errstate(all="ignore"):
-            out[rows] = point[:, :3] / point[:, 3:]
+        near = np.abs(point[:, 3]) > FAR
+        out[rows[near]] = point[near, :3] / point[near, 3:]
     return out
 
 

@@ -1,8 +1,16 @@
-"""Dealing rows out for work that takes much more time than its bytes suggest."""
+"""Dealing rows out, and gathering a cell's few rows."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows by hash of the keys in as many partitions as the session shuffles into, which aren't merged for being small."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def cells(place: Column, value: Column) -> Column:
+    """An aggregate: map from place to value; of rows with the same place the largest value counts."""
+    listed = F.array_sort(F.collect_list(F.struct(place.alias("at"), value.alias("v"))))
+    last = F.filter(listed, lambda c, k: F.coalesce(F.get(listed, k + 1)["at"] != c["at"], F.lit(True)))
+    return F.map_from_entries(last)

@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdframe.operators.permutations import all_permutations
+from herdframe.operators.spread import cells
 from herdframe.schemas import VIEW
+from herdframe.sources.shared import written
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -69,13 +71,12 @@ class TreeModel:
 
 def _dense(rows: DataFrame, place: Column, size: int, name: str, value: str) -> DataFrame:
     """One array of `size` numbers a view, 0 where there is no row."""
-    cells = F.map_from_entries(F.collect_list(F.struct(place.cast("int").alias("at"), F.coalesce(value, F.lit(0.0)).alias("v"))))
-    wide = rows.groupBy(*VIEW).agg(cells.alias("cells"))
+    wide = rows.groupBy(*VIEW).agg(cells(place.cast("int"), F.coalesce(value, F.lit(0.0))).alias("cells"))
     return wide.select(*VIEW, F.expr(f"transform(sequence(0, {size - 1}), k -> coalesce(cells[k], 0D))").alias(name))
 
 
 def views(identity: DataFrame, affinity: DataFrame, n: int, parents: list[int], value: str = "logp") -> DataFrame:
-    """(recording, frame, camera, ll, affinity): the inputs of a view's tree as arrays. The keys must be unique."""
+    """(recording, frame, camera, ll, affinity): the inputs of a view's tree as arrays. Of repeated rows the largest value counts."""
     k = len(parents)
     ll = _dense(identity, (F.col("keypoint") * n + F.col("instance")) * n + F.col("animal"), k * n * n, "ll", value)
     edges = _dense(affinity, (F.col("keypoint") * n + F.col("instance")) * n + F.col("parent_instance"), k * n * n, "affinity", value)
@@ -87,12 +88,19 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def uniform_noise(keys: np.ndarray, seed: int, count: int) -> np.ndarray:
-    """`count` numbers in (0, 1) for each 64-bit key, the same whatever the batch."""
-    x = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) + np.uint64(seed)
-    for a, b in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(a))) * np.uint64(b)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
+#: Multiplier and modulus of the minimal standard generator.
+LEHMER, PRIME = 48271, 2**31 - 1
+
+
+def uniform_noise(keys: np.ndarray, count: int) -> np.ndarray:
+    """`count` numbers in (0, 1) for each key: a multiplicative sequence that starts at the key."""
+    powers = np.array([pow(LEHMER, k + 1, PRIME) for k in range(count)], np.int64)
+    return (keys.astype(np.int64) % (PRIME - 1) + 1)[:, None] * powers % PRIME / PRIME
+
+
+def view_key(seed: int) -> Column:
+    """A number for each view and seed, the same whatever the partitions: 48 bits of a digest."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *VIEW, F.lit(seed)).cast("binary")), 1, 12), 16, 10).cast("long")
 
 
 def decode(inputs: DataFrame, n: int, parents: list[int], seed: int | None = None) -> DataFrame:
@@ -107,11 +115,11 @@ def decode(inputs: DataFrame, n: int, parents: list[int], seed: int | None = Non
                 chosen = model.decode()
             else:
                 count = model.sub.shape[1] * model.sub.shape[2]
-                chosen = model.sample(uniform_noise(key.to_numpy().view(np.uint64), seed, count).reshape(model.sub.shape))
+                chosen = model.sample(uniform_noise(key.to_numpy(), count).reshape(model.sub.shape))
             at = pa.array(np.arange(len(ll) + 1) * len(parents), pa.int32())
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(chosen.reshape(-1))), pa.array(model.log_likelihood(chosen))], ["choice", "log_likelihood"])
 
-    out = inputs.withColumn("out", run("ll", "affinity", F.xxhash64(*VIEW)))
+    out = inputs.withColumn("out", run("ll", "affinity", F.lit(0).cast("long") if seed is None else view_key(seed)))
     return out.select(*VIEW, "out.choice", "out.log_likelihood")
 
 
@@ -138,17 +146,28 @@ def viterbi(scores: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 def _steps(table: pa.Table, n: int, eta: float) -> np.ndarray:
     """Scores (frames, from, to) of entering each frame of a table in order of frames."""
-    perms = all_permutations(n)
-    score = np.array(table.column("score").to_pylist(), float).reshape(-1, len(perms))
-    steps = np.zeros((len(score), len(perms), len(perms)))
-    for t, found in enumerate(table.column("moves").to_pylist()):
-        d = np.zeros((n, n))
-        for cell in found or []:
-            d[divmod(cell["at"], n)] = cell["d"] or 0.0
-        cost = np.array([[-sum(d[q[k], p[k]] for k in range(n)) / eta for q in perms] for p in perms])
-        move = np.exp(cost - cost.max(1, keepdims=True)) + 1e-6
-        steps[t] = np.log(move / move.sum(1, keepdims=True)) + score[t]
-    return steps
+    perms = np.array(all_permutations(n))
+    score = _numbers(table.column("score").combine_chunks())
+    moves = _numbers(table.column("moves").combine_chunks()).reshape(-1, n, n)
+    cost = -moves[:, perms[None, :, :], perms[:, None, :]].sum(3) / eta
+    move = np.exp(cost - cost.max(2, keepdims=True)) + 1e-6
+    return np.log(move / move.sum(2, keepdims=True)) + score[:, None, :]
+
+
+#: Numbers in the products of one round.
+CELLS = 1 << 22
+
+
+def _best_ways(steps: np.ndarray) -> np.ndarray:
+    """The best sum of steps from each state to each: neighbouring steps are joined two by two until one is left."""
+    s = steps.shape[1]
+    while len(steps) > 1:
+        even = len(steps) // 2 * 2
+        a, b = steps[0:even:2], steps[1:even:2]
+        each = max(1, CELLS // s**3)
+        joined = [(a[k : k + each, :, :, None] + b[k : k + each, None]).max(2) for k in range(0, len(a), each)]
+        steps = np.concatenate([*joined, steps[even:]])
+    return steps[0]
 
 
 def smooth_permutations(located: DataFrame, scores: DataFrame, n: int, eta: float = 10.0, segment: int = 10_000) -> DataFrame:
@@ -161,7 +180,7 @@ def smooth_permutations(located: DataFrame, scores: DataFrame, n: int, eta: floa
     A sequence may have any length: each segment of frames becomes one matrix, the best score
     from any state before it to any state at its end; a sequence's matrices, one a segment, give
     the states at the ends; and each segment is decoded between its two ends. The result is the
-    best sequence as a whole.
+    best sequence as a whole. Frames' scores are written once, as both passes read them.
     """
     states = len(all_permutations(n))
     view = ["recording", "camera", "frame"]
@@ -169,14 +188,14 @@ def smooth_permutations(located: DataFrame, scores: DataFrame, n: int, eta: floa
     b = located.select("recording", "camera", (F.col("frame") + 1).alias("frame"), "keypoint", F.col("animal").alias("was"), F.col("x").alias("px"), F.col("y").alias("py"))
     moves = a.join(b, [*view, "keypoint"]).groupBy(*view, "animal", "was")
     moves = moves.agg(F.sum((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2).alias("d"))
-    cells = moves.groupBy(*view).agg(F.collect_list(F.struct((F.col("animal") * n + F.col("was")).alias("at"), "d")).alias("moves"))
     own = scores.groupBy(*view).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "score"))), lambda s: s["score"]).alias("score"))
-    rows = own.join(cells, view, "left").withColumn("segment", F.expr(f"frame div {segment}"))
+    squares = _dense(moves, F.col("animal") * n + F.col("was"), n * n, "moves", "d")
+    still = F.coalesce("moves", F.array_repeat(F.lit(0.0), n * n)).alias("moves")
+    rows = own.join(squares, view, "left").select(*view, "score", still, F.expr(f"frame div {segment}").alias("segment"))
+    rows = written(rows, "frames")
 
     def matrix(table: pa.Table) -> pa.Table:
-        best = None
-        for step in _steps(table.sort_by("frame"), n, eta):
-            best = step if best is None else (best[:, :, None] + step[None]).max(1)
+        best = _best_ways(_steps(table.sort_by("frame"), n, eta))
         return table.select(["recording", "camera", "segment"]).slice(0, 1).append_column("m", pa.array([best.reshape(-1).tolist()], pa.list_(pa.float64())))
 
     def ends(table: pa.Table) -> pa.Table:

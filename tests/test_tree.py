@@ -64,7 +64,8 @@ def test_samples_follow_the_marginals():
     ll, affinity = rng.normal(size=(1, 2, 2, 2)), rng.normal(size=(1, 2, 2, 2))
     many = 20_000
     model = tree.TreeModel(np.repeat(ll, many, 0), np.repeat(affinity, many, 0), [0, 0])
-    noise = tree.uniform_noise(np.arange(many), 5, 4).reshape(many, 2, 2)
+    noise = tree.uniform_noise(rng.integers(0, 2**48, many), 4).reshape(many, 2, 2)
+    assert 0 < noise.min() and noise.max() < 1
     chosen = model.sample(noise)
     root = np.exp(model.sub[0, 0])
     child = np.exp(model.sub[0, 1][:, None] + model.row[0, 1])
