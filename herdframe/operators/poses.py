@@ -2,11 +2,15 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from herdframe.functions.scalars import angle
+from herdframe.operators.transforms import interpolate
+from herdframe.sources.shared import written
 
 
 def bones(poses: DataFrame, parents: list[int]) -> DataFrame:
@@ -24,9 +28,50 @@ def complete(lengths: DataFrame, n_bones: int) -> DataFrame:
     return lengths.join(whole, "pose_id", "left_semi")
 
 
+def exact_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """(by, one column a name in shares): exact percentiles, linear between neighbours, without gathering a key's values.
+
+    Approximate percentiles, whose partial sums are small, bracket each wanted one. A second pass
+    counts the values below the bracket and gathers those within, equal ones as one row: about
+    4 / accuracy of them.
+    """
+    names = list(shares)
+    edge = 2 / accuracy
+    wanted = [q for p in shares.values() for q in (max(0.0, p - edge), min(1.0, p + edge))]
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("of"), F.col(value).cast("double").alias("v"))
+    rough = rows.groupBy("of").agg(F.percentile_approx("v", wanted, accuracy).alias("q"), F.count("*").alias("n"))
+    near = rows.join(F.broadcast(rough), "of")
+    parts = []
+    for k in range(len(names)):
+        low, high = F.col("q")[2 * k], F.col("q")[2 * k + 1]
+        v = F.col("v")
+        side = F.when(v < low, F.lit(-1)).when(v > high, F.lit(1)).otherwise(F.lit(0))
+        parts.append(F.struct(F.lit(k).alias("k"), side.alias("side"), F.when(side == 0, v).alias("inside"), v.alias("v")))
+    long = near.select("of", "n", F.explode(F.array(*parts)).alias("x")).select("of", "n", "x.*")
+    # beyond the bracket only the nearest values and the number below count
+    sums = long.groupBy("of", "n", "k", "side", "inside").agg(F.count("*").alias("c"), F.max("v").alias("top"), F.min("v").alias("least"))
+    outside = F.col("side")
+    cells = sums.groupBy("of", "n", "k").agg(
+        F.coalesce(F.sum(F.when(outside < 0, F.col("c"))), F.lit(0)).alias("below"),
+        F.max(F.when(outside < 0, F.col("top"))).alias("before"),
+        F.min(F.when(outside > 0, F.col("least"))).alias("after"),
+        F.array_sort(F.collect_list(F.when(outside == 0, F.struct(F.col("inside").alias("v"), "c")))).alias("held"),
+    )
+
+    def at(rank: Column) -> Column:
+        """The value of a rank from 0 on: the first held value up to which more are counted."""
+        found = F.aggregate("held", F.struct(F.col("below").alias("seen"), F.lit(None).cast("double").alias("v")), lambda s, h: F.struct((s["seen"] + h["c"]).alias("seen"), F.when(s["v"].isNull() & (s["seen"] + h["c"] > rank), h["v"]).otherwise(s["v"]).alias("v")))["v"]
+        return F.when(rank < F.col("below"), F.col("before")).otherwise(F.coalesce(found, F.col("after"), F.col("before")))
+
+    place = F.element_at(F.array(*[F.lit(p) for p in shares.values()]), F.col("k") + 1) * (F.col("n") - 1)
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    each = cells.select("of", "k", (low + (high - low) * (place - F.floor(place))).alias("v"))
+    return each.groupBy(F.col("of").alias(by)).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(name) for k, name in enumerate(names)])
+
+
 def bone_stats(lengths: DataFrame) -> DataFrame:
     """(keypoint, low, high): the first and last percentile of each bone's length, one row a keypoint."""
-    return lengths.groupBy("keypoint").agg(F.percentile("length", F.lit(0.01)).alias("low"), F.percentile("length", F.lit(0.99)).alias("high"))
+    return exact_percentiles(lengths, "keypoint", "length", {"low": 0.01, "high": 0.99})
 
 
 def filter_poses(poses: DataFrame, parents: list[int], most_std: float) -> tuple[DataFrame, DataFrame]:
@@ -101,9 +146,11 @@ def movmf_step(units: DataFrame, mixture: list[dict]) -> DataFrame:
 
 
 def fit_movmf(units: DataFrame, n_states: int, n_iters: int, n_keypoints: int, seed: int = 0) -> tuple[list[dict], list[float]]:
-    """EM from seeded starts: the mixture and the mean log-likelihood of each step. Only the parameters reach the driver."""
+    """EM from seeded starts: the mixture and the mean log-likelihood of each step. The units are written once; only the parameters reach the driver."""
     import random
 
+    units = written(units, "units")
+
     rng = random.Random(seed)
 
     def unit() -> list[float]:
@@ -147,17 +194,48 @@ def gimbal_params(parents: list[int], mixture: list[dict], radii: list[float] |
     }
 
 
-def crop_centroids(detections: DataFrame, sigma: int = 10) -> DataFrame:
+def crop_centroids(detections: DataFrame, sigma: int = 10, segment: int = 10_000) -> DataFrame:
     """(recording, camera, frame, cx, cy): the median of all animals' keypoints, smoothed by a normal kernel along frames.
 
-    The kernel ends at 4 sigma and is scaled to the frames that are there, so a window is bounded.
+    Missing coordinates are interpolated along their series first. The kernel ends at 4 sigma, and
+    at the ends of a recording it goes on over the frames in reverse. Frames are smoothed by segments
+    that hold the frames within reach on either side, so a task is bounded by the segment. A
+    frame without any coordinate counts neither for itself nor for its neighbours.
     """
-    per_frame = detections.groupBy("recording", "camera", "frame").agg(F.median("x").alias("mx"), F.median("y").alias("my"))
-    shifts = F.explode(F.sequence(F.lit(-4 * sigma), F.lit(4 * sigma)))
-    spread = per_frame.withColumn("shift", shifts).select("recording", "camera", (F.col("frame") + F.col("shift")).alias("frame"), "mx", "my", F.exp(-(F.col("shift") * F.col("shift")) / (2.0 * sigma * sigma)).alias("w"))
-    own = per_frame.select("recording", "camera", "frame")
-    sums = spread.groupBy("recording", "camera", "frame").agg(*[(F.sum(F.col("w") * F.col(m)) / F.sum(F.when(F.col(m).isNotNull(), F.col("w")))).alias(c) for c, m in (("cx", "mx"), ("cy", "my"))])
-    return own.join(sums, ["recording", "camera", "frame"])
+    view, reach = ["recording", "camera"], 4 * sigma
+    filled = interpolate(detections)
+    frames = filled.groupBy(*view, "frame").agg(F.median("x").alias("mx"), F.median("y").alias("my"))
+    ends = frames.groupBy(*view).agg(F.min("frame").alias("first"), (F.max("frame") - F.min("frame") + 1).alias("long"))
+    rows = frames.join(ends, view)
+    at, long = F.col("frame") - F.col("first"), F.col("long")
+    turns = F.sequence(-F.ceil(reach / (2 * long)), F.ceil(reach / (2 * long)) + 1)
+    images = F.filter(F.flatten(F.transform(turns, lambda k: F.array(2 * long * k + at, 2 * long * k - 1 - at))), lambda p: (p >= -reach) & (p < long + reach))
+    inside = (at >= reach) & (at < long - reach)
+    rows = rows.select(*view, "first", "long", "mx", "my", F.explode(F.when(inside, F.array(at)).otherwise(images)).alias("place"))
+    last = F.floor((long - 1) / segment)
+    piece = lambda shift: F.least(F.greatest(F.floor((F.col("place") + shift) / segment), F.lit(0)), last)
+    rows = rows.withColumn("segment", F.explode(F.sequence(piece(-reach), piece(reach))))
+    kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2.0 * sigma * sigma))
+
+    def smooth(table: pa.Table) -> pa.Table:
+        place = table.column("place").to_numpy()
+        own = (place >= 0) & (place < table.column("long")[0].as_py()) & (place // segment == table.column("segment")[0].as_py())
+        low = place.min() - reach
+        out = {}
+        for c, m in (("cx", "mx"), ("cy", "my")):
+            v = table.column(m).to_numpy().astype(float)
+            there = ~np.isnan(v)
+            total, weight = (np.bincount(place[there] - low, w, place.max() - low + reach + 1) for w in (v[there], None))
+            total, weight = np.convolve(total, kernel, "same"), np.convolve(weight, kernel, "same")
+            spot = place[own] - low
+            some = np.convolve(np.bincount(place[there] - low, minlength=len(total)) > 0, np.ones(len(kernel)), "same")[spot] > 0.5
+            with np.errstate(all="ignore"):
+                out[c] = pa.array(total[spot] / weight[spot], pa.float64(), mask=~some)
+        keys = table.filter(pa.array(own))
+        frame = pa.array(place[own] + table.column("first")[0].as_py(), pa.int64())
+        return pa.table({"recording": keys.column("recording"), "camera": keys.column("camera"), "frame": frame, **out})
+
+    return rows.groupBy(*view, "segment").applyInArrow(smooth, "recording string, camera long, frame long, cx double, cy double")
 
 
 def overlay_segments(detections: DataFrame, parents: list[int], width: float, height: float) -> DataFrame:
