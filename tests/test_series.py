@@ -1,8 +1,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from herdframe.operators import poses, transforms
-from herdframe.operators.kinematics import IdentitySampler, RandomWalk
+from herdframe.operators import clustering, poses, transforms
+from herdframe.operators.kinematics import BoneWalk, IdentitySampler, RandomWalk
 from herdframe.plans import queries
 from herdframe.plans.queries import MIXTURE
 from herdframe.sources.shared import written
@@ -124,3 +124,93 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     got = spark.table("best").where("frame < 1000").select("recording", "frame", "camera", "keypoint", "p")
     want = queries.permutation_choice(spark, sf).select("recording", "frame", "camera", "keypoint", "p")
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
+
+
+def test_crop_centroids_against_plain_arrays(spark):
+    """Interpolated, the median of all keypoints, and a normal kernel over the frames, mirrored at the ends; long and short recordings."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for recording, long, first in (("a", 130, 7), ("b", 3, 0), ("c", 1, 5), ("d", 41, 100)):
+        x = rng.normal(size=(4, long)).cumsum(1)
+        x[rng.random(x.shape) < 0.2] = np.nan
+        x[:, rng.integers(long)] = 3.0
+        for s in range(4):
+            rows += [(recording, 0, first + t, s // 2, s % 2, *((None, None) if np.isnan(v) else (float(v), float(2 * v))), 0.9) for t, v in enumerate(x[s])]
+            ok = ~np.isnan(x[s])
+            x[s] = np.interp(np.arange(long), np.flatnonzero(ok), x[s][ok])
+        middle = np.median(x, 0)
+        for t in range(long):
+            places = np.arange(t - 8, t + 9) % (2 * long)
+            w = np.exp(-((np.arange(-8, 9) / 2) ** 2) / 2)
+            want[recording, first + t] = (w * middle[np.where(places < long, places, 2 * long - 1 - places)]).sum() / w.sum()
+    d = spark.createDataFrame(rows, "recording string, camera long, frame long, keypoint long, instance long, x double, y double, confidence double")
+    for segment in (10_000, 20):
+        found = {(r.recording, r.frame): (r.cx, r.cy) for r in poses.crop_centroids(d, sigma=2, segment=segment).collect()}
+        assert found.keys() == want.keys()
+        assert all(np.allclose(found[k], (want[k], 2 * want[k])) for k in want)
+    nothing = d.where("recording = 'b'").withColumns({c: F.lit(None).cast("double") for c in "xy"})
+    assert [tuple(r) for r in poses.crop_centroids(nothing).select("cx", "cy").distinct().collect()] == [(None, None)]
+    assert poses.crop_centroids(d.limit(0)).count() == 0
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(10)
+    rows = [(k, float(v)) for k, n in enumerate((1, 2, 3, 50, 101, 3000)) for v in rng.choice([rng.normal(), 1.5, 2.5], n) + rng.integers(0, 3, n) * rng.normal(size=n)] + [(9, None), (9, 4.0)]
+    d = spark.createDataFrame(rows, "k int, v double")
+    for accuracy in (10_000, 40):
+        found = {r.k: (r.low, r.high) for r in poses.exact_percentiles(d, "k", "v", {"low": 0.01, "high": 0.99}, accuracy).collect()}
+        for k in found:
+            v = [x for i, x in rows if i == k and x is not None]
+            assert np.allclose(found[k], np.percentile(v, [1, 99])), (k, accuracy)
+    assert len(found) == 7
+
+
+def test_kmeans_rows(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(40, 3)) + 12 * c for c in range(3)])
+    d = spark.createDataFrame([*[(k, [float(v) for v in p]) for k, p in enumerate(x)], (500, None)], "id long, v array<double>")
+    found = {r.id: r.cluster for r in clustering.kmeans_rows(d, "id", "v", 3).collect()}
+    assert len(found) == 120 and [len({found[k] for k in range(40 * c, 40 * c + 40)}) for c in range(3)] == [1, 1, 1] and len(set(found.values())) == 3
+    few = clustering.kmeans_rows(d.where("id < 2"), "id", "v", 5).collect()
+    assert len({r.cluster for r in few}) == 2
+    assert clustering.kmeans_rows(d.limit(0), "id", "v", 5).count() == 0
+
+
+def test_sampler_resumes_from_a_written_step(spark):
+    d, aff, ids = (f(spark, "/root/testdata/sf0.001") for f in (queries._outliers, queries._affinity, queries._identity))
+
+    def sampler():
+        return IdentitySampler(RandomWalk(), d, aff, ids, queries.N, queries.PARENTS, written, seed=3)
+
+    one = sampler().initialize()
+    history = one.run(3)
+    assert len(history) == 3 and one.history == history
+    two = sampler().initialize()
+    two.run(2)
+    again = sampler().restore(two.assignments, two.history)
+    again.step()
+    assert np.allclose(again.history, history)
+    assert again.assignments.exceptAll(one.assignments).isEmpty()
+    assert len(one.run(5, still=1.0)) == 4
+
+
+def test_bones_place_what_is_not_seen(spark):
+    """A rigid body that turns and moves: a keypoint that is hidden for a while is near where its bone puts it."""
+    rows = []
+    for t in range(200):
+        a, x, y = 0.02 * t, 50 + 0.5 * t, 80 - 0.2 * t
+        for k, (u, v) in enumerate(((0.0, 0.0), (20.0, 0.0), (10.0, 15.0))):
+            hidden = k == 2 and 90 <= t < 110
+            place = None if hidden else (x + u * np.cos(a) - v * np.sin(a), y + u * np.sin(a) + v * np.cos(a))
+            rows.append(("r", 0, t, k, 0, *((None, None) if hidden else map(float, place)), 0))
+    located = spark.createDataFrame(rows, "recording string, camera long, frame long, keypoint long, instance long, x double, y double, animal long")
+    model = BoneWalk([0, 0, 0], (1, 0), reach=2).initialize(located)
+    track = {(r.frame, r.keypoint): (r.tx, r.ty) for r in model.track.collect()}
+    assert len(track) == 600
+    for t in (95, 100, 105):
+        a, x, y = 0.02 * t, 50 + 0.5 * t, 80 - 0.2 * t
+        assert np.allclose(track[t, 2], (x + 10 * np.cos(a) - 15 * np.sin(a), y + 10 * np.sin(a) + 15 * np.cos(a)), atol=1.0)
+    scored = model.log_likelihood(located.where("frame = 20").drop("animal").withColumn("outlier_prob", F.lit(0.01))).collect()
+    assert len(scored) == 3 and all(r.logp > -8 for r in scored)
+    plain = RandomWalk(reach=2).initialize(located)
+    assert {(r.frame, r.keypoint) for r in plain.track.where("tx is null").collect()} == {(t, 2) for t in range(92, 108)}
