@@ -1,6 +1,11 @@
 """The same queries in DuckDB SQL, for N = 2, K = 4, C = 3."""
 
+import math
+
+from herdframe.operators.geometry import FAR
+from herdframe.operators.tree import LEHMER, PRIME
 from herdframe.plans import views
+from herdframe.plans.mixture import MIXTURE
 
 E = """e as (
   select 'rec' || (event_id // 24 // 100)::varchar as recording, (event_id // 8) % 3 as camera, event_id // 24 as frame, (event_id // 2) % 4 as keypoint,
@@ -37,6 +42,8 @@ GA = """ga as (select g.recording, g.frame, g.keypoint, g.group_id as child_grou
   join groups h on h.recording = g.recording and h.frame = g.frame and h.keypoint = g.keypoint - 1 and h.camera = g.camera and h.instance = al.parent_instance where g.keypoint > 0 group by all)"""
 GI = """gi as (select g.recording, g.frame, g.keypoint, g.group_id, il.animal, sum(il.logp) as identity from groups g
   join il using (recording, frame, keypoint, camera, instance) group by all)"""
+PEAKS = """pk as (select recording, camera, frame, keypoint, keypoint * 2 + instance as peak, x, y, round(confidence, 6) as confidence from det where x is not null),
+best as (select *, row_number() over (partition by recording, camera, frame, keypoint order by confidence desc, peak desc) - 1 as instance from pk)"""
 POSES = """poses as (select a.frame * 2 + a.instance as pose_id, a.keypoint, a.x, a.y, b.y as z from det a join det b using (frame, instance, keypoint) where a.camera = 0 and b.camera = 1)"""
 BONES = f"""{POSES},
 bones as (select c.pose_id, c.keypoint, c.x - p.x as dx, c.y - p.y as dy, c.z - p.z as dz, sqrt((c.x - p.x)**2 + (c.y - p.y)**2 + (c.z - p.z)**2) as length from poses c join poses p on p.pose_id = c.pose_id and p.keypoint = c.keypoint - 1),
@@ -51,8 +58,11 @@ def _lse(a: str, b: str) -> str:
     return f"(greatest({a}, {b}) + ln(exp({a} - greatest({a}, {b})) + exp({b} - greatest({a}, {b}))))"
 
 
-def decode(ids: str, edges: str, key: str) -> str:
-    """CTEs that end in `tree` (key, p0 .. p3, total): ids (key, keypoint, i, a, logp), edges (key, keypoint, i, j, logp)."""
+def decode(ids: str, edges: str, key: str, tag: str = "", seed: int | None = None) -> str:
+    """CTEs that end in `tree` (key, p0 .. p3, total): ids (key, keypoint, i, a, logp), edges (key, keypoint, i, j, logp).
+
+    With a seed the choices are samples: scores plus Gumbel noise from a generator that starts at the view's digest.
+    """
     k4 = range(4)
     cells = ", ".join(f"coalesce(sum(logp) filter (keypoint = {k} and i = {i} and a = {a}), 0) as s{k}{i}{a}" for k in k4 for i in (0, 1) for a in (0, 1))
     links = ", ".join(f"coalesce(sum(logp) filter (keypoint = {k} and i = {i} and j = {j}), 0) as f{k}{i}{j}" for k in k4 for i in (0, 1) for j in (0, 1))
@@ -63,34 +73,42 @@ def decode(ids: str, edges: str, key: str) -> str:
     # with two animals both normalisations are the same: the clique depends on whether child and parent agree
     rows = ", ".join(f"c{k}00 - z{k} as r{k}0, c{k}01 - z{k} as r{k}1" for k in k4)
     out = [
-        f"wi as (select {key}, {cells} from {ids} group by {key})",
-        f"we as (select {key}, {links} from {edges} group by {key})",
-        f"w0 as (select {key}, {own}, {cliques} from wi left join we using ({key}))",
-        f"w1 as (select *, {norm} from w0)",
-        f"w2 as (select *, {marg}, {rows} from w1)",
-        "u3 as (select *, m30 as b30, m31 as b31 from w2)",
+        f"wi{tag} as (select {key}, {cells} from {ids} group by {key})",
+        f"we{tag} as (select {key}, {links} from {edges} group by {key})",
+        f"w0{tag} as (select {key}, {own}, {cliques} from wi{tag} left join we{tag} using ({key}))",
+        f"w1{tag} as (select *, {norm} from w0{tag})",
+        f"w2{tag} as (select *, {marg}, {rows} from w1{tag})",
+        f"u3{tag} as (select *, m30 as b30, m31 as b31 from w2{tag})",
     ]
     for k in (3, 2, 1):
         up = ", ".join(f"m{k - 1}{p} + {_lse(f'(r{k}{p} + b{k}0)', f'(r{k}{1 - p} + b{k}1)')} as b{k - 1}{p}" for p in (0, 1))
-        out.append(f"u{k - 1} as (select *, {up} from u{k})")
-    out.append("d0 as (select *, case when round(b01, 9) > round(b00, 9) then 1 else 0 end as p0 from u0)")
+        out.append(f"u{k - 1}{tag} as (select *, {up} from u{k}{tag})")
+
+    def score(k: int, p: int) -> str:
+        own = f"b{k}{p}" if k == 0 else f"b{k}{p} + case when p{k - 1} = {p} then r{k}0 else r{k}1 end"
+        if seed is None:
+            return f"round({own}, 9)"
+        return f"{own} - ln(-ln((s0 * {pow(LEHMER, 2 * k + p + 1, PRIME)} % {PRIME})::double / {PRIME}))"
+
+    first = "" if seed is None else f"('0x' || substr(md5(concat_ws('|', {key}, {seed})), 1, 12))::bigint % {PRIME - 1} + 1 as s0, "
+    out.append(f"n0{tag} as (select {first}* from u0{tag})")
+    out.append(f"d0{tag} as (select *, case when {score(0, 1)} > {score(0, 0)} then 1 else 0 end as p0 from n0{tag})")
     for k in (1, 2, 3):
-        score = [f"round(b{k}{p} + case when p{k - 1} = {p} then r{k}0 else r{k}1 end, 9)" for p in (0, 1)]
-        out.append(f"d{k} as (select *, case when {score[1]} > {score[0]} then 1 else 0 end as p{k} from d{k - 1})")
+        out.append(f"d{k}{tag} as (select *, case when {score(k, 1)} > {score(k, 0)} then 1 else 0 end as p{k} from d{k - 1}{tag})")
     total = " + ".join([f"n{k} + case when p{k} = 0 then m{k}0 else m{k}1 end" for k in k4] + [f"case when p{k} = p{k - 1} then r{k}0 else r{k}1 end" for k in (1, 2, 3)])
-    out.append(f"tree as (select {key}, p0, p1, p2, p3, {total} - ln(2) as total from d3)")
+    out.append(f"tree{tag} as (select {key}, p0, p1, p2, p3, {total} - ln(2) as total from d3{tag})")
     return ",\n".join(out)
 
 
-def assigned(key: str) -> str:
-    return f"""asg as (select {key}, k::bigint as keypoint, a::bigint as animal, case when [p0, p1, p2, p3][k + 1] = 0 then a else 1 - a end::bigint as instance
-  from tree, (select unnest([0, 1, 2, 3]) as k), (select unnest([0, 1]) as a))"""
+def assigned(key: str, tag: str = "") -> str:
+    return f"""asg{tag} as (select {key}, k::bigint as keypoint, a::bigint as animal, case when [p0, p1, p2, p3][k + 1] = 0 then a else 1 - a end::bigint as instance
+  from tree{tag}, (select unnest([0, 1, 2, 3]) as k), (select unnest([0, 1]) as a))"""
 
 
-VIEW_TREE = f"""{E}, {ID}, {AF},
+VIEWS = f"""{E}, {ID}, {AF},
 vi as (select recording, frame, camera, keypoint, instance as i, animal as a, logp from il),
-ve as (select recording, frame, camera, keypoint, instance as i, parent_instance as j, logp from al),
-{decode("vi", "ve", "recording, frame, camera")}, {assigned("recording, frame, camera")}"""
+ve as (select recording, frame, camera, keypoint, instance as i, parent_instance as j, logp from al)"""
+VIEW_TREE = f"{VIEWS}, {decode('vi', 've', 'recording, frame, camera')}, {assigned('recording, frame, camera')}"
 GRAPH = f"{E}, {ID}, {JS}, {PAIRS}"
 S = "recording, camera, keypoint, instance"
 
@@ -105,14 +123,145 @@ def _undistort() -> str:
     return f"with {E}, {', '.join(out)} select {S}, frame, round(u * fx + cx, 6) + 0.0 as x, round(v * fy + cy, 6) + 0.0 as y from s5"
 
 
-def _interpolate() -> str:
+def _filled() -> str:
+    """CTE `fil`: detections with interpolated coordinates."""
     w = f"over (partition by {S} order by frame"
     ends = ", ".join(
         f"last_value(case when x is not null then {c} end ignore nulls) {w} rows between unbounded preceding and current row) as b_{c}, first_value(case when x is not null then {c} end ignore nulls) {w} rows between current row and unbounded following) as a_{c}"
         for c in ("frame", "x", "y")
     )
-    line = lambda c: f"round(case when b_frame is null then a_{c} when a_frame is null or a_frame = b_frame then b_{c} else b_{c} + (a_{c} - b_{c}) * (frame - b_frame)::double / (a_frame - b_frame) end, 6) + 0.0 as {c}"
-    return f"with {E}, w as (select *, {ends} from det) select {S}, frame, {line('x')}, {line('y')} from w"
+    line = lambda c: f"case when b_frame is null then a_{c} when a_frame is null or a_frame = b_frame then b_{c} else b_{c} + (a_{c} - b_{c}) * (frame - b_frame)::double / (a_frame - b_frame) end as {c}"
+    return f"wide as (select *, {ends} from det), fil as (select {S}, frame, {line('x')}, {line('y')} from wide)"
+
+
+def _centroids(sigma: int = 10) -> str:
+    """Medians of interpolated coordinates; beyond its ends a recording goes on in reverse."""
+    w = f"exp(-(o * o) / {2.0 * sigma * sigma})"
+    mean = lambda m, c: f"round(sum({w} * {m}) / sum({w}) filter ({m} is not null), 6) + 0.0 as {c}"
+    return f"""with {E}, {_filled()}, m as (select recording, camera, frame, median(x) as mx, median(y) as my from fil group by all),
+n as (select *, min(frame) over v as first, max(frame) over v - min(frame) over v + 1 as long from m window v as (partition by recording, camera)),
+p as (select recording, camera, frame, first, long, o, ((frame - first + o) % (2 * long) + 2 * long) % (2 * long) as k from n, (select unnest(generate_series({-4 * sigma}, {4 * sigma})) as o)),
+q as (select *, first + case when k >= long then 2 * long - 1 - k else k end as at from p)
+select q.recording, q.camera, q.frame, {mean("m.mx", "cx")}, {mean("m.my", "cy")}
+from q left join m on m.recording = q.recording and m.camera = q.camera and m.frame = q.at group by all"""
+
+
+def _points(source: str, key: str) -> str:
+    """CTE `pts` (key, X, Y, Z, W): unit homogeneous points that fit rays best in a rectified rig.
+
+    source has a row a ray: key, u, v (pixels from the centre) and t (the camera's shift in pixels). The
+    point is the eigenvector of the least eigenvalue of a 4 by 4 matrix, found by inverse
+    iteration; X and Y are eliminated first, as they don't meet in the matrix.
+    """
+    shift, step = 1e-3, 70
+    solve = "(s33 * (Z - m02 * X / a - m12 * Y / a) - s23 * (W - m03 * X / a)) / det as z1, (s22 * (W - m03 * X / a) - s23 * (Z - m02 * X / a - m12 * Y / a)) / det as w1"
+    return f"""mat as (select {key}, 90000.0 * count(*) + {shift} as a, -300 * sum(u) as m02, -300 * sum(t) as m03, -300 * sum(v) as m12, sum(u * u + v * v) + {shift} as m22, sum(u * t) as m23, sum(t * t) + {shift} as m33
+  from {source} group by {key} having count(*) > 1),
+sch as (select *, m22 - (m02 * m02 + m12 * m12) / a as s22, m23 - m02 * m03 / a as s23, m33 - m03 * m03 / a as s33, row_number() over () as no from mat),
+con as (select *, s22 * s33 - s23 * s23 as det from sch),
+itr as (select no, 0 as step, 1.0::double as X, 0.7::double as Y, 1.3::double as Z, 0.4::double as W from con
+  union all
+  select no, step + 1, x2 / norm, y2 / norm, z1 / norm, w1 / norm from (select *, sqrt(x2 * x2 + y2 * y2 + z1 * z1 + w1 * w1) as norm from
+    (select *, (X - m02 * z1 - m03 * w1) / a as x2, (Y - m12 * z1) / a as y2 from (select no, step, X, Y, a, m02, m03, m12, {solve} from itr join con using (no) where step < {step})))),
+pts as (select con.*, X, Y, Z, W from itr join con using (no) where step = {step})"""
+
+
+def _pair_errors() -> str:
+    key = "recording, frame, keypoint, cam1, inst1, cam2, inst2"
+    pixel = lambda k: f"sqrt(power((300 * X - t{k} * W) / nullif(Z, 0) - u{k}, 2) + power(300 * Y / nullif(Z, 0) - v{k}, 2))"
+    return f"""with recursive {GRAPH},
+two as (select p.*, a.x - 245 as u1, a.y - 50 as v1, 150.0 * cam1 as t1, b.x - 245 as u2, b.y - 50 as v2, 150.0 * cam2 as t2 from pairs p
+  join det a on a.recording = p.recording and a.frame = p.frame and a.keypoint = p.keypoint and a.camera = cam1 and a.instance = inst1
+  join det b on b.recording = p.recording and b.frame = p.frame and b.keypoint = p.keypoint and b.camera = cam2 and b.instance = inst2),
+ray as (select {key}, u1 as u, v1 as v, t1 as t from two union all select {key}, u2, v2, t2 from two),
+{_points("ray", key)}
+select {key}, round(({pixel(1)} + {pixel(2)}) / 2, 4) + 0.0 as error, round(divergence, 6) + 0.0 as divergence from two join pts using ({key})"""
+
+
+def _triangulated() -> str:
+    key = "recording, frame, keypoint, animal"
+    return f"""with recursive {VIEW_TREE},
+ray as (select {key}, x - 245 as u, y - 50 as v, 150.0 * camera as t from det join asg using (recording, frame, camera, keypoint, instance) where x is not null and y is not null),
+{_points("ray", key)}
+select {key}, round(X / Z, 4) + 0.0 as bearing_x, round(Y / Z, 4) + 0.0 as bearing_y, round(W / Z, 4) + 0.0 as inverse_depth from pts where abs(W) > {FAR} and Z <> 0"""
+
+
+def _space(mixture: str) -> str:
+    """Tracks in space, seen again in each camera."""
+    key = "recording, frame, keypoint, animal"
+    return f"""with recursive {VIEW_TREE},
+ray as (select {key}, x - 245 as u, y - 50 as v, 150.0 * camera as t from det join asg using (recording, frame, camera, keypoint, instance) where x is not null and y is not null),
+{_points("ray", key)},
+trk as (select {key}, avg(X / W) over w as sx, avg(Y / W) over w as sy, avg(Z / W) over w as sz from pts where abs(W) > {FAR} window w as (partition by recording, keypoint, animal order by frame range between 5 preceding and 5 following)),
+mot as (select o.*, t.animal, o.x - (300 * sx + 245 * sz - 150 * o.camera) / nullif(sz, 0) as ex, o.y - (300 * sy + 50 * sz) / nullif(sz, 0) as ey from op o join trk t using (recording, frame, keypoint))
+select recording, camera, keypoint, instance, frame, animal, round(coalesce({mixture}, 0), 2) + 0.0 as logp from mot"""
+
+
+def _smoothed(eta: float = 10.0) -> str:
+    """Viterbi forwards and back by recursion over the frames of a camera."""
+    step = "ln((exp(c{k} - top) + 1e-6) / (exp(c0 - top) + exp(c1 - top) + 2e-6))"
+    same, other = step.format(k=0), step.format(k=1)
+    view = "recording, camera, frame"
+    return f"""with recursive {VIEW_TREE}, {_filled()},
+loc as (select {view}, keypoint, animal, x, y from fil join asg using (recording, frame, camera, keypoint, instance)),
+mov as (select {", ".join("a." + c for c in view.split(", "))}, coalesce(sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2) filter (a.animal = b.animal), 0) as same, coalesce(sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2) filter (a.animal <> b.animal), 0) as other
+  from loc a join loc b on b.recording = a.recording and b.camera = a.camera and b.frame = a.frame - 1 and b.keypoint = a.keypoint group by all),
+own as (select {view}, coalesce(sum(logp) filter (il.animal = asg.animal), 0) as e0, coalesce(sum(logp) filter (il.animal <> asg.animal), 0) as e1 from asg join il using (recording, frame, camera, keypoint, instance) group by all),
+cst as (select {view}, e0, e1, -coalesce(same, 0) / {eta} as c0, -coalesce(other, 0) / {eta} as c1, greatest(-coalesce(same, 0) / {eta}, -coalesce(other, 0) / {eta}) as top, row_number() over (partition by recording, camera order by frame) as no from own left join mov using ({view})),
+stp as (select {view}, no, e0, e1, {same} as s, {other} as d from cst),
+vit as (select recording, camera, frame, no, greatest(s, d) + e0 as t0, greatest(s, d) + e1 as t1, 0 as b0, 0 as b1 from stp where no = 1
+  union all
+  select n.recording, n.camera, n.frame, n.no, greatest(v.t0 + n.s, v.t1 + n.d) + n.e0, greatest(v.t0 + n.d, v.t1 + n.s) + n.e1, case when v.t1 + n.d > v.t0 + n.s then 1 else 0 end, case when v.t1 + n.s > v.t0 + n.d then 1 else 0 end
+  from vit v join stp n on n.recording = v.recording and n.camera = v.camera and n.no = v.no + 1),
+bck as (select recording, camera, frame, no, case when t1 > t0 then 1 else 0 end as p, b0, b1 from vit where (recording, camera, no) in (select recording, camera, max(no) from vit group by 1, 2)
+  union all
+  select v.recording, v.camera, v.frame, v.no, case when b.p = 0 then b.b0 else b.b1 end, v.b0, v.b1 from bck b join vit v on v.recording = b.recording and v.camera = b.camera and v.no = b.no - 1)
+select recording, camera, frame, p::bigint as p from bck"""
+
+
+def _gibbs(mixture: str) -> str:
+    """One sweep: tracks from the best identities, their likelihood added, and a sample down the tree."""
+    key = "recording, frame, camera"
+    return f"""with {VIEW_TREE},
+loc as (select recording, frame, camera, keypoint, animal, x, y from det join asg using (recording, frame, camera, keypoint, instance)),
+trk as (select recording, frame, camera, keypoint, animal, avg(x) over w as tx, avg(y) over w as ty from loc window w as (partition by recording, camera, keypoint, animal order by frame range between 5 preceding and 5 following)),
+mot as (select recording, frame, camera, keypoint, instance, animal, coalesce({mixture}, 0) as motion from (select o.*, t.animal, t.tx, t.ty, o.x - t.tx as ex, o.y - t.ty as ey from op o join trk t using (recording, frame, camera, keypoint))),
+jnt as (select {key}, keypoint, instance as i, il.animal as a, logp + coalesce(motion, 0) as logp from il left join mot using (recording, frame, camera, keypoint, instance, animal)),
+{decode("jnt", "ve", key, "s", 1)}, {assigned(key, "s")} select * from asgs"""
+
+
+def _movmf(mixture: list[dict]) -> str:
+    def log_norm(kappa: float) -> float:
+        return math.log(kappa / (2 * math.pi * (1 - math.exp(-2 * kappa)))) - kappa
+
+    def density(state: dict) -> str:
+        cases = " ".join(f"when {k} then {log_norm(kappa)!r} + {kappa!r} * (x * {mu[0]!r} + y * {mu[1]!r} + z * {mu[2]!r})" for k, (mu, kappa) in state["bones"].items())
+        return f"sum(case keypoint {cases} end) + {math.log(state['pi'])!r}"
+
+    return f"""with {E}, {BONES}, units as (select pose_id, keypoint, dx / (length + 1e-16) as x, dy / (length + 1e-16) as y, dz / (length + 1e-16) as z from whole),
+l as (select pose_id, {density(mixture[0])} as l0, {density(mixture[1])} as l1 from units group by 1),
+t as (select *, {_lse("l0", "l1")} as total from l),
+r as (select u.*, s.state, total, exp(case s.state when 0 then l0 else l1 end - total) as r from units u join t using (pose_id), (select unnest([0, 1])::bigint as state) s),
+g as (select state, keypoint, sum(r) as n, sum(r * x) as sx, sum(r * y) as sy, sum(r * z) as sz, count(*) as poses, avg(total) as ll from r group by all),
+h as (select *, sqrt(sx * sx + sy * sy + sz * sz) as long, least(sqrt(sx * sx + sy * sy + sz * sz) / greatest(n, 1e-12), 1 - 1e-9) as rbar from g)
+select state, keypoint, round(n / poses, 6) + 0.0 as pi, round(sx / greatest(long, 1e-12), 6) + 0.0 as mu_x, round(sy / greatest(long, 1e-12), 6) + 0.0 as mu_y, round(sz / greatest(long, 1e-12), 6) + 0.0 as mu_z,
+  round(rbar * (3 - rbar * rbar) / (1 - rbar * rbar), 6) + 0.0 as kappa, round(ll, 6) + 0.0 as log_likelihood from h"""
+
+
+def _kmeans(k: int = 8, starts: int = 10, steps: int = 100, tol: float = 1e-4) -> str:
+    """Lloyd's algorithm by recursion, a row of state for each start and cluster; a start that stands still leaves it, and its centroids of the step before count."""
+    return f"""with recursive pts as (select vec_id, embedding::double[] as v from embeddings where embedding is not null),
+ini as (select s, c, v from (select s, row_number() over (partition by s order by md5(concat_ws('|', s, vec_id)), vec_id) - 1 as c, v from pts, (select unnest(generate_series(0, {starts - 1})) as s)) where c < {k}),
+run as (select s, 0 as step, c, v as cen, 'inf'::double as last, 'inf'::double as inertia from ini
+  union all
+  select s, step + 1, c, list(m order by d), any_value(inertia), any_value(total) from (
+    select s, step, c, d, any_value(inertia) as inertia, any_value(total) as total, coalesce(avg(val) filter (rn = 1), 0) as m from (
+      select s, step, c, inertia, rn, sum(far) filter (rn = 1) over (partition by s) as total, unnest(v) as val, generate_subscripts(v, 1) as d from (
+        select r.s, r.step, r.c, r.inertia, p.v, power(list_distance(r.cen, p.v), 2) as far, row_number() over (partition by r.s, p.vec_id order by list_distance(r.cen, p.v), r.c) as rn
+        from run r, pts p where r.step < {steps} and (r.step = 0 or abs(r.last - r.inertia) >= {tol} or r.last = 'inf'::double))) group by all) group by s, step, c),
+fin as (select s, max(step) as step, arg_max(inertia, step) as inertia, abs(arg_max(last, step) - arg_max(inertia, step)) < {tol} as still from run group by s),
+won as (select s, step - still::int as step from fin order by round(inertia, 6), s limit 1)
+select vec_id, c::bigint as cluster from (select p.vec_id, r.c, row_number() over (partition by p.vec_id order by list_distance(r.cen, p.v), r.c) as rn from run r join won using (s, step), pts p) where rn = 1"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -122,7 +271,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "scan_detections": f"with {E} select {S}, frame, x, y, round(confidence, 6) + 0.0 as confidence from det",
         "outlier_probs": f"with {E} select {S}, frame, round(outlier_prob, 6) + 0.0 as outlier_prob from op",
-        "interpolate_keypoints": _interpolate(),
+        "interpolate_keypoints": f"with {E}, {_filled()} select {S}, frame, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y from fil",
         "affinity_logprobs": f"with {E}, {AF} select {S}, frame, parent_instance, round(logp, 6) + 0.0 as logp from al",
         "identity_logprobs": f"with {E}, {ID} select {S}, frame, animal, round(logp, 6) + 0.0 as logp from il",
         "topn_detections": f"with {E} select {S}, frame, 0::bigint as slot, round(confidence, 6) + 0.0 as confidence from det qualify row_number() over (partition by recording, frame, camera, keypoint order by confidence desc, instance desc) = 1",
@@ -152,10 +301,26 @@ select pose_id, keypoint, round(x * cos(t) + y * sin(t), 6) + 0.0 as x, round(y
         "pose_directions": f"with {E}, {BONES} select pose_id, keypoint, round(dx / (length + 1e-16), 6) + 0.0 as x, round(dy / (length + 1e-16), 6) + 0.0 as y, round(dz / (length + 1e-16), 6) + 0.0 as z from whole",
         "pose_windows": f"with {E}, {POSES}, m as (select pose_id, median(x) as x, median(y) as y from poses group by 1) select pose_id, round(x - 75, 6) + 0.0 as x_low, round(x + 75, 6) + 0.0 as x_high, round(y - 75, 6) + 0.0 as y_low, round(y + 75, 6) + 0.0 as y_high from m",
         "mixture_loglik": f"with {E} select {S}, frame, round(coalesce({_lse(mix_a, mix_b)}, 0), 6) + 0.0 as logp from op",
-        "crop_centroids": f"""with {E}, m as (select recording, camera, frame, median(x) as mx, median(y) as my from det group by all)
-select a.recording, a.camera, a.frame, round(sum(exp(-((a.frame - b.frame) ** 2) / 200.0) * b.mx) / sum(exp(-((a.frame - b.frame) ** 2) / 200.0)) filter (b.mx is not null), 6) + 0.0 as cx,
-  round(sum(exp(-((a.frame - b.frame) ** 2) / 200.0) * b.my) / sum(exp(-((a.frame - b.frame) ** 2) / 200.0)) filter (b.my is not null), 6) + 0.0 as cy
-from m a join m b on a.recording = b.recording and a.camera = b.camera and abs(a.frame - b.frame) <= 40 group by all""",
+        "crop_centroids": _centroids(),
+        "camera_pair_errors": _pair_errors(),
+        "triangulated_points": _triangulated(),
+        "tree_sample": f"with {VIEWS}, {decode('vi', 've', 'recording, frame, camera', seed=1)}, {assigned('recording, frame, camera')} select * from asg",
+        "smoothed_permutations": _smoothed(),
+        "space_loglik": _space(_lse(*(x.replace("(x - y) * (x - y)", "(ex * ex + ey * ey)") for x in (mix_a, mix_b)))),
+        "gibbs_sweep": _gibbs(_lse(*(x.replace("(x - y) * (x - y)", "(ex * ex + ey * ey)") for x in (mix_a, mix_b)))),
+        "movmf_step": _movmf(MIXTURE),
+        "embedding_kmeans": _kmeans(),
+        "composed_permutations": f"""with {E}, {ID}, s as (select recording, frame, camera, keypoint, coalesce(sum(logp) filter (animal = instance), 0) as s0, coalesce(sum(logp) filter (animal <> instance), 0) as s1 from il group by all),
+b as (select recording, frame, camera, keypoint, case when round(s1, 9) > round(s0, 9) then 1 else 0 end as p from s)
+select o.recording, o.frame, o.camera, o.keypoint, (f.p + o.p) % 2 ::bigint as p from b o join b f on f.recording = o.recording and f.frame = o.frame and f.keypoint = o.keypoint and f.camera = 0 where o.camera > 0""",
+        "unequal_cameras": f"with {E}, f as (select recording, camera, max(frame) + 1 as frames from det where x is not null and y > 50 group by all) select recording, min(frames) as least, max(frames) as most from f group by 1 having min(frames) <> max(frames)",
+        "sleap_detections": f"with {E}, {PEAKS} select recording, camera, frame, keypoint, instance, x, y, confidence from best",
+        "sleap_affinities": f"""with {E}, {PEAKS},
+eds as (select recording, camera, frame, edge, peak - 2 as pa, case when edge = 1 and frame % 7 = 0 then -1 else peak end as pb, round(((frame * 13 + peak * 5 + edge) % 31) / 31, 6) as score from (select *, keypoint * 2 + instance as peak from det where keypoint in (1, 2)), (select unnest([0, 1]) as edge)),
+used as (select recording, camera, frame, pa, pb, arg_max(score, edge) as score from eds where pb >= 0 group by all)
+select c.recording, c.camera, c.frame, c.keypoint, c.instance, p.instance as parent_instance, coalesce(u.score, 0.0)::double as weight from best c
+  join best p on p.recording = c.recording and p.camera = c.camera and p.frame = c.frame and p.keypoint = c.keypoint - 1
+  left join used u on u.recording = c.recording and u.camera = c.camera and u.frame = c.frame and u.pb = c.peak and u.pa = p.peak""",
         "overlay_segments": f"with {E}, o as (select * from det where x >= 0 and x < 80 and y >= 0 and y < 80) select c.recording, c.camera, c.frame, c.instance, c.keypoint, c.x, c.y, p.x as px, p.y as py from o c join o p on p.recording = c.recording and p.camera = c.camera and p.frame = c.frame and p.instance = c.instance and p.keypoint = c.keypoint - 1",
         "assignments_rectified": f"""with recursive {GRAPH}, {AF}, {GROUPS}, {GA}, {GI},
 ti as (select recording, frame, keypoint, group_id as i, animal as a, identity as logp from gi),

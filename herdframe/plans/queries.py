@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdframe.functions.scalars import mixture_log
-from herdframe.operators import geometry, grouping, permutations, poses, transforms, tree
+from herdframe.operators import clustering, geometry, grouping, permutations, poses, transforms, tree
 from herdframe.operators.kinematics import IdentitySampler, RandomWalk, SpaceWalk
 from herdframe.plans import views
+from herdframe.plans.mixture import MIXTURE
 from herdframe.schemas import CELL, SERIES, VIEW
 
 N, PARENTS = views.N, views.PARENTS
@@ -90,9 +91,9 @@ def jensen_shannon_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def camera_pair_errors(spark: SparkSession, sf: str) -> DataFrame:
-    """By the SVD of each pair; tests compare it with an eigenvector version."""
+    """By the SVD of each pair. Pixels to four decimals: SQL finds the same point by inverse iteration."""
     found = geometry.pair_scores(_outliers(spark, sf), _identity(spark, sf), N, PROJECTIONS, most_outlier=0.9)
-    return rounded(found, "error", "divergence")
+    return rounded(found.withColumn("error", F.round("error", 4)), "error", "divergence")
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,7 +177,7 @@ def tree_loglik(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tree_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """A sample of identities; tests compare its frequencies with exact marginals."""
+    """A sample of identities; the noise comes from digests of the views, so SQL draws the same."""
     return tree.assignments(_decoded(spark, sf, seed=1), N)
 
 
@@ -188,7 +189,7 @@ def split_by_animal(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def smoothed_permutations(spark: SparkSession, sf: str) -> DataFrame:
-    """Viterbi over frames; tests compare it with enumeration."""
+    """Viterbi over frames."""
     decoded = tree.assignments(_decoded(spark, sf), N)
     filled = transforms.interpolate(views.detections(spark, sf))
     located = permutations.split_by_animal(filled, decoded)
@@ -217,13 +218,9 @@ def pose_directions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(poses.directions(views.poses(spark, sf), PARENTS), "x", "y", "z")
 
 
-#: A fixed start of two states for one step of expectation maximisation.
-MIXTURE = [{"pi": 0.5, "bones": {k: ([1.0, 0.0, 0.0], 1.0) for k in (1, 2, 3)}}, {"pi": 0.5, "bones": {k: ([0.0, 0.6, 0.8], 2.0) for k in (1, 2, 3)}}]
-
-
 @query
 def movmf_step(spark: SparkSession, sf: str) -> DataFrame:
-    """One EM step; tests compare it with plain arrays."""
+    """One EM step."""
     step = poses.movmf_step(poses.directions(views.poses(spark, sf), PARENTS), MIXTURE)
     return rounded(step, "pi", "mu_x", "mu_y", "mu_z", "kappa", "log_likelihood")
 
@@ -251,13 +248,9 @@ def overlay_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def embedding_kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    """Lloyd's algorithm at scale: a seeded k-means over all embeddings."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=8, seed=1, maxIter=20).fit(rows)
-    return model.transform(rows).select("vec_id", F.col("prediction").cast("long").alias("cluster"))
+    """Lloyd's algorithm over all embeddings, the best of ten starts."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return clustering.kmeans_rows(rows, "vec_id", "v", 8)
 
 
 @query
@@ -288,9 +281,10 @@ def gibbs_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def triangulated_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Points in space of decoded animals; tests project known points and get them back."""
+    """Points in space of decoded animals, as bearings and inverse depth, which are stable for points far away."""
     located = permutations.split_by_animal(views.detections(spark, sf), tree.assignments(_decoded(spark, sf), N))
-    return rounded(geometry.triangulated(located, PROJECTIONS), "x", "y", "z")
+    points = geometry.triangulated(located, PROJECTIONS).where("z <> 0")
+    return points.select(*CELL, "animal", *[(F.round(c, 4) + 0.0).alias(n) for n, c in (("bearing_x", F.col("x") / F.col("z")), ("bearing_y", F.col("y") / F.col("z")), ("inverse_depth", 1 / F.col("z")))])
 
 
 @query
@@ -298,7 +292,51 @@ def space_loglik(spark: SparkSession, sf: str) -> DataFrame:
     """Likelihoods of all detections under tracks in space."""
     d = _outliers(spark, sf)
     located = permutations.split_by_animal(d, tree.assignments(_decoded(spark, sf), N))
-    return rounded(SpaceWalk(PROJECTIONS).initialize(located).log_likelihood(d), "logp")
+    found = SpaceWalk(PROJECTIONS).initialize(located).log_likelihood(d)
+    return found.withColumn("logp", F.round("logp", 2) + 0.0)
+
+
+@query
+def composed_permutations(spark: SparkSession, sf: str) -> DataFrame:
+    """How the best permutation of the first camera has to be changed to be that of each other: a product of permutations, looked up in their table."""
+    best = permutations.best_permutation(permutations.permutation_scores(_identity(spark, sf), [*VIEW, "keypoint"], N), [*VIEW, "keypoint"])
+    first, others = best.where("camera = 0").select(*CELL, "p"), best.where("camera > 0")
+    keys = [*VIEW, "keypoint"]
+    own = others.select(*keys).join(first, CELL).select(*keys, "p")
+    return permutations.compose(own, others.select(*keys, "p"), keys, N)
+
+
+@query
+def unequal_cameras(spark: SparkSession, sf: str) -> DataFrame:
+    """Recordings whose cameras end at different frames, of detections that are there."""
+    return transforms.require_equal_lengths(views.detections(spark, sf).where("x is not null and y > 50"))
+
+
+def _sleap(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Peaks and edges as a pose estimator writes them: peaks numbered by channel and instance, two edges along the chain of each instance, one of them given twice."""
+    d = views.detections(spark, sf)
+    peak = F.col("keypoint") * N + F.col("instance")
+    peaks = d.where("x is not null").select("recording", "camera", "frame", peak.alias("peak"), F.col("keypoint").alias("channel"), "x", "y", F.round("confidence", 6).alias("value"))
+    child = d.where("keypoint in (1, 2)").select("recording", "camera", "frame", F.explode(F.array(*[F.struct(F.lit(e).cast("long").alias("edge"), (peak - N).alias("peak_a"), F.when((F.lit(e) == 1) & (F.col("frame") % 7 == 0), -1).otherwise(peak).alias("peak_b"), F.round((F.col("frame") * 13 + peak * 5 + e) % 31 / 31, 6).alias("score")) for e in (0, 1)])).alias("e"))
+    return peaks, child.select("recording", "camera", "frame", "e.*")
+
+
+@query
+def sleap_detections(spark: SparkSession, sf: str) -> DataFrame:
+    """The N most confident peaks of each channel, as instances."""
+    return _sleap_tables(spark, sf)[0]
+
+
+@query
+def sleap_affinities(spark: SparkSession, sf: str) -> DataFrame:
+    """Affinities of edges along the tree; pairs without a score have 0."""
+    return _sleap_tables(spark, sf)[1]
+
+
+def _sleap_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    from herdframe.sources.detections import sleap_tables
+
+    return sleap_tables(*_sleap(spark, sf), [0, 1, 2, 3], PARENTS, N)
 
 
 def queries() -> dict[str, Query]:
