@@ -23,10 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import tidied
+from herdframe.llm.common import tidied, written
 
 #: Plain bytes of a frame and of a bundle, Zstandard's level, and the smallest payload that is worth a revisit.
 FRAME, BUNDLE, LEVEL, REVISIT = 256 << 10, 16 << 20, 3, 100
+#: Repeated digests that every task may hold, of about 100 bytes each.
+HELD = 200_000
 #: Fixed values of the seekable format: magic numbers of skippable frames and of the seek table.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _HEAD = b"WARC/1.1\r\n"
@@ -37,13 +39,16 @@ _RECORD = "id long, url string, payload binary, payload_bytes long, payload_dige
 def with_revisits(records: DataFrame) -> DataFrame:
     """Adds digest and refers_to to (id, url, payload binary).
 
-    Only (digest, id) are grouped, with partial sums first, so copies may be any share of
-    the records; the payloads meet one row a digest in a join whose skewed partitions Spark splits.
+    Only (digest, id) are grouped, with partial sums first, so copies may be any share of the
+    records. The table of repeated digests is written and counted: up to HELD of them go to every
+    task and no payload moves; beyond that payloads meet one row a digest in a join whose
+    skewed partitions Spark splits.
     """
     marked = records.withColumn("digest", F.sha2("payload", 256))
     firsts = marked.where(F.octet_length("payload") >= REVISIT).groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-    firsts = firsts.where("copies > 1").select(F.col("digest").alias("of"), "first_id")
-    joined = marked.join(firsts.hint("shuffle_hash"), F.col("digest") == F.col("of"), "left")
+    firsts = written(firsts.where("copies > 1").select(F.col("digest").alias("of"), "first_id"), "digests")
+    firsts = F.broadcast(firsts) if firsts.count() <= HELD else firsts.hint("shuffle_hash")
+    joined = marked.join(firsts, F.col("digest") == F.col("of"), "left")
     later = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     return joined.select("id", "url", "payload", "digest", F.when(later, F.col("first_id")).alias("refers_to"))
 
