@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from herdframe.sources.shared import removed, scratch, written  # noqa: F401  the operators take them from here
 
 #: Bytes of text that a kernel handles at once; a longer text is a batch of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Ids that are sampled for each range of them.
 SAMPLED = 64
 #: The separators of words: space and \t \n \v \f \r.

@@ -34,7 +34,7 @@ from herdframe.llm.common import constant, flat, slices, tidied
 #: Labelled texts of a language that training takes at most, hashed features, texts in one matrix.
 PER_LANGUAGE, FEATURES, ROWS = 500, 4096, 512
 #: Bytes of text in one pass over arrays.
-PASS = 4 << 20
+PASS = 1 << 20
 #: The share of labelled texts that may be unlike their language; deviations of slack.
 OUTLIERS, DEVIATIONS = 0.005, 2.0
 ORDERS = (1, 2, 3)

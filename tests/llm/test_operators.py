@@ -35,7 +35,9 @@ def docs(spark):
     return corpus.crowded(spark).cache()
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("held", [warc.HELD, 0])
+def test_warc_round_trip(spark, monkeypatch, held):
+    monkeypatch.setattr(warc, "HELD", held)
     big, small = "<p>same page</p>" * 20, "<p>"
     rows = [(1, "u1", big), (2, "u2", big), (3, None, small), (4, "u4", small), (5, "u5", None), (6, "u\r\nx: y", ""), (None, "u7", big), (8, "u8", "x" * 3_000_000), (9, "é", "é" * 60), (2, "u2", big)]
     path = scratch(spark, "warc")
