@@ -15,9 +15,9 @@ from other hashes, and meet in its bands too.
 Pairs from bands of up to CROWD classes pass if sizes allow a link and the likeness estimated
 from the sketches, corrected for buckets that agree by chance, isn't over SIGMAS deviations
 short; then full sets confirm them. A larger crowd first meets as a star: its members against one
-of them, each member once a round, with the leader that its sketch is most like. Links of STARS
-rounds unite most of a group of near copies at the cost of a text a member. What is left is
-compared in full, crowd by crowd: members in parts of bounded size, every two parts as one
+of them, each member once a round, with the leader that its sketch is most like. Links of up to
+STARS rounds unite most of a group of near copies at the cost of a text a member. What is left,
+once it is at most TILED pairs or the rounds are over, is compared in full, crowd by crowd: members in parts of bounded size, every two parts as one
 tile but those of one component, and a tile gives back no more links than it has members. So no
 pair of a band is left out unless it is connected already, and none is a row before it has passed.
 """
@@ -38,8 +38,8 @@ BUCKETS, ROWS = 156, 6
 SMALL = 64
 #: Classes of a band whose pairs become rows, deviations of the estimate, classes and shingles in a part of a tile.
 CROWD, SIGMAS, PART, PART_SHINGLES = 24, 4.5, 512, 250_000
-#: Rounds of stars, and texts that one task compares with a leader.
-STARS, POINTS = 3, 256
+#: Rounds of stars at most, texts that one task compares with a leader, and pairs of classes that go to tiles without another star.
+STARS, POINTS, TILED = 4, 256, 1 << 24
 #: The chance that two unlike buckets agree: as many leading zeros, and the same four bits.
 CHANCE = 1 / 3 / 16
 _ORDERS = np.argsort(mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)).reshape(BUCKETS, BUCKETS), axis=1)
@@ -132,7 +132,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     places = pairs.groupBy("at").agg(F.ceil(F.count("*") / POINTS).alias("places"))
     pairs = pairs.join(places, "at").select("at", F.pmod(F.xxhash64("doc_id"), F.col("places")).alias("place"), "doc_id")
     pairs = pairs.union(pairs.select("at", "place", F.col("at").alias("doc_id")).distinct())
-    rows = pairs.join(texts, "doc_id").select("at", "place", (F.col("at") != F.col("doc_id")).alias("other"), "doc_id", "text")
+    rows = pairs.join(texts.hint("merge"), "doc_id").select("at", "place", (F.col("at") != F.col("doc_id")).alias("other"), "doc_id", "text")
     rows = rows.repartition(n, "at", "place").sortWithinPartitions("at", "place", "other")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,22 +221,26 @@ def tile_links(ids: np.ndarray, right: np.ndarray, sets: list[np.ndarray], perce
 
 def star_pairs(members: DataFrame, classes: DataFrame, percent: int, turn: int) -> DataFrame:
     """(a, b, na, nb): every member (key, rep, component) of a crowd with that leader of its crowds, in another component, which its sketch is most like."""
-    leaders = members.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("leader"))
+    leaders = written(members.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("leader")), "leaders")
     spokes = members.join(leaders, "key").where(F.col("component") != F.col("leader.component"))
     like = estimated(spokes.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent)
     best = like.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("like", "a")).alias("x"))
     return best.select("x.a", "b", "x.na", "x.nb")
 
 
-def divided(members: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Members (key, rep, n, component) of the crowds that lie in several components; without labels a class is its own component."""
-    component = F.col("rep")
-    if labels is not None:
-        members = members.drop("component").join(labels, F.col("rep") == F.col("node"), "left")
-        component = F.coalesce("component", "rep")
-    members = members.select("key", "rep", "n", component.alias("component"))
+def divided(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, rep, n, component) of the crowds that lie in several components; a class without a label is its own."""
+    members = members.drop("component").join(labels, F.col("rep") == F.col("node"), "left")
+    members = members.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     several = members.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one < other").select("key")
-    return members.join(several, "key", "left_semi")
+    return members.join(written(several, "several"), "key", "left_semi")
+
+
+def unlike_pairs(members: DataFrame) -> int:
+    """The number of pairs of members (key, component) of a crowd in different components."""
+    each = members.groupBy("key", "component").agg(F.count("*").cast("double").alias("m"))
+    sums = each.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
+    return int(sums.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0)
 
 
 def crowd_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -244,10 +248,11 @@ def crowd_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 
     A component with PART members in a crowd has parts of its own, which aren't compared with each other.
     """
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("many"))
+    # small tables by key are written, so that a join with a crowd of any size can be split
+    sizes = written(members.groupBy("key", "component").agg(F.count("*").alias("many")), "sizes")
     cell = F.when(F.col("many") >= PART, F.col("component").cast("string")).otherwise("")
     placed = members.join(sizes, ["key", "component"]).select("key", "rep", "n", cell.alias("cell"))
-    parts = placed.groupBy("key", "cell").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    parts = written(placed.groupBy("key", "cell").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts")), "parts")
     placed = placed.join(parts, ["key", "cell"]).select("key", "rep", F.struct("cell", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("k")).alias("part"))
     listed = parts.select("key", F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("key", F.struct(F.col("c").alias("cell"), "k").alias("part"))
     tiles = listed.withColumnRenamed("part", "i").join(listed.withColumnRenamed("part", "j"), "key").where((F.col("i") <= F.col("j")) & ((F.col("i.cell") != F.col("j.cell")) | (F.col("i.cell") == "")))
@@ -278,15 +283,15 @@ def _shingled(texts: DataFrame) -> DataFrame:
 def linked(classes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """(node, component) of the classes (rep, n, registers, more) that have links."""
     bands = banded(classes, width)
-    crowds = bands.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    crowds = written(bands.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "keys")
     members = written(bands.join(crowds, "key").select("key", "rep", "n", "many"), "members")
     few = members.where(F.col("many") <= CROWD)
     other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
     sizes = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
     pairs = few.select("key", F.col("rep").alias("a"), "n").join(other, "key").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
     near = estimated(pairs, classes, percent).drop("like")
-    left = divided(members.where(F.col("many") > CROWD))
-    crowded = not members.where(F.col("many") > CROWD).isEmpty()
+    left = members.where(F.col("many") > CROWD).select("key", "rep", "n", F.col("rep").alias("component"))
+    crowded = not left.isEmpty()
     if crowded:
         near = near.unionByName(star_pairs(left, classes, percent, 0)).distinct()
     near = written(near, "pairs")
@@ -299,14 +304,17 @@ def linked(classes: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
         left = written(divided(left, labels), "crowds")
         if left.isEmpty():
             break
-        if turn < STARS:
-            found = confirmed(written(star_pairs(left, classes, percent, turn), "pairs"), texts, percent)
-        else:
+        last = turn == STARS or unlike_pairs(left) <= TILED
+        if last:
             found = crowd_links(left, texts, percent)
+        else:
+            found = confirmed(written(star_pairs(left, classes, percent, turn), "pairs"), texts, percent)
         held = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         links = written(held.unionByName(found), "links")
         labels = components(links)
         removed(links)
+        if last:
+            break
     return labels
 
 
