@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from herdframe.llm import decontaminate, fingerprints, language_id, lattice, line_dedup, near_dedup, pieces, substring_dedup, token_counts, warc
 from herdframe.llm.common import scratch, table, whole
+from herdframe.llm.repeats import NULL_ID
 
 
 def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,18 +105,35 @@ from k
 """
 
 
+# rows of one id are linked through it, and a null id is linked with nothing
+OP9_SQL = f"""
+with recursive d as (select row_number() over () as no, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select no, doc_id, unnest(w) as w, generate_subscripts(w, 1) as pos, len(w) as many from (select no, doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from d)),
+p as (select no, doc_id, many, concat_ws(' ', {", ".join(f"lead(w, {k}) over v" if k else "w" for k in range(near_dedup.WIDTH))}) as g, lead(w, {near_dedup.WIDTH - 1}) over v as last, pos from w window v as (partition by no order by pos)),
+s as (select distinct no, doc_id, g from p where last is not null or (many < {near_dedup.WIDTH} and pos = 1)),
+n as (select no, doc_id, count(*) as n from s group by all),
+i as (select a.no as a, b.no as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select distinct x.doc_id as a, y.doc_id as b from i join n x on x.no = a join n y on y.no = b where 100 * shared >= {near_dedup.PERCENT} * (x.n + y.n - shared)),
+l as (select a, b from e union select b, a from e),
+r as (select a, b from l union select r.a, l.b from r join l on l.a = r.b),
+c as (select a as doc_id, least(a, min(b)) as component_id from r group by a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.component_id, d.doc_id) as component_id, coalesce(coalesce(c.component_id, d.doc_id) = d.doc_id, true) as kept
+from d left join n using (no) left join c on c.doc_id = d.doc_id
+"""
+
+
+# a null id counts as the smallest, and rows of one id are one document with a row each
 OP10_SQL = f"""
-with l as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
-  from documents),
-k as (select doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
-r as (select key, min(doc_id) as first_id from k where length(key) >= {line_dedup.SHORTEST} group by key having count(distinct doc_id) > 1),
-m as (select k.*, r.first_id is not null and r.first_id <> k.doc_id as gone from k left join r using (key))
+with d as (select row_number() over () as no, doc_id, coalesce(doc_id, {NULL_ID}) as id, coalesce(text, '') as text from documents),
+l as (select no, doc_id, id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+r as (select key, min(id) as first_id from k where length(key) >= {line_dedup.SHORTEST} group by key having count(distinct id) > 1),
+m as (select k.*, r.first_id is not null and r.first_id <> k.id as gone from k left join r using (key))
 select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
-from m group by doc_id
+from m group by no, doc_id
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": OP1_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_warc_bundles": OP1_SQL, "op9_near_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}

@@ -395,8 +395,8 @@ def test_near_dedup_of_a_crowd(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "PART", 40)
     monkeypatch.setattr(near_dedup, "POINTS", 16)
     want = brute.components([(r[0], r[1]) for r in rows])
-    for stars in (3, 1):
-        monkeypatch.setattr(near_dedup, "STARS", stars)
+    for tiled in (0, near_dedup.TILED):
+        monkeypatch.setattr(near_dedup, "TILED", tiled)
         found = near_dedup.near_duplicates(corpus.frame(spark, rows)).collect()
         assert {r.doc_id: r.component_id for r in found} == want
 
