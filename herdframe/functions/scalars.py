@@ -1,4 +1,4 @@
-"""Column expressions: probabilities, angles, rotations, likelihoods. All run inside generated code."""
+"""Column expressions: probabilities, angles, rotations, likelihoods. All run in the JVM; those over arrays are interpreted, the others part of generated code."""
 
 import math
 from functools import reduce

@@ -238,8 +238,10 @@ def crop_centroids(detections: DataFrame, sigma: int = 10, segment: int = 10_000
     return rows.groupBy(*view, "segment").applyInArrow(smooth, "recording string, camera long, frame long, cx double, cy double")
 
 
-def overlay_segments(detections: DataFrame, parents: list[int], width: float, height: float) -> DataFrame:
-    """(recording, camera, frame, instance, keypoint, x, y, px, py): bones with both ends on the image."""
+def overlay_segments(detections: DataFrame, parents: list[int], width: float, height: float, keypoints: list[int] | None = None) -> DataFrame:
+    """(recording, camera, frame, instance, keypoint, x, y, px, py): bones with both ends on the image, and among `keypoints` if some are chosen."""
+    if keypoints is not None:
+        detections = detections.where(F.col("keypoint").isin(keypoints))
     parent = F.array(*[F.lit(p).cast("long") for p in parents])
     on = detections.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)).select("recording", "camera", "frame", "instance", "keypoint", "x", "y")
     child = on.withColumn("parent", parent[F.col("keypoint").cast("int")]).where("parent <> keypoint")

@@ -4,6 +4,7 @@ import pickle
 import numpy as np
 import pytest
 
+from herdframe.operators import poses
 from herdframe.sources import config, detections, sinks
 
 PARTS = ["tail", "nose", "neck"]
@@ -152,7 +153,23 @@ def test_pictures(spark):
     frames = spark.createDataFrame([("r", 0, 0, bytes(300)), ("r", 0, 1, bytes(300))], "recording string, camera long, frame long, image binary")
     lines = spark.createDataFrame([("r", 0, 0, 1, 1.0, 1.0, 4.0, 1.0)], "recording string, camera long, frame long, instance long, x double, y double, px double, py double")
     got = {r.frame: np.frombuffer(bytes(r.image), np.uint8).reshape(10, 10, 3) for r in sinks.overlay(frames, lines, 10, 10).collect()}
-    assert got[0][1, 1:5, 1].tolist() == [255] * 4 and got[0].sum() == 4 * 255 and got[1].sum() == 0
+    assert got[0][1, 1:5].tolist() == [[255, 0, 0]] * 4 and got[0].sum() == 4 * 255 and got[1].sum() == 0
+
+
+def test_overlay_options(spark):
+    frames = spark.createDataFrame([("r", 0, t, bytes([100] * 1200)) for t in (0, 1)], "recording string, camera long, frame long, image binary")
+    rows = [("r", 0, 0, k, a, float(5 + 8 * k), float(5 + 8 * a), 1.0) for k in range(2) for a in range(2)] + [("r", 0, 0, 2, 0, 25.0, 5.0, 1.0), ("r", 0, 0, 2, 1, None, None, 0.0)]
+    d = spark.createDataFrame(rows, "recording string, camera long, frame long, keypoint long, instance long, x double, y double, confidence double")
+    bones = poses.overlay_segments(d, [0, 0, 1], 20, 20)
+    assert poses.overlay_segments(d, [0, 0, 1], 20, 20, keypoints=[0, 2]).count() == 0 and bones.count() == 2
+    maps = [((200, 0, 0), (0, 200, 0)), ((0, 0, 200), (0, 0, 200))]
+    drawn = sinks.overlay(frames, bones, 20, 20, points=d, keypoints=2, colours=maps, line_width=3, node_size=1, opacity=0.5)
+    got = {r.frame: np.frombuffer(bytes(r.image), np.uint8).reshape(20, 20, 3) for r in drawn.collect()}
+    assert (got[1] == 100).all()
+    image = got[0]
+    assert image[5, 5].tolist() == [150, 50, 50] and image[5, 13].tolist() == [50, 150, 50]  # the ends of the first animal's colours
+    assert image[5, 9].tolist() == [50, 150, 50] and image[4, 9].tolist() == image[6, 9].tolist() == [50, 150, 50]  # a wide bone in its keypoint's colour
+    assert image[13, 9].tolist() == [50, 50, 150] and (image[9] == 100).all() and image[4, 4].tolist() != image[5, 4].tolist()
 
 
 def test_crop(spark):
