@@ -7,59 +7,69 @@ The work is that of herdframe.llm.repeats: documents probe arrays behind a minim
 hash instead of joining lines. A null or empty text is one empty line.
 """
 
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from herdframe.llm.common import SPACES
+from herdframe.llm.common import _BYTE, _FOLDED, _IS_SPACE, _numbers, flat, mix, run_hashes
 from herdframe.llm.repeats import Firsts, probed
 
 SHORTEST = 10
+#: Random numbers for each byte at its place, the same for A-Z and a-z, for either half of a hash.
+_HALVES = [_numbers(b[_FOLDED]).reshape(-1) for b in (_BYTE, mix(_BYTE ^ np.uint64(0x8EBC6AF09C88C6E3)))]
 
 
-def _keys(lines: list[bytes], shortest: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of the keys that are long enough, two words each, and which lines they are of."""
-    digests, which = [], []
-    for k, line in enumerate(lines):
-        if len(line) >= shortest:
-            key = line.strip(SPACES).lower()
-            if len(key) >= 4 * shortest or len(key) >= shortest and len(key.decode()) >= shortest:
-                digests.append(blake2b(key, digest_size=16).digest())
-                which.append(k)
-    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2), np.array(which, np.int64)
-
+class Lines:
+    """The lines of a run of texts: where they begin and end, whose they are, and 128-bit hashes of the keys that are long enough."""
 
-def _lines(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
-    """The lines of all texts in a row, and how many each text has."""
-    split = [t.encode().split(b"\n") for t in texts.to_pylist()]
-    return [line for lines in split for line in lines], np.array(list(map(len, split)), np.int64)
+    def __init__(self, texts: pa.Array, shortest: int):
+        self.raw, at = flat(texts)
+        raw = self.raw
+        feeds = np.flatnonzero(raw == 10)
+        owner = np.searchsorted(at, feeds, side="right") - 1
+        self.many = np.bincount(owner, minlength=len(texts)) + 1
+        self.owner = np.repeat(np.arange(len(texts)), self.many)
+        first = np.cumsum(self.many) - self.many
+        last = first + self.many - 1
+        inner = np.ones(len(self.owner), bool)
+        inner[first] = False
+        self.begin, self.end = np.empty(len(self.owner), np.int64), np.empty(len(self.owner), np.int64)
+        self.begin[first], self.begin[inner] = at[:-1], feeds + 1
+        inner[first], inner[last] = True, False
+        self.end[last], self.end[inner] = at[1:], feeds
+        # keys begin and end with what isn't white space
+        solid = np.flatnonzero(~_IS_SPACE[raw])
+        i, j = np.searchsorted(solid, self.begin), np.searchsorted(solid, self.end)
+        full = np.flatnonzero(i < j)
+        a, b = solid[i[full]], solid[j[full] - 1] + 1
+        points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+        long = points[b] - points[a] >= shortest
+        self.which, a, b = full[long], a[long], b[long]
+        edges = np.zeros(len(raw) + 1, np.int8)
+        edges[a] += 1
+        edges[b] -= 1
+        keys = raw[np.cumsum(edges[:-1], dtype=np.int8) > 0]
+        starts = np.cumsum(b - a) - (b - a)
+        self.h1, self.h2 = (run_hashes(keys, starts, numbers) for numbers in _HALVES)
 
 
 def deduped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows: doc_id, n_lines (before), n_dropped, text (the lines that stay, joined by line feeds), and the columns to keep."""
 
     def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lines, n = _lines(texts)
-        keys, which = _keys(lines, shortest)
-        return keys[:, 0].copy(), keys[:, 1].copy(), np.repeat(np.arange(len(n)), n)[which]
+        lines = Lines(texts, shortest)
+        return lines.h1, lines.h2, lines.owner[lines.which]
 
     def work(texts: pa.Array, ids: np.ndarray, firsts: Firsts) -> dict:
-        lines, n = _lines(texts)
-        keys, which = _keys(lines, shortest)
-        counts, first = firsts.probe(keys[:, 0].copy(), keys[:, 1].copy())
-        owner = np.repeat(np.arange(len(n)), n)
-        drop = np.zeros(len(lines), bool)
-        drop[which] = (counts > 0) & (first != ids[owner[which]])
-        dropped = np.bincount(owner[drop], minlength=len(n))
-        keep, kept, at = (~drop).tolist(), [], 0
-        for long, lost in zip(n.tolist(), dropped.tolist(), strict=True):
-            own = lines[at : at + long]
-            if lost:
-                own = [line for line, k in zip(own, keep[at : at + long], strict=True) if k]
-            kept.append(b"\n".join(own).decode())
-            at += long
-        return {"n_lines": pa.array(n), "n_dropped": pa.array(dropped.astype(np.int64)), "text": pa.array(kept, pa.string())}
+        lines = Lines(texts, shortest)
+        counts, first = firsts.probe(lines.h1, lines.h2)
+        drop = np.zeros(len(lines.owner), bool)
+        drop[lines.which] = (counts > 0) & (first != ids[lines.owner[lines.which]])
+        dropped = np.bincount(lines.owner[drop], minlength=len(texts))
+        kept, raw, at = texts.to_pylist(), lines.raw.tobytes(), np.append(0, np.cumsum(lines.many))
+        for k in np.flatnonzero(dropped).tolist():
+            stay = at[k] + np.flatnonzero(~drop[at[k] : at[k + 1]])
+            kept[k] = b"\n".join([raw[a:b] for a, b in zip(lines.begin[stay].tolist(), lines.end[stay].tolist(), strict=True)]).decode()
+        return {"n_lines": pa.array(lines.many.astype(np.int64)), "n_dropped": pa.array(dropped.astype(np.int64)), "text": pa.array(kept, pa.string())}
 
     return probed(docs, hashes, work, "n_lines long, n_dropped long, text string", doc_id, text, keep)
