@@ -40,7 +40,11 @@ def test_stages_against_plain_versions(spark, folder, tmp_path):
     assert sorted(rows["encoding"], key=by) == sorted(((i, sp.decode(sp.encode(t))) for i, t in clean), key=by)
     for r in docs.collect():
         assert r.n_tokens == len(r.ids)
-    assert corpus_pipeline.run(spark, folder).count() == len(clean)
+    found = corpus_pipeline.run(spark, folder)
+    assert found.count() == len(clean)
+    # each stage ends in a table: nothing of the others stands in the last one's plan
+    plan = found._jdf.queryExecution().toString()
+    assert "decontamination-" in plan and not any(x in plan for x in ("guess", "leaky", "line_dedup-", "Join"))
 
 
 def test_empty_tables(spark, tmp_path):
