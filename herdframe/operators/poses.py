@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from herdframe.functions.scalars import angle
 from herdframe.operators.transforms import interpolate
-from herdframe.sources.shared import written
+from herdframe.sources.shared import removed, written
 
 
 def bones(poses: DataFrame, parents: list[int]) -> DataFrame:
@@ -110,24 +110,38 @@ def directions(poses: DataFrame, parents: list[int]) -> DataFrame:
     return d.select("pose_id", "keypoint", *[(F.col(f"d{c}") / (F.col("length") + 1e-16)).alias(c) for c in "xyz"])
 
 
-def movmf_step(units: DataFrame, mixture: list[dict]) -> DataFrame:
-    """One EM step of a mixture of von Mises-Fisher directions in three dimensions over whole poses.
+def log_norm(kappa: float, dims: int = 3) -> float:
+    """log of the normaliser of a von Mises-Fisher density on the circle (dims 2) or the sphere (3)."""
+    if dims == 2:
+        if kappa < 50:
+            return -math.log(2 * math.pi) - math.log(float(np.i0(kappa)))
+        series = 1 + 1 / (8 * kappa) + 9 / (128 * kappa**2) + 225 / (3072 * kappa**3)
+        return -math.log(2 * math.pi) - kappa + 0.5 * math.log(2 * math.pi * kappa) - math.log(series)
+    if kappa < 1e-6:
+        return -math.log(4 * math.pi)
+    return math.log(kappa) - math.log(2 * math.pi) - kappa - math.log1p(-math.exp(-2 * kappa))
 
-    mixture: one dict a state with `pi` and, for each keypoint, `mu` (three numbers) and `kappa`.
+
+def jittered(units: DataFrame, size: float = 1e-3, dims: int = 3) -> DataFrame:
+    """Directions with noise of up to `size` on each axis, from a hash of pose, keypoint and axis: equal directions aren't quite equal any more."""
+    noise = {c: (F.pmod(F.xxhash64("pose_id", "keypoint", F.lit(c)), F.lit(1 << 30)) / float(1 << 29) - 1) * size for c in "xyz"[:dims]}
+    return units.withColumns({c: F.col(c) + n for c, n in noise.items()})
+
+
+def movmf_step(units: DataFrame, mixture: list[dict], dims: int = 3) -> DataFrame:
+    """One EM step of a mixture of von Mises-Fisher directions in two or three dimensions over whole poses.
+
+    mixture: one dict a state with `pi` and, for each keypoint, `mu` (dims numbers) and `kappa`.
     Rows: (state, keypoint, pi, mu_x, mu_y, mu_z, kappa, log_likelihood). Two aggregations: over
     a pose's bones, then over poses with partial sums, so only a row a state and bone comes back.
     """
-
-    def log_norm(kappa: float) -> float:
-        if kappa < 1e-6:
-            return -math.log(4 * math.pi)
-        return math.log(kappa) - math.log(2 * math.pi) - kappa - math.log1p(-math.exp(-2 * kappa))
+    axes = "xyz"[:dims]
 
     def density(state: dict) -> Column:
         out = F.lit(0.0)
         for k, (mu, kappa) in state["bones"].items():
-            dot = F.col("x") * mu[0] + F.col("y") * mu[1] + F.col("z") * mu[2]
-            out = F.when(F.col("keypoint") == k, F.lit(log_norm(kappa)) + kappa * dot).otherwise(out)
+            dot = sum((F.col(c) * m for c, m in zip(axes, mu, strict=True)), F.lit(0.0))
+            out = F.when(F.col("keypoint") == k, F.lit(log_norm(kappa, dims)) + kappa * dot).otherwise(out)
         return out
 
     logs = [(F.sum(density(s)) + math.log(s["pi"])).alias(f"l{i}") for i, s in enumerate(mixture)]
@@ -136,38 +150,44 @@ def movmf_step(units: DataFrame, mixture: list[dict]) -> DataFrame:
     each = each.withColumn("top", top).withColumn("total", F.log(sum((F.exp(F.col(f"l{i}") - F.col("top")) for i in range(len(mixture))), F.lit(0.0))) + F.col("top"))
     weights = F.array(*[F.struct(F.lit(i).cast("long").alias("state"), F.exp(F.col(f"l{i}") - F.col("total")).alias("r")) for i in range(len(mixture))])
     rows = units.join(each.select("pose_id", "total", F.inline(weights)), "pose_id")
-    sums = rows.groupBy("state", "keypoint").agg(F.sum("r").alias("n"), F.sum(F.col("r") * F.col("x")).alias("sx"), F.sum(F.col("r") * F.col("y")).alias("sy"), F.sum(F.col("r") * F.col("z")).alias("sz"), F.count("*").alias("poses"), F.avg("total").alias("log_likelihood"))
-    length = F.sqrt(F.col("sx") ** 2 + F.col("sy") ** 2 + F.col("sz") ** 2)
+    sums = rows.groupBy("state", "keypoint").agg(F.sum("r").alias("n"), *[F.sum(F.col("r") * F.col(c)).alias(f"s{c}") for c in axes], F.count("*").alias("poses"), F.avg("total").alias("log_likelihood"))
+    length = F.sqrt(sum((F.col(f"s{c}") ** 2 for c in axes), F.lit(0.0)))
     rbar = F.least(F.col("length") / F.greatest("n", F.lit(1e-12)), F.lit(1 - 1e-9))
     sums = sums.withColumn("length", length).withColumn("rbar", rbar)
-    kappa = F.col("rbar") * (3 - F.col("rbar") ** 2) / (1 - F.col("rbar") ** 2)
-    unit = [(F.col(f"s{c}") / F.greatest("length", F.lit(1e-12))).alias(f"mu_{c}") for c in "xyz"]
+    kappa = F.col("rbar") * (dims - F.col("rbar") ** 2) / (1 - F.col("rbar") ** 2)
+    unit = [(F.col(f"s{c}") / F.greatest("length", F.lit(1e-12))).alias(f"mu_{c}") for c in axes]
     return sums.select("state", "keypoint", (F.col("n") / F.col("poses")).alias("pi"), *unit, kappa.alias("kappa"), "log_likelihood")
 
 
-def fit_movmf(units: DataFrame, n_states: int, n_iters: int, n_keypoints: int, seed: int = 0) -> tuple[list[dict], list[float]]:
-    """EM from seeded starts: the mixture and the mean log-likelihood of each step. The units are written once; only the parameters reach the driver."""
-    import random
+def fit_movmf(units: DataFrame, n_states: int, n_iters: int, n_keypoints: int, seed: int = 0, dims: int = 3, jitter: float = 1e-3) -> tuple[list[dict], list[float]]:
+    """EM from seeded starts: the mixture and the mean log-likelihood of each step.
 
-    units = written(units, "units")
+    Directions get their jitter first and are written once; only the parameters reach the driver. The
+    root, which has no direction, is keypoint 0 of each state: along the first axis with kappa 0.
+    """
+    import random
 
+    units = written(jittered(units, jitter, dims) if jitter else units, "units")
     rng = random.Random(seed)
 
     def unit() -> list[float]:
-        v = [rng.gauss(0, 1) for _ in range(3)]
+        v = [rng.gauss(0, 1) for _ in range(dims)]
         n = math.sqrt(sum(x * x for x in v))
         return [x / n for x in v]
 
     mixture = [{"pi": 1 / n_states, "bones": {k: (unit(), 1.0) for k in range(1, n_keypoints)}} for _ in range(n_states)]
     history = []
     for _ in range(n_iters):
-        rows = movmf_step(units, mixture).collect()
+        rows = movmf_step(units, mixture, dims).collect()
         if not rows:
             break
         for r in rows:
             mixture[r.state]["pi"] = max(r.pi, 1e-12)
-            mixture[r.state]["bones"][r.keypoint] = ([r.mu_x, r.mu_y, r.mu_z], max(r.kappa, 0.0))
+            mixture[r.state]["bones"][r.keypoint] = ([r[f"mu_{c}"] for c in "xyz"[:dims]], max(r.kappa, 0.0))
         history.append(rows[0].log_likelihood)
+    for state in mixture:
+        state["bones"][0] = ([1.0] + [0.0] * (dims - 1), 0.0)
+    removed(units)
     return mixture, history
 
 

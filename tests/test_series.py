@@ -78,10 +78,26 @@ def test_movmf_step(spark):
         assert np.isclose(row.pi, r[:, row.state].mean()) and np.isclose(row.kappa, rbar * (3 - rbar**2) / (1 - rbar**2)) and np.isclose(row.log_likelihood, total.mean())
     mixture, history = poses.fit_movmf(d, 2, 4, 4)
     assert len(mixture) == 2 and history[-1] > history[0]
+    assert all(m["bones"][0] == ([1.0, 0.0, 0.0], 0.0) for m in mixture)
     params = poses.gimbal_params([0, 0, 1, 2], mixture, radii_std=[0.0, 1.0, 2.0, 3.0])
     assert params["pos_radial_variance"] == [1e8, 1.0, 4.0, 9.0] and params["obs_inlier_covariance"][0][0] == 10.0
 
 
+def test_movmf_in_the_plane(spark):
+    rng = np.random.default_rng(4)
+    angle = np.where(np.arange(300)[:, None] < 120, rng.vonmises(0.5, 8, (300, 2)), rng.vonmises(-2.0, 20, (300, 2)))
+    d = spark.createDataFrame([(p, k + 1, float(np.cos(angle[p, k])), float(np.sin(angle[p, k]))) for p in range(300) for k in range(2)], "pose_id long, keypoint long, x double, y double")
+    mixture, history = poses.fit_movmf(d, 2, 12, 3, dims=2)
+    assert history[-1] > history[0] and all(b >= a - 0.01 for a, b in zip(history, history[1:]))  # kappa is approximate
+    one, two = sorted(mixture, key=lambda m: m["pi"])
+    assert abs(one["pi"] - 0.4) < 0.02 and 5 < one["bones"][1][1] < 12 and 14 < two["bones"][2][1] < 28
+    assert np.allclose(one["bones"][1][0], (np.cos(0.5), np.sin(0.5)), atol=0.1) and one["bones"][0] == ([1.0, 0.0], 0.0)
+    t = np.linspace(0, 2 * np.pi, 20_001)[:-1]
+    for kappa in (0.0, 1.0, 49.9, 50.1, 400.0):
+        assert np.isclose((np.exp(poses.log_norm(kappa, 2) + kappa * np.cos(t))).mean() * 2 * np.pi, 1, rtol=1e-5)
+    assert np.isclose(poses.log_norm(49.9999, 2), poses.log_norm(50.0001, 2), atol=1e-3)
+
+
 def test_pose_filter_and_alignment(spark):
     rng = np.random.default_rng(2)
     rows = [(p, k, float(k + rng.normal() * 0.01), float(rng.normal() * 0.01), 0.0) for p in range(300) for k in range(4)]
