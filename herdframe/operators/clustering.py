@@ -31,7 +31,8 @@ def seeded_starts(rows: DataFrame, key: str, points: str, k: int, n_init: int) -
     tagged = rows.select(F.col(points).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))).alias("s"), F.col(key).alias("key"))
     tagged = tagged.withColumn("h", F.md5(F.concat_ws("|", F.col("s").cast("string"), F.col("key").cast("string"))))
     rank = F.row_number().over(W.partitionBy("s").orderBy("h", "key"))
-    found = tagged.withColumn("rank", rank).where(F.col("rank") <= k).orderBy("s", "rank").select("s", "v").collect()
+    found = tagged.withColumn("rank", rank).where(F.col("rank") <= k).select("s", "rank", "v").collect()
+    found.sort(key=lambda r: (r.s, r["rank"]))
     return np.array([[r.v for r in found if r.s == s] for s in range(n_init)], float)
 
 
@@ -67,8 +68,8 @@ def kmeans_rows(rows: DataFrame, key: str, points: str, k: int, n_init: int = 10
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(now) * size, dtype=np.int32)), pa.ListArray.from_arrays(at, pa.array(sums.reshape(-1)))], names=["cell", "sums"])
 
         each = rows.select(points).mapInArrow(summed, "cell int, sums array<double>")
-        sums = each.groupBy("cell").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(dims + 2)]).alias("sums")).orderBy("cell").collect()
-        sums = np.array([r.sums for r in sums]).reshape(len(live), size, dims + 2)
+        sums = each.groupBy("cell").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(dims + 2)]).alias("sums")).collect()
+        sums = np.array([r.sums for r in sorted(sums, key=lambda r: r.cell)]).reshape(len(live), size, dims + 2)
         inertia = sums[:, 0, -1]
         final[live] = inertia
         moves = np.abs(last[live] - inertia) >= tol
