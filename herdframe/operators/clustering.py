@@ -23,7 +23,8 @@ def _points(column: pa.Array) -> np.ndarray:
 
 def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Squared distances (starts, points, clusters)."""
-    return ((x[None, :, None, :] - centroids[:, None]) ** 2).sum(3)
+    products = (x @ centroids.reshape(-1, x.shape[1]).T).reshape(len(x), *centroids.shape[:2]).transpose(1, 0, 2)
+    return np.maximum((x**2).sum(1)[None, :, None] - 2 * products + (centroids**2).sum(2)[:, None, :], 0)
 
 
 def seeded_starts(rows: DataFrame, key: str, points: str, k: int, n_init: int) -> np.ndarray:
@@ -61,7 +62,7 @@ def kmeans_rows(rows: DataFrame, key: str, points: str, k: int, n_init: int = 10
                     d = _distances(x, now)
                     member = (d.argmin(2)[..., None] == np.arange(size)).astype(float)
                     n += member.sum(1)
-                    total += np.einsum("spk,pd->skd", member, x)
+                    total += member.transpose(0, 2, 1) @ x
                     inertia += d.min(2).sum(1)
             sums = np.concatenate([n[..., None], total, np.repeat(inertia[:, None], size, 1)[..., None]], 2)
             at = pa.array(np.arange(len(now) * size + 1) * sums.shape[2], pa.int32())
