@@ -22,7 +22,7 @@ tile but those of one component, and a tile gives back no more links than it has
 pair of a band is left out unless it is connected already, and none is a row before it has passed.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -219,11 +219,11 @@ def tile_links(ids: np.ndarray, right: np.ndarray, sets: list[np.ndarray], perce
     return out
 
 
-def star_pairs(members: DataFrame, classes: DataFrame, percent: int, turn: int) -> DataFrame:
+def star_pairs(members: DataFrame, classes: DataFrame, percent: int, turn: int, compared: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
     """(a, b, na, nb): every member (key, rep, component) of a crowd with that leader of its crowds, in another component, which its sketch is most like."""
     leaders = written(members.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("leader")), "leaders")
     spokes = members.join(leaders, "key").where(F.col("component") != F.col("leader.component"))
-    like = estimated(spokes.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent)
+    like = compared(spokes.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent)
     best = like.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("like", "a")).alias("x"))
     return best.select("x.a", "b", "x.na", "x.nb")
 
@@ -289,11 +289,18 @@ def linked(classes: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
     other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
     sizes = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
     pairs = few.select("key", F.col("rep").alias("a"), "n").join(other, "key").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
-    near = estimated(pairs, classes, percent).drop("like")
+    return united(estimated(pairs, classes, percent).drop("like"), members, classes, texts, percent, estimated)
+
+
+def united(near: DataFrame, members: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, compared: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    """(node, component) of what links unite: pairs (a, b, na, nb) that are to be confirmed, and crowds among the members (key, rep, n, many).
+
+    compared(pairs, classes, percent) gives (a, b, na, nb, like) of the pairs that may be linked.
+    """
     left = members.where(F.col("many") > CROWD).select("key", "rep", "n", F.col("rep").alias("component"))
     crowded = not left.isEmpty()
     if crowded:
-        near = near.unionByName(star_pairs(left, classes, percent, 0)).distinct()
+        near = near.unionByName(star_pairs(left, classes, percent, 0, compared)).distinct()
     near = written(near, "pairs")
     links = written(confirmed(near, texts, percent), "links")
     labels = components(links)
@@ -308,7 +315,7 @@ def linked(classes: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
         if last:
             found = crowd_links(left, texts, percent)
         else:
-            found = confirmed(written(star_pairs(left, classes, percent, turn), "pairs"), texts, percent)
+            found = confirmed(written(star_pairs(left, classes, percent, turn, compared), "pairs"), texts, percent)
         held = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         links = written(held.unionByName(found), "links")
         labels = components(links)
@@ -318,6 +325,14 @@ def linked(classes: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
     return labels
 
 
+def labelled(sets: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows: doc_id, n_shingles, component_id for every row of sets (doc_id, n, c1, c2); a null id has no component."""
+    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("component", "rep").alias("component"))
+    known = F.col("doc_id").isNotNull()
+    joined = sets.select("doc_id", "n", "c1", "c2").join(named, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & known & (F.col("n") > 0), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = ROWS) -> DataFrame:
     """Rows: doc_id, n_shingles, component_id, kept, for every document; `width` is the number of buckets in a band.
 
@@ -330,8 +345,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = sets.where("doc_id is not null and n > 0")
     classes = written(named.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("more").alias("more")), "classes")
     found = linked(classes, rows, percent, width)
-    named_classes = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("component", "rep").alias("component"))
-    known = F.col("doc_id").isNotNull()
-    joined = sets.select("doc_id", "n", "c1", "c2").join(named_classes, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & known & (F.col("n") > 0), "left")
-    component = F.when(known, F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    rows = labelled(sets, classes, found)
+    return rows.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
