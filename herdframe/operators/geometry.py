@@ -1,6 +1,6 @@
 """Pairs of detections in two cameras: triangulation errors and identity divergences, made in one join."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdframe.functions.scalars import is_missing, jensen_shannon
-from herdframe.operators.spread import cells, spread
+from herdframe.operators.spread import spread
 from herdframe.schemas import CELL, SERIES
 
 
@@ -83,12 +83,12 @@ def cell_pairs(points: DataFrame, identity: DataFrame, n: int, value: str = "log
     stay dealt out by cell, which is what the graph stages need. Equal detections count once, and of
     repeated identity rows the largest value.
     """
-    place = (F.col("camera") * n + F.col("instance")) * n
-    probs = spread(identity, CELL).groupBy(*CELL).agg(cells(place + F.col("animal"), F.exp(value)).alias("p"))
+    each = identity_arrays(spread(identity, CELL), n, value)  # one row a detection, so its place in the cell is a key
+    probs = each.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct(F.col("camera") * n + F.col("instance"), "probs"))).alias("p"))
     seen = spread(points, CELL).groupBy(*CELL).agg(F.array_sort(F.collect_set(F.struct("camera", "instance", "x", "y"))).alias("d"))
 
     def weights(d: str) -> str:
-        return f"transform(sequence(0, {n - 1}), a -> coalesce(p[({d}.camera * {n} + {d}.instance) * {n} + a], 0D))"
+        return f"coalesce(p[{d}.camera * {n} + {d}.instance], array_repeat(0D, {n}))"
 
     both = "flatten(transform(d, a -> transform(filter(d, b -> b.camera < a.camera), b -> struct(a as u, b as v))))"
     rows = seen.join(probs, CELL).select(*CELL, "p", F.explode(F.expr(both)).alias("e")).select(*CELL, "p", "e.u", "e.v")
@@ -126,7 +126,7 @@ def many_view_points(projections: np.ndarray, cameras: list[np.ndarray], xy: lis
     return out
 
 
-def triangulated(located_by_animal: DataFrame, projections: list[list[list[float]]]) -> DataFrame:
+def triangulated(located_by_animal: DataFrame, projections: list[list[list[float]]], solved: Callable[..., np.ndarray] = many_view_points) -> DataFrame:
     """(recording, frame, keypoint, animal, x, y, z) of what at least two cameras see; at most one row a camera and cell."""
     table = np.array(projections, float)
     seen = located_by_animal.where(~is_missing(F.col("x"), F.col("y")))
@@ -135,13 +135,43 @@ def triangulated(located_by_animal: DataFrame, projections: list[list[list[float
     @F.arrow_udf("x double, y double, z double")
     def solve(views: pa.Array) -> pa.Array:
         rows = views.to_pylist()
-        points = many_view_points(table, [np.array([v["camera"] for v in r]) for r in rows], [np.array([[v["x"], v["y"]] for v in r], float) for r in rows])
+        points = solved(table, [np.array([v["camera"] for v in r]) for r in rows], [np.array([[v["x"], v["y"]] for v in r], float) for r in rows])
         bad = ~np.isfinite(points).all(1)
         return pa.StructArray.from_arrays([pa.array(points[:, d], pa.float64(), mask=bad) for d in range(3)], ["x", "y", "z"])
 
     return cells.select(*CELL, "animal", solve("views").alias("point")).select(*CELL, "animal", "point.x", "point.y", "point.z").where("x is not null")
 
 
+def pairwise_median(projections: np.ndarray, cameras: list[np.ndarray], xy: list[np.ndarray]) -> np.ndarray:
+    """The coordinate-wise median over the points that each two of a cell's views give; NaN for fewer than two views, and if no pair has a point within reach."""
+    first, second, of = [], [], []
+    at = np.append(0, np.cumsum(list(map(len, cameras)))).astype(int)
+    for k, c in enumerate(cameras):
+        i, j = np.triu_indices(len(c), 1)
+        first.append(at[k] + i)
+        second.append(at[k] + j)
+        of.append(np.full(len(i), k))
+    out = np.full((len(cameras), 3), np.nan)
+    if not sum(map(len, of)):
+        return out
+    first, second, of = (np.concatenate(x) for x in (first, second, of))
+    camera, place = np.concatenate(cameras), np.concatenate(xy)
+    both = np.stack([first, second], 1)
+    points = many_view_points(projections, list(camera[both]), list(place[both]))
+    fine = np.isfinite(points).all(1)
+    points, of = points[fine], of[fine]
+    pairs = np.bincount(of, minlength=len(cameras))
+    for n in set(pairs.tolist()) - {0}:  # cells with equally many points are one median
+        rows = np.flatnonzero(pairs == n)
+        out[rows] = np.median(points[np.isin(of, rows)].reshape(len(rows), n, 3), axis=1)
+    return out
+
+
+def robust_points(located_by_animal: DataFrame, projections: list[list[list[float]]]) -> DataFrame:
+    """(recording, frame, keypoint, animal, x, y, z) as triangulated(), but by the median over pairs of cameras: one wild camera of five is in 4 of 10 pairs and doesn't move it (of four, in half of them)."""
+    return triangulated(located_by_animal, projections, pairwise_median)
+
+
 def projected(points: DataFrame, projections: list[list[list[float]]]) -> DataFrame:
     """Points (..., x, y, z) in every camera: (..., camera, px, py). Matrices are constants of the plan."""
     cameras = []

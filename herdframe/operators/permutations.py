@@ -6,13 +6,15 @@ stay explicit, so nothing depends on whether a permutation equals its inverse.
 
 from itertools import permutations as every
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from herdframe.functions.scalars import log_normalized
 
-#: Beyond this many animals the tables of pairs of permutations are too large.
+#: Beyond this many animals the tables of pairs of permutations are too large; herdframe.operators.assignment does without.
 MOST = 5
 
 
@@ -61,7 +63,7 @@ def clique_affinity(affinities: DataFrame, n: int, value: str = "logp") -> DataF
     normalised over parent_p, col_norm over child_p; the normalisers come from the same row.
     """
     by = ["recording", "frame", "camera", "keypoint"]
-    cells = [F.coalesce(F.sum(F.when((F.col("instance") == i) & (F.col("parent_instance") == j), F.col(value))), F.lit(0.0)).alias(f"s{i}_{j}") for i in range(n) for j in range(n)]
+    cells = [F.coalesce(F.max(F.when((F.col("instance") == i) & (F.col("parent_instance") == j), F.col(value))), F.lit(0.0)).alias(f"s{i}_{j}") for i in range(n) for j in range(n)]
     wide = affinities.groupBy(*by).agg(*cells)
     perms = all_permutations(n)
     pairs = [
@@ -88,7 +90,16 @@ def split_by_animal(detections: DataFrame, assignments: DataFrame) -> DataFrame:
 
 
 def compose(first: DataFrame, second: DataFrame, by: list[str], n: int) -> DataFrame:
-    """The product of two permutations for each key."""
+    """The product of two permutations for each key; beyond MOST animals from their numbers alone."""
+    if n > MOST:
+        from herdframe.operators.assignment import ranks, unranked
+
+        @F.arrow_udf("long")
+        def product(i: pa.Array, j: pa.Array) -> pa.Array:
+            return pa.array(ranks(np.take_along_axis(*(unranked(c.to_numpy(), n) for c in (i, j)), 1)))
+
+        both = first.select(*by, F.col("p").alias("i")).join(second.select(*by, F.col("p").alias("j")), by)
+        return both.select(*by, product("i", "j").alias("p"))
     table = F.broadcast(permutation_products(first.sparkSession, n))
     both = first.select(*by, F.col("p").alias("i")).join(second.select(*by, F.col("p").alias("j")), by)
     return both.join(table, ["i", "j"]).select(*by, F.col("product").alias("p"))

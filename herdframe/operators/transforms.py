@@ -18,52 +18,58 @@ def with_outlier_probs(detections: DataFrame) -> DataFrame:
     return detections.withColumn("outlier_prob", outlier_prob(F.col("confidence"), is_missing(F.col("x"), F.col("y"))))
 
 
-def interpolate(detections: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Missing x and y by linear interpolation along a series' frames; constant beyond its ends, NULL if all are missing.
+def interpolate(detections: DataFrame, segment: int = SEGMENT, series: list[str] = SERIES, axes: str = "xy") -> DataFrame:
+    """Missing coordinates by linear interpolation along a series' frames; constant beyond its ends, NULL if all are missing.
 
-    Each segment of a series needs its own rows and two more: the last valid one before it and
-    the first one after. Those come from one row a segment, so no task holds a whole series.
+    A row misses its coordinates if it misses one of them. Each segment of a series needs its own
+    rows and two more: the last valid one before it and the first one after. Those come from one
+    row a segment, so no task holds a whole series.
     """
     rows = detections.withColumn("segment", F.expr(f"frame div {segment}"))
-    valid = ~is_missing(F.col("x"), F.col("y"))
-    point = F.when(valid, F.struct("frame", "x", "y"))
-    edges = rows.where(valid).groupBy(*SERIES, "segment").agg(F.min_by(point, "frame").alias("head"), F.max_by(point, "frame").alias("tail"))
-    edges = rows.select(*SERIES, "segment").distinct().join(edges, [*SERIES, "segment"], "left")
-    by = W.partitionBy(*SERIES).orderBy("segment")
+    valid = ~is_missing(*[F.col(c) for c in axes])
+    point = F.when(valid, F.struct("frame", *axes))
+    edges = rows.where(valid).groupBy(*series, "segment").agg(F.min_by(point, "frame").alias("head"), F.max_by(point, "frame").alias("tail"))
+    edges = rows.select(*series, "segment").distinct().join(edges, [*series, "segment"], "left")
+    by = W.partitionBy(*series).orderBy("segment")
     edges = edges.select(
-        *SERIES,
+        *series,
         "segment",
         F.last("tail", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)).alias("carried"),
         F.first("head", ignorenulls=True).over(by.rowsBetween(1, W.unboundedFollowing)).alias("coming"),
     )
-    inside = W.partitionBy(*SERIES, "segment").orderBy("frame")
+    inside = W.partitionBy(*series, "segment").orderBy("frame")
     before = F.coalesce(F.last(point, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("carried"))
     after = F.coalesce(F.first(point, ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing)), F.col("coming"))
-    rows = rows.join(edges, [*SERIES, "segment"]).select(*detections.columns, before.alias("b"), after.alias("a"))
+    rows = rows.join(edges, [*series, "segment"]).select(*detections.columns, before.alias("b"), after.alias("a"))
     share = (F.col("frame") - F.col("b.frame")) / F.when(F.col("a.frame") > F.col("b.frame"), F.col("a.frame") - F.col("b.frame"))
 
     def filled(c: str) -> Column:
         line = F.col(f"b.{c}") + (F.col(f"a.{c}") - F.col(f"b.{c}")) * F.coalesce(share, F.lit(0.0))
         return F.coalesce(line, F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
 
-    return rows.select(*[filled(c) if c in ("x", "y") else F.col(c) for c in detections.columns])
+    return rows.select(*[filled(c) if c in axes else F.col(c) for c in detections.columns])
+
+
+def _once(rows: DataFrame, of: str) -> DataFrame:
+    """Rows (series, frame, of, weight), one a cell: of repeated ones the largest weight. Dealt out by view first, which all that follows needs."""
+    return spread(rows, VIEW).groupBy(*SERIES, "frame", of).agg(F.max("weight").alias("weight"))
 
 
 def affinity_logprobs(affinities: DataFrame, center: float = 0.2, gain: float = 20.0) -> DataFrame:
-    """log sigmoid((weight - center) * gain), normalised over the parent's instances.
+    """log sigmoid((weight - center) * gain), normalised over the parent's instances; of repeated rows the largest weight counts.
 
-    Rows are dealt out by view, which serves this window, the aggregation by view that the tree
-    decoder starts with, and its join: one exchange instead of three.
+    Rows are dealt out by view, which serves making them distinct, this window, the aggregation by view that the tree
+    decoder starts with, and its join: one exchange instead of four.
     """
     score = log_sigmoid((F.coalesce("weight", F.lit(0.0)) - center) * gain)
     normal, _ = log_normalized(F.col("score"), [*SERIES, "frame"])
-    return spread(affinities, VIEW).withColumn("score", score).withColumn("logp", normal).drop("score")
+    return _once(affinities, "parent_instance").withColumn("score", score).withColumn("logp", normal).drop("score")
 
 
 def identity_logprobs(identities: DataFrame, pseudocount: float = 0.1) -> DataFrame:
-    """log(weight + pseudocount), normalised over animals; dealt out by view, like affinities."""
+    """log(weight + pseudocount), normalised over animals; of repeated rows the largest weight counts. Dealt out by view, like affinities."""
     normal, _ = log_normalized(F.col("score"), [*SERIES, "frame"])
-    return spread(identities, VIEW).withColumn("score", F.log(F.coalesce("weight", F.lit(0.0)) + pseudocount)).withColumn("logp", normal).drop("score")
+    return _once(identities, "animal").withColumn("score", F.log(F.coalesce("weight", F.lit(0.0)) + pseudocount)).withColumn("logp", normal).drop("score")
 
 
 def transform_detections(detections: DataFrame, affinities: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,8 +1,10 @@
 """Identity decoding over the skeleton tree, for every (recording, frame, camera) on its own.
 
 One aggregation a table brings a view's scores into a fixed-length array; a vectorised kernel
-then works on a batch of views at once, whatever the number of keypoints or animals (up to
-MOST). Nothing depends on neighbouring frames, so views are spread freely.
+then works on a batch of views at once, whatever the number of keypoints or animals. With up to
+MOST animals a keypoint's states are all permutations; beyond that they are those near the best one
+given its parent's best one (herdframe.operators.assignment), and sums over states are sums over these. Choices are
+numbers of permutations in lexicographic order either way. Nothing depends on neighbouring frames, so views are spread freely.
 
 Messages go up once a keypoint (children have larger numbers than their parents); choices go
 down from the root, which has no parent to agree with.
@@ -15,12 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdframe.operators.permutations import all_permutations
-from herdframe.operators.spread import cells
+from herdframe.operators import assignment
+from herdframe.operators.permutations import MOST, all_permutations
+from herdframe.operators.spread import dense
 from herdframe.schemas import VIEW
 from herdframe.sources.shared import written
 
 
+#: Views whose tables of states a task holds at once.
+VIEWS = 512
+
+
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
@@ -31,17 +38,48 @@ class TreeModel:
 
     def __init__(self, ll: np.ndarray, affinity: np.ndarray, parents: list[int]):
         n, self.parents = ll.shape[-1], parents
-        perms = np.array(all_permutations(n))
-        own = ll[:, :, perms, np.arange(n)].sum(-1)
+        if n <= MOST:
+            perms = np.array(all_permutations(n))
+            self.perms = None
+            own = ll[:, :, perms, np.arange(n)].sum(-1)
+            clique = affinity[:, :, perms[:, None, :], perms[None, :, :]].sum(-1)
+        else:
+            self.perms = self._candidates(ll, affinity)
+            own = np.take_along_axis(ll[:, :, None], self.perms[:, :, :, None], 3)[:, :, :, 0].sum(-1)
+            clique = self._cliques(affinity)
         self.log_norm = _lse(own, 2)
         self.marginal = own - self.log_norm[..., None]
-        clique = affinity[:, :, perms[:, None, :], perms[None, :, :]].sum(-1)
         self.row = clique - _lse(clique, 3)[..., None]
         self.col = clique - _lse(clique, 2)[:, :, None, :]
         self.sub = self.marginal.copy()
         for k in range(len(parents) - 1, 0, -1):
             self.sub[:, parents[k]] += _lse(self.col[:, k] + self.sub[:, k, :, None], 1)
 
+    def _candidates(self, ll: np.ndarray, affinity: np.ndarray) -> np.ndarray:
+        """(views, K, states, N): down the tree, permutations near the best one given the parent's best one."""
+        each, best, out = np.arange(len(ll))[:, None], [], []
+        for k, p in enumerate(self.parents):
+            score = ll[:, k] if k == p else ll[:, k] + affinity[each[:, :, None], k, np.arange(ll.shape[-1])[None, :, None], best[p][:, None, :]]
+            best.append(assignment.assigned(score))
+            out.append(assignment.near(best[k]))
+        return np.stack(out, 1)
+
+    def _cliques(self, affinity: np.ndarray) -> np.ndarray:
+        """(views, K, states, states of the parent): sums over animals of the affinity of instances."""
+        b, k, m, n = self.perms.shape
+        out, each = np.zeros((b, k, m, m)), np.arange(b)[:, None, None]
+        for j, p in enumerate(self.parents):
+            if j != p:
+                for a in range(n):
+                    out[:, j] += affinity[each, j, self.perms[:, j, :, None, a], self.perms[:, p, None, :, a]]
+        return out
+
+    def numbers(self, chosen: np.ndarray) -> np.ndarray:
+        """The permutations' numbers of chosen states (views, K)."""
+        if self.perms is None:
+            return chosen
+        return assignment.ranks(np.take_along_axis(self.perms, chosen[:, :, None, None], 2)[:, :, 0])
+
     def scores(self, k: int, chosen: np.ndarray) -> np.ndarray:
         if k == 0:
             return self.sub[:, 0]
@@ -69,17 +107,17 @@ class TreeModel:
         return total + self.row[views, inner, chosen[:, 1:], chosen[:, np.array(self.parents[1:], int)]].sum(1)
 
 
-def _dense(rows: DataFrame, place: Column, size: int, name: str, value: str) -> DataFrame:
-    """One array of `size` numbers a view, 0 where there is no row."""
-    wide = rows.groupBy(*VIEW).agg(cells(place.cast("int"), F.coalesce(value, F.lit(0.0))).alias("cells"))
-    return wide.select(*VIEW, F.expr(f"transform(sequence(0, {size - 1}), k -> coalesce(cells[k], 0D))").alias(name))
+def edge_arrays(affinity: DataFrame, n: int, parents: list[int], value: str = "logp") -> DataFrame:
+    """(recording, frame, camera, affinity): a view's affinities as an array."""
+    k = len(parents)
+    return dense(affinity, VIEW, (F.col("keypoint") * n + F.col("instance")) * n + F.col("parent_instance"), k * n * n, affinity=value)
 
 
 def views(identity: DataFrame, affinity: DataFrame, n: int, parents: list[int], value: str = "logp") -> DataFrame:
-    """(recording, frame, camera, ll, affinity): the inputs of a view's tree as arrays. Of repeated rows the largest value counts."""
+    """(recording, frame, camera, ll, affinity): the inputs of a view's tree as arrays. Of repeated rows the largest value counts; affinity may be edge_arrays() of it."""
     k = len(parents)
-    ll = _dense(identity, (F.col("keypoint") * n + F.col("instance")) * n + F.col("animal"), k * n * n, "ll", value)
-    edges = _dense(affinity, (F.col("keypoint") * n + F.col("instance")) * n + F.col("parent_instance"), k * n * n, "affinity", value)
+    ll = dense(identity, VIEW, (F.col("keypoint") * n + F.col("instance")) * n + F.col("animal"), k * n * n, ll=value)
+    edges = affinity if "affinity" in affinity.columns else edge_arrays(affinity, n, parents, value)
     zeros = F.array_repeat(F.lit(0.0), k * n * n)
     return ll.join(edges, VIEW, "left").withColumn("affinity", F.coalesce("affinity", zeros))
 
@@ -98,9 +136,13 @@ def uniform_noise(keys: np.ndarray, count: int) -> np.ndarray:
     return (keys.astype(np.int64) % (PRIME - 1) + 1)[:, None] * powers % PRIME / PRIME
 
 
+def noise_key(names: list[str], seed: int) -> Column:
+    """A number for each value of these columns and seed, the same whatever the partitions: 48 bits of a digest."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *names, F.lit(seed)).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def view_key(seed: int) -> Column:
-    """A number for each view and seed, the same whatever the partitions: 48 bits of a digest."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *VIEW, F.lit(seed)).cast("binary")), 1, 12), 16, 10).cast("long")
+    return noise_key(VIEW, seed)
 
 
 def decode(inputs: DataFrame, n: int, parents: list[int], seed: int | None = None) -> DataFrame:
@@ -108,16 +150,20 @@ def decode(inputs: DataFrame, n: int, parents: list[int], seed: int | None = Non
 
     @F.arrow_udf("choice array<bigint>, log_likelihood double")
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        size = len(parents) * n * n
         for ll, affinity, key in batches:
-            shape = (len(ll), len(parents), n, n)
-            model = TreeModel(_numbers(ll).reshape(shape), _numbers(affinity).reshape(shape), parents)
-            if seed is None:
-                chosen = model.decode()
-            else:
-                count = model.sub.shape[1] * model.sub.shape[2]
-                chosen = model.sample(uniform_noise(key.to_numpy(), count).reshape(model.sub.shape))
+            found, total = [np.zeros((0, len(parents)), np.int64)], [np.zeros(0)]
+            for k in range(0, len(ll), VIEWS):
+                model = TreeModel(*(_numbers(c.slice(k, VIEWS)).reshape(-1, size).reshape(-1, len(parents), n, n) for c in (ll, affinity)), parents)
+                if seed is None:
+                    chosen = model.decode()
+                else:
+                    count = model.sub.shape[1] * model.sub.shape[2]
+                    chosen = model.sample(uniform_noise(key.slice(k, VIEWS).to_numpy(), count).reshape(model.sub.shape))
+                found.append(model.numbers(chosen))
+                total.append(model.log_likelihood(chosen))
             at = pa.array(np.arange(len(ll) + 1) * len(parents), pa.int32())
-            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(chosen.reshape(-1))), pa.array(model.log_likelihood(chosen))], ["choice", "log_likelihood"])
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(np.concatenate(found).reshape(-1))), pa.array(np.concatenate(total))], ["choice", "log_likelihood"])
 
     out = inputs.withColumn("out", run("ll", "affinity", F.lit(0).cast("long") if seed is None else view_key(seed)))
     return out.select(*VIEW, "out.choice", "out.log_likelihood")
@@ -125,9 +171,13 @@ def decode(inputs: DataFrame, n: int, parents: list[int], seed: int | None = Non
 
 def assignments(decoded: DataFrame, n: int) -> DataFrame:
     """(recording, frame, camera, keypoint, animal, instance) of decoded views."""
-    perms = F.array(*[F.array(*[F.lit(i).cast("long") for i in p]) for p in all_permutations(n)])
     long = decoded.select(*VIEW, F.posexplode("choice").alias("keypoint", "p"))
-    long = long.select(*VIEW, F.col("keypoint").cast("long").alias("keypoint"), F.posexplode(perms[F.col("p").cast("int")]).alias("animal", "instance"))
+    if n <= MOST:
+        perms = F.array(*[F.array(*[F.lit(i).cast("long") for i in p]) for p in all_permutations(n)])
+        instances = perms[F.col("p").cast("int")]
+    else:
+        instances = assignment.unrank(n)("p")
+    long = long.select(*VIEW, F.col("keypoint").cast("long").alias("keypoint"), F.posexplode(instances).alias("animal", "instance"))
     return long.withColumn("animal", F.col("animal").cast("long"))
 
 
@@ -144,16 +194,19 @@ def viterbi(scores: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.array(state[::-1])
 
 
-def _steps(table: pa.Table, n: int, eta: float) -> np.ndarray:
-    """Scores (frames, from, to) of entering each frame of a table in order of frames."""
+def step_scores(score: np.ndarray, moves: np.ndarray, n: int, eta: float) -> np.ndarray:
+    """Scores (frames, from, to) of entering frames with scores (frames, permutations), given squared moves (frames, N * N)."""
     perms = np.array(all_permutations(n))
-    score = _numbers(table.column("score").combine_chunks())
-    moves = _numbers(table.column("moves").combine_chunks()).reshape(-1, n, n)
-    cost = -moves[:, perms[None, :, :], perms[:, None, :]].sum(3) / eta
+    cost = -moves.reshape(-1, n, n)[:, perms[None, :, :], perms[:, None, :]].sum(3) / eta
     move = np.exp(cost - cost.max(2, keepdims=True)) + 1e-6
     return np.log(move / move.sum(2, keepdims=True)) + score[:, None, :]
 
 
+def _steps(table: pa.Table, n: int, eta: float) -> np.ndarray:
+    """The same of a table in order of frames."""
+    return step_scores(*(_numbers(table.column(c).combine_chunks()) for c in ("score", "moves")), n, eta)
+
+
 #: Numbers in the products of one round.
 CELLS = 1 << 22
 
@@ -170,6 +223,19 @@ def _best_ways(steps: np.ndarray) -> np.ndarray:
     return steps[0]
 
 
+def smoothing_frames(located: DataFrame, scores: DataFrame, n: int) -> DataFrame:
+    """(recording, camera, frame, score, moves): what smoothing needs of each frame; moves are squared, from an animal (row) to each of the frame before, zeros without one."""
+    view = ["recording", "camera", "frame"]
+    a = located.select(*view, "keypoint", "animal", "x", "y")
+    b = located.select("recording", "camera", (F.col("frame") + 1).alias("frame"), "keypoint", F.col("animal").alias("was"), F.col("x").alias("px"), F.col("y").alias("py"))
+    moves = a.join(b, [*view, "keypoint"]).groupBy(*view, "animal", "was")
+    moves = moves.agg(F.sum((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2).alias("d"))
+    own = scores.groupBy(*view).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "score"))), lambda s: s["score"]).alias("score"))
+    squares = dense(moves, view, F.col("animal") * n + F.col("was"), n * n, moves="d")
+    still = F.coalesce("moves", F.array_repeat(F.lit(0.0), n * n)).alias("moves")
+    return own.join(squares, view, "left").select(*view, "score", still)
+
+
 def smooth_permutations(located: DataFrame, scores: DataFrame, n: int, eta: float = 10.0, segment: int = 10_000) -> DataFrame:
     """Temporal continuity: the best sequence of permutations of each (recording, camera), frame by frame.
 
@@ -184,15 +250,7 @@ def smooth_permutations(located: DataFrame, scores: DataFrame, n: int, eta: floa
     """
     states = len(all_permutations(n))
     view = ["recording", "camera", "frame"]
-    a = located.select(*view, "keypoint", "animal", "x", "y")
-    b = located.select("recording", "camera", (F.col("frame") + 1).alias("frame"), "keypoint", F.col("animal").alias("was"), F.col("x").alias("px"), F.col("y").alias("py"))
-    moves = a.join(b, [*view, "keypoint"]).groupBy(*view, "animal", "was")
-    moves = moves.agg(F.sum((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2).alias("d"))
-    own = scores.groupBy(*view).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "score"))), lambda s: s["score"]).alias("score"))
-    squares = _dense(moves, F.col("animal") * n + F.col("was"), n * n, "moves", "d")
-    still = F.coalesce("moves", F.array_repeat(F.lit(0.0), n * n)).alias("moves")
-    rows = own.join(squares, view, "left").select(*view, "score", still, F.expr(f"frame div {segment}").alias("segment"))
-    rows = written(rows, "frames")
+    rows = written(smoothing_frames(located, scores, n).withColumn("segment", F.expr(f"frame div {segment}")), "frames")
 
     def matrix(table: pa.Table) -> pa.Table:
         best = _best_ways(_steps(table.sort_by("frame"), n, eta))
