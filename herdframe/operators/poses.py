@@ -1,6 +1,8 @@
 """Poses: bone-length filter, egocentric alignment, bone directions, and a mixture of von Mises-Fisher directions."""
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from herdframe.functions.scalars import angle
+from herdframe.operators.clustering import added_up, packed
+from herdframe.operators.spread import dense
 from herdframe.operators.transforms import interpolate
 from herdframe.sources.shared import removed, written
 
@@ -28,45 +32,51 @@ def complete(lengths: DataFrame, n_bones: int) -> DataFrame:
     return lengths.join(whole, "pose_id", "left_semi")
 
 
-def exact_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
-    """(by, one column a name in shares): exact percentiles, linear between neighbours, without gathering a key's values.
+def _ordered(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; its own inverse on their bits."""
+    bits = v.view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
 
-    Approximate percentiles, whose partial sums are small, bracket each wanted one. A second pass
-    counts the values below the bracket and gathers those within, equal ones as one row: about
-    4 / accuracy of them.
+
+#: Bits of a number that a round of the selection tells apart: so many counters a key and wanted rank at most.
+DIGIT = 16
+
+
+def exact_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column a name in shares): exact percentiles, linear between neighbours, in bounded memory. Null and NaN don't count.
+
+    Radix selection over the bits of the doubles, for all keys and ranks at once: a round counts
+    values by key and their next DIGIT bits, with partial sums, and keeps for each wanted rank the
+    run of bits that holds it. The first round counts all values, each other one those that begin like a wanted
+    one. So no array grows with the rows, and a key's values lie in one task only as counters.
     """
-    names = list(shares)
-    edge = 2 / accuracy
-    wanted = [q for p in shares.values() for q in (max(0.0, p - edge), min(1.0, p + edge))]
-    rows = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("of"), F.col(value).cast("double").alias("v"))
-    rough = rows.groupBy("of").agg(F.percentile_approx("v", wanted, accuracy).alias("q"), F.count("*").alias("n"))
-    near = rows.join(F.broadcast(rough), "of")
-    parts = []
-    for k in range(len(names)):
-        low, high = F.col("q")[2 * k], F.col("q")[2 * k + 1]
-        v = F.col("v")
-        side = F.when(v < low, F.lit(-1)).when(v > high, F.lit(1)).otherwise(F.lit(0))
-        parts.append(F.struct(F.lit(k).alias("k"), side.alias("side"), F.when(side == 0, v).alias("inside"), v.alias("v")))
-    long = near.select("of", "n", F.explode(F.array(*parts)).alias("x")).select("of", "n", "x.*")
-    # beyond the bracket only the nearest values and the number below count
-    sums = long.groupBy("of", "n", "k", "side", "inside").agg(F.count("*").alias("c"), F.max("v").alias("top"), F.min("v").alias("least"))
-    outside = F.col("side")
-    cells = sums.groupBy("of", "n", "k").agg(
-        F.coalesce(F.sum(F.when(outside < 0, F.col("c"))), F.lit(0)).alias("below"),
-        F.max(F.when(outside < 0, F.col("top"))).alias("before"),
-        F.min(F.when(outside > 0, F.col("least"))).alias("after"),
-        F.array_sort(F.collect_list(F.when(outside == 0, F.struct(F.col("inside").alias("v"), "c")))).alias("held"),
-    )
-
-    def at(rank: Column) -> Column:
-        """The value of a rank from 0 on: the first held value up to which more are counted."""
-        found = F.aggregate("held", F.struct(F.col("below").alias("seen"), F.lit(None).cast("double").alias("v")), lambda s, h: F.struct((s["seen"] + h["c"]).alias("seen"), F.when(s["v"].isNull() & (s["seen"] + h["c"] > rank), h["v"]).otherwise(s["v"]).alias("v")))["v"]
-        return F.when(rank < F.col("below"), F.col("before")).otherwise(F.coalesce(found, F.col("after"), F.col("before")))
-
-    place = F.element_at(F.array(*[F.lit(p) for p in shares.values()]), F.col("k") + 1) * (F.col("n") - 1)
-    low, high = at(F.floor(place)), at(F.ceil(place))
-    each = cells.select("of", "k", (low + (high - low) * (place - F.floor(place))).alias("v"))
-    return each.groupBy(F.col("of").alias(by)).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(name) for k, name in enumerate(names)])
+
+    @F.arrow_udf("long")
+    def ordered(v: pa.Array) -> pa.Array:
+        return pa.array(_ordered(v.to_numpy() + 0.0))  # -0.0 is 0.0
+
+    @F.arrow_udf("double")
+    def restored(bits: pa.Array) -> pa.Array:
+        return pa.array(_ordered(bits.to_numpy()).view(np.float64))
+
+    v = F.col(value).cast("double")
+    rows = written(rows.where(v.isNotNull() & ~F.isnan(v)).select(F.col(by).alias("of"), ordered(v).alias("bits")), "bits")
+    place = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("n") - 1)).alias("place")) for k, p in enumerate(shares.values())])
+    shift = 64 - DIGIT
+    counts = rows.groupBy("of", F.shiftright("bits", shift).alias("cell")).agg(F.count("*").alias("c"))
+    each = counts.withColumn("upto", F.sum("c").over(W.partitionBy("of").orderBy("cell"))).withColumn("n", F.sum("c").over(W.partitionBy("of")))
+    each = each.select("of", "cell", "c", "upto", F.inline(place)).select("of", "cell", "c", "upto", "k", "place", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank")).distinct()
+    held = each.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c"))).select("of", "k", "place", "rank", (F.col("rank") - F.col("upto") + F.col("c")).alias("left"), "cell")
+    while shift:
+        shift -= DIGIT
+        inside = rows.select("of", F.shiftright("bits", shift).alias("next"), F.shiftright("bits", shift + DIGIT).alias("cell")).join(held, ["of", "cell"])
+        counts = inside.groupBy("of", "k", "place", "rank", "left", "next").agg(F.count("*").alias("c"))
+        counts = counts.withColumn("upto", F.sum("c").over(W.partitionBy("of", "k", "rank").orderBy("next")))
+        hit = (F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("c"))
+        held = counts.where(hit).select("of", "k", "place", "rank", (F.col("left") - F.col("upto") + F.col("c")).alias("left"), F.col("next").alias("cell"))
+    found = held.withColumn("v", restored("cell")).groupBy("of", "k", "place").agg(F.min_by("v", "rank").alias("low"), F.max_by("v", "rank").alias("high"))
+    share = F.col("place") - F.floor("place")
+    return found.groupBy(F.col("of").alias(by)).agg(*[F.max(F.when(F.col("k") == k, F.col("low") + (F.col("high") - F.col("low")) * share)).alias(name) for k, name in enumerate(shares)])
 
 
 def bone_stats(lengths: DataFrame) -> DataFrame:
@@ -74,19 +84,37 @@ def bone_stats(lengths: DataFrame) -> DataFrame:
     return exact_percentiles(lengths, "keypoint", "length", {"low": 0.01, "high": 0.99})
 
 
+def bone_lengths(poses: DataFrame, parents: list[int]) -> DataFrame:
+    """(pose_id, lengths): the bones of each pose that has all of them, in order of keypoints, from one pass without joins."""
+    k = len(parents)
+    there = F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull(), 1.0).otherwise(0.0)
+    wide = dense(poses, ["pose_id"], F.col("keypoint"), k, x="x", y="y", z="z", there=there)
+    whole = wide.where(F.forall("there", lambda t: t > 0))
+    up = "array(" + ", ".join(map(str, parents)) + ")"
+    long = F.expr(f"transform(filter(sequence(0, {k - 1}), k -> {up}[k] <> k), k -> sqrt(power(x[k] - x[{up}[k]], 2) + power(y[k] - y[{up}[k]], 2) + power(z[k] - z[{up}[k]], 2)))")
+    return whole.select("pose_id", long.alias("lengths"))
+
+
 def filter_poses(poses: DataFrame, parents: list[int], most_std: float) -> tuple[DataFrame, DataFrame]:
     """Poses without odd bones, and (keypoint, mean, std) of the others.
 
     A pose goes if it lacks a bone, if a bone is outside its percentiles, or if it then is over
-    most_std deviations from the mean. The statistics have a row a bone and are broadcast.
+    most_std deviations from the mean. Lengths are written once, a row a pose; of the percentiles a row
+    a bone reaches the driver.
     """
-    lengths = complete(bones(poses, parents), len(parents) - 1)
-    marked = lengths.join(F.broadcast(bone_stats(lengths)), "keypoint")
-    odd = marked.where((F.col("length") < F.col("low")) | (F.col("length") > F.col("high"))).select("pose_id").distinct()
-    left = lengths.join(odd, "pose_id", "left_anti")
-    stats = left.groupBy("keypoint").agg(F.avg("length").alias("mean"), F.stddev_pop("length").alias("std"))
-    far = left.join(F.broadcast(stats), "keypoint").groupBy("pose_id").agg(F.bool_and(F.abs(F.col("length") - F.col("mean")) < most_std * F.col("std")).alias("ok"))
-    return poses.join(far.where("ok"), "pose_id", "left_semi"), stats
+    children = [k for k, p in enumerate(parents) if p != k]
+    lengths = written(bone_lengths(poses, parents), "lengths")
+    each = lengths.select(F.posexplode("lengths").alias("at", "length")).select(F.element_at(F.array(*[F.lit(k).cast("long") for k in children]), F.col("at") + 1).alias("keypoint"), "length")
+    limits = {r.keypoint: (r.low, r.high) for r in bone_stats(each).collect()}
+    at = lambda k: F.col("lengths")[children.index(k)]
+    fine = [at(k).between(low, high) for k, (low, high) in limits.items()]
+    left = lengths.where(reduce(lambda a, b: a & b, fine)) if fine else lengths.limit(0)
+    sums = left.agg(*[f(at(k)).alias(f"{n}{k}") for k in children for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    sums = written(sums, "sums")
+    stats = sums.select(F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("keypoint"), F.col(f"mean{k}").alias("mean"), F.col(f"std{k}").alias("std")) for k in children]))).where("mean is not null")
+    row = sums.first()
+    near = [F.abs(at(k) - F.lit(row[f"mean{k}"])) < most_std * F.lit(row[f"std{k}"]) for k in children]
+    return poses.join(left.where(reduce(lambda a, b: a & b, near)).select("pose_id"), "pose_id", "left_semi"), stats
 
 
 def standardize(poses: DataFrame, front: int, back: int) -> DataFrame:
@@ -128,66 +156,148 @@ def jittered(units: DataFrame, size: float = 1e-3, dims: int = 3) -> DataFrame:
     return units.withColumns({c: F.col(c) + n for c, n in noise.items()})
 
 
+def _mean_length(kappa: float, dims: int) -> float:
+    """The mean resultant length of a von Mises-Fisher density."""
+    if dims == 2:
+        return float(_bessel_ratio(kappa))
+    return kappa / 3 if kappa < 1e-4 else 1 / math.tanh(kappa) - 1 / kappa
+
+
+def _bessel_ratio(kappa: float) -> float:
+    """I1 / I0, by its continued fraction from the far end, or by its series for large kappa."""
+    if kappa > 500:
+        return 1 - 1 / (2 * kappa) - 1 / (8 * kappa**2)
+    ratio = 0.0
+    for k in range(60 + int(kappa), 0, -1):
+        ratio = kappa / (2 * k + kappa * ratio)
+    return ratio
+
+
+def concentration(rbar: float, dims: int, exact: bool = False) -> float:
+    """kappa for a mean resultant length: the usual approximation, or the maximum of the likelihood by bisection."""
+    about = rbar * (dims - rbar**2) / (1 - rbar**2)
+    if not exact or rbar <= 0:
+        return about
+    low, high = 0.0, max(4 * about, 1.0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _mean_length(middle, dims) < rbar else (low, middle)
+    return (low + high) / 2
+
+
+def packed_directions(units: DataFrame, keypoints: list[int], dims: int = 3) -> DataFrame:
+    """(n, block): directions (pose_id, keypoint, x, y, z) as blocks of poses x keypoints x dimensions, of poses that have all of these keypoints."""
+    place = F.element_at(F.create_map(*[F.lit(v) for k, j in enumerate(keypoints) for v in (j, k)]), F.col("keypoint").cast("int"))
+    rows = units.where(F.col("keypoint").isin(keypoints))
+    wide = dense(rows, ["pose_id"], place, len(keypoints), **{c: c for c in "xyz"[:dims]}, there=F.lit(1.0)).where(F.forall("there", lambda t: t > 0))
+    cells = F.expr(f"flatten(transform(sequence(0, {len(keypoints) - 1}), k -> array({', '.join(f'{c}[k]' for c in 'xyz'[:dims])})))")
+    return packed(wide.select(cells.alias("v")), "v")
+
+
+def movmf_sums(blocks: DataFrame, mixture: list[dict], keypoints: list[int], dims: int) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """The E-step over packed poses: weights of states, weighted sums of directions (states, keypoints, dimensions), the sum of log-likelihoods, and how many poses.
+
+    A block meets all states in one matrix product, and its sums are another; every task adds up its blocks to one
+    row, and rows of many tasks are added up in Spark (clustering.added_up).
+    """
+    mu = np.array([[np.asarray(s["bones"][k][0], float) * s["bones"][k][1] for k in keypoints] for s in mixture]).reshape(len(mixture), -1)
+    base = np.array([math.log(s["pi"]) + sum(log_norm(s["bones"][k][1], dims) for k in keypoints) for s in mixture])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(mu), mu.shape[1] + 1))
+        more = np.zeros(2)
+        for batch in batches:
+            for block in batch.column(1):
+                x = np.frombuffer(block.as_buffer()).reshape(-1, mu.shape[1])
+                logs = x @ mu.T + base
+                top = logs.max(1)
+                total = top + np.log(np.exp(logs - top[:, None]).sum(1))
+                r = np.exp(logs - total[:, None])
+                out[:, 0] += r.sum(0)
+                out[:, 1:] += r.T @ x
+                more += total.sum(), len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([np.append(out, more).tobytes()], pa.binary())], names=["sums"])
+
+    sums = added_up(blocks.mapInArrow(summed, "sums binary"))
+    each = sums[:-2].reshape(len(mu), -1)
+    return each[:, 0], each[:, 1:].reshape(len(mu), len(keypoints), dims), float(sums[-2]), int(round(sums[-1]))
+
+
+def movmf_update(sums: tuple[np.ndarray, np.ndarray, float, int], keypoints: list[int], dims: int, exact: bool = False) -> list[dict]:
+    """The M-step: the mixture that these sums give."""
+    n, total, _, poses = sums
+    out = []
+    for s in range(len(n)):
+        bones = {}
+        for j, k in enumerate(keypoints):
+            long = float(np.sqrt((total[s, j] ** 2).sum()))
+            rbar = min(long / max(float(n[s]), 1e-12), 1 - 1e-9)
+            bones[k] = ([float(v) for v in total[s, j] / max(long, 1e-12)], float(concentration(rbar, dims, exact)))
+        out.append({"pi": float(n[s] / max(poses, 1)), "bones": bones})
+    return out
+
+
 def movmf_step(units: DataFrame, mixture: list[dict], dims: int = 3) -> DataFrame:
     """One EM step of a mixture of von Mises-Fisher directions in two or three dimensions over whole poses.
 
     mixture: one dict a state with `pi` and, for each keypoint, `mu` (dims numbers) and `kappa`.
-    Rows: (state, keypoint, pi, mu_x, mu_y, mu_z, kappa, log_likelihood). Two aggregations: over
-    a pose's bones, then over poses with partial sums, so only a row a state and bone comes back.
+    Rows: (state, keypoint, pi, mu_x, mu_y, mu_z, kappa, log_likelihood), the mean log-likelihood being that before the step.
     """
+    keypoints = sorted(mixture[0]["bones"])
+    sums = movmf_sums(packed_directions(units, keypoints, dims), mixture, keypoints, dims)
     axes = "xyz"[:dims]
-
-    def density(state: dict) -> Column:
-        out = F.lit(0.0)
-        for k, (mu, kappa) in state["bones"].items():
-            dot = sum((F.col(c) * m for c, m in zip(axes, mu, strict=True)), F.lit(0.0))
-            out = F.when(F.col("keypoint") == k, F.lit(log_norm(kappa, dims)) + kappa * dot).otherwise(out)
-        return out
-
-    logs = [(F.sum(density(s)) + math.log(s["pi"])).alias(f"l{i}") for i, s in enumerate(mixture)]
-    each = units.groupBy("pose_id").agg(*logs)
-    top = F.greatest(*[F.col(f"l{i}") for i in range(len(mixture))]) if len(mixture) > 1 else F.col("l0")
-    each = each.withColumn("top", top).withColumn("total", F.log(sum((F.exp(F.col(f"l{i}") - F.col("top")) for i in range(len(mixture))), F.lit(0.0))) + F.col("top"))
-    weights = F.array(*[F.struct(F.lit(i).cast("long").alias("state"), F.exp(F.col(f"l{i}") - F.col("total")).alias("r")) for i in range(len(mixture))])
-    rows = units.join(each.select("pose_id", "total", F.inline(weights)), "pose_id")
-    sums = rows.groupBy("state", "keypoint").agg(F.sum("r").alias("n"), *[F.sum(F.col("r") * F.col(c)).alias(f"s{c}") for c in axes], F.count("*").alias("poses"), F.avg("total").alias("log_likelihood"))
-    length = F.sqrt(sum((F.col(f"s{c}") ** 2 for c in axes), F.lit(0.0)))
-    rbar = F.least(F.col("length") / F.greatest("n", F.lit(1e-12)), F.lit(1 - 1e-9))
-    sums = sums.withColumn("length", length).withColumn("rbar", rbar)
-    kappa = F.col("rbar") * (dims - F.col("rbar") ** 2) / (1 - F.col("rbar") ** 2)
-    unit = [(F.col(f"s{c}") / F.greatest("length", F.lit(1e-12))).alias(f"mu_{c}") for c in axes]
-    return sums.select("state", "keypoint", (F.col("n") / F.col("poses")).alias("pi"), *unit, kappa.alias("kappa"), "log_likelihood")
-
-
-def fit_movmf(units: DataFrame, n_states: int, n_iters: int, n_keypoints: int, seed: int = 0, dims: int = 3, jitter: float = 1e-3) -> tuple[list[dict], list[float]]:
-    """EM from seeded starts: the mixture and the mean log-likelihood of each step.
-
-    Directions get their jitter first and are written once; only the parameters reach the driver. The
+    mean = sums[2] / max(sums[3], 1)
+    rows = [(s, k, state["pi"], *mu, kappa, mean) for s, state in enumerate(movmf_update(sums, keypoints, dims)) for k, (mu, kappa) in state["bones"].items()] if sums[3] else []
+    return units.sparkSession.createDataFrame(rows, f"state long, keypoint long, pi double, {', '.join(f'mu_{c} double' for c in axes)}, kappa double, log_likelihood double")
+
+
+#: Poses among which the first states are chosen.
+SEEDS = 4096
+
+
+def seeded_mixture(blocks: DataFrame, n_states: int, keypoints: list[int], dims: int, seed: int) -> list[dict]:
+    """First states at poses that lie far from each other: each next one is drawn by its squared distance from those before, among SEEDS poses of the first blocks."""
+    rng = np.random.default_rng(seed)
+    x = [np.frombuffer(r.block).reshape(r.n, -1) for r in blocks.where("n > 0").limit(max(1, SEEDS // 64)).collect()]
+    x = np.concatenate(x)[:SEEDS] if x else np.zeros((0, len(keypoints) * dims))
+    if not len(x):
+        x = rng.normal(size=(n_states, len(keypoints) * dims))
+    chosen = []
+    for _ in range(n_states):
+        far = np.min([((x - c) ** 2).sum(1) for c in chosen], 0) if chosen else np.ones(len(x))
+        chosen.append(x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))])
+    out = []
+    for c in chosen:
+        v = c.reshape(len(keypoints), dims)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        out.append({"pi": 1 / n_states, "bones": {k: (v[j].tolist(), 1.0) for j, k in enumerate(keypoints)}})
+    return out
+
+
+def fit_movmf(units: DataFrame, n_states: int, n_iters: int, n_keypoints: int, seed: int = 0, dims: int = 3, jitter: float = 1e-3, still: float = 0.0) -> tuple[list[dict], list[float]]:
+    """EM from seeded starts: the mixture and the mean log-likelihood of each step, which never falls; it stops early once a step gains less than `still`.
+
+    Directions get their jitter first and are written once, packed; a step is one job over the blocks whose cost hardly depends on
+    the number of states, and only sums reach the driver. The
     root, which has no direction, is keypoint 0 of each state: along the first axis with kappa 0.
     """
-    import random
-
-    units = written(jittered(units, jitter, dims) if jitter else units, "units")
-    rng = random.Random(seed)
-
-    def unit() -> list[float]:
-        v = [rng.gauss(0, 1) for _ in range(dims)]
-        n = math.sqrt(sum(x * x for x in v))
-        return [x / n for x in v]
-
-    mixture = [{"pi": 1 / n_states, "bones": {k: (unit(), 1.0) for k in range(1, n_keypoints)}} for _ in range(n_states)]
+    keypoints = list(range(1, n_keypoints))
+    blocks = written(packed_directions(jittered(units, jitter, dims) if jitter else units, keypoints, dims), "units")
+    mixture = seeded_mixture(blocks, n_states, keypoints, dims, seed)
     history = []
     for _ in range(n_iters):
-        rows = movmf_step(units, mixture, dims).collect()
-        if not rows:
+        sums = movmf_sums(blocks, mixture, keypoints, dims)
+        if not sums[3]:
+            break
+        history.append(sums[2] / sums[3])
+        mixture = movmf_update(sums, keypoints, dims, exact=True)
+        for state in mixture:
+            state["pi"] = max(state["pi"], 1e-12)
+        if len(history) > 1 and history[-1] - history[-2] < still:
             break
-        for r in rows:
-            mixture[r.state]["pi"] = max(r.pi, 1e-12)
-            mixture[r.state]["bones"][r.keypoint] = ([r[f"mu_{c}"] for c in "xyz"[:dims]], max(r.kappa, 0.0))
-        history.append(rows[0].log_likelihood)
     for state in mixture:
         state["bones"][0] = ([1.0] + [0.0] * (dims - 1), 0.0)
-    removed(units)
+    removed(blocks)
     return mixture, history
 
 
