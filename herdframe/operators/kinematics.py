@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from herdframe.functions.scalars import angle, mixture_log
 from herdframe.operators import geometry, tree
 from herdframe.schemas import SERIES, VIEW
+from herdframe.sources.shared import removed
 
 
 class Kinematics(Protocol):
@@ -130,7 +131,7 @@ class SpaceWalk:
 class IdentitySampler:
     """Gibbs sampling: identities given tracks by a sample down the tree, then tracks given identities.
 
-    State is a table in the shared folder after each step, so lineage stays short and an executor
+    What sweeps read again is written once, and state is a table in the shared folder after each step, so lineage stays short and an executor
     may go at any time. Samples depend on the seed, the step and the view, not on partitions.
     """
 
@@ -138,26 +139,40 @@ class IdentitySampler:
         self.model, self.detections, self.affinity, self.identity = model, detections, affinity, identity
         self.n, self.parents, self.write, self.seed = n, parents, write, seed
         self.history: list[float] = []
+        self.edges: DataFrame | None = None
+        self.last: DataFrame | None = None
 
     def _located(self, assignments: DataFrame) -> DataFrame:
         return self.detections.join(assignments, [*VIEW, "keypoint", "instance"])
 
+    def _ready(self) -> None:
+        """Writes what each sweep reads again: detections, identities, and affinities as arrays."""
+        if self.edges is None:
+            self.detections, self.identity = self.write(self.detections, "detections"), self.write(self.identity, "identity")
+            self.edges = self.write(tree.edge_arrays(self.affinity, self.n, self.parents), "edges")
+
     def initialize(self) -> "IdentitySampler":
         """The most likely identities without a kinematics model."""
-        found = tree.decode(tree.views(self.identity, self.affinity, self.n, self.parents), self.n, self.parents)
-        self.assignments = self.write(tree.assignments(found, self.n), "assignments")
+        self._ready()
+        found = tree.decode(tree.views(self.identity, self.edges, self.n, self.parents), self.n, self.parents)
+        self.last = self.write(found, "sample")
+        self.assignments = tree.assignments(self.last, self.n)
         self.model = self.model.initialize(self._located(self.assignments))
         return self
 
     def step(self) -> float:
-        """One sweep; the log-likelihood of the sampled identities."""
+        """One sweep; the log-likelihood of the sampled identities. The tables of the sweep before are removed, as nothing here reads them any more."""
         keys = [*SERIES, "frame", "animal"]
         motion = self.model.log_likelihood(self.detections).withColumnRenamed("logp", "motion")
         joint = self.identity.join(motion, keys, "left").withColumn("logp", F.col("logp") + F.coalesce("motion", F.lit(0.0)))
-        found = tree.decode(tree.views(joint, self.affinity, self.n, self.parents), self.n, self.parents, seed=self.seed + len(self.history) + 1)
-        found = self.write(found, "sample")
-        self.assignments = tree.assignments(found, self.n)
-        self.model = self.model.step(self._located(self.assignments))
+        found = tree.decode(tree.views(joint, self.edges, self.n, self.parents), self.n, self.parents, seed=self.seed + len(self.history) + 1)
+        found, before, model = self.write(found, "sample"), self.last, self.model
+        self.last, self.assignments = found, tree.assignments(found, self.n)
+        self.model = model.step(self._located(self.assignments))
+        if before is not None:
+            removed(before)
+        if (held := getattr(model, "bodies", None)) is not None:
+            removed(held)
         self.history.append(found.agg(F.sum("log_likelihood")).first()[0] or 0.0)
         return self.history[-1]
 
@@ -171,6 +186,7 @@ class IdentitySampler:
 
     def restore(self, assignments: DataFrame, history: list[float]) -> "IdentitySampler":
         """Goes on from the written assignments of a step and the history up to it, with the same samples as without a break."""
-        self.assignments, self.history = assignments, list(history)
+        self._ready()
+        self.assignments, self.last, self.history = assignments, None, list(history)
         self.model = self.model.initialize(self._located(assignments))
         return self
