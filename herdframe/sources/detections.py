@@ -7,6 +7,7 @@ and hands on raw peaks, and the rest (best peaks, edges, order of keypoints) is
 import io
 import pickle
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from herdframe.operators.transforms import top_detections
 from herdframe.schemas import AFFINITIES, CALIBRATION, DETECTIONS, IDENTITIES, MATCHED_FRAMES, RECORDINGS
+from herdframe.sources.shared import written
 
 _ALLOWED = {
     ("numpy", "ndarray"),
@@ -43,6 +45,8 @@ def restricted_load(raw: bytes):  # noqa: ANN201
     return _Restricted(io.BytesIO(raw)).load()
 
 
+#: Rows that a task hands on at a time.
+ROWS = 1 << 16
 PEAKS = "recording string, camera long, kind string, frame long, keypoint long, peak long, other long, other_peak long, x double, y double, score double"
 
 
@@ -82,8 +86,9 @@ def read_deeplabcut(spark: SparkSession, recordings: DataFrame, bodyparts: list[
     Of each frame and keypoint the n most confident peaks stay, as instances 0 to n - 1. Keypoints
     are numbered in the order of the tree; only its edges have affinities, child to parent, and
     only recorded individuals have identities. Files of one name in several folders are different
-    files: recordings meet them by the whole path, as the file system completes it. The driver
-    lists the paths, one a file; no recordings give no rows.
+    files: recordings meet them by the whole path, as the file system completes it. Each file is
+    unpickled once, in batches of at most ROWS rows, and its rows are written in the shared folder, which all three
+    tables read. The driver lists the paths, one a file; no recordings give no rows.
     """
     paths = {r.path: qualified(spark, r.path) for r in recordings.select("path").distinct().collect()}
     files = spark.read.format("binaryFile").load(list(paths)) if paths else spark.createDataFrame([], "path string, content binary")
@@ -95,11 +100,12 @@ def read_deeplabcut(spark: SparkSession, recordings: DataFrame, bodyparts: list[
         names = [f.split()[0] for f in PEAKS.split(", ")]
         for batch in batches:
             for recording, camera, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = list(deeplabcut_rows(raw, recording, camera, bodyparts))
-                cols = list(zip(*rows, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+                rows = deeplabcut_rows(raw, recording, camera, bodyparts)
+                while some := list(islice(rows, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
 
     raw = files.withColumnRenamed("path", "name").join(named, "name").select("recording", "camera", "content").mapInArrow(decode, PEAKS)
+    raw = written(raw, "peaks")
     place = F.create_map(*[F.lit(v).cast("long") for k, s in enumerate(order) for v in (s, k)])
     raw = raw.withColumn("keypoint", place[F.col("keypoint")])
     by = ["recording", "camera", "frame", "keypoint"]
