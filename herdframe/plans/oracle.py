@@ -3,9 +3,11 @@
 import math
 
 from herdframe.operators.geometry import FAR
+from herdframe.operators.posemodel import TRIES
+from herdframe.operators.poses import log_norm
 from herdframe.operators.tree import LEHMER, PRIME
 from herdframe.plans import views
-from herdframe.plans.mixture import MIXTURE
+from herdframe.plans.mixture import FLAT_MIXTURE, MIXTURE, POSE_RADII, POSE_SEGMENT
 
 E = """e as (
   select 'rec' || (event_id // 24 // 100)::varchar as recording, (event_id // 8) % 3 as camera, event_id // 24 as frame, (event_id // 2) % 4 as keypoint,
@@ -186,6 +188,141 @@ ray as (select {key}, x - 245 as u, y - 50 as v, 150.0 * camera as t from det jo
 select {key}, round(X / Z, 4) + 0.0 as bearing_x, round(Y / Z, 4) + 0.0 as bearing_y, round(W / Z, 4) + 0.0 as inverse_depth from pts where abs(W) > {FAR} and Z <> 0"""
 
 
+_PROJECTS = """ev as (select event_id, user_id as project, missing, floor(value)::bigint as v from e),
+own as (select project, event_id % 6 + 1 as b, arg_min(v, event_id) as v from ev where not missing group by all),
+raw as (select project, b as place, v % b as a, b from own union all select project, event_id + 100, event_id % 5, v % 8 from ev where missing and event_id % 7 = 0),
+edg as (select project, least(a, b) as a, greatest(a, b) as b, min(place) as place, count(*) as times from raw group by all),
+pro as (select distinct project, project % 7 as root from ev),
+nbr as (select project, a as node, b as next, place from edg union all select project, b, a, place from edg),
+rea as (select project, root as node from pro union select r.project, next from rea r join nbr using (project, node) where next < 7),
+chk as (select project, root, 7::bigint as n_parts, (select count(*) from edg where edg.project = pro.project)::bigint as n_edges, (select count(*) from rea where rea.project = pro.project)::bigint as n_reached,
+  coalesce((select max(times) > 1 from edg where edg.project = pro.project), false) as repeated, coalesce((select max(b) > 6 from edg where edg.project = pro.project), false) as unknown,
+  (select count(*) from edg where edg.project = pro.project and a in (select node from rea where rea.project = edg.project)) as inside from pro),
+chd as (select project, root, n_parts, n_edges, n_reached, repeated, unknown, inside >= n_reached as cycle, not repeated and not unknown and inside < n_reached and n_reached = 7 as valid from chk)"""
+
+
+def _robust() -> str:
+    """Medians over the points of each two cameras."""
+    key = "recording, frame, keypoint, animal"
+    pair = f"{key}, c1, c2"
+    return f"""with recursive {VIEW_TREE},
+see as (select {key}, camera, x - 245 as u, y - 50 as v, 150.0 * camera as t from det join asg using (recording, frame, camera, keypoint, instance) where x is not null and y is not null),
+two as (select a.*, a.camera as c1, b.camera as c2, b.u as bu, b.v as bv, b.t as bt from see a join see b using ({key}) where a.camera < b.camera),
+ray as (select {pair}, u, v, t from two union all select {pair}, bu, bv, bt from two),
+{_points("ray", pair)},
+med as (select {key}, median(X / W) as x, median(Y / W) as y, median(Z / W) as z from pts where abs(W) > {FAR} group by all)
+select {key}, round(x / z, 4) + 0.0 as bearing_x, round(y / z, 4) + 0.0 as bearing_y, round(1 / z, 4) + 0.0 as inverse_depth from med where z <> 0"""
+
+
+BODY = "recording, camera, animal"
+
+
+def _bodies() -> str:
+    """CTE `bod`: bodies (BODY, frame) where they are seen, wide: x0 .. y3, ox0 .., p0 .., heading h, state."""
+    k4, w = range(4), "over (partition by recording, camera, animal, keypoint order by frame"
+    ends = ", ".join(
+        f"last_value(case when good then {c} end ignore nulls) {w} rows between unbounded preceding and current row) as b_{c}, first_value(case when good then {c} end ignore nulls) {w} rows between current row and unbounded following) as a_{c}"
+        for c in ("frame", "x", "y")
+    )
+    line = lambda c: f"case when b_frame is null then a_{c} when a_frame is null or a_frame = b_frame then b_{c} else b_{c} + (a_{c} - b_{c}) * (frame - b_frame)::double / (a_frame - b_frame) end as f{c}"
+    wide = ", ".join(f"coalesce(max(f{c}) filter (keypoint = {k}), avg(f{c})) as {c}{k}, max({c}) filter (keypoint = {k}) as o{c}{k}" for k in k4 for c in "xy")
+    out = ", ".join(f"max(outlier_prob) filter (keypoint = {k}) as p{k}" for k in k4)
+    bones = ", ".join(f"(x{k} - x{k - 1}) as dx{k}, (y{k} - y{k - 1}) as dy{k}, sqrt((x{k} - x{k - 1}) ** 2 + (y{k} - y{k - 1}) ** 2) + 1e-12 as r{k}" for k in (1, 2, 3))
+    own = lambda k: (f"((cos(h) * dx{k} + sin(h) * dy{k}) / r{k})", f"((cos(h) * dy{k} - sin(h) * dx{k}) / r{k})")
+    logs = [" + ".join(f"{kappa!r} * ({own(k)[0]} * {mu[0]!r} + {own(k)[1]} * {mu[1]!r}) + {log_norm(kappa, 2)!r}" for k, (mu, kappa) in state["bones"].items()) for state in FLAT_MIXTURE]
+    return f"""loc as (select recording, camera, animal, keypoint, frame, x, y, outlier_prob, x is not null and y is not null and outlier_prob <= 0.5 as good from op join asg using (recording, frame, camera, keypoint, instance)),
+fil as (select *, {line("x")}, {line("y")} from (select *, {ends} from loc)),
+wid as (select {BODY}, frame, {wide}, {out} from fil group by all having avg(fx) is not null),
+hed as (select *, case when y0 - y3 = 0 and x0 - x3 < 0 then -pi() else atan2(y0 - y3, x0 - x3 + 1e-10) end as h from wid),
+bon as (select *, {bones} from hed),
+wei as (select *, {logs[0]} as w0, {logs[1]} as w1 from bon),
+bod as (select *, case when w1 > w0 then 1 else 0 end as state from wei)"""
+
+
+def _noise(number: int) -> str:
+    return f"((s0 * {pow(LEHMER, number + 1, PRIME)} % {PRIME})::double / {PRIME})"
+
+
+_SEEDED = f"('0x' || substr(md5(concat_ws('|', {BODY}, frame, 1)), 1, 12))::bigint % {PRIME - 1} + 1 as s0"
+
+
+def _pose_positions(steps: int = 3, size: float = 0.5, inlier: float = 10.0, outlier: float = 1e6, motion: float = 5.0, spread: float = 400.0) -> str:
+    """Hamiltonian Monte Carlo in SQL: frames of one parity within segments of one parity at a time, four times."""
+    k4, xy = range(4), [f"{c}{k}" for k in range(4) for c in "xy"]
+    mu = lambda k: [f"(case state when 0 then {a!r} else {b!r} end)" for a, b in zip(FLAT_MIXTURE[0]["bones"][k][0], FLAT_MIXTURE[1]["bones"][k][0], strict=True)]
+    turned = ", ".join(f"cos(h) * {mu(k)[0]} - sin(h) * {mu(k)[1]} as mx{k}, sin(h) * {mu(k)[0]} + cos(h) * {mu(k)[1]} as my{k}, case state when 0 then {FLAT_MIXTURE[0]['bones'][k][1]!r} else {FLAT_MIXTURE[1]['bones'][k][1]!r} end as c{k}" for k in (1, 2, 3))
+    normals = ", ".join(f"sqrt(-2 * ln({_noise(j)})) * cos(2 * pi() * {_noise(8 + j)}) as n{c}" for j, c in enumerate(xy))
+    state = ["recording", "camera", "animal", "frame", *xy, *[f"o{c}" for c in xy], *[f"p{k}" for k in k4], *[f"{c}{k}" for k in (1, 2, 3) for c in ("mx", "my", "c")], *[f"n{c}" for c in xy], "lu"]
+    out = [f"st0 as materialized (select {BODY}, frame, {', '.join(xy)}, {', '.join('o' + c for c in xy)}, {', '.join(f'p{k}' for k in k4)}, {turned}, {normals}, ln({_noise(16)}) as lu from (select *, {_SEEDED} from bod))"]
+
+    def density(of: str, to: str) -> None:
+        """CTE `to`: all columns of `of` with d (log density) and g.. (its gradient) at the positions q.. ."""
+        first = [f"qx{k} - ox{k} as ex{k}, qy{k} - oy{k} as ey{k}" for k in k4] + [f"qx{k} - qx{k - 1} as dx{k}, qy{k} - qy{k - 1} as dy{k}" for k in (1, 2, 3)]
+        second = [f"ln(1 - p{k}) - ln(2 * pi() * {inlier}) - (ex{k} * ex{k} + ey{k} * ey{k}) / {2 * inlier} as la{k}, ln(p{k}) - ln(2 * pi() * {outlier}) - (ex{k} * ex{k} + ey{k} * ey{k}) / {2 * outlier} as lb{k}" for k in k4] + [f"sqrt(dx{k} * dx{k} + dy{k} * dy{k}) + 1e-12 as r{k}" for k in (1, 2, 3)]
+        third = [f"{_lse(f'la{k}', f'lb{k}')} as l{k}" for k in k4] + [f"dx{k} / r{k} as ux{k}, dy{k} / r{k} as uy{k}" for k in (1, 2, 3)]
+        fourth = [f"exp(la{k} - l{k}) / {inlier} + exp(lb{k} - l{k}) / {outlier} as f{k}" for k in k4] + [f"ux{k} * mx{k} + uy{k} * my{k} as s{k}" for k in (1, 2, 3)]
+        fifth = [f"-(r{k} - {POSE_RADII[k]}) / {spread} * u{c}{k} + c{k} / r{k} * (m{c}{k} - s{k} * u{c}{k}) as a{c}{k}" for k in (1, 2, 3) for c in "xy"]
+        pull = lambda c, k: f"coalesce(-e{c}{k} * f{k}, 0)" + (f" + a{c}{k}" if k else "") + (f" - a{c}{k + 1}" if k < 3 else "") + "".join(f" - coalesce(q{c}{k} - {side}{c}{k}, 0) / {motion}" for side in "vw")
+        total = " + ".join([f"coalesce(l{k}, 0)" for k in k4] + [f"c{k} * s{k} - (r{k} - {POSE_RADII[k]}) ** 2 / {2 * spread}" for k in (1, 2, 3)]) + "".join(f" - coalesce((q{c} - {side}{c}) ** 2, 0) / {2 * motion}" for c in xy for side in "vw")
+        kept = [*state, *[f"{x}{c}" for x in "qvwi" for c in xy], "h0"]
+        held = of
+        for name, cells in zip("abcde", (first, second, third, fourth, fifth), strict=True):
+            out.append(f"{to}{name} as (select *, {', '.join(cells)} from {held})")
+            held = to + name
+        out.append(f"{to} as (select {', '.join(kept)}, {total} as d, {', '.join(f'{pull(c[0], int(c[1]))} as g{c}' for c in xy)} from {held})")
+
+    for q, (half, parity) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+        who = f"frame // {POSE_SEGMENT} % 2 = {half} and frame % 2 = {parity}"
+        side = lambda t, shift: f"left join st{q} {t} on {t}.recording = s.recording and {t}.camera = s.camera and {t}.animal = s.animal and {t}.frame = s.frame {shift}"
+        near = f"select s.*, {', '.join(f's.{c} as q{c}, v.{c} as v{c}, w.{c} as w{c}' for c in xy)} from (select * from st{q} where {who}) s {side('v', '- 1')} {side('w', '+ 1')}"
+        out.append(f"near{q} as ({near})")
+        held = [*state, *[f"{x}{c}" for x in "vw" for c in xy]]
+        out.append(f"g{q}_s as (select *, {', '.join(f'n{c} as i{c}' for c in xy)}, 0.0 as h0 from near{q})")
+        density(f"g{q}_s", f"g{q}_0")
+        kick = lambda c, share: f"i{c} + {size * share} * g{c}"
+        square = lambda of: " + ".join(f"{of(c)} ** 2" for c in xy)
+        out.append(f"m{q}_0 as (select {', '.join(held)}, {', '.join('q' + c for c in xy)}, {', '.join(f'{kick(c, 0.5)} as i{c}' for c in xy)}, d - ({square(lambda c: 'i' + c)}) / 2 as h0 from g{q}_0)")
+        for step in range(steps):
+            out.append(f"x{q}_{step} as (select {', '.join(held)}, {', '.join(f'q{c} + {size} * i{c} as q{c}' for c in xy)}, {', '.join('i' + c for c in xy)}, h0 from m{q}_{step})")
+            density(f"x{q}_{step}", f"g{q}_{step + 1}")
+            share = 1 if step + 1 < steps else 0.5
+            out.append(f"m{q}_{step + 1} as (select {', '.join(held)}, {', '.join('q' + c for c in xy)}, {', '.join(f'{kick(c, share)} as i{c}' for c in xy)}, h0, d from g{q}_{step + 1})")
+        fine = f"lu < d - ({square(lambda c: 'i' + c)}) / 2 - h0"
+        rest = [c for c in state if c not in xy]
+        out.append(f"st{q + 1} as materialized (select {', '.join(rest)}, {', '.join(f'case when {fine} then q{c} else {c} end as {c}' for c in xy)} from m{q}_{steps} union all by name select {', '.join(state)} from st{q} where not ({who}))")
+    cells = ", ".join(f"{{'keypoint': {k}::bigint, 'x': x{k}, 'y': y{k}}}" for k in k4)
+    return f"""with {VIEW_TREE}, {_bodies()},
+{", ".join(out)}
+select {BODY}, frame, e.keypoint, round(e.x, 4) + 0.0 as x, round(e.y, 4) + 0.0 as y from (select {BODY}, frame, unnest([{cells}]) as e from st4)"""
+
+
+def _pose_states() -> str:
+    """Sums over paths through segments, states at their ends drawn backwards by these, and those within by filtering from the end before."""
+    moves = [[0.9, 0.1], [0.2, 0.8]]
+    log = lambda i, j: repr(math.log(moves[i][j]))
+    step = lambda j: f"n.w{j} + {_lse(f'(t.a0 + {log(0, j)})', f'(t.a1 + {log(1, j)})')}"
+    draw = lambda a, b: f"case when n.u * (1 + exp(({b}) - ({a}))) >= 1 then 1 else 0 end"
+    on = lambda *names: " and ".join(f"t.{c} = n.{c}" for c in ("recording", "camera", "animal", *names))
+    after = lambda j: f"case t.state when 0 then {log(j, 0)} else {log(j, 1)} end"
+    u = _noise(2 * 8 + 1 + 3 * TRIES)
+    return f"""with recursive {VIEW_TREE}, {_bodies()},
+see as (select {BODY}, frame, w0, w1, {u} as u, dense_rank() over (partition by {BODY} order by frame // {POSE_SEGMENT}) as seg, frame // {POSE_SEGMENT} as part from (select *, {_SEEDED} from bod)),
+row as materialized (select *, row_number() over (partition by {BODY}, part order by frame) as no, count(*) over (partition by {BODY}, part) as many, max(seg) over (partition by {BODY}) as segs from see),
+fwd as (select {BODY}, seg, no, i, w0 + case i when 0 then {log(0, 0)} else {log(1, 0)} end as a0, w1 + case i when 0 then {log(0, 1)} else {log(1, 1)} end as a1 from row, (select unnest([0, 1]) as i) where no = 1
+  union all select t.recording, t.camera, t.animal, t.seg, n.no, t.i, {step(0)}, {step(1)} from fwd t join row n on {on("seg")} and n.no = t.no + 1),
+mat as (select {BODY}, seg, any_value(u) as u, any_value(segs) as segs, max(a0) filter (i = 0) as m00, max(a1) filter (i = 0) as m01, max(a0) filter (i = 1) as m10, max(a1) filter (i = 1) as m11 from fwd join row using ({BODY}, seg, no) where no = many group by all),
+fil2 as (select {BODY}, seg, {_lse("m00", "m10")} as f0, {_lse("m01", "m11")} as f1 from mat where seg = 1
+  union all select n.recording, n.camera, n.animal, n.seg, {_lse("(t.f0 + n.m00)", "(t.f1 + n.m10)")}, {_lse("(t.f0 + n.m01)", "(t.f1 + n.m11)")} from fil2 t join mat n on {on()} and n.seg = t.seg + 1),
+bnd as (select *, lead(m00) over w as l00, lead(m01) over w as l01, lead(m10) over w as l10, lead(m11) over w as l11 from fil2 join mat using ({BODY}, seg) window w as (partition by {BODY} order by seg)),
+stp as (select {BODY}, seg, {draw("f0", "f1")} as state from bnd n where seg = segs
+  union all select n.recording, n.camera, n.animal, n.seg, {draw("n.f0 + case t.state when 0 then n.l00 else n.l01 end", "n.f1 + case t.state when 0 then n.l10 else n.l11 end")} from stp t join bnd n on {on()} and n.seg = t.seg - 1),
+ins as (select a.recording, a.camera, a.animal, a.seg, a.no, case when p.state is null then {_lse("a.a0", "b.a0")} when p.state = 0 then a.a0 else b.a0 end as g0, case when p.state is null then {_lse("a.a1", "b.a1")} when p.state = 0 then a.a1 else b.a1 end as g1
+  from fwd a join fwd b using ({BODY}, seg, no) left join stp p on p.recording = a.recording and p.camera = a.camera and p.animal = a.animal and p.seg = a.seg - 1 where a.i = 0 and b.i = 1),
+bck as (select {BODY}, seg, many as no, state from stp join (select distinct {BODY}, seg, many from row) using ({BODY}, seg)
+  union all select n.recording, n.camera, n.animal, n.seg, n.no, {draw(f"n.g0 + {after(0)}", f"n.g1 + {after(1)}")} from bck t join (select * from ins join row using ({BODY}, seg, no)) n on {on("seg")} and n.no = t.no - 1)
+select {BODY}, frame, state::bigint as state from bck join row using ({BODY}, seg, no)"""
+
+
 def _space(mixture: str) -> str:
     """Tracks in space, seen again in each camera."""
     key = "recording, frame, keypoint, animal"
@@ -309,6 +446,20 @@ select pose_id, keypoint, round(x * cos(t) + y * sin(t), 6) + 0.0 as x, round(y
         "space_loglik": _space(_lse(*(x.replace("(x - y) * (x - y)", "(ex * ex + ey * ey)") for x in (mix_a, mix_b)))),
         "gibbs_sweep": _gibbs(_lse(*(x.replace("(x - y) * (x - y)", "(ex * ex + ey * ey)") for x in (mix_a, mix_b)))),
         "movmf_step": _movmf(MIXTURE),
+        "tree_decode_sql": f"with {VIEW_TREE} select * from asg",
+        "camera_pairs_sql": f"""with {E} select u.recording, u.frame, u.keypoint, u.camera as cam1, u.instance as inst1, u.x as x1, u.y as y1, v.camera as cam2, v.instance as inst2, v.x as x2, v.y as y2
+from det u join det v on u.recording = v.recording and u.frame = v.frame and u.keypoint = v.keypoint and u.camera > v.camera where u.x is not null and u.y is not null and v.x is not null and v.y is not null""",
+        "best_assignments": f"""with {E}, {ID}, s as (select recording, frame, camera, keypoint, coalesce(sum(logp) filter (animal = instance), 0) as s0, coalesce(sum(logp) filter (animal <> instance), 0) as s1 from il group by all)
+select recording, frame, camera, keypoint, a::bigint as animal, case when s1 > s0 then 1 - a else a end::bigint as instance, round(greatest(s0, s1), 6) + 0.0 as score from s, (select unnest([0, 1]) as a)""",
+        "skeleton_check": f"with recursive {E}, {_PROJECTS} select project, n_parts, n_edges, n_reached, repeated, unknown, cycle, valid from chd",
+        "skeleton_order": f"""with recursive {E}, {_PROJECTS},
+walk as (select project, root as part, root as above, [-1::bigint] as path from chd where valid
+  union all select w.project, b.next, w.part, list_append(w.path, b.place) from walk w join nbr b on b.project = w.project and b.node = w.part and b.next <> w.above),
+num as (select *, row_number() over (partition by project order by path) - 1 as keypoint from walk)
+select n.project, n.keypoint::bigint as keypoint, n.part, m.keypoint::bigint as parent from num n join num m on m.project = n.project and m.part = n.above""",
+        "robust_points": _robust(),
+        "pose_positions": _pose_positions(),
+        "pose_states": _pose_states(),
         "embedding_kmeans": _kmeans(),
         "composed_permutations": f"""with {E}, {ID}, s as (select recording, frame, camera, keypoint, coalesce(sum(logp) filter (animal = instance), 0) as s0, coalesce(sum(logp) filter (animal <> instance), 0) as s1 from il group by all),
 b as (select recording, frame, camera, keypoint, case when round(s1, 9) > round(s0, 9) then 1 else 0 end as p from s)

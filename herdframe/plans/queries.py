@@ -2,14 +2,16 @@
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from herdframe.functions import tables
 from herdframe.functions.scalars import mixture_log
-from herdframe.operators import clustering, geometry, grouping, permutations, poses, transforms, tree
+from herdframe.operators import assignment, clustering, geometry, grouping, permutations, posemodel, poses, skeletons, transforms, tree
 from herdframe.operators.kinematics import IdentitySampler, RandomWalk, SpaceWalk
 from herdframe.plans import views
-from herdframe.plans.mixture import MIXTURE
+from herdframe.plans.mixture import FLAT_MIXTURE, MIXTURE, POSE_RADII, POSE_SEGMENT
 from herdframe.schemas import CELL, SERIES, VIEW
 
 N, PARENTS = views.N, views.PARENTS
@@ -170,6 +172,52 @@ def tree_decode(spark: SparkSession, sf: str) -> DataFrame:
     return tree.assignments(_decoded(spark, sf), N)
 
 
+@query
+def tree_decode_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the table function, called from SQL."""
+    tables.register(spark)
+    held = tree.views(_identity(spark, sf), _affinity(spark, sf), N, PARENTS)
+    parents = ", ".join(map(str, PARENTS))
+    return spark.sql(f"SELECT recording, frame, camera, keypoint, animal, instance FROM decode_tree(TABLE(SELECT * FROM {{views}}), array({parents}), {N})", views=held)
+
+
+@query
+def camera_pairs_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of detections in two cameras by the table function, which asks for its table by cell."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM pair_cameras(TABLE(SELECT * FROM {detections}))", detections=views.detections(spark, sf))
+
+
+@query
+def best_assignments(spark: SparkSession, sf: str) -> DataFrame:
+    """The best permutation of each keypoint by linear assignment, for any number of animals."""
+    found = assignment.best_assignment(_identity(spark, sf), [*VIEW, "keypoint"], N)
+    return found.select(*VIEW, "keypoint", "animal", "instance", (F.round("score", 6) + 0.0).alias("score"))
+
+
+def _skeletons(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A skeleton a user: seven parts, an edge from parts to lower ones, and now and then one more."""
+    e = views.events(spark, sf).select("event_id", F.col("user_id").alias("project"), "missing", F.floor("value").cast("long").alias("v"))
+    own = e.where("not missing").select("project", (F.col("event_id") % 6 + 1).alias("b"), "event_id", "v").groupBy("project", "b").agg(F.min_by("v", "event_id").alias("v"))
+    edges = own.select("project", F.col("b").alias("place"), (F.col("v") % F.col("b")).alias("a"), "b")
+    more = e.where("missing and event_id % 7 = 0").select("project", (F.col("event_id") + 100).alias("place"), (F.col("event_id") % 5).alias("a"), (F.col("v") % 8).alias("b"))
+    roots = e.select("project").distinct()
+    parts = roots.select("project", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("part"))
+    return parts, edges.unionByName(more), roots.withColumn("root", F.col("project") % 7)
+
+
+@query
+def skeleton_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What rules each project's skeleton breaks."""
+    return skeletons.checked(*_skeletons(spark, sf))
+
+
+@query
+def skeleton_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of all valid skeletons in preorder, by one recursive query."""
+    return skeletons.preorder(*_skeletons(spark, sf))
+
+
 @query
 def tree_loglik(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_decoded(spark, sf).select(*VIEW, "log_likelihood"), "log_likelihood")
@@ -287,6 +335,39 @@ def triangulated_points(spark: SparkSession, sf: str) -> DataFrame:
     return points.select(*CELL, "animal", *[(F.round(c, 4) + 0.0).alias(n) for n, c in (("bearing_x", F.col("x") / F.col("z")), ("bearing_y", F.col("y") / F.col("z")), ("inverse_depth", 1 / F.col("z")))])
 
 
+@query
+def robust_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points in space by the median over pairs of cameras, as bearings and inverse depth."""
+    located = permutations.split_by_animal(views.detections(spark, sf), tree.assignments(_decoded(spark, sf), N))
+    points = geometry.robust_points(located, PROJECTIONS).where("z <> 0")
+    return points.select(*CELL, "animal", *[(F.round(c, 4) + 0.0).alias(n) for n, c in (("bearing_x", F.col("x") / F.col("z")), ("bearing_y", F.col("y") / F.col("z")), ("inverse_depth", 1 / F.col("z")))])
+
+
+def pose_body() -> posemodel.Body:
+    """A body in the image with two pose states."""
+    params = poses.gimbal_params(PARENTS, FLAT_MIXTURE, POSE_RADII, [20.0] * len(PARENTS), leapfrog_steps=3, front_back=(0, len(PARENTS) - 1))
+    return posemodel.Body.from_params(params)
+
+
+@query
+def pose_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """One draw of all bodies' positions by Hamiltonian Monte Carlo, from where they are seen; the noise comes from digests of bodies and frames, so SQL draws the same."""
+    located = permutations.split_by_animal(_outliers(spark, sf), tree.assignments(_decoded(spark, sf), N))
+    model = posemodel.PoseModel(pose_body(), POSE_SEGMENT).initialize(located)
+    model.bodies = posemodel.positions_step(model.bodies, model.track, model.body, POSE_SEGMENT, 1)
+    return model.points().select("recording", "camera", "animal", "frame", "keypoint", *[(F.round(c, 4) + 0.0).alias(c) for c in "xy"])
+
+
+@query
+def pose_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Pose states of all bodies, drawn as whole paths along time."""
+    located = permutations.split_by_animal(_outliers(spark, sf), tree.assignments(_decoded(spark, sf), N))
+    model = posemodel.PoseModel(pose_body(), POSE_SEGMENT).initialize(located)
+    model.body.transitions = np.array([[0.9, 0.1], [0.2, 0.8]])
+    found = posemodel.states_step(model.bodies, model.track, model.body, POSE_SEGMENT, 1)
+    return found.select(*model.track, "frame", "state")
+
+
 @query
 def space_loglik(spark: SparkSession, sf: str) -> DataFrame:
     """Likelihoods of all detections under tracks in space."""
