@@ -1,6 +1,9 @@
 """Plain versions of the operators, over lists of (doc_id, text)."""
 
+import hashlib
+import math
 import re
+import zlib
 from collections import defaultdict
 from functools import cache
 
@@ -103,3 +106,63 @@ def components(docs, percent=85):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in root}
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def tree_paths(leaves):
+    """The root of a list of leaves, and for each leaf its siblings level by level: (left, right)."""
+    level, paths, at = list(leaves), [[] for _ in leaves], list(range(len(leaves)))
+    while len(level) > 1:
+        runs = [level[k : k + 3] for k in range(0, len(level), 3)]
+        for i, k in enumerate(at):
+            run = runs[k // 3]
+            paths[i].append(("".join(run[: k % 3]), "".join(run[k % 3 + 1 :])))
+        level, at = [sha("".join(r)) for r in runs], [k // 3 for k in at]
+    return level[0], paths
+
+
+def folded(leaf, path):
+    for left, right in path:
+        leaf = sha(left + leaf + right)
+    return leaf
+
+
+def manifest(docs):
+    """docs: (doc_id, text, lang, source, n_chars)."""
+
+    def leaf(i, t, lang, source, n):
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (i, source, lang, n, t)))
+
+    sources = defaultdict(list)
+    for r in docs:
+        sources[r[3]].append((r[0] is not None, r[0] or 0, leaf(*r), r))
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree_paths([x[2] for x in sorted(sources[s], key=lambda x: x[:3])]) for s in order}
+    root, above = tree_paths([trees[s][0] for s in order])
+    out = []
+    for s, up in zip(order, above, strict=True):
+        for (_, _, own, r), path in zip(sorted(sources[s], key=lambda x: x[:3]), trees[s][1], strict=True):
+            now = own
+            if r[0] is not None and r[1] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0:
+                now = leaf(r[0], r[1].replace("\n", ""), *r[2:])
+            got = folded(now, path + up)
+            out.append((r[0], own, trees[s][0], root, sha("".join(a + b for a, b in path + up)), got, got == root))
+    return out
+
+
+def hard_negatives(rows, every=100, scale=256):
+    used = []
+    for i, v, label in rows:
+        if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            used.append((i, [math.floor(scale * float(np.float32(x))) for x in v], (label + 1) % 10 if i % 7 == 0 else label))
+    out = []
+    for i, v, label in used:
+        if i % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j, other) for j, w, other in used)
+            for s, j, _ in [x for x in scored if x[2] == label and x[1] != i][:5]:
+                window = [x for x in scored if x[2] != label and 80 * -s <= 100 * -x[0] <= 100 * -s][:5]
+                out += [(i, j, k + 1, x[1], -s, -x[0]) for k, x in enumerate(window)]
+    return out

@@ -54,9 +54,24 @@ def crowded(spark, rows=None):
     """The corpus with extra columns of the names that operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ["block", "kind", "key", "n", "h1", "h2", "ids", "fingerprint", "registers", "first", "lang_pred", "score", "a", "b", "node", "component", "rep", "t", "k", "l", "kept", "n_lines", "training", "range", "to"]
+    names = ["block", "kind", "key", "n", "h1", "h2", "ids", "fingerprint", "registers", "first", "lang_pred", "score", "a", "b", "node", "component", "rep", "t", "k", "l", "kept", "n_lines", "training", "range", "to", "tree", "node", "pos", "size", "h", "path", "part", "leaf", "root", "row", "grp", "least", "cold", "bits", "many", "tampered"]
     return frame(spark, rows).withColumns({c: F.lit("clash") for c in names})
 
 
 def empty(spark):
     return frame(spark, [])
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def vectors(seed=0, n=420, dims=9):
+    """Rows of embeddings: close ones and ties, negative and zero scores, nulls everywhere, numbers that aren't finite, repeated rows."""
+    rng, rows = random.Random(seed), []
+    centres = [[rng.uniform(-1, 1) for _ in range(dims)] for _ in range(4)]
+    for k in range(n):
+        near = rng.choice(centres)
+        rows.append((k, [round(x + rng.uniform(-0.4, 0.4), 2) for x in near], None if k % 31 == 30 else rng.randrange(4)))
+    rows += [(1000, rows[5][1], 1), (1001, rows[5][1], 2), (1002, rows[5][1], 1), (1100, [0.0] * dims, 1), (1101, [0.0] * dims, 2)]
+    odd = [(1201, None, 1), (1202, [None] + [0.5] * (dims - 1), 1), (1203, [float("nan")] + [0.5] * (dims - 1), 1), (1204, [float("inf")] + [0.5] * (dims - 1), 2), (None, [0.5] * dims, 1), (1300, None, 1), (1400, [float("-inf")] * dims, 1), (1500, rows[5][1], None)]
+    return rows + odd + [rows[0], rows[7], rows[100], rows[100]]

@@ -7,6 +7,7 @@ import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from herdframe.llm import queries
@@ -22,6 +23,8 @@ def folder(spark, tmp_path_factory):
     pages = [(i, f"http://x/{i}", t) for i, t in DOCS]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     spark.createDataFrame([(1, corpus.ITEM), (2, None), (3, "Nothing of this kind is in any document of the corpus.")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    clashing = {c: F.lit("clash") for c in ("key", "v", "limits", "side", "part", "block", "p", "rank", "score", "anchor", "group", "positives")}
+    spark.createDataFrame(corpus.vectors(), corpus.VECTORS).withColumns(clashing).write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -41,14 +44,14 @@ def part(i, mod):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(folder, rows, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         db.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
     found = rows[name]
     columns = sorted(found[0].asDict())
     want = db.sql(f"select {', '.join(columns)} from ({queries.oracle_sql()[name]})").fetchall()
     key = lambda r: tuple((v is not None, v) for v in r)
     got = [tuple(r[c] for c in columns) for r in found]
-    assert len(got) == len(DOCS)
+    assert len(got) == len(DOCS) or name == "op13_hard_negatives"
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
@@ -92,10 +95,18 @@ def test_repeats_leaks_and_copies(rows):
     component = brute.components(DOCS)
     for r in rows["op9_near_dedup"]:
         assert r.component_id == component.get(r.doc_id)
+    component = brute.components(DOCS, 80)
+    assert all(r.component_id == component.get(r.doc_id) for r in rows["op11_jaccard_join"])
+    assert len(component) > len(set(component.values()))
     lines = [(i, n, gone, sha(t)) for i, n, gone, t in brute.deduped_lines(DOCS)]
     assert sorted((tuple(r) for r in rows["op10_line_dedup"]), key=order) == sorted(lines, key=order)
 
 
+def test_manifest_and_negatives(rows):
+    assert sorted(map(tuple, rows["op12_merkle_manifest"])) == sorted(brute.manifest(corpus.documents()))
+    assert sorted(map(tuple, rows["op13_hard_negatives"])) == sorted(brute.hard_negatives(corpus.vectors()))
+
+
 def test_folds(rows):
     for name, mod, rest in (("op6_language_id", 3, 1), ("op8_lattice_scores", 7, 2)):
         assert len(rows[name]) == len(DOCS)
