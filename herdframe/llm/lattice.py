@@ -5,7 +5,8 @@ order the pieces (each is one less than the one before), so they are scaled to l
 by a power law: that of a piece is -POWER * log(place in the order of scores), less a constant. The
 power is learnt: the one under which the training texts, cut by the same scores, are the most
 probable. A word's lattice probability is the sum over all ways to write it as pieces, by a
-forward recursion in log space over its characters: arrays hold a step of all words of a batch.
+forward recursion in log space over its characters: arrays hold a step of all words of a batch;
+words of over LONG characters go alone, their arcs found in whole-word passes, so a word of megabytes takes seconds.
 A character without a piece is written as its byte pieces, which come last in the order. A text is
 its words, each with a space mark in front, and one end, and the probabilities of all texts
 sum to one at most.
@@ -25,6 +26,7 @@ front of it, so no task holds the whole vocabulary of words and none is broadcas
 broadcast is one number a piece.
 """
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +44,8 @@ SMOOTH, HELD, CACHE = 0.1, 600_000, 200_000
 DISCOUNT = 0.75
 #: Words of a group in the forward recursion, and characters of its table.
 GROUP, CELLS = 8192, 1 << 20
+#: Characters from which a word goes alone, and the sum below which its recursion scales up.
+LONG, SMALL = 256, 1e-200
 _STEP = np.int64(0x5851F42D4C957F2D)
 #: Keys of rows other than words: ends of texts, and pieces from here on.
 WORD, END, PIECE = 0, 1, 2
@@ -153,6 +157,10 @@ class Lattice:
         out = np.zeros(len(words))
         long = np.array(list(map(len, words))) + 1
         order = np.argsort(long, kind="stable")
+        alone = int(np.searchsorted(long[order], LONG, side="right"))
+        for i in order[alone:].tolist():
+            out[i] = self._along(words[i])
+        order = order[:alone]
         for k in range(0, len(order), GROUP):
             rows = order[k : k + GROUP]
             while len(rows):  # groups of about one length, and of bounded size
@@ -162,6 +170,41 @@ class Lattice:
                 rows = rows[len(same) :]
         return out
 
+    def _along(self, word: str) -> float:
+        """The same for one long word: all its arcs are found first, one pass over the word a piece length, and
+        the recursion then runs over those alone, in plain numbers that are scaled up whenever they get small."""
+        points = np.frombuffer((MARK + word).encode("utf-32-le"), np.uint32).astype(np.int64)
+        n = len(points)
+        char = np.exp(self._char(points)).tolist()
+        ends, sizes, logs = [], [], []
+        keys = points + 1
+        for size in range(2, min(self.longest, n) + 1):
+            keys = keys[:-1] * _STEP + points[size - 1 :] + 1
+            at = np.flatnonzero(self.seen[self._slot(keys)])
+            piece, _ = self.table.find(keys[at])
+            hit = piece < len(self.logs)
+            ends.append(at[hit] + size)
+            sizes.append(np.full(int(hit.sum()), size))
+            logs.append(self.natural[piece[hit]])
+        end, size, weight = (np.concatenate(x) if x else np.zeros(0) for x in (ends, sizes, logs))
+        order = np.argsort(end, kind="stable")
+        arcs = zip(end[order].tolist(), size[order].tolist(), np.exp(weight[order]).tolist(), strict=True)
+        alpha, scale = [1.0] + [0.0] * n, 0.0
+        stop, size, weight = next(arcs, (0, 0, 0.0))
+        for k in range(1, n + 1):
+            total = alpha[k - 1] * char[k - 1]
+            while stop == k:
+                total += alpha[k - size] * weight
+                stop, size, weight = next(arcs, (0, 0, 0.0))
+            alpha[k] = total
+            if total < SMALL:
+                if total == 0.0:  # out of a float's range: the whole word in logs
+                    return float(self._forward([word], np.array([n]))[0])
+                scale += math.log(total)
+                for j in range(max(0, k - self.longest), k + 1):
+                    alpha[j] /= total
+        return (math.log(alpha[n]) + scale) / math.log(10.0)
+
     def _forward(self, words: list[str], long: np.ndarray) -> np.ndarray:
         n, wide = len(words), int(long.max())
         points = np.zeros((wide, n), np.int64)
