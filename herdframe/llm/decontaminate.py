@@ -13,12 +13,16 @@ batch at once; the byte that closes a text can't be taken, so no region reaches
 into the next. q is Q, or less for items whose bound would be under one q-gram (m // (k + 1) is
 always at least one), so the filter is exact with the whole k.
 
-The benchmark is handed to the tasks in blocks of about BLOCK bytes, one pass over the
-documents for each, so what is broadcast has a bound whatever the benchmark's size. Items of
-fewer than SHORTEST normalised bytes carry no passage and never match. Null texts are empty.
+The benchmark is handed to the tasks in blocks of about BLOCK bytes of text, one pass over the
+documents for each, so what is broadcast has a bound whatever the benchmark's size; each worker builds
+a block's index for itself, some 32 bytes for each byte of items, whatever their lengths. Items of
+over LONG bytes are aligned alone, their rows as the bits of whole numbers. Items of
+fewer than SHORTEST normalised bytes carry no passage and never match. Null texts are empty. Of an item's
+regions in a text that with the fewest edits counts, and of equals the first.
 """
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,11 @@ from pyspark.sql import functions as F
 from herdframe.llm.common import flat, slices, tidied
 
 #: Length of q-grams, edits for each byte of an item, shortest item, bytes of items in a block, bytes of text at once.
-Q, RATE, SHORTEST, BLOCK, SLICE = 8, 0.1, 24, 4 << 20, 1 << 20
+Q, RATE, SHORTEST, BLOCK, SLICE = 8, 0.1, 24, 1 << 20, 1 << 20
 #: Rows of one alignment at a time at least, and cells.
 ALIGNED, CELLS = 256, 1 << 16
+#: Bytes from which an item is aligned alone.
+LONG = 2048
 
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[48:58], _PLAIN[97:123], _PLAIN[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(128, 256)
@@ -105,15 +111,15 @@ class Index:
         self.k = (rate * self.m).astype(np.int64)
         q = np.clip(self.m // (self.k + 1), 1, Q)
         self.need = np.maximum(self.m + 1 - q * (self.k + 1), 1)
-        self.items = np.zeros((len(use), int(self.m.max(initial=0))), np.uint8)
+        self.longest = int(self.m.max(initial=0))
+        self.start = np.append(0, np.cumsum(self.m))[:-1]
+        self.items = np.concatenate([data[at[i] : at[i] + long[i]] for i in use.tolist()]) if len(use) else np.zeros(0, np.uint8)
         codes, item, place = [], [], []
-        for row, i in enumerate(use.tolist()):
-            own = data[at[i] : at[i] + long[i]]
-            self.items[row, : len(own)] = own
-            c = _codes(own, int(q[row]))
+        for row, (first, n) in enumerate(zip(self.start.tolist(), self.m.tolist(), strict=True)):
+            c = _codes(self.items[first : first + n], int(q[row]))
             codes.append(c)
-            item.append(np.full(len(c), row))
-            place.append(np.arange(len(c)))
+            item.append(np.full(len(c), row, np.int32))
+            place.append(np.arange(len(c), dtype=np.int32))
         self.grams = []
         for each in np.unique(q).tolist():
             rows = np.flatnonzero(q == each)
@@ -124,8 +130,8 @@ class Index:
         shared = [g.shared(data) for g in self.grams]
         if not sum(len(i) for i, _ in shared):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        item = np.concatenate([i for i, _ in shared])
-        diagonal = np.concatenate([d for _, d in shared]) + self.items.shape[1]  # not negative
+        item = np.concatenate([i for i, _ in shared]).astype(np.int64)
+        diagonal = np.concatenate([d for _, d in shared]) + self.longest  # not negative
         wide = self.k[item] + 1
         band = diagonal // wide
         span = int(band.max()) + 2
@@ -133,7 +139,7 @@ class Index:
         keys, counts = np.unique(keys, return_counts=True)
         item, band = keys // span, keys % span
         ok = (counts >= self.need[item]) & (band < span - 1)
-        return item[ok], band[ok] * (self.k[item[ok]] + 1) - self.items.shape[1]
+        return item[ok], band[ok] * (self.k[item[ok]] + 1) - self.longest
 
     def align(self, data: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The fewest edits of each item within its band of diagonals, and where that region ends (exclusive).
@@ -152,8 +158,40 @@ class Index:
                 best[rows], end[rows] = self._banded(data, item[rows], left[rows], width, barred)
         return best, end
 
+    def along(self, data: np.ndarray, at: np.ndarray, item: int, left: int) -> tuple[int, int]:
+        """align() for one long item: all its rows at once as the bits of whole numbers, a column of the table a byte of the text.
+
+        Columns are those of the band's region that lie in one text; the text of a region with bytes of
+        several is the one that holds its middle.
+        """
+        m, k = int(self.m[item]), int(self.k[item])
+        width = 4 * (k + 1)
+        own = int(np.searchsorted(at, min(max(left + (m + width) // 2, 0), len(data) - 1), side="right")) - 1
+        low, high = max(left, int(at[own])), min(left + m + width, int(at[own + 1]) - 1)
+        pattern = self.items[self.start[item] : self.start[item] + m]
+        rows = {int(c): int.from_bytes(np.packbits(pattern == c, bitorder="little").tobytes(), "little") for c in np.unique(pattern)}
+        every, last = (1 << m) - 1, 1 << (m - 1)
+        up, down, score = every, 0, m
+        best, end = 1 << 20, 0
+        for place, c in enumerate(data[low:high].tolist(), low + 1):
+            same = rows.get(c, 0)
+            x = same | down
+            same = (((same & up) + up) ^ up) | same
+            more, less = down | (every ^ ((same | up) & every)), up & same
+            if more & last:
+                score += 1
+            elif less & last:
+                score -= 1
+            more, less = (more << 1) & every, (less << 1) & every
+            up, down = less | (every ^ ((x | more) & every)), more & x
+            if score < best:
+                best, end = score, place
+            if score - (high - place) > min(k, best):
+                break
+        return best, end
+
     def _banded(self, data: np.ndarray, item: np.ndarray, left: np.ndarray, width: int, barred: bool) -> tuple[np.ndarray, np.ndarray]:
-        m, steps = self.m[item], np.arange(width)
+        m, first, steps = self.m[item], self.start[item], np.arange(width)
         bar = int(self.k[item].max()) + 2  # more edits than any item may have
         kind = np.int32 if width * bar < 1 << 30 else np.int64
         padded = np.concatenate([np.zeros(1, np.uint8), data])
@@ -163,7 +201,7 @@ class Index:
         for i in range(int(m.max())):
             place = left[:, None] + i + steps
             text = padded[np.where((place >= 0) & (place < len(data)), place + 1, 0)] if barred else data[place]
-            new = cells + (text != self.items[item, i][:, None])
+            new = cells + (text != self.items[first + np.minimum(i, m - 1)][:, None])
             if barred:
                 shut = text == 0
                 new[shut] = bar
@@ -188,21 +226,40 @@ class Index:
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         order = np.argsort(self.m[item], kind="stable")  # alignments of like lengths together
         k = 0
+
+        def keep(i: int, e: int, stop: int) -> None:
+            if e <= self.k[i]:
+                stop = min(max(stop, 1), len(data))
+                text = int(owner[stop - 1])
+                begin = max(int(at[text]), stop - int(self.m[i]))
+                key, region = (text, i), (e, int(place[begin]), int(place[stop - 1]) + 1)
+                if key not in found or region < found[key]:
+                    found[key] = region
+
+        alone = int(np.searchsorted(self.m[item[order]], LONG, side="right"))
+        for r in order[alone:].tolist():
+            keep(int(item[r]), *self.along(data, at, int(item[r]), int(start[r] - self.k[item[r]] - 1)))
+        order = order[:alone]
         while k < len(order):
             rows = order[k : k + max(ALIGNED, CELLS // int(4 * (self.k[item[order[k]]] + 1)))]
             k += len(rows)
             edits, end = self.align(data, item[rows], start[rows])
-            for i, e, stop in zip(item[rows].tolist(), edits.tolist(), end.tolist(), strict=True):
-                if e <= self.k[i]:
-                    stop = min(max(stop, 1), len(data))
-                    text = int(owner[stop - 1])
-                    begin = max(int(at[text]), stop - int(self.m[i]))
-                    key, region = (text, i), (e, int(place[begin]), int(place[stop - 1]) + 1)
-                    if key not in found or region < found[key]:
-                        found[key] = region
+            for each in zip(item[rows].tolist(), edits.tolist(), end.tolist(), strict=True):
+                keep(*each)
         return [(t, int(self.ids[i]), *region) for (t, i), region in sorted(found.items())]
 
 
+class Items:
+    """A block of items; its index is built where it is used, once a worker."""
+
+    def __init__(self, ids: list[int], texts: list[str], rate: float):
+        self.ids, self.texts, self.rate = ids, texts, rate
+
+    @cached_property
+    def index(self) -> Index:
+        return Index(self.ids, self.texts, self.rate)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """Rows (doc_id, item_id, n_edits, first_byte, end_byte): the best region of each item in each document that has one.
 
@@ -216,7 +273,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in tidied(batches):
                 for at, part in slices(batch.column(1), SLICE):
-                    hits = shared.value.leaks(part)
+                    hits = shared.value.index.leaks(part)
                     if hits:
                         ids = batch.column(0).slice(at, len(part)).take(pa.array([h[0] for h in hits]))
                         cols = [pa.array(c, pa.int64()) for c in zip(*[h[1:] for h in hits], strict=True)]
@@ -240,17 +297,17 @@ def _leaky(shared: Broadcast) -> Callable[[Column], Column]:
         for batch in tidied(batches):
             out = np.zeros(len(batch), bool)
             for at, part in slices(batch, SLICE):
-                out[[at + h[0] for h in shared.value.leaks(part)]] = True
+                out[[at + h[0] for h in shared.value.index.leaks(part)]] = True
             yield pa.array(out)
 
     return leaky
 
 
 def _indexes(benchmark: DataFrame, item_id: str, item_text: str, rate: float) -> Iterator[Broadcast]:
-    """The benchmark as broadcast indexes of about BLOCK bytes of items each."""
+    """The benchmark as broadcast blocks of about BLOCK bytes of items each."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.octet_length("t") >= SHORTEST)  # normalised bytes aren't more
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK))
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([r.i for r in block], [r.t for r in block], rate))
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([r.i for r in block], [r.t for r in block], rate))
