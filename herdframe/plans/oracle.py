@@ -451,6 +451,7 @@ select pose_id, keypoint, round(x * cos(t) + y * sin(t), 6) + 0.0 as x, round(y
 from det u join det v on u.recording = v.recording and u.frame = v.frame and u.keypoint = v.keypoint and u.camera > v.camera where u.x is not null and u.y is not null and v.x is not null and v.y is not null""",
         "best_assignments": f"""with {E}, {ID}, s as (select recording, frame, camera, keypoint, coalesce(sum(logp) filter (animal = instance), 0) as s0, coalesce(sum(logp) filter (animal <> instance), 0) as s1 from il group by all)
 select recording, frame, camera, keypoint, a::bigint as animal, case when s1 > s0 then 1 - a else a end::bigint as instance, round(greatest(s0, s1), 6) + 0.0 as score from s, (select unnest([0, 1]) as a)""",
+        "hdf5_detections": f"with {E} select recording, camera, keypoint, instance, frame, x, y, round(confidence, 6) + 0.0 as confidence from det where x is not null and y is not null",
         "skeleton_check": f"with recursive {E}, {_PROJECTS} select project, n_parts, n_edges, n_reached, repeated, unknown, cycle, valid from chd",
         "skeleton_order": f"""with recursive {E}, {_PROJECTS},
 walk as (select project, root as part, root as above, [-1::bigint] as path from chd where valid

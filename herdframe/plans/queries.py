@@ -13,6 +13,8 @@ from herdframe.operators.kinematics import IdentitySampler, RandomWalk, SpaceWal
 from herdframe.plans import views
 from herdframe.plans.mixture import FLAT_MIXTURE, MIXTURE, POSE_RADII, POSE_SEGMENT
 from herdframe.schemas import CELL, SERIES, VIEW
+from herdframe.sources import hdf5
+from herdframe.sources.shared import scratch
 
 N, PARENTS = views.N, views.PARENTS
 PROJECTIONS = [views.projection(c) for c in range(views.C)]
@@ -206,6 +208,14 @@ def _skeletons(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
     return parts, edges.unionByName(more), roots.withColumn("root", F.col("project") % 7)
 
 
+@query
+def hdf5_detections(spark: SparkSession, sf: str) -> DataFrame:
+    """All detections, identities and affinities written as one HDF5 file a recording and camera, and the detections read back."""
+    files = hdf5.write_hdf5(views.detections(spark, sf), views.affinities(spark, sf), views.identities(spark, sf), scratch(spark, "hdf5"), N, views.K)
+    found = hdf5.read_hdf5(files)[0].where("x is not null")
+    return rounded(found, "confidence")
+
+
 @query
 def skeleton_check(spark: SparkSession, sf: str) -> DataFrame:
     """What rules each project's skeleton breaks."""
