@@ -11,16 +11,19 @@ member, its columns being the low bits of hashes; wider rows are folded to compa
 
 Which rows are looked at: all shingles have one order, rare ones first (those that many
 documents hold, counted over all of them, come last), then by hash. Linked sets share one of their first
-n - ceil(percent * n / 100) + 1 shingles. So a query meets the groups of members that share one of
-those with it. Bound: a query's bits that a group's row lacks are as many shingles at least that no
+n - ceil(percent * n / 100) + 1 shingles, and under the first of all that they share neither has come too far in its own order
+for what is left of it to be enough. So a query meets the groups of members that share one of
+those with it, at such places. Bound: a query's bits that a group's row lacks are as many shingles at least that no
 member shares, so if those leave too few for a link, the group stays closed. Opened groups give
-pairs of classes, which pass the same bound on their own bitmaps before full sets confirm
-them. Nothing is estimated: no link is lost, but for equal 64-bit hashes.
-
-A shingle among the first of more than CROWD classes means a crowd: texts that consist mostly of
-what many hold. Crowds go the way of herdframe.llm.near_dedup: stars first (a member against the one leader of its
-crowds whose bitmap is most like), then parts against parts, where a member is opened only if the other part's
-union holds enough of it, and parts of one component don't meet. Frequent shingles only decide
+pairs of classes, which must pass the same bound on their own bitmaps. Nothing is estimated: no
+link is lost, but for equal 64-bit hashes.
+
+What passes connects classes to clusters, and full sets are compared within clusters only, each
+set going to its cluster's place once. A shingle among the first of more than CROWD classes
+(a shared passage, or many copies) makes a crowd: its members meet as a star first, each against one leader of its
+crowds, and only crowds of several clusters go on to tiles, where each
+tile has a matrix of its own over two parts of the crowd. Clusters beyond PART classes are linked the way of
+herdframe.llm.near_dedup: stars on full sets, then parts against parts. Frequent shingles only decide
 the order and costs, never the result; their list has at most HOT_MOST entries.
 """
 
@@ -34,11 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from herdframe.llm.common import flat, mix, shingle_hashes, slices, tidied, whole, word_hashes, written
-from herdframe.llm.near_dedup import _A, _B, CROWD, WIDTH, labelled, united
+from herdframe.llm.components import components
+from herdframe.llm.near_dedup import _A, _B, PART, WIDTH, confirmed, crowd_links, labelled, set_links, star_pairs, texts_of, united
 
 PERCENT = 80
-#: Members of a group, about.
-GROUP = 64
+#: Members of a group, about, and classes under a shingle that meet in pairs.
+GROUP, CROWD = 64, 8
 #: A shingle is frequent if one in so many of a task's documents holds it, and HOT_LEAST of them; so many are told apart.
 HOT_SHARE, HOT_LEAST, HOT_MOST = 256, 8, 1 << 17
 #: Shingles that a task counts at once.
@@ -84,7 +88,7 @@ def prefix(s: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, in
 
 def width_of(n: int) -> int:
     """Bits of a row of the matrix for sets of n shingles."""
-    return max(8, 4 << (n.bit_length() - 1)) if n else 8
+    return max(64, 4 << (n.bit_length() - 1)) if n else 64
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -170,16 +174,19 @@ def grouped(classes: DataFrame) -> DataFrame:
 
 
 def members_of(classes: DataFrame) -> DataFrame:
-    """(key, rep, n, many): classes under each of their first shingles that others have, too.
+    """(key, rep, n, at, many): classes under each of their first shingles that others have, too, with its place in the class's order.
 
     Few hold a shingle that isn't frequent, so those are counted where they meet; frequent ones,
     which few texts have among their first, are counted with partial sums.
     """
-    cold = classes.select("rep", "n", F.explode(F.slice("first", F.lit(1), F.col("cold"))).alias("key"))
+    cold = classes.select("rep", F.col("n").cast("int").alias("n"), F.posexplode(F.slice("first", F.lit(1), F.col("cold"))).alias("at", "key"))
     cold = cold.withColumn("many", F.count("*").over(W.partitionBy("key"))).where("many > 1")
-    hot = classes.where(F.size("first") > F.col("cold")).select("rep", "n", F.explode(F.slice("first", F.col("cold") + 1, F.size("first") - F.col("cold"))).alias("key"))
+    rest = F.slice("first", F.col("cold") + 1, F.size("first") - F.col("cold"))
+    hot = classes.where(F.size("first") > F.col("cold")).select("rep", F.col("n").cast("int").alias("n"), "cold", F.posexplode(rest).alias("at", "key"))
     counts = written(hot.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "keys")
-    return cold.select("key", "rep", "n", "many").union(hot.join(counts, "key").select("key", "rep", "n", "many"))
+    hot = hot.join(counts, "key").withColumn("at", F.col("at") + F.col("cold"))
+    columns = ["key", "rep", F.col("n").cast("long").alias("n"), "at", "many"]
+    return cold.select(*columns).union(hot.select(*columns))
 
 
 def _enough(n: str, lost: str, other: str, percent: int):  # noqa: ANN202
@@ -187,6 +194,13 @@ def _enough(n: str, lost: str, other: str, percent: int):  # noqa: ANN202
     return (F.col(n) - F.col(lost)) * (100 + percent) >= percent * (F.col(n) + F.col(other))
 
 
+def hub_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): every member (key, rep, component) of a crowd with one leader of its crowds in another component, the same one for as many as can be."""
+    leaders = written(members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub"), F.col("component").alias("of"))).alias("x")), "leaders")
+    spokes = members.join(leaders, "key").where(F.col("component") != F.col("x.of"))
+    return spokes.groupBy(F.col("rep").alias("b")).agg(F.min("x").alias("x")).select(F.col("x.hub").alias("a"), "b")
+
+
 def bounded_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb, like) of the pairs (a, b) whose sizes and bitmaps don't rule a link out."""
     one = classes.select(F.col("rep").alias("a"), F.col("bits").alias("ra"), F.col("n").alias("na"))
@@ -198,40 +212,122 @@ def bounded_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 
 
 def opened(members: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes and the members of the groups that open to them; members are (key, rep, n)."""
+    """(a, b): classes and the members of the groups that open to them; members are (key, rep, n, at)."""
     placed = members.join(groups.select("rep", "grp"), "rep")
-    to = placed.select("key", F.col("grp").alias("to"), F.col("rep").alias("other"), F.col("n").alias("m"))
-    sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    asked = placed.join(to, "key").where((F.col("rep") != F.col("other")) & sizes).select("rep", "to").distinct()
-    wanted = asked.select(F.col("to").alias("grp")).distinct()
-    held = written(groups.join(wanted, "grp", "left_semi"), "groups")
-    matrix = _rows(held, classes)
-    queries = classes.select("rep", "n", "bits")
-    bound = asked.join(queries, "rep").join(matrix, F.col("to") == F.col("grp")).select("rep", "n", "to", "m", _missing("bits", "row").alias("lost")).where(_enough("n", "lost", "m", percent))
+    to = placed.select("key", F.col("grp").alias("to"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("at").alias("there"))
+    # where a shingle is the first that two sets share, what comes after it must be enough for a link
+    fits = _enough("n", "at", "m", percent) & _enough("m", "there", "n", percent)
+    asked = written(placed.join(to, "key").where((F.col("rep") != F.col("other")) & fits).select("rep", "to").distinct(), "asked")
+    held = written(groups.join(asked.select(F.col("to").alias("grp")).distinct(), "grp", "left_semi"), "groups")
+    each = held.select("rep", "grp").join(classes.select("rep", "n", "bits"), "rep").groupBy("grp").agg(F.collect_list("bits").alias("maps"), F.min("n").alias("m"))
+    matrix = each.select(F.col("grp").alias("to"), _union("maps").alias("row"), "m")
+    bound = asked.join(classes.select("rep", "n", "bits"), "rep").join(matrix, "to").select("rep", "n", "to", "m", _missing("bits", "row").alias("lost"))
     into = held.select(F.col("grp").alias("to"), F.col("rep").alias("other"))
-    return bound.join(into, "to").where(F.col("rep") != F.col("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-
-
-def _rows(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """The matrix: (grp, row, m), a group's union of bitmaps and the size of its smallest member."""
-    each = groups.select("rep", "grp").join(classes.select("rep", "n", "bits"), "rep").groupBy("grp").agg(F.collect_list("bits").alias("maps"), F.min("n").alias("m"))
-    return each.select("grp", _union("maps").alias("row"), "m")
+    met = bound.where(_enough("n", "lost", "m", percent)).join(into, "to").where(F.col("rep") != F.col("other"))
+    return met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+class Matrix:
+    """The members of a tile with bitmaps of one width or folded to it, and the rows of their groups."""
+
+    def __init__(self, at: np.ndarray, n: np.ndarray, place: np.ndarray, grp: np.ndarray, maps: np.ndarray):
+        order = np.argsort(grp, kind="stable")
+        self.at, self.n, self.place, self.maps = at[order], n[order], place[order], maps[order]
+        first = np.flatnonzero(np.append(True, grp[order][1:] != grp[order][:-1]))
+        self.group = np.cumsum(np.isin(np.arange(len(at)), first)) - 1
+        self.rows, self.least = np.bitwise_or.reduceat(self.maps, first, axis=0), np.minimum.reduceat(self.n, first)
+
+    def open(self, n: int, place: int, bits: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the tile's members may be linked with a query of n shingles, the tile's own at `place`, of those that are `left`."""
+        lost = np.bitwise_count(bits & ~self.rows).sum(1, dtype=np.int64)
+        opens = (n - lost) * (100 + percent) >= percent * (n + self.least)
+        k = np.flatnonzero(opens[self.group] & left[self.at])
+        m = self.n[k]
+        k = k[np.minimum(n - place, m - self.place[k]) * (100 + percent) >= percent * (n + m)]
+        m, maps = self.n[k], self.maps[k]
+        here, there = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (bits & ~maps, maps & ~bits))
+        return self.at[k[(np.minimum(n - here, m - there) * (100 + percent) >= percent * (n + m))]]
+
+
+def possible_links(ids: np.ndarray, n: np.ndarray, place: np.ndarray, grp: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A forest that connects what pairs that pass the bound connect: breadth first, so no member is looked for twice."""
+    width = np.array(list(map(len, maps))) // 8  # in words
+    own = [np.frombuffer(m, np.uint64) for m in maps]
+    half = [m.reshape(2, -1) if len(m) > 1 else m for m in own]
+    half = [m[0] | m[1] if m.ndim == 2 else m for m in half]
+    matrices = {}
+    for w in np.unique(width).tolist():
+        a, b = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        both = np.append(a, b)
+        matrices[w] = Matrix(both, n[both], place[both], grp[both], np.stack([*(own[k] for k in a.tolist()), *(half[k] for k in b.tolist())]))
+    left, out = np.ones(len(ids), bool), []
+    for root in range(len(ids)):
+        if not left[root]:
+            continue
+        left[root], todo = False, [root]
+        while todo and left.any():
+            k = todo.pop()
+            w = int(width[k])
+            near = [matrices[w].open(int(n[k]), int(place[k]), own[k], left, percent)]
+            if w // 2 in matrices and w > 1:
+                near.append(matrices[w // 2].open(int(n[k]), int(place[k]), half[k], left, percent))
+            for other in np.unique(np.concatenate(near)).tolist():
+                left[other] = False
+                todo.append(other)
+                out.append((int(ids[k]), int(ids[other])))
+    return out
+
+
+def bound_links(members: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """crowd_links() by bitmaps: what pairs that pass the bound connect."""
+    reps = members.select("rep").distinct()
+    held = classes.select("rep", "n", "bits").join(reps, "rep", "left_semi").join(groups.select("rep", "grp"), "rep").withColumnRenamed("rep", "doc_id")
+
+    def link(t: pa.Table) -> pa.Table:
+        maps = [x.as_py() for c in t.column("bits").chunks for x in c]
+        found = possible_links(*(t.column(c).to_numpy() for c in ("doc_id", "n", "at", "grp")), maps, percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return crowd_links(members, written(held, "bitmaps"), link)
+
+
+def clustered(classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component): clusters of classes that may be linked; linked ones lie in one cluster."""
+    members = written(members_of(classes), "members")
+    groups = written(grouped(classes), "grouped")
+    few = members.where(F.col("many") <= CROWD).select("key", "rep", "n", "at")
+    near = bounded_pairs(opened(few, classes, groups, percent), classes, percent).drop("like").distinct()
+    return united(near, members, lambda m, turn: bounded_pairs(hub_pairs(m, turn), classes, percent).drop("like"), lambda p: p.select("a", "b"), lambda m: bound_links(m, classes, groups, percent), CROWD)
 
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Rows: doc_id, n_shingles, component_id for every document.
 
-    A row counts by its own text: rows of one id and different texts may have different
-    components, and links of one reach the other through the id. A null id can't name a component: such rows link
-    with nothing and have none.
+    A row's set is that of its own text; rows of one id are one document to links, whatever their
+    texts. A null id can't name a component: such rows link with nothing and have none.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
     sets = written(sketched(rows), "sets")
     named = described(rows, percent).where("doc_id is not null and n > 0")
     held = [F.first(c).alias(c) for c in ("least", "first", "cold", "bits")]
     classes = written(named.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), *held), "classes")
-    members = written(members_of(classes), "members")
-    few = members.where(F.col("many") <= CROWD).select("key", "rep", "n")
-    pairs = opened(few, classes, written(grouped(classes), "grouped"), percent)
-    near = bounded_pairs(pairs, classes, percent).drop("like").distinct()
-    return labelled(sets, classes, united(near, members, classes, rows, percent, bounded_pairs))
+    clusters = clustered(classes, percent)
+    sizes = written(clusters.groupBy("component").agg(F.count("*").alias("many")), "sizes")
+    members = classes.select("rep", "n").join(clusters.withColumnRenamed("node", "rep"), "rep").join(sizes, "component")
+    members = written(members.select(F.col("component").alias("key"), "rep", "n", "many"), "members")
+    small = members.where(F.col("many") <= PART).select("key", "rep", "n", F.col("rep").alias("component"))
+    links = set_links(small, rows, percent)
+    large = members.where(F.col("many") > PART)
+    if not large.isEmpty():
+        none = classes.sparkSession.createDataFrame([], "a long, b long, na long, nb long")
+        texts = written(texts_of(large, rows), "texts")
+        found = united(none, large, lambda m, turn: star_pairs(m, lambda p: bounded_pairs(p, classes, percent), turn), lambda p: confirmed(p, texts, percent), lambda m: set_links(m, texts, percent), PART)
+        links = links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    links = written(links.union(same_ids(sets, classes)), "links")
+    return labelled(sets, classes, components(links))
+
+
+def same_ids(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes in which one id occurs."""
+    own = sets.where("doc_id is not null").join(classes.select("c1", "c2", "n", "rep"), ["c1", "c2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("reps"))
+    return own.where("a < b").select("a", F.explode("reps").alias("b")).where("a <> b")

@@ -40,6 +40,8 @@ SMALL = 64
 CROWD, SIGMAS, PART, PART_SHINGLES = 24, 4.5, 512, 250_000
 #: Rounds of stars at most, texts that one task compares with a leader, and pairs of classes that go to tiles without another star.
 STARS, POINTS, TILED = 4, 256, 1 << 24
+#: Members of crowds up to which their ids go to every task (8 MB), so that other texts needn't move.
+BROADCAST = 1 << 20
 #: The chance that two unlike buckets agree: as many leading zeros, and the same four bits.
 CHANCE = 1 / 3 / 16
 _ORDERS = np.argsort(mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)).reshape(BUCKETS, BUCKETS), axis=1)
@@ -219,19 +221,19 @@ def tile_links(ids: np.ndarray, right: np.ndarray, sets: list[np.ndarray], perce
     return out
 
 
-def star_pairs(members: DataFrame, classes: DataFrame, percent: int, turn: int, compared: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+def star_pairs(members: DataFrame, compared: Callable[[DataFrame], DataFrame], turn: int) -> DataFrame:
     """(a, b, na, nb): every member (key, rep, component) of a crowd with that leader of its crowds, in another component, which its sketch is most like."""
     leaders = written(members.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("leader")), "leaders")
     spokes = members.join(leaders, "key").where(F.col("component") != F.col("leader.component"))
-    like = compared(spokes.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent)
+    like = compared(spokes.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct())
     best = like.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("like", "a")).alias("x"))
     return best.select("x.a", "b", "x.na", "x.nb")
 
 
 def divided(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, rep, n, component) of the crowds that lie in several components; a class without a label is its own."""
+    """Members (key, rep, component, ...) of the crowds that lie in several components; a class without a label is its own."""
     members = members.drop("component").join(labels, F.col("rep") == F.col("node"), "left")
-    members = members.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    members = members.withColumn("component", F.coalesce("component", "rep")).drop("node")
     several = members.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one < other").select("key")
     return members.join(written(several, "several"), "key", "left_semi")
 
@@ -243,29 +245,43 @@ def unlike_pairs(members: DataFrame) -> int:
     return int(sums.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0)
 
 
-def crowd_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def crowd_links(members: DataFrame, held: DataFrame, link: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """Links among the members (key, rep, n, component) of each crowd that connect what links between different components connect.
 
-    A component with PART members in a crowd has parts of its own, which aren't compared with each other.
+    A component with PART members in a crowd has parts of its own, which aren't compared with each other. held
+    has what of each member (doc_id) a tile compares; link(tile) gives (a, b) of a tile's rows (doc_id, right, and the
+    further columns of members and held): within one part, or between the left and the right one if both occur.
     """
     # small tables by key are written, so that a join with a crowd of any size can be split
     sizes = written(members.groupBy("key", "component").agg(F.count("*").alias("many")), "sizes")
     cell = F.when(F.col("many") >= PART, F.col("component").cast("string")).otherwise("")
-    placed = members.join(sizes, ["key", "component"]).select("key", "rep", "n", cell.alias("cell"))
+    more = [c for c in members.columns if c not in ("key", "rep", "n", "component")]
+    placed = members.join(sizes, ["key", "component"]).select("key", "rep", "n", cell.alias("cell"), *more)
     parts = written(placed.groupBy("key", "cell").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts")), "parts")
-    placed = placed.join(parts, ["key", "cell"]).select("key", "rep", F.struct("cell", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("k")).alias("part"))
+    placed = placed.join(parts, ["key", "cell"]).select("key", "rep", *more, F.struct("cell", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("k")).alias("part"))
     listed = parts.select("key", F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("key", F.struct(F.col("c").alias("cell"), "k").alias("part"))
     tiles = listed.withColumnRenamed("part", "i").join(listed.withColumnRenamed("part", "j"), "key").where((F.col("i") <= F.col("j")) & ((F.col("i.cell") != F.col("j.cell")) | (F.col("i.cell") == "")))
     sides = tiles.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
-    shingled = written(_shingled(texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "shingles")
-    dealt = placed.join(sides, ["key", "part"]).select("key", "i", "j", F.col("rep").alias("doc_id"), (F.col("part") > F.col("i")).alias("right")).join(shingled, "doc_id")
+    dealt = placed.join(sides, ["key", "part"]).select("key", "i", "j", F.col("rep").alias("doc_id"), (F.col("part") > F.col("i")).alias("right"), *more).join(held, "doc_id")
+    return dealt.groupBy("key", "i", "j").applyInArrow(link, "a long, b long")
+
+
+def texts_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts (doc_id, text) of members (rep, ...); if those are few, no other text moves."""
+    reps = members.select(F.col("rep").alias("doc_id")).distinct()
+    return texts.join(F.broadcast(reps) if members.count() <= BROADCAST else reps, "doc_id", "left_semi")
+
+
+def set_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """crowd_links() by full sets of the members' texts (doc_id, text)."""
+    shingled = written(_shingled(texts_of(members, texts)), "shingles")
 
     def link(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("shingles").chunks for x in c]
         found = tile_links(table.column("doc_id").to_numpy(), table.column("right").to_numpy(), sets, percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(link, "a long, b long")
+    return crowd_links(members, shingled, link)
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
@@ -289,20 +305,22 @@ def linked(classes: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
     other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
     sizes = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
     pairs = few.select("key", F.col("rep").alias("a"), "n").join(other, "key").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
-    return united(estimated(pairs, classes, percent).drop("like"), members, classes, texts, percent, estimated)
+    near = estimated(pairs, classes, percent).drop("like")
+    return united(near, members, lambda m, turn: star_pairs(m, lambda p: estimated(p, classes, percent), turn), lambda p: confirmed(p, texts, percent), lambda m: set_links(m, texts, percent))
 
 
-def united(near: DataFrame, members: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, compared: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
-    """(node, component) of what links unite: pairs (a, b, na, nb) that are to be confirmed, and crowds among the members (key, rep, n, many).
+def united(near: DataFrame, members: DataFrame, stars: Callable[[DataFrame, int], DataFrame], confirm: Callable[[DataFrame], DataFrame], tiles: Callable[[DataFrame], DataFrame], crowd: int = CROWD) -> DataFrame:
+    """(node, component) of what links unite: pairs (a, b, na, nb) that are to be confirmed, and those within crowds, keys of the members (key, rep, n, many) with more than `crowd` of them.
 
-    compared(pairs, classes, percent) gives (a, b, na, nb, like) of the pairs that may be linked.
+    stars(members, round) gives pairs of members with a leader of their crowds in another component, confirm(pairs) those
+    that are linked, and tiles(members) connects what is linked between components of what is left of the crowds. Further columns of members stay with them.
     """
-    left = members.where(F.col("many") > CROWD).select("key", "rep", "n", F.col("rep").alias("component"))
+    left = members.where(F.col("many") > crowd).drop("many").withColumn("component", F.col("rep"))
     crowded = not left.isEmpty()
     if crowded:
-        near = near.unionByName(star_pairs(left, classes, percent, 0, compared)).distinct()
+        near = near.unionByName(stars(left, 0)).distinct()
     near = written(near, "pairs")
-    links = written(confirmed(near, texts, percent), "links")
+    links = written(confirm(near), "links")
     labels = components(links)
     removed(near, links)
     for turn in range(1, STARS + 1):
@@ -312,10 +330,7 @@ def united(near: DataFrame, members: DataFrame, classes: DataFrame, texts: DataF
         if left.isEmpty():
             break
         last = turn == STARS or unlike_pairs(left) <= TILED
-        if last:
-            found = crowd_links(left, texts, percent)
-        else:
-            found = confirmed(written(star_pairs(left, classes, percent, turn, compared), "pairs"), texts, percent)
+        found = tiles(left) if last else confirm(written(stars(left, turn), "pairs"))
         held = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         links = written(held.unionByName(found), "links")
         labels = components(links)
