@@ -103,7 +103,8 @@ def test_repeats_leaks_and_copies(rows):
 
 
 def test_manifest_and_negatives(rows):
-    assert sorted(map(tuple, rows["op12_merkle_manifest"])) == sorted(brute.manifest(corpus.documents()))
+    order = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(map(tuple, rows["op12_merkle_manifest"]), key=order) == sorted(brute.manifest(corpus.documents()), key=order)
     assert sorted(map(tuple, rows["op13_hard_negatives"])) == sorted(brute.hard_negatives(corpus.vectors()))
 
 
