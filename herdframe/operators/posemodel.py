@@ -235,11 +235,15 @@ def positions_step(bodies: DataFrame, track: list[str], body: Body, segment: int
         t = t.set_column(t.schema.get_field_index("x"), "x", _arrays(x))
         return t.select(columns).filter(pa.array(own))
 
+    first = None
     for half in (0, 1):
         keyed = bordered(bodies, segment, half).withColumn("key", noise_key([*track, "frame"], seed))
         moved = keyed.groupBy(*track, "segment").applyInArrow(move, bodies.schema)
         still = bodies.where(F.pmod(F.floor(F.col("frame") / segment), F.lit(2)) != half)
         bodies = written(moved.unionByName(still), "bodies")
+        if first is not None:
+            removed(first)
+        first = bodies
     return bodies
 
 
@@ -411,9 +415,11 @@ class PoseModel:
         def along(a: int) -> Column:
             return F.col("x")[front * d + a] - F.col("x")[back * d + a]
 
+        located = written(located.select("recording", "camera", "frame", "keypoint", "animal", "x", "y", "outlier_prob"), "located")
         rows = self._placed(located).join(self._observed(located), [*self.track, "frame"]).withColumn("heading", angle(along(0), along(1)))
         new = copy(self)
         new.bodies = written(rows.withColumn("state", likeliest("x", "heading")).select(*self.track, "frame", "x", "obs", "out", "heading", "state"), "bodies")
+        removed(located)
         return new
 
     def step(self, located: DataFrame) -> "PoseModel":

@@ -7,6 +7,8 @@ row; the preorder of all valid trees comes from one recursive query, a round a d
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from herdframe.sources.shared import written
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(project, place, a, b): each edge once, a < b, at its first place; loops stay."""
@@ -46,10 +48,10 @@ def checked(parts: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def preorder(parts: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(project, keypoint, part, parent): the parts of each valid project in preorder from 0 on, neighbours in order of their edges, and the parent's keypoint (the root's own)."""
-    good = checked(parts, edges, roots).where("valid").select("project")
-    kept = undirected(edges).join(good, "project")
-    both = kept.select("project", F.col("a").alias("node"), F.col("b").alias("next"), "place").union(kept.select("project", "b", "a", "place"))
-    start = roots.join(good, "project").select("project", "root")
+    # each round of the recursion reads these again, so they are written once
+    start = written(roots.join(checked(parts, edges, roots).where("valid").select("project"), "project").select("project", "root"), "roots")
+    kept = undirected(edges).join(start.select("project"), "project")
+    both = written(kept.select("project", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("next")), F.struct(F.col("b").alias("node"), F.col("a").alias("next")))).alias("e"), "place").select("project", "e.*", "place"), "edges")
     walked = parts.sparkSession.sql(
         """WITH RECURSIVE walk (project, part, above, path) AS (
              SELECT project, root, root, array(-1L) FROM {start}
@@ -59,6 +61,6 @@ def preorder(parts: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
         start=start,
         both=both,
     )
-    walked = walked.withColumn("keypoint", F.col("keypoint").cast("long"))
+    walked = written(walked.withColumn("keypoint", F.col("keypoint").cast("long")), "walked")
     above = walked.select("project", F.col("part").alias("above"), F.col("keypoint").alias("parent"))
     return walked.join(above, ["project", "above"]).select("project", "keypoint", "part", "parent")
