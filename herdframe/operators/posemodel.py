@@ -430,10 +430,11 @@ class PoseModel:
         new.steps = self.steps + 1
         keys = [*self.track, "frame"]
         rows = self.bodies.drop("obs", "out").join(self._observed(located), keys).select(*self.bodies.columns)
-        rows = positions_step(written(rows, "bodies"), self.track, self.body, self.segment, seed)
+        start = written(rows, "bodies")
+        rows = positions_step(start, self.track, self.body, self.segment, seed)
         turned = written(headings_step(rows, self.track, self.body, seed), "bodies")
         new.bodies = written(states_step(turned, self.track, self.body, self.segment, seed), "bodies")
-        removed(rows, turned)
+        removed(start, rows, turned)
         new.body = copy(self.body)
         if len(self.body.mu) > 1:
             new.body.transitions = transitions_step(transition_counts(new.bodies, self.track, len(self.body.mu)), self.prior, seed)
