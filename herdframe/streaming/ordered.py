@@ -13,7 +13,6 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from herdframe.operators.permutations import all_permutations
