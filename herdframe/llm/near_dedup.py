@@ -306,7 +306,7 @@ def linked(classes: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
     sizes = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
     pairs = few.select("key", F.col("rep").alias("a"), "n").join(other, "key").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
     near = estimated(pairs, classes, percent).drop("like")
-    return united(near, members, lambda m, turn: star_pairs(m, lambda p: estimated(p, classes, percent), turn), lambda p: confirmed(p, texts, percent), lambda m: set_links(m, texts, percent))
+    return united(near, members, lambda m, turn: star_pairs(m, lambda p: estimated(p, classes, percent), turn), lambda p: confirmed(p, texts, percent), lambda m: set_links(m, texts, percent), CROWD)
 
 
 def united(near: DataFrame, members: DataFrame, stars: Callable[[DataFrame, int], DataFrame], confirm: Callable[[DataFrame], DataFrame], tiles: Callable[[DataFrame], DataFrame], crowd: int = CROWD) -> DataFrame:
