@@ -21,6 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -324,41 +325,69 @@ def _pieces(model: bytes) -> Pieces:
     return _shared[key]
 
 
+def _encoded(pieces: Pieces, texts: pa.Array) -> pa.Array:
+    parts = [pieces.encode(s.to_pylist()) for _, s in slices(texts)] or [(np.zeros(0, np.int32), np.zeros(1, np.int64))]
+    values = np.concatenate([i for i, _ in parts])
+    at = np.append(0, np.cumsum(np.concatenate([np.diff(a) for _, a in parts])))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _decoded(pieces: Pieces, ids: pa.Array) -> pa.Array:
+    ids = ids.fill_null([]) if ids.null_count else ids
+    out = []
+    for k in range(0, len(ids), 500):
+        part = ids.slice(k, 500)
+        at = part.offsets.to_numpy().astype(np.int64)
+        out += pieces.decode(part.flatten().to_numpy(zero_copy_only=False), at - at[0])
+    return pa.array(out, pa.string())
+
+
+def _model(docs: DataFrame, model_file: str) -> Broadcast:
+    with open(model_file, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encode(docs: DataFrame, model_file: str, text: str = "text") -> Column:
     """Column with the ids of `text`, an array of int, as the library gives them without begin and end ids.
 
     Null and empty texts have no ids. Rows may repeat; other columns don't matter.
     """
-    with open(model_file, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+    model = _model(docs, model_file)
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _pieces(model.value)
         for batch in tidied(batches):
-            parts = [pieces.encode(s.to_pylist()) for _, s in slices(batch)] or [(np.zeros(0, np.int32), np.zeros(1, np.int64))]
-            values = np.concatenate([i for i, _ in parts])
-            at = np.append(0, np.cumsum(np.concatenate([np.diff(a) for _, a in parts])))
-            yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
+            yield _encoded(pieces, batch)
 
     return ids(F.col(text))
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "ids") -> Column:
     """Column with the text of an array of ids, as the library decodes them. Null and empty arrays give an empty text."""
-    with open(model_file, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+    model = _model(docs, model_file)
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _pieces(model.value)
         for batch in tidied(batches):
-            batch = batch.fill_null([]) if batch.null_count else batch
-            out = []
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
-                at = part.offsets.to_numpy().astype(np.int64)
-                out += pieces.decode(part.flatten().to_numpy(zero_copy_only=False), at - at[0])
-            yield pa.array(out, pa.string())
+            yield _decoded(pieces, batch)
 
     return texts(F.col(ids))
+
+
+def coded(docs: DataFrame, model_file: str, text: str = "text") -> Column:
+    """Column (ids, text): what encode() gives for `text` and what decode() gives for those ids, made by one worker a task.
+
+    A column on top of the other would take two workers a task, each with the vocabulary, and send the ids out and in again.
+    """
+    model = _model(docs, model_file)
+
+    @F.arrow_udf("ids array<int>, text string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = _pieces(model.value)
+        for batch in tidied(batches):
+            ids = _encoded(pieces, batch)
+            yield pa.StructArray.from_arrays([ids, _decoded(pieces, ids)], ["ids", "text"])
+
+    return both(F.col(text))

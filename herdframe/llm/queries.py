@@ -41,13 +41,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", whole("text").alias("text"))
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = docs.select("doc_id", pieces.encode(docs, model).alias("ids"))
-    back = coded.withColumn("decoded", pieces.decode(coded, model))
-    return back.select(
+    coded = docs.select("doc_id", pieces.coded(docs, model).alias("coded"))
+    return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.size("coded.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("coded.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("coded.text"), 256).alias("decoded_sha256"),
     )
 
 

@@ -134,6 +134,9 @@ def test_pieces(spark, docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     coded = docs.select("doc_id", whole("text").alias("text"), pieces.encode(docs, PIECES).alias("ids"))
     found = coded.withColumn("back", pieces.decode(coded, PIECES)).collect()
+    once = docs.select("doc_id", pieces.coded(docs, PIECES).alias("c")).select("doc_id", "c.ids", "c.text")
+    assert sorted(map(repr, once.toLocalIterator())) == sorted(repr(r) for r in once.sparkSession.createDataFrame([(r.doc_id, r.ids, r.back) for r in found], once.schema).toLocalIterator())
+    assert once._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert len(found) == len(DOCS)
     for r in found:
         want = sp.encode(r.text)
