@@ -52,8 +52,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     rows = docs.select("doc_id", "lang", "source", whole("text").alias("text"))
-    coded = rows.select("doc_id", "lang", "source", pieces.encode(rows, model).alias("ids"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", pieces.decode(coded, model).alias("text"))
+    coded = rows.select("doc_id", "lang", "source", pieces.coded(rows, model).alias("coded"))
+    return coded.select("doc_id", "lang", "source", F.size("coded.ids").cast("long").alias("n_tokens"), "coded.ids", "coded.text")
 
 
 STAGES = [("language_id", identify), ("line_dedup", drop_lines), ("near_dedup", drop_copies), ("decontamination", drop_leaks), ("encoding", encode)]
