@@ -51,7 +51,7 @@ def two_view_errors(p1: np.ndarray, p2: np.ndarray, xy1: np.ndarray, xy2: np.nda
 
 
 def triangulation_error(projections: list[list[list[float]]]):  # noqa: ANN201
-    """Column function (cam1, cam2, x1, y1, x2, y2): the mean reprojection error, NULL if it isn't finite.
+    """Column function (cam1, cam2, x1, y1, x2, y2): the mean reprojection error, NULL if it or a coordinate isn't finite.
 
     projections holds one 3 by 4 matrix a camera; a batch of pairs is one call of the SVD.
     """
@@ -64,10 +64,12 @@ def triangulation_error(projections: list[list[list[float]]]):  # noqa: ANN201
             if not len(c1):
                 yield pa.array([], pa.float64())
                 continue
-            e = two_view_errors(table[c1], table[c2], np.stack(xy[:2], 1).astype(float), np.stack(xy[2:], 1).astype(float))
+            at = np.stack(xy, 1).astype(float)
+            seen, e = np.isfinite(at).all(1), np.full(len(at), np.nan)
+            e[seen] = two_view_errors(table[c1[seen]], table[c2[seen]], at[seen, :2], at[seen, 2:])
             yield pa.array(e, pa.float64(), mask=~np.isfinite(e))
 
-    return run
+    return run.asNondeterministic()  # so that a filter on the error isn't moved below, where the kernel would run once more
 
 
 def rectified_error(y1: Column, y2: Column) -> Column:
@@ -139,7 +141,8 @@ def triangulated(located_by_animal: DataFrame, projections: list[list[list[float
         bad = ~np.isfinite(points).all(1)
         return pa.StructArray.from_arrays([pa.array(points[:, d], pa.float64(), mask=bad) for d in range(3)], ["x", "y", "z"])
 
-    return cells.select(*CELL, "animal", solve("views").alias("point")).select(*CELL, "animal", "point.x", "point.y", "point.z").where("x is not null")
+    once = solve.asNondeterministic()  # or the filter would be moved below and run the kernel a second time
+    return cells.select(*CELL, "animal", once("views").alias("point")).select(*CELL, "animal", "point.x", "point.y", "point.z").where("x is not null")
 
 
 def pairwise_median(projections: np.ndarray, cameras: list[np.ndarray], xy: list[np.ndarray]) -> np.ndarray:

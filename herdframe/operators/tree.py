@@ -171,7 +171,8 @@ def decode(inputs: DataFrame, n: int, parents: list[int], seed: int | None = Non
 
 def assignments(decoded: DataFrame, n: int) -> DataFrame:
     """(recording, frame, camera, keypoint, animal, instance) of decoded views."""
-    long = decoded.select(*VIEW, F.posexplode("choice").alias("keypoint", "p"))
+    # outer, as the filter that Spark infers for a plain one would run the kernel a second time; no choice is empty
+    long = decoded.select(*VIEW, F.posexplode_outer("choice").alias("keypoint", "p"))
     if n <= MOST:
         perms = F.array(*[F.array(*[F.lit(i).cast("long") for i in p]) for p in all_permutations(n)])
         instances = perms[F.col("p").cast("int")]

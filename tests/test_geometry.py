@@ -145,6 +145,18 @@ def test_one_camera_has_no_groups(spark):
     assert grouping.initial_assignments(d, aff, ids, 2, [0, 0], RIG).count() == 0
 
 
+def kernels(df):
+    """How many times the plan runs a Python kernel."""
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [")
+
+
+def test_a_filter_on_errors_runs_the_kernel_once(spark):
+    pairs = spark.createDataFrame([(1, 0, 1.0, 1.0, 2.0, 1.0), (2, 1, None, 1.0, 2.0, 1.0)], "cam1 long, cam2 long, x1 double, y1 double, x2 double, y2 double")
+    error = geometry.triangulation_error(RIG)("cam1", "cam2", "x1", "y1", "x2", "y2")
+    found = geometry.edges(pairs.select("cam1", error.alias("error"), F.lit(0.0).alias("divergence")), most_error=1e9)
+    assert kernels(found) == 1 and [r.cam1 for r in found.collect()] == [1]
+
+
 def test_points_in_space(spark):
     rng = np.random.default_rng(4)
     points = {(t, a): np.append(rng.normal(size=2), rng.uniform(4, 8)) for t in range(6) for a in (0, 1)}
@@ -153,6 +165,7 @@ def test_points_in_space(spark):
     d = spark.createDataFrame(rows, "recording string, camera long, frame long, keypoint long, instance long, x double, y double, animal long")
     got = {(r.frame, r.animal): (r.x, r.y, r.z) for r in geometry.triangulated(d, RIG).collect()}
     assert got.keys() == points.keys() and all(np.allclose(got[k], points[k]) for k in points)
+    assert kernels(geometry.triangulated(d, RIG)) == 1
     again = geometry.projected(geometry.triangulated(d, RIG), RIG).collect()
     assert len(again) == 36 and all(np.allclose((r.px, r.py), seen(points[r.frame, r.animal], r.camera)) for r in again)
     model = SpaceWalk(RIG, reach=0).initialize(d)

@@ -94,6 +94,13 @@ def test_relabelled_instances_give_relabelled_animals(perm, seed):
     assert [[int(moved[i]) for i in p] for p in two] == [list(p) for p in one]
 
 
+def test_assignments_run_the_kernel_once(spark):
+    rows = spark.createDataFrame([("r", t, 0, [1.0, 0.0, 0.0, 1.0] * 2, [0.0] * 8) for t in range(3)], "recording string, frame long, camera long, ll array<double>, affinity array<double>")
+    found = tree.assignments(tree.decode(rows, 2, [0, 0]), 2)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert sorted((r.frame, r.keypoint, r.animal, r.instance) for r in found.collect()) == [(t, k, a, a) for t in range(3) for k in (0, 1) for a in (0, 1)]
+
+
 def test_permutation_tables(spark):
     perms = permutations.all_permutations(3)
     assert perms == sorted(perms) and permutations.permutation_index([2, 0, 1]) == 4
