@@ -1,29 +1,37 @@
 """Language-model scores by a subword lattice: the probability of a text over all its segmentations.
 
-The vocabulary and its scores are those of a piece model file. The scores of such a file only
-order the pieces (each is one less than the one before), so they are scaled to log-probabilities
-by a power law: that of a piece is -POWER * log(place in the order of scores), less a constant. The
-power is learnt: the one under which the training texts, cut by the same scores, are the most
-probable. A word's lattice probability is the sum over all ways to write it as pieces, by a
-forward recursion in log space over its characters: arrays hold a step of all words of a batch;
-words of over LONG characters go alone, their arcs found in whole-word passes, so a word of megabytes takes seconds.
-A character without a piece is written as its byte pieces, which come last in the order. A text is
-its words, each with a space mark in front, and one end, and the probabilities of all texts
-sum to one at most.
-
-On demand (`word_arcs`) the lattice of a word also has one arc over all of it, for words that training
-holds, with the word's count less DISCOUNT; what all words give up so is the weight of the
-arcs of pieces.
+The vocabulary is that of a piece model file. Its scores only order the pieces (each is one less than
+the one before), so as they are they weigh by a power law: log p of a piece is -POWER * log(place in
+the order of scores), less a constant, with the power under which the training texts, cut by the
+same scores, are the most probable. A word's lattice probability is the sum over all ways to write it
+as pieces, by a forward recursion in log space over its characters, for all words of a group at a
+time; words of over LONG characters go alone, so a word of megabytes takes seconds. A character
+without a piece is written as its byte pieces, which come last in the order. A text is its words,
+each with a space mark in front, and one end, and the probabilities of all texts sum to one at most.
+
+The order of the file fits few texts, so the weights may be `learnt` from training: those of the pieces
+by ROUNDS of expectation over all cuts of its distinct words (each counts once, as pieces are for words
+that training lacks), from weights as 1 / place. The lattice of a token, a word or the end, then has
+further arcs over all of it. Each stage below is a distribution and backs off to the one before:
+
+- spelt: the end with a share h of its count, else the word by its pieces;
+- known: (count - DISCOUNT) / N, and what all tokens give up so, times spelt;
+- pair: (count behind the token before + m * known) / (count of that one + m), m = SPREAD * count of that one ** BEND;
+- own: OWN of the share of the token in the text so far, the rest of pair.
+
+With `word_arcs` the weights of the file and `known` are combined, nothing else.
 
 Beside it a base score: words by add-one counts. Words are `[^\\x20\\x09-\\x0D]+` with A-Z
-lower-cased and known by 64-bit hashes.
+lower-cased and known by 64-bit hashes, and so are pairs.
 
-Pass 1 makes the distinct words of a task's training texts in each block of documents, with
-counts, and their pieces' counts; Spark sums both by key. Blocks are ranges of ids, so where
-documents lie in their order a task meets few blocks and a word is one row for each. Pass 2
-deals the documents out by block and puts the counts of the words that occur in a block in
+Pass 1 makes the distinct words, and pairs if they are wanted, of a task's texts in each block of
+documents, with counts, as arrays: a row for each range of hashes. Spark brings a range together, a
+task sums it up and gives a row for each block. Of what is in training once and in no other
+text nothing comes back: a training text that misses a count has the only one. Pass 2
+deals the documents out by block and puts the counts of what occurs in a block in
 front of it, so no task holds the whole vocabulary of words and none is broadcast. What is
-broadcast is one number a piece.
+broadcast is one number a piece. Distinct words of training are kept spelt for the rounds, each of which
+is one pass over them.
 """
 
 import math
@@ -35,20 +43,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import _IS_SPACE, bounds_of, distinct, flat, partitions, range_of, slices, tidied, whole, word_hashes, written
-from herdframe.llm.pieces import MARK, Pieces, _Table
+from herdframe.llm.common import _IS_SPACE, _ODD, bounds_of, distinct, flat, mix, partitions, range_of, slices, tidied, whole, word_hashes, written
+from herdframe.llm.pieces import _NONE, MARK, Pieces, _Table
 
 #: Added to the count of ends and of pieces; distinct words that pass 1 sums up in a task, and words whose scores a worker remembers.
 SMOOTH, HELD, CACHE = 0.1, 600_000, 200_000
 #: Taken from each word's count for the arcs of pieces.
 DISCOUNT = 0.75
-#: Words of a group in the forward recursion, and characters of its table.
-GROUP, CELLS = 8192, 1 << 20
+#: Rounds of expectation; weights of the stages, tried on sf0.001 to sf0.1, where anything near does about as well.
+ROUNDS, SPREAD, BEND, OWN = 3, 3.0, 0.7, 1 / 9
+#: Words of a group in the forward recursion, and characters of its table; words of a group in the rounds.
+GROUP, CELLS, FEW = 8192, 1 << 20, 2048
+#: Bytes of text for each range of hashes, of which there are at most RANGES a partition.
+RANGE_BYTES, RANGES = 4 << 20, 4
 #: Characters from which a word goes alone, and the sum below which its recursion scales up.
 LONG, SMALL = 256, 1e-200
 _STEP = np.int64(0x5851F42D4C957F2D)
-#: Keys of rows other than words: ends of texts, and pieces from here on.
-WORD, END, PIECE = 0, 1, 2
+#: Kinds of rows: counts of words and of pairs, spelt words, numbers of pieces, of ends, of words in all; texts.
+WORD, PAIR, SPELT, PIECE, END, ALL, TEXT = range(7)
+#: The hash of an end, which is also what is in front of a text.
+_END = np.uint64(0x2545F4914F6CDD1D)
 _pieces: dict[int, Pieces] = {}
 _scores: dict[int, "Remembered"] = {}
 
@@ -103,6 +117,7 @@ class Model:
     distinct: int
     ends: int
     word_arcs: bool = False
+    learnt: bool = False
 
     def whole(self, counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """log10 probabilities of tokens from their counts and those that the pieces give them."""
@@ -114,6 +129,23 @@ class Model:
         return top + np.log10(10.0 ** (words - top) + 10.0 ** (arcs - top))
 
 
+    def token(self, spelt: np.ndarray, is_end: np.ndarray, counts: np.ndarray, pair: np.ndarray, before: np.ndarray, again: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log10 probabilities of tokens, with arcs over all of a token: from its count, that behind the token before
+        and that one's count, and how often the text had it in the `place` tokens before."""
+        share = (self.ends + SMOOTH) / (self.tokens + 2 * SMOOTH)
+        spelt = np.where(is_end, math.log10(share), spelt + math.log10(1 - share))
+        rest = DISCOUNT * self.distinct / self.tokens if self.tokens else 1.0
+        m = SPREAD * np.maximum(before, 1.0) ** BEND
+        back = np.where(place > 0, 1 - OWN, 1.0) * m / (before + m)  # how much of known counts
+        arcs = OWN * again / np.maximum(place, 1) + np.where(place > 0, 1 - OWN, 1.0) * pair / (before + m)
+        arcs += back * np.maximum(counts - DISCOUNT, 0) / max(self.tokens, 1)
+        spelt = spelt + np.log10(back * rest)  # may be too small for a plain number
+        with np.errstate(divide="ignore"):
+            arcs = np.log10(arcs)
+        top = np.maximum(arcs, spelt)
+        return top + np.log10(10.0 ** (arcs - top) + 10.0 ** (spelt - top))
+
+
 class Lattice:
     """Scores of words under a model."""
 
@@ -139,6 +171,21 @@ class Lattice:
         self.natural = self.logs * np.log(10.0)
         self.seen = np.zeros(1 << 18, bool)  # most substrings are no pieces: a small table says so first
         self.seen[self._slot(keys)] = True
+        # what pieces begin with, and the piece that it is, or -1
+        begun = {}
+        for p, i in many:
+            h = np.int64(ord(p[0]) + 1)
+            with np.errstate(over="ignore"):
+                for k, c in enumerate(p[1:], 2):
+                    h = h * _STEP + np.int64(ord(c) + 1)
+                    if k == len(p):
+                        begun[h] = i
+                    else:
+                        begun.setdefault(h, -1)
+        keys, ids = np.array(list(begun), np.int64), np.array(list(begun.values()), np.int32)
+        self.starts = _Table(keys, ids, ids)
+        self.begun = np.zeros(1 << 18, bool)
+        self.begun[self._slot(keys)] = True
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -247,6 +294,120 @@ class Lattice:
             result[done] = alpha[end, done]
         return result / np.log(10.0)
 
+    def expected(self, words: list[str]) -> np.ndarray:
+        """How often each piece is expected in the words, one of each: over all cuts, by their probability."""
+        total = np.zeros(len(self.logs))
+        long = np.array(list(map(len, words)), np.int64) + 1
+        order = np.argsort(long, kind="stable")
+        alone = int(np.searchsorted(long[order], LONG, side="right"))
+        a = 0
+        while a < len(order):
+            b = a + 1
+            if a < alone:
+                b = min(alone, a + max(1, min(FEW, CELLS // 8 // int(long[order[a]]))), int(np.searchsorted(long[order], 2 * long[order[a]] + 8, side="right")))
+            rows = order[a:b]
+            arcs = Arcs(self, [words[i] for i in rows.tolist()], long[rows])
+            total += arcs.shares(len(total)) if a < alone else arcs.shares_alone(len(total))
+            a = b
+        return total
+
+
+class Arcs:
+    """The arcs of all words of a group in flat arrays, and the recursions over them in log space.
+
+    A word of n characters, its mark included, has n + 1 nodes. Pieces are found for all places at once,
+    a length at a time, and only where what is read so far begins a piece.
+    """
+
+    def __init__(self, lattice: Lattice, words: list[str], long: np.ndarray):
+        self.lattice, self.long = lattice, long
+        self.points = points = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(long)), long)
+        self.first = np.cumsum(long) - long + np.arange(len(long))
+        stop = np.cumsum(long)[word]
+        begins, ends, pieces = [np.arange(len(points))], [np.arange(len(points)) + 1], [lattice.single[points]]
+        at, keys = begins[0], points + 1
+        for size in range(2, lattice.longest + 1):
+            inside = at + size <= stop[at]
+            at = at[inside]
+            keys = keys[inside] * _STEP + points[at + size - 1] + 1
+            some = np.flatnonzero(lattice.begun[lattice._slot(keys)])
+            found, _ = lattice.starts.find(keys[some])
+            more = found != _NONE
+            at, keys, found = at[some[more]], keys[some[more]], found[more]
+            if not len(at):
+                break
+            hit = found >= 0
+            begins.append(at[hit])
+            ends.append(at[hit] + size)
+            pieces.append(found[hit].astype(np.int64))
+        begin, end, self.piece = (np.concatenate(x) for x in (begins, ends, pieces))
+        self.weight = lattice.natural[np.maximum(self.piece, 0)]
+        strange = np.flatnonzero(self.piece < 0)
+        self.weight[strange] = lattice._char(points[begin[strange]])
+        self.point = begin
+        own = word[begin]
+        self.word, self.source, self.target = own, begin + own, end + own
+        self.step_in, self.step_out = self.target - self.first[own], self.source - self.first[own]
+        self.last = self.first + long
+
+    def _swept(self, node: np.ndarray, other: np.ndarray, step: np.ndarray, value: np.ndarray) -> None:
+        """value[node] = log of the sum of exp(value[other] + weight) over the arcs of a node, in the order of steps."""
+        order = np.argsort(node.astype(np.int32), kind="stable")
+        if len(self.long) > 1:  # by node within a step; 16 bits are sorted by radix
+            order = order[np.argsort(step[order].astype(np.int16 if self.long[-1] < 1 << 15 else np.int64), kind="stable")]
+        elif step[0] > step[-1]:
+            order = order[::-1]
+        node, other, weight = node[order], other[order], self.weight[order]
+        new = np.append(True, node[1:] != node[:-1])
+        which, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+        cuts = np.flatnonzero(np.append(True, np.diff(step[order]) != 0)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(node)], strict=True):
+            terms = value[other[a:b]] + weight[a:b]
+            group = which[a:b] - which[a]
+            at = heads[which[a] : which[b - 1] + 1] - a
+            top = np.maximum.reduceat(terms, at)
+            value[node[a:b][at]] = top + np.log(np.add.reduceat(np.exp(terms - top[group]), at))
+
+    def ahead(self) -> np.ndarray:
+        """log of each word's probability; the nodes' stay in `alpha`."""
+        self.alpha = np.zeros(len(self.points) + len(self.long))
+        self._swept(self.target, self.source, self.step_in, self.alpha)
+        return self.alpha[self.last]
+
+    def _counted(self, share: np.ndarray, size: int) -> np.ndarray:
+        plain = self.piece >= 0
+        total = np.bincount(self.piece[plain], share[plain], size)
+        for k in np.flatnonzero(~plain).tolist():
+            for b in chr(self.points[self.point[k]]).encode():
+                total[self.lattice.bytes[b]] += share[k]
+        return total
+
+    def shares(self, size: int) -> np.ndarray:
+        whole_word = self.ahead()
+        beta = np.zeros(len(self.alpha))
+        self._swept(self.source, self.target, -self.step_out, beta)
+        return self._counted(np.exp(self.alpha[self.source] + self.weight + beta[self.target] - whole_word[self.word]), size)
+
+    def shares_alone(self, size: int) -> np.ndarray:
+        """The same for one long word, in plain numbers."""
+        order = np.argsort(self.target, kind="stable").tolist()
+        source, target, weight = self.source.tolist(), self.target.tolist(), self.weight.tolist()
+
+        def swept(order: list[int], other: list[int], node: list[int], start: int) -> list[float]:
+            value = [-math.inf] * (len(self.points) + 1)
+            value[start] = 0.0
+            for k in order:
+                x, y = value[other[k]] + weight[k], value[node[k]]
+                high, low = (x, y) if x > y else (y, x)
+                value[node[k]] = high + math.log1p(math.exp(low - high))
+            return value
+
+        alpha = np.array(swept(order, source, target, 0))
+        order = np.argsort(-self.source, kind="stable").tolist()
+        beta = np.array(swept(order, target, source, len(self.points)))
+        return self._counted(np.exp(alpha[self.source] + self.weight + beta[self.target] - alpha[-1]), size)
+
 
 def _vocabulary(model: bytes) -> Pieces:
     if (key := hash(model)) not in _pieces:
@@ -254,28 +415,81 @@ def _vocabulary(model: bytes) -> Pieces:
     return _pieces[key]
 
 
-def counted(train: DataFrame, model_file: str, n: int, block: Column) -> DataFrame:
-    """Pass 1 over (doc_id, text, training boolean): rows (kind, key, n, blocks) of words, ends and pieces."""
+def _summed(keys: np.ndarray, blocks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry for each key and block, by key. A count is twice that of training, plus one if another text has the key."""
+    order = np.lexsort((blocks, keys))
+    keys, blocks, counts = keys[order], blocks[order], counts[order]
+    at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])))
+    return keys[at], blocks[at], 2 * np.add.reduceat(counts >> 1, at) + np.bitwise_or.reduceat(counts & 1, at)
+
+
+def _lists(values: np.ndarray | pa.Array, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+
+
+_ARRAYS = "kind int, place int, keys array<long>, blocks array<int>, counts array<long>, words array<string>"
+
+
+def _rows(kind: int, place: np.ndarray, cuts: np.ndarray, keys: np.ndarray, counts: np.ndarray | None = None, blocks: np.ndarray | None = None, words: pa.Array | None = None) -> pa.RecordBatch:
+    """Rows of _ARRAYS, cut from flat arrays."""
+    n = len(place)
+    none = lambda kind: pa.nulls(n, pa.list_(kind))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(n, kind, np.int32)),
+            pa.array(place.astype(np.int32)),
+            _lists(keys.view(np.int64), cuts, pa.int64()),
+            none(pa.int32()) if blocks is None else _lists(blocks.astype(np.int32), cuts, pa.int32()),
+            none(pa.int64()) if counts is None else _lists(counts, cuts, pa.int64()),
+            none(pa.string()) if words is None else _lists(words, cuts, pa.string()),
+        ],
+        names=["kind", "place", "keys", "blocks", "counts", "words"],
+    )
+
+
+def _pairs(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of texts, an end behind each text's words, and of the pairs of each with the one before."""
+    tokens = np.insert(hashes, offsets[1:], _END)
+    return tokens, mix(np.append(_END, tokens[:-1]) * _ODD + tokens)
+
+
+def counted(train: DataFrame, model_file: str, n: int, block: Column, learn: bool = False) -> DataFrame:
+    """Pass 1 over (doc_id, text, training boolean): rows of _ARRAYS, with counts of words by block, and either
+    counts of pieces of one cut, or (learn) counts of pairs and the distinct words of training as they are spelt."""
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, min(RANGES * n, size // RANGE_BYTES))
     with open(model_file, "rb") as f:
-        shared = train.sparkSession.sparkContext.broadcast(f.read())
+        shared = train.sparkSession.sparkContext.broadcast(None if learn else f.read())
+
+    def place_of(keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
+
+    def cut(kind: int, keys: np.ndarray, counts: np.ndarray | None = None, blocks: np.ndarray | None = None, words: pa.Array | None = None) -> pa.RecordBatch:
+        """Rows from arrays in any order; like blocks and counts lie together, which shuffles as little."""
+        places = place_of(keys)
+        order = np.argsort(places, kind="stable") if blocks is None else np.argsort((places * n + blocks) * 4 + np.minimum(counts, 3))
+        places, keys = places[order], keys[order]
+        counts, blocks = (None if x is None else x[order] for x in (counts, blocks))
+        words = None if words is None else words.take(pa.array(order))
+        at = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+        return _rows(kind, places[at], np.append(at, len(keys)), keys, counts, blocks, words)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared.value)
-        totals = np.zeros(vocabulary.v.size, np.int64)
+        vocabulary = None if learn else _vocabulary(shared.value)
+        totals = np.zeros(0 if learn else vocabulary.v.size, np.int64)
         ends = 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {WORD: [], PAIR: []}
+        told: set[int] = set()
+        names: list[tuple[np.ndarray, list[str]]] = []
 
-        def out(kind: int, keys: np.ndarray, blocks: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(blocks.astype(np.int32)), pa.array(counts)], names=["kind", "key", "block", "n"])
-
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        many = 0
+        def spelt() -> pa.RecordBatch:
+            return cut(SPELT, np.concatenate([k for k, _ in names]), words=pa.array([w for _, ws in names for w in ws], pa.string()))
 
-        def summed() -> pa.RecordBatch:
-            key, blk, cnt = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((blk, key))
-            key, blk, cnt = key[order], blk[order], cnt[order]
-            at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (blk[1:] != blk[:-1])))
-            return out(WORD, key[at], blk[at], np.add.reduceat(cnt, at))
+        def hold(kind: int, keys: np.ndarray, which: np.ndarray, blocks: np.ndarray, use: np.ndarray) -> None:
+            pairs, _, spot = distinct(which * n + blocks)
+            learnt = np.bincount(spot, use, len(pairs)).astype(np.int64)
+            held[kind].append((keys[pairs // n], pairs % n, 2 * learnt + (np.bincount(spot, minlength=len(pairs)) > learnt)))
 
         for batch in tidied(batches):
             for at, part in slices(batch.column(1)):
@@ -283,39 +497,97 @@ def counted(train: DataFrame, model_file: str, n: int, block: Column) -> DataFra
                 train_too = batch.column(2).slice(at, len(part)).to_numpy(zero_copy_only=False)
                 hashes, offsets, begin, end = _words(part)
                 ends += int(train_too.sum())
+                if learn:
+                    long = np.diff(offsets) + 1
+                    uniq, _, inverse = distinct(_pairs(hashes, offsets)[1])
+                    hold(PAIR, uniq, inverse, np.repeat(blocks, long), np.repeat(train_too, long))
                 if not len(hashes):
                     continue
                 owner = np.repeat(np.arange(len(part)), np.diff(offsets))
                 use = train_too[owner]
                 uniq, first, inverse = distinct(hashes)
+                hold(WORD, uniq, inverse, blocks[owner], use)
                 times = np.bincount(inverse[use], minlength=len(uniq))
-                learn = np.flatnonzero(times)
-                words = [MARK + w for w in _spelt(part, begin[first[learn]], end[first[learn]])]
-                if len(vocabulary.words) > CACHE:
-                    vocabulary._reset()
-                new = [w for w in dict.fromkeys(words) if w not in vocabulary.words]
-                for k in range(0, len(new), GROUP):
-                    vocabulary._learn(new[k : k + GROUP])
-                which = np.fromiter(map(vocabulary.words.__getitem__, words), np.int64, len(words))
-                lens, starts = vocabulary.lens[which], vocabulary.starts[which]
-                ids = vocabulary.ids[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
-                totals += np.bincount(ids, np.repeat(times[learn], lens), minlength=len(totals)).astype(np.int64)
-                pair = inverse * n + blocks[owner]
-                pairs, _, spot = distinct(pair)
-                held.append((uniq[pairs // n].view(np.int64), pairs % n, np.bincount(spot, use, len(pairs)).astype(np.int64)))
-                many += len(pairs)
-                if many >= HELD:
-                    yield summed()
-                    held, many = [], 0
-        if held:
-            yield summed()
+                new = np.flatnonzero(times)
+                if learn:
+                    keys = uniq.tolist()
+                    new = np.array([k for k in new.tolist() if keys[k] not in told], np.int64)
+                    told.update(uniq[new].tolist())
+                    if len(new):
+                        names.append((uniq[new], _spelt(part, begin[first[new]], end[first[new]])))
+                    if len(told) > CACHE:
+                        yield spelt()
+                        told.clear()
+                        names.clear()
+                else:
+                    words = [MARK + w for w in _spelt(part, begin[first[new]], end[first[new]])]
+                    if len(vocabulary.words) > CACHE:
+                        vocabulary._reset()
+                    fresh = [w for w in dict.fromkeys(words) if w not in vocabulary.words]
+                    for k in range(0, len(fresh), GROUP):
+                        vocabulary._learn(fresh[k : k + GROUP])
+                    which = np.fromiter(map(vocabulary.words.__getitem__, words), np.int64, len(words))
+                    lens, starts = vocabulary.lens[which], vocabulary.starts[which]
+                    ids = vocabulary.ids[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+                    totals += np.bincount(ids, np.repeat(times[new], lens), minlength=len(totals)).astype(np.int64)
+                for kind, some in held.items():
+                    if sum(len(k) for k, _, _ in some) >= HELD:
+                        keys, blk, cnt = _summed(*(np.concatenate(x) for x in zip(*some, strict=True)))
+                        yield cut(kind, keys, cnt, blk)
+                        some.clear()
+        for kind, some in held.items():
+            if some:
+                keys, blk, cnt = _summed(*(np.concatenate(x) for x in zip(*some, strict=True)))
+                yield cut(kind, keys, cnt, blk)
+        if names:
+            yield spelt()
         used = np.flatnonzero(totals)
-        yield out(PIECE, used, np.full(len(used), -1), totals[used])
-        if ends:
-            yield out(END, np.zeros(1, np.int64), np.array([-1]), np.array([ends]))
+        yield _rows(PIECE, np.zeros(1), np.array([0, len(used)]), used, totals[used])
+        yield _rows(END, np.zeros(1), np.array([0, 1]), np.zeros(1, np.int64), np.array([ends]))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one range and kind come in a row; what comes out has a block as its place."""
+        now, parts = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not parts:
+                return
+            kind = now[1]
+            keys = np.concatenate([p.column(2).flatten().to_numpy(zero_copy_only=False) for p in parts]).view(np.uint64)
+            if kind == SPELT:
+                keys, at = np.unique(keys, return_index=True)
+                yield _rows(SPELT, np.full(1, -1), np.array([0, len(keys)]), keys, words=pa.concat_arrays([p.column(5).flatten() for p in parts]).take(pa.array(at)))
+                return
+            counts = np.concatenate([p.column(4).flatten().to_numpy(zero_copy_only=False) for p in parts])
+            if kind not in (WORD, PAIR):
+                yield _rows(kind, np.full(1, -1), np.array([0, len(keys)]), keys, counts)
+                return
+            keys, blocks, counts = _summed(keys, np.concatenate([p.column(3).flatten().to_numpy(zero_copy_only=False) for p in parts]), counts)
+            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            total, other = np.add.reduceat(counts >> 1, at), np.bitwise_or.reduceat(counts & 1, at)
+            if kind == WORD:
+                yield _rows(ALL, np.full(1, -1), np.array([0, 2]), np.zeros(2, np.int64), np.array([total.sum(), (total > 0).sum()]))
+            size = np.diff(np.append(at, len(keys)))
+            keep = np.flatnonzero(np.repeat(total + other > 1, size) & np.repeat(total > 0, size))
+            if len(keep):
+                total = np.repeat(total, size)
+                order = keep[np.lexsort((total[keep], blocks[keep]))]
+                blocks = blocks[order]
+                heads = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+                yield _rows(kind, blocks[heads], np.append(heads, len(blocks)), keys[order], total[order])
 
-    rows = train.select(block.alias("block"), "text", "training").mapInArrow(local, "kind int, key long, block int, n long")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")).where("n > 0")
+        for batch in tidied(batches):
+            kinds, places = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.append(True, (kinds[1:] != kinds[:-1]) | (places[1:] != places[:-1])))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(kinds)], strict=True):
+                if (own := (int(places[a]), int(kinds[a]))) != now:
+                    yield from done()
+                    now, parts = own, []
+                parts.append(batch.slice(a, b - a))
+        yield from done()
+
+    rows = train.select(block.alias("block"), "text", "training").mapInArrow(local, _ARRAYS)
+    return rows.repartitionById(n, F.col("place") % n).sortWithinPartitions("place", "kind").mapInArrow(merged, _ARRAYS)
 
 
 def power(places: np.ndarray, mean: float) -> float:
@@ -329,31 +601,91 @@ def power(places: np.ndarray, mean: float) -> float:
     return low
 
 
-def learnt(sums: DataFrame, vocabulary: Pieces, word_arcs: bool = False) -> Model:
-    """The model from the sums of pass 1. What reaches the driver is a row for each piece of the vocabulary."""
-    total = {r.kind: r for r in sums.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+def _numbers(sums: DataFrame, kind: int) -> DataFrame:
+    """(key, n): the sums of the counts of a kind."""
+    pairs = sums.where(F.col("kind") == kind).select(F.explode(F.arrays_zip("keys", "counts")).alias("x"))
+    return pairs.groupBy(F.col("x.keys").alias("key")).agg(F.sum("x.counts").alias("n"))
+
+
+def expected(words: DataFrame, model_file: str, shares: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in the spelt words, one of each, under these shares. What reaches the driver is a row a piece."""
+    sc = words.sparkSession.sparkContext
+    with open(model_file, "rb") as f:
+        file = sc.broadcast(f.read())
+    with np.errstate(divide="ignore"):
+        shared = sc.broadcast(Model(np.log10(shares), 0.0, 0, 0, 0))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, total = None, np.zeros(0)
+        for batch in tidied(batches):
+            lattice = lattice or Lattice(_vocabulary(file.value), shared.value)
+            found = lattice.expected(batch.column(0).flatten().to_pylist())
+            total = total + found if len(total) else found
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "n"])
+
+    found = np.zeros(len(shares))
+    for r in words.mapInArrow(local, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        found[r.piece] = r.n
+    return found
+
+
+def learnt(sums: DataFrame, vocabulary: Pieces, word_arcs: bool = False, model_file: str | None = None) -> Model:
+    """The model from the sums of pass 1; with a model file the weights of its pieces are learnt from spelt words.
+    What reaches the driver is a row for each piece of the vocabulary."""
     v = vocabulary.v
     live = v.order >= 0
     places = v.order[live] + 1.0
+    row = sums.where(F.col("kind") == ALL).agg(F.sum(F.get("counts", F.lit(0))).alias("n"), F.sum(F.get("counts", F.lit(1))).alias("v")).first()
+    words, kinds = row.n or 0, row.v or 0
+    ends = sum(r.n for r in _numbers(sums, END).collect())
+    shares = np.zeros(v.size)
+    if model_file:
+        shares[live] = 1 / places / (1 / places).sum()
+        spelt = sums.where(F.col("kind") == SPELT).select("words")
+        for _ in range(ROUNDS if kinds else 0):
+            found = expected(spelt, model_file, shares)[live] + SMOOTH
+            # rounded, as the order of sums must not show
+            shares[live] = 10.0 ** np.round(np.log10(found / found.sum()), 9)
+        with np.errstate(divide="ignore"):
+            return Model(np.log10(shares / shares.sum()), 0.0, words + ends, kinds + (ends > 0), ends, learnt=True)
     counts = np.zeros(v.size)
-    for r in sums.where(F.col("kind") == PIECE).select("key", "n").collect():
+    for r in _numbers(sums, PIECE).collect():
         counts[r.key] += r.n
     used = counts[live].sum()
     weights = places ** -(power(places, counts[live] @ np.log(places) / used) if used else 1.0)
-    ends = total[END].n if END in total else 0
     end = (ends + SMOOTH) / (used + SMOOTH)
-    shares = np.zeros(v.size)
     shares[live] = weights / weights.sum() / (1 + end)
-    words, kinds = (total[WORD].n, total[WORD].v) if WORD in total else (0, 0)
     # after a word's first piece the others go on until the next mark or the end
     inner = shares[~v.marked].sum()
     with np.errstate(divide="ignore"):
         return Model(np.log10(shares), float(np.log10(end / (1 + end) / (1 - inner))), words + ends, kinds + (ends > 0), ends, word_arcs)
 
 
-def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "doc_id", text: str = "text", word_arcs: bool = False) -> DataFrame:
+def _again(which: np.ndarray, owner: np.ndarray, kinds: int) -> np.ndarray:
+    """How often each token's text had it before."""
+    both = owner * kinds + which
+    order = np.argsort(both, kind="stable")
+    ranked = both[order]
+    heads = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    out = np.empty(len(both), np.int64)
+    out[order] = np.arange(len(both)) - np.repeat(heads, np.diff(np.append(heads, len(both))))
+    return out
+
+
+def _found(held: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The counts of keys; 0 for what isn't held."""
+    known, counts = held
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[spot] == keys, counts[spot], 0)
+
+
+def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "doc_id", text: str = "text", word_arcs: bool = False, learn: bool = False) -> DataFrame:
     """Rows: doc_id, n_tokens, n_known, train_tokens, base_score, score for every document, learning from those where `training` holds.
 
+    The weights are those of the file, with `word_arcs` if wanted, or with `learn` those learnt from the training texts.
     Null texts are empty: one token, the end. Null ids are kept. Without any training text all
     words are unknown and the power is one. Texts score with their own words' counts
     even if they were learnt from.
@@ -363,12 +695,12 @@ def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "do
     block = range_of(bounds_of(rows, n)).cast("int")
     with open(model_file, "rb") as f:
         vocabulary = f.read()
-    sums = written(counted(rows, model_file, n, block), "words")
-    model = learnt(sums, Pieces(vocabulary), word_arcs)
+    sums = written(counted(rows, model_file, n, block, learn), "words")
+    model = learnt(sums, Pieces(vocabulary), word_arcs, model_file if learn else None)
     sc = docs.sparkSession.sparkContext
     shared, file = sc.broadcast(model), sc.broadcast(vocabulary)
-    ahead = sums.where(F.col("kind") == WORD).select(F.explode("blocks").alias("block"), F.lit(0).alias("kind"), "key", "n", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    dealt = rows.select(block.alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n"), "doc_id", "text")
+    ahead = sums.where(F.col("kind").isin(WORD, PAIR)).select(F.col("place").alias("block"), "kind", "keys", "counts", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("training"))
+    dealt = rows.select(block.alias("block"), F.lit(TEXT).alias("kind"), F.lit(None).cast("array<long>").alias("keys"), F.lit(None).cast("array<long>").alias("counts"), "doc_id", "text", "training")
     both = dealt.unionByName(ahead).repartitionById(n, "block").sortWithinPartitions("block", "kind")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,56 +708,65 @@ def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "do
         lattice = Lattice(_vocabulary(file.value), m)
         cache = _scores.setdefault(hash(m.pieces.tobytes()), Remembered())
         log_all = np.log10(m.tokens + m.distinct + 1.0)
-        base_end = np.log10(m.ends + 1.0) - log_all
         own_end = float(m.whole(np.array([m.ends]), np.array([m.end]))[0])
-        now, held, keys, counts = None, [], None, None
+        now, held, ready = None, {}, {}
+
+        def counts_of(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            if kind not in ready:
+                some = held.pop(kind, [])
+                keys, counts = (np.concatenate(x) for x in zip(*some, strict=True)) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                order = np.argsort(keys)
+                ready[kind] = keys[order], counts[order]
+            return ready[kind]
+
         for batch in tidied(batches):
             blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(blocks)], strict=True):
                 part = batch.slice(a, b - a)
                 if blocks[a] != now:
-                    now, held, keys = blocks[a], [], None
-                if kinds[a] == 0:
-                    held.append((part.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), part.column(3).to_numpy(zero_copy_only=False).astype(np.int64)))
+                    now, held, ready = blocks[a], {}, {}
+                if kinds[a] != TEXT:
+                    # copies, as the batches themselves would stay
+                    held.setdefault(int(kinds[a]), []).append((part.column(2).flatten().to_numpy().view(np.uint64).copy(), part.column(3).flatten().to_numpy().copy()))
                     continue
-                if keys is None:
-                    keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.uint64)
-                    counts = np.concatenate([c for _, c in held]) if held else np.zeros(0, np.int64)
-                    order = np.argsort(keys)
-                    keys, counts, held = keys[order], counts[order], []
                 for at, texts in slices(part.column(5)):
+                    trained = part.column(6).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(bool)
                     hashes, offsets, begin, end = _words(texts)
                     uniq, first, inverse = distinct(hashes)
-                    times = np.zeros(len(uniq), np.int64)
-                    if len(keys) and len(uniq):
-                        spot = np.minimum(np.searchsorted(keys, uniq), len(keys) - 1)
-                        times = np.where(keys[spot] == uniq, counts[spot], 0)
                     cache.age()
                     names = uniq.tolist()
                     new = cache.lacks(names)
                     if new:
                         made = lattice.scores(_spelt(texts, begin[first[new]], end[first[new]]))
                         cache.update(zip((names[k] for k in new), made.tolist(), strict=True))
-                    own = m.whole(times, np.fromiter(map(cache.__getitem__, names), np.float64, len(names)))
+                    spelt = np.fromiter(map(cache.__getitem__, names), np.float64, len(names))
                     n_words = np.diff(offsets)
-
-                    def sums_of(x: np.ndarray, offsets: np.ndarray = offsets, inverse: np.ndarray = inverse) -> np.ndarray:
-                        each = np.zeros(len(offsets) - 1)
-                        full = np.flatnonzero(offsets[:-1] < offsets[1:])
-                        if len(full):
-                            each[full] = np.add.reduceat(x[inverse], offsets[:-1][full])
-                        return each
-
                     tokens = n_words + 1
+                    owner = np.repeat(np.arange(len(texts)), tokens)
+                    starts = np.cumsum(tokens) - tokens
+                    # the end is one more kind of token
+                    which = np.insert(inverse, offsets[1:], len(uniq))
+                    is_end = which == len(uniq)
+                    # training texts that miss a count have the only one
+                    times = np.append(_found(counts_of(WORD), uniq), m.ends)[which]
+                    times = np.where((times == 0) & trained[owner] & ~is_end, 1, times)
+                    if m.learnt:
+                        pairs, _, spot = distinct(_pairs(hashes, offsets)[1])
+                        pair = _found(counts_of(PAIR), pairs)[spot]
+                        pair = np.where((pair == 0) & trained[owner], 1, pair)
+                        before = np.append(m.ends, times[:-1])
+                        own = m.token(np.append(spelt, 0.0)[which], is_end, times, pair, before, _again(which, owner, len(uniq) + 1), np.arange(len(which)) - starts[owner])
+                    else:
+                        own = np.where(is_end, own_end, m.whole(times, np.append(spelt, own_end)[which]))
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column(4).slice(at, len(texts)),
                             pa.array(tokens.astype(np.int64)),
-                            pa.array(np.rint(sums_of((times > 0).astype(np.float64))).astype(np.int64) + (m.ends > 0)),
+                            pa.array(np.add.reduceat((times > 0).astype(np.int64), starts)),
                             pa.array(np.full(len(texts), m.tokens, np.int64)),
-                            pa.array(sums_of(np.log10(times + 1.0)) - n_words * log_all + base_end),
-                            pa.array(sums_of(own) + own_end),
+                            pa.array(np.add.reduceat(np.log10(times + 1.0) - log_all, starts)),
+                            pa.array(np.add.reduceat(own, starts)),
                         ],
                         names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                     )

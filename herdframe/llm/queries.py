@@ -77,7 +77,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scores = lattice.scored(docs, public_tokenizers.path("piece_bpe_32k.model"), bucket(7) != 2)
+    scores = lattice.scored(docs, public_tokenizers.path("piece_bpe_32k.model"), bucket(7) != 2, learn=True)
     return scores.withColumn("held_out", bucket(7) == 2)
 
 

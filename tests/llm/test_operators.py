@@ -509,3 +509,63 @@ def test_benchmark_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 100)
     bench = spark.createDataFrame([(1, corpus.ITEM), (2, corpus.PASSAGE), (3, "x" * 90)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(109, 1), (107, 2), (108, 2)}
+
+
+def test_lattice_scores_by_learnt_weights_reach_the_base(spark, monkeypatch):
+    """Texts of phrases, some of whose words training lacks: scores by the file's order of pieces were far below the base."""
+    rng = random.Random(8)
+    seen = ["".join(rng.choice(("th", "er", "on", "ble", "ing", "re")) for _ in range(rng.randint(1, 4))) for _ in range(120)]
+    phrases = [rng.choices(seen, k=8) for _ in range(40)]
+    texts = [(i, " ".join(w if rng.random() < 0.97 else "".join(rng.choices(("th", "er", "on", "ble"), k=6)) for _ in range(10) for w in rng.choice(phrases))) for i in range(60)]
+    texts += [(60, None), (61, ""), (62, "é漢🙂 the The THE"), (63, "ab" * 400), (None, "ble on")]
+    docs, training = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), F.col("doc_id") % 5 != 2
+    found = {r.doc_id: r for r in lattice.scored(docs, PIECES, training, learn=True).collect()}
+    assert len(found) == len(texts) and all(math.isfinite(r.score) and r.score < 0 for r in found.values())
+    held = [r for i, r in found.items() if i is not None and i < 60 and i % 5 == 2]
+    assert sum(r.score for r in held) >= sum(r.base_score for r in held)
+    plain = {r.doc_id: r for r in lattice.scored(docs, PIECES, training).collect()}
+    assert all(found[i][:5] == pytest.approx(plain[i][:5]) for i in found if i is not None)
+    # the same whatever the ranges, blocks and flushes are
+    monkeypatch.setattr(lattice, "RANGE_BYTES", 500)
+    other = {r.doc_id: r for r in lattice.scored(docs.repartition(7), PIECES, training, learn=True).collect()}
+    assert all(other[i].score == pytest.approx(r.score, rel=1e-7) for i, r in found.items())
+
+
+def test_lattice_tokens_are_a_distribution():
+    """Over all tokens that may come next the learnt model's probabilities sum to one; counts are those of training."""
+    counts, behind, text = {"a": 6, "b": 2, "c": 1, None: 3}, {"a": {"b": 2, "a": 3, None: 1}, "d": {}}, ["a", "b", "a"]
+    model = lattice.Model(np.zeros(1), 0.0, 12, 4, 3, learnt=True)
+    tokens = ["a", "b", "c", "d", None]  # d is new, and spelt as likely as a word is spelt at all
+    spelt = np.log10([0.3, 0.2, 0.1, 0.4, 1.0])
+    for before in behind:
+        for place in (0, 3):
+            pair = np.array([behind[before].get(t, 0) for t in tokens], float)
+            again = np.array([text[:place].count(t) for t in tokens])
+            logs = model.token(spelt, np.array([t is None for t in tokens]), np.array([counts.get(t, 0) for t in tokens]), pair, np.full(5, counts.get(before, 0)), again, np.full(5, place))
+            assert (10.0**logs).sum() == pytest.approx(1)
+
+
+def test_expected_pieces_are_those_of_all_cuts():
+    """By listing every cut of a word; also for a word that goes alone."""
+    with open(PIECES, "rb") as f:
+        own = pieces.Pieces(f.read())
+    v, logs = own.v, np.full(own.v.size, -np.inf)
+    live = v.order >= 0
+    logs[live] = -np.log10(v.order[live] + 1.0)
+    words, want = ["thing", "é漢", "on"], np.zeros(v.size)
+    for w in words:
+        s, cuts = "▁" + w, []
+        for mask in range(1 << (len(s) - 1)):
+            at = [0, *(k + 1 for k in range(len(s) - 1) if mask >> k & 1), len(s)]
+            parts = [s[a:b] for a, b in zip(at, at[1:], strict=False)]
+            if all(len(p) == 1 or v.symbols.get(p, v.size) < v.size for p in parts):
+                ids = [i for p in parts for i in ([v.symbols[p]] if v.symbols.get(p, v.size) < v.size else [v.bytes[b] for b in p.encode()])]
+                cuts.append((ids, 10.0 ** logs[ids].sum()))
+        for ids, p in cuts:
+            np.add.at(want, ids, p / sum(p for _, p in cuts))
+    for most in (lattice.LONG, 1):
+        lattice.LONG, before = most, lattice.LONG
+        try:
+            assert np.allclose(lattice.Lattice(own, lattice.Model(logs, 0.0, 0, 0, 0)).expected(words), want, atol=1e-12)
+        finally:
+            lattice.LONG = before
