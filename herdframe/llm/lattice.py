@@ -4,10 +4,11 @@ The vocabulary is that of a piece model file. Its scores only order the pieces (
 the one before), so as they are they weigh by a power law: log p of a piece is -POWER * log(place in
 the order of scores), less a constant, with the power under which the training texts, cut by the
 same scores, are the most probable. A word's lattice probability is the sum over all ways to write it
-as pieces, by a forward recursion in log space over its characters, for all words of a group at a
-time; words of over LONG characters go alone, so a word of megabytes takes seconds. A character
-without a piece is written as its byte pieces, which come last in the order. A text is its words,
-each with a space mark in front, and one end, and the probabilities of all texts sum to one at most.
+as pieces, by a forward recursion over its characters, for all words of a group at a time: in plain
+numbers, and again in logs for words whose numbers get too small. Words of over LONG characters go
+alone, so a word of megabytes takes seconds. A character without a piece is written as its byte pieces,
+which come last in the order. A text is its words, each with a space mark in front, and one end, and
+the probabilities of all texts sum to one at most.
 
 The order of the file fits few texts, so the weights may be `learnt` from training: those of the pieces
 by ROUNDS of expectation over all cuts of its distinct words (each counts once, as pieces are for words
@@ -34,16 +35,18 @@ broadcast is one number a piece. Distinct words of training are kept spelt for t
 is one pass over them.
 """
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdframe.llm.common import _IS_SPACE, _ODD, bounds_of, distinct, flat, mix, partitions, range_of, slices, tidied, whole, word_hashes, written
+from herdframe.llm.common import _FOLDED, _IS_SPACE, _ODD, bounds_of, distinct, flat, mix, partitions, range_of, slices, tidied, whole, word_hashes, written
 from herdframe.llm.pieces import _NONE, MARK, Pieces, _Table
 
 #: Added to the count of ends and of pieces; distinct words that pass 1 sums up in a task, and words whose scores a worker remembers.
@@ -52,11 +55,11 @@ SMOOTH, HELD, CACHE = 0.1, 600_000, 200_000
 DISCOUNT = 0.75
 #: Rounds of expectation; weights of the stages, tried on sf0.001 to sf0.1, where anything near does about as well.
 ROUNDS, SPREAD, BEND, OWN = 3, 3.0, 0.7, 1 / 9
-#: Words of a group in the forward recursion, and characters of its table; words of a group in the rounds.
-GROUP, CELLS, FEW = 8192, 1 << 20, 2048
+#: Words of a group, and nodes of its table in the recursions.
+GROUP, CELLS = 8192, 1 << 17
 #: Bytes of text for each range of hashes, of which there are at most RANGES a partition.
 RANGE_BYTES, RANGES = 4 << 20, 4
-#: Characters from which a word goes alone, and the sum below which its recursion scales up.
+#: Characters from which a word goes alone, and the sum below which its recursion scales up or goes over to logs.
 LONG, SMALL = 256, 1e-200
 _STEP = np.int64(0x5851F42D4C957F2D)
 #: Kinds of rows: counts of words and of pairs, spelt words, numbers of pieces, of ends, of words in all; texts.
@@ -67,25 +70,33 @@ _pieces: dict[int, Pieces] = {}
 _scores: dict[int, "Remembered"] = {}
 
 
-class Remembered(dict):
-    """Scores of words by hash: when full it starts anew and takes over what is asked for from what it held before."""
+def _place(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys stand or would stand among the ascending ones that are held, and whether they are there."""
+    spot = np.searchsorted(held, keys)
+    return spot, held[np.minimum(spot, len(held) - 1)] == keys if len(held) else np.zeros(len(keys), bool)
 
-    def __init__(self):
-        self.before: dict[int, float] = {}
-
-    def __missing__(self, key: int) -> float:
-        found = self[key] = self.before[key]
-        return found
 
-    def lacks(self, keys: list[int]) -> list[int]:
-        """Places of the keys that it has no score of."""
-        before = self.before
-        return [k for k, h in enumerate(keys) if h not in self and h not in before]
+class Remembered:
+    """Scores of words by hash: when full it goes on with those that were asked for again since it was last full."""
 
-    def age(self) -> None:
-        if len(self) > CACHE:
-            self.before = dict(self)
-            self.clear()
+    def __init__(self):
+        self.keys, self.scores, self.again = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
+
+    def of(self, keys: np.ndarray, made: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Scores of distinct ascending keys; `made` gives those at the places that it has no score of."""
+        if len(self.keys) > 2 * CACHE:
+            some = np.flatnonzero(self.again)[:CACHE]
+            self.keys, self.scores, self.again = self.keys[some], self.scores[some], np.zeros(len(some), bool)
+        spot, held = _place(self.keys, keys)
+        out = np.empty(len(keys))
+        out[held] = self.scores[spot[held]]
+        self.again[spot[held]] = True
+        new = np.flatnonzero(~held)
+        if len(new):
+            out[new] = made(new)
+            at = spot[new]
+            self.keys, self.scores, self.again = np.insert(self.keys, at, keys[new]), np.insert(self.scores, at, out[new]), np.insert(self.again, at, False)
+        return out
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,9 +113,12 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return hashes, offsets, np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def _spelt(texts: pa.Array, begin: np.ndarray, end: np.ndarray) -> list[str]:
-    raw = flat(texts)[0].tobytes()
-    return [raw[a:b].lower().decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+def _spelt(texts: pa.Array, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The words between these bytes, A-Z lower-cased."""
+    long = end - begin
+    cuts = np.append(0, np.cumsum(long))
+    raw = _FOLDED.astype(np.uint8)[flat(texts)[0][np.arange(cuts[-1]) + np.repeat(begin - cuts[:-1], long)]]
+    return pa.StringArray.from_buffers(len(long), pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw))
 
 
 @dataclass
@@ -146,36 +160,21 @@ class Model:
         return top + np.log10(10.0 ** (arcs - top) + 10.0 ** (spelt - top))
 
 
-class Lattice:
-    """Scores of words under a model."""
+class Beginnings:
+    """What the pieces of a vocabulary begin with: for each the piece that it is, or -1."""
 
-    def __init__(self, vocabulary: Pieces, model: Model):
+    def __init__(self, vocabulary: Pieces):
         v = vocabulary.v
-        points = np.full(0x110000, -1, np.int64)
+        self.single = np.full(0x110000, -1, np.int64)
         for c, s in v.chars.items():
             if s < v.size:
-                points[ord(c)] = s
-        self.single, self.logs, self.bytes = points, model.pieces, v.bytes
+                self.single[ord(c)] = s
         many = [(p, i) for p, i in v.symbols.items() if i < v.size and len(p) > 1]
         self.longest = max((len(p) for p, _ in many), default=1)
-        keys = []
-        for p, _ in many:
-            h = np.int64(0)
-            with np.errstate(over="ignore"):
-                for c in p:
-                    h = h * _STEP + np.int64(ord(c) + 1)
-            keys.append(h)
-        ids = np.array([i for _, i in many], np.int32)
-        keys = np.array(keys, np.int64)
-        self.table = _Table(keys, ids, ids)
-        self.natural = self.logs * np.log(10.0)
-        self.seen = np.zeros(1 << 18, bool)  # most substrings are no pieces: a small table says so first
-        self.seen[self._slot(keys)] = True
-        # what pieces begin with, and the piece that it is, or -1
         begun = {}
-        for p, i in many:
-            h = np.int64(ord(p[0]) + 1)
-            with np.errstate(over="ignore"):
+        with np.errstate(over="ignore"):
+            for p, i in many:
+                h = np.int64(ord(p[0]) + 1)
                 for k, c in enumerate(p[1:], 2):
                     h = h * _STEP + np.int64(ord(c) + 1)
                     if k == len(p):
@@ -183,230 +182,206 @@ class Lattice:
                     else:
                         begun.setdefault(h, -1)
         keys, ids = np.array(list(begun), np.int64), np.array(list(begun.values()), np.int32)
-        self.starts = _Table(keys, ids, ids)
-        self.begun = np.zeros(1 << 18, bool)
-        self.begun[self._slot(keys)] = True
+        self.table = _Table(keys, ids, ids)
+        self.seen = np.zeros(1 << 20, bool)  # most substrings begin no piece: a small table says so first
+        self.seen[self._slot(keys)] = True
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-
-    def _char(self, points: np.ndarray) -> np.ndarray:
-        """log of the one-character arcs."""
-        s = self.single[points]
-        out = self.natural[np.maximum(s, 0)]
-        for k in np.flatnonzero(s < 0).tolist():
-            out[k] = sum(self.natural[self.bytes[b]] for b in chr(points[k]).encode())
-        return out
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """log10 of each word's probability, its space mark included."""
-        out = np.zeros(len(words))
-        long = np.array(list(map(len, words))) + 1
-        order = np.argsort(long, kind="stable")
-        alone = int(np.searchsorted(long[order], LONG, side="right"))
-        for i in order[alone:].tolist():
-            out[i] = self._along(words[i])
-        order = order[:alone]
-        for k in range(0, len(order), GROUP):
-            rows = order[k : k + GROUP]
-            while len(rows):  # groups of about one length, and of bounded size
-                most = max(1, CELLS // int(2 * long[rows[0]] + 8))
-                same = rows[: max(1, min(most, int(np.searchsorted(long[rows], 2 * long[rows[0]] + 8, side="right"))))]
-                out[same] = self._forward([words[i] for i in same.tolist()], long[same])
-                rows = rows[len(same) :]
-        return out
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the keys that begin a piece, and what they are."""
+        some = np.flatnonzero(self.seen[self._slot(keys)])
+        found, _ = self.table.find(keys[some])
+        held = found != _NONE
+        return some[held], found[held]
 
-    def _along(self, word: str) -> float:
-        """The same for one long word: all its arcs are found first, one pass over the word a piece length, and
-        the recursion then runs over those alone, in plain numbers that are scaled up whenever they get small."""
-        points = np.frombuffer((MARK + word).encode("utf-32-le"), np.uint32).astype(np.int64)
-        n = len(points)
-        char = np.exp(self._char(points)).tolist()
-        ends, sizes, logs = [], [], []
-        keys = points + 1
-        for size in range(2, min(self.longest, n) + 1):
-            keys = keys[:-1] * _STEP + points[size - 1 :] + 1
-            at = np.flatnonzero(self.seen[self._slot(keys)])
-            piece, _ = self.table.find(keys[at])
-            hit = piece < len(self.logs)
-            ends.append(at[hit] + size)
-            sizes.append(np.full(int(hit.sum()), size))
-            logs.append(self.natural[piece[hit]])
-        end, size, weight = (np.concatenate(x) if x else np.zeros(0) for x in (ends, sizes, logs))
-        order = np.argsort(end, kind="stable")
-        arcs = zip(end[order].tolist(), size[order].tolist(), np.exp(weight[order]).tolist(), strict=True)
-        alpha, scale = [1.0] + [0.0] * n, 0.0
-        stop, size, weight = next(arcs, (0, 0, 0.0))
-        for k in range(1, n + 1):
-            total = alpha[k - 1] * char[k - 1]
-            while stop == k:
-                total += alpha[k - size] * weight
-                stop, size, weight = next(arcs, (0, 0, 0.0))
-            alpha[k] = total
-            if total < SMALL:
-                if total == 0.0:  # out of a float's range: the whole word in logs
-                    return float(self._forward([word], np.array([n]))[0])
-                scale += math.log(total)
-                for j in range(max(0, k - self.longest), k + 1):
-                    alpha[j] /= total
-        return (math.log(alpha[n]) + scale) / math.log(10.0)
 
-    def _forward(self, words: list[str], long: np.ndarray) -> np.ndarray:
-        n, wide = len(words), int(long.max())
-        points = np.zeros((wide, n), np.int64)
-        flatp = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le"), np.uint32).astype(np.int64)
-        row = np.repeat(np.arange(n), long)
-        column = np.arange(len(flatp)) - np.repeat(np.cumsum(long) - long, long)
-        points[column, row] = flatp
-        char = np.zeros((wide, n))
-        char[column, row] = self._char(flatp)
-        alpha = np.full((wide + 1, n), -np.inf)
-        alpha[0] = 0
-        hashes = np.zeros((self.longest + 1, n), np.int64)  # of the last characters, by length
-        result, arcs = np.zeros(n), np.empty((self.longest, n))
-        for end in range(1, wide + 1):
-            live = slice(int(np.searchsorted(long, end)), n)  # words are in order of length
-            most = min(end, self.longest)
-            # the hash of the last L characters comes from that of the L - 1 before
-            new = hashes.copy()
-            new[1] = points[end - 1] + 1
-            for size in range(2, most + 1):
-                new[size] = hashes[size - 1] * _STEP + points[end - 1] + 1
-            hashes = new
-            arcs[0, live] = alpha[end - 1, live] + char[end - 1, live]
-            used = 1
-            for size in range(2, most + 1):
-                own = hashes[size, live]
-                at = np.flatnonzero(self.seen[self._slot(own)])
-                if not len(at):
-                    continue
-                piece, _ = self.table.find(own[at])
-                hit = piece < len(self.logs)
-                at, piece = at[hit], piece[hit]
-                arcs[used, live] = -np.inf
-                arcs[used, at + live.start] = alpha[end - size, at + live.start] + self.natural[piece]
-                used += 1
-            stack = arcs[:used, live]
-            top = stack.max(0)
-            alpha[end, live] = top + np.log(np.exp(stack - top).sum(0))
-            done = long == end
-            result[done] = alpha[end, done]
-        return result / np.log(10.0)
-
-    def expected(self, words: list[str]) -> np.ndarray:
-        """How often each piece is expected in the words, one of each: over all cuts, by their probability."""
-        total = np.zeros(len(self.logs))
-        long = np.array(list(map(len, words)), np.int64) + 1
+#: They don't depend on weights, so a worker makes them once.
+_beginnings = functools.lru_cache(maxsize=2)(Beginnings)
+
+
+class Lattice:
+    """Scores of words under a model."""
+
+    def __init__(self, vocabulary: Pieces, model: Model):
+        self.begun, self.logs, self.bytes = _beginnings(vocabulary), model.pieces, vocabulary.v.bytes
+        self.natural = self.logs * np.log(10.0)
+
+    def _groups(self, words: pa.Array) -> Iterator[tuple[np.ndarray, "Arcs", bool]]:
+        """Places of words of about one length, their arcs, and whether it is one long word."""
+        long = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         order = np.argsort(long, kind="stable")
-        alone = int(np.searchsorted(long[order], LONG, side="right"))
-        a = 0
+        words, long = words.take(pa.array(order)), long[order]
+        alone, a = int(np.searchsorted(long, LONG, side="right")), 0
         while a < len(order):
             b = a + 1
             if a < alone:
-                b = min(alone, a + max(1, min(FEW, CELLS // 8 // int(long[order[a]]))), int(np.searchsorted(long[order], 2 * long[order[a]] + 8, side="right")))
-            rows = order[a:b]
-            arcs = Arcs(self, [words[i] for i in rows.tolist()], long[rows])
-            total += arcs.shares(len(total)) if a < alone else arcs.shares_alone(len(total))
+                wide = int(2 * long[a] + 8)
+                b = max(b, min(alone, a + min(GROUP, CELLS // wide), int(np.searchsorted(long, wide, side="right"))))
+            yield order[a:b], Arcs(self, words.slice(a, b - a), long[a:b]), a >= alone
             a = b
+
+    def scores(self, words: pa.Array | list[str]) -> np.ndarray:
+        """log10 of each word's probability, its space mark included."""
+        out = np.zeros(len(words))
+        for rows, arcs, alone in self._groups(_strings(words)):
+            out[rows] = arcs.along() if alone else arcs.ahead()
+        return out / np.log(10.0)
+
+    def expected(self, words: pa.Array | list[str]) -> np.ndarray:
+        """How often each piece is expected in the words, one of each: over all cuts, by their probability."""
+        total = np.zeros(len(self.logs))
+        for _, arcs, alone in self._groups(_strings(words)):
+            total += arcs.shares_alone() if alone else arcs.shares()
         return total
 
 
 class Arcs:
-    """The arcs of all words of a group in flat arrays, and the recursions over them in log space.
+    """The arcs of all words of a group, which come in order of length, and the recursions over them.
 
-    A word of n characters, its mark included, has n + 1 nodes. Pieces are found for all places at once,
-    a length at a time, and only where what is read so far begins a piece.
+    A word of k characters, its mark included, has k + 1 nodes; that of step s is s * (number of words) + word, so
+    arcs of one size lie in order of their steps, and a step has at most one of a word. Pieces are found for all
+    places at once, a size at a time, and only where what is read so far begins a piece.
     """
 
-    def __init__(self, lattice: Lattice, words: list[str], long: np.ndarray):
-        self.lattice, self.long = lattice, long
-        self.points = points = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le"), np.uint32).astype(np.int64)
-        word = np.repeat(np.arange(len(long)), long)
-        self.first = np.cumsum(long) - long + np.arange(len(long))
-        stop = np.cumsum(long)[word]
-        begins, ends, pieces = [np.arange(len(points))], [np.arange(len(points)) + 1], [lattice.single[points]]
-        at, keys = begins[0], points + 1
-        for size in range(2, lattice.longest + 1):
-            inside = at + size <= stop[at]
-            at = at[inside]
-            keys = keys[inside] * _STEP + points[at + size - 1] + 1
-            some = np.flatnonzero(lattice.begun[lattice._slot(keys)])
-            found, _ = lattice.starts.find(keys[some])
-            more = found != _NONE
-            at, keys, found = at[some[more]], keys[some[more]], found[more]
-            if not len(at):
+    def __init__(self, lattice: Lattice, words: pa.Array, long: np.ndarray):
+        self.lattice, self.words, self.long = lattice, words, long
+        self.n, self.wide = n, wide = len(long), int(long[-1])
+        self.last = long * n + np.arange(n)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), words), MARK)[0].as_py()
+        row = np.repeat(np.arange(n), long)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long)
+        points = np.zeros(wide * n, np.int64)
+        points[column * n + row] = np.frombuffer((MARK + joined).encode("utf-32-le"), np.uint32)
+        at = np.flatnonzero(np.arange(wide)[:, None] < long)
+        word, keys = at % n, points[at] + 1
+        self.arcs = [(1, at, word, lattice.begun.single[points[at]])]
+        for size in range(2, min(lattice.begun.longest, wide) + 1):
+            inside = np.flatnonzero(at + size * n <= self.last[word])
+            at, word = at[inside], word[inside]
+            keys = keys[inside] * _STEP + points[at + (size - 1) * n] + 1
+            more, found = lattice.begun.find(keys)
+            if not len(more):
                 break
-            hit = found >= 0
-            begins.append(at[hit])
-            ends.append(at[hit] + size)
-            pieces.append(found[hit].astype(np.int64))
-        begin, end, self.piece = (np.concatenate(x) for x in (begins, ends, pieces))
-        self.weight = lattice.natural[np.maximum(self.piece, 0)]
-        strange = np.flatnonzero(self.piece < 0)
-        self.weight[strange] = lattice._char(points[begin[strange]])
-        self.point = begin
-        own = word[begin]
-        self.word, self.source, self.target = own, begin + own, end + own
-        self.step_in, self.step_out = self.target - self.first[own], self.source - self.first[own]
-        self.last = self.first + long
-
-    def _swept(self, node: np.ndarray, other: np.ndarray, step: np.ndarray, value: np.ndarray) -> None:
-        """value[node] = log of the sum of exp(value[other] + weight) over the arcs of a node, in the order of steps."""
-        order = np.argsort(node.astype(np.int32), kind="stable")
-        if len(self.long) > 1:  # by node within a step; 16 bits are sorted by radix
-            order = order[np.argsort(step[order].astype(np.int16 if self.long[-1] < 1 << 15 else np.int64), kind="stable")]
-        elif step[0] > step[-1]:
-            order = order[::-1]
-        node, other, weight = node[order], other[order], self.weight[order]
-        new = np.append(True, node[1:] != node[:-1])
-        which, heads = np.cumsum(new) - 1, np.flatnonzero(new)
-        cuts = np.flatnonzero(np.append(True, np.diff(step[order]) != 0)).tolist()
-        for a, b in zip(cuts, [*cuts[1:], len(node)], strict=True):
-            terms = value[other[a:b]] + weight[a:b]
-            group = which[a:b] - which[a]
-            at = heads[which[a] : which[b - 1] + 1] - a
-            top = np.maximum.reduceat(terms, at)
-            value[node[a:b][at]] = top + np.log(np.add.reduceat(np.exp(terms - top[group]), at))
-
-    def ahead(self) -> np.ndarray:
-        """log of each word's probability; the nodes' stay in `alpha`."""
-        self.alpha = np.zeros(len(self.points) + len(self.long))
-        self._swept(self.target, self.source, self.step_in, self.alpha)
-        return self.alpha[self.last]
-
-    def _counted(self, share: np.ndarray, size: int) -> np.ndarray:
-        plain = self.piece >= 0
-        total = np.bincount(self.piece[plain], share[plain], size)
-        for k in np.flatnonzero(~plain).tolist():
-            for b in chr(self.points[self.point[k]]).encode():
-                total[self.lattice.bytes[b]] += share[k]
-        return total
-
-    def shares(self, size: int) -> np.ndarray:
-        whole_word = self.ahead()
-        beta = np.zeros(len(self.alpha))
-        self._swept(self.source, self.target, -self.step_out, beta)
-        return self._counted(np.exp(self.alpha[self.source] + self.weight + beta[self.target] - whole_word[self.word]), size)
+            at, word, keys = at[more], word[more], keys[more]
+            hit = np.flatnonzero(found >= 0)
+            self.arcs.append((size, at[hit], word[hit], found[hit]))
+        self.weights = [lattice.natural[piece] for _, _, _, piece in self.arcs]
+        # characters without a piece: where they are, which, and the byte pieces of each
+        self.strange = np.flatnonzero(self.arcs[0][3] < 0)
+        chars, self.which = np.unique(points[self.arcs[0][1][self.strange]], return_inverse=True)
+        self.spelt = [[lattice.bytes[b] for b in chr(c).encode()] for c in chars.tolist()]
+        self.weights[0][self.strange] = np.array([sum(lattice.natural[ids]) for ids in self.spelt])[self.which]
+
+    def _swept(self, back: bool = False, logs: bool = False) -> np.ndarray:
+        """For each node the sum over all ways to it from the first one of its word, or (back) from it to the last one."""
+        weights = self.weights if logs else [np.exp(w) for w in self.weights]
+        starts = np.arange(self.wide + 1) * self.n
+        arcs = [(size, at, np.searchsorted(at, starts).tolist(), w) for (size, at, _, _), w in zip(self.arcs, weights, strict=True)]
+        value = np.full(len(starts) * self.n, -np.inf if logs else 0.0)
+        value[self.last if back else slice(self.n)] = 0.0 if logs else 1.0
+        for step in range(self.wide - 1, -1, -1) if back else range(1, self.wide + 1):
+            for size, at, cuts, weight in arcs:
+                if (begin := step if back else step - size) < 0:
+                    break
+                if (a := cuts[begin]) == (b := cuts[begin + 1]):
+                    continue
+                node, other = at[a:b], at[a:b] + size * self.n
+                if not back:
+                    node, other = other, node
+                if logs:
+                    value[node] = np.logaddexp(value[node], value[other] + weight[a:b])
+                else:
+                    value[node] += value[other] * weight[a:b]
+        return value
+
+    def _small(self, whole: np.ndarray) -> tuple[np.ndarray, "Arcs | None"]:
+        """Where plain numbers got too small, and the arcs of those words alone."""
+        small = np.flatnonzero(whole < SMALL)
+        return small, Arcs(self.lattice, self.words.take(pa.array(small)), self.long[small]) if len(small) else None
+
+    def ahead(self, logs: bool = False) -> np.ndarray:
+        """log of each word's probability."""
+        whole = self._swept(logs=logs)[self.last]
+        if logs:
+            return whole
+        small, again = self._small(whole)
+        out = np.log(np.maximum(whole, SMALL))
+        if again:
+            out[small] = again.ahead(logs=True)
+        return out
 
-    def shares_alone(self, size: int) -> np.ndarray:
-        """The same for one long word, in plain numbers."""
-        order = np.argsort(self.target, kind="stable").tolist()
-        source, target, weight = self.source.tolist(), self.target.tolist(), self.weight.tolist()
+    def _flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all arcs of one word: where they begin and end, and their weights."""
+        sizes = np.repeat([size for size, _, _, _ in self.arcs], [len(at) for _, at, _, _ in self.arcs])
+        source = np.concatenate([at for _, at, _, _ in self.arcs])
+        return source, source + sizes, np.concatenate(self.weights)
+
+    def along(self) -> float:
+        """log of the probability of one long word: in plain numbers that are scaled up whenever they get small."""
+        source, target, weight = self._flat()
+        order = np.argsort(target, kind="stable")
+        arcs = zip(source[order].tolist(), target[order].tolist(), np.exp(weight[order]).tolist(), strict=True)
+        alpha, scale = [1.0] + [0.0] * self.wide, 0.0
+        begin, stop, weight = next(arcs)
+        for k in range(1, self.wide + 1):
+            total = 0.0
+            while stop == k:
+                total += alpha[begin] * weight
+                begin, stop, weight = next(arcs, (0, 0, 0.0))
+            alpha[k] = total
+            if total < SMALL:
+                if total == 0.0:  # out of a float's range: the whole word in logs
+                    return float(self.ahead(logs=True)[0])
+                scale += math.log(total)
+                for j in range(max(0, k - self.lattice.begun.longest), k + 1):
+                    alpha[j] /= total
+        return math.log(alpha[-1]) + scale
+
+    def _counted(self, shares: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros(len(self.lattice.logs))
+        for ids, share in zip(self.spelt, np.bincount(self.which, shares[0][self.strange], len(self.spelt)).tolist(), strict=True):
+            for i in ids:
+                total[i] += share
+        for (_, _, _, piece), share in zip(self.arcs, shares, strict=True):
+            total += np.bincount(np.maximum(piece, 0), np.where(piece < 0, 0.0, share), len(total))
+        return total
 
-        def swept(order: list[int], other: list[int], node: list[int], start: int) -> list[float]:
-            value = [-math.inf] * (len(self.points) + 1)
+    def shares(self, logs: bool = False) -> np.ndarray:
+        """How often each piece is expected."""
+        ahead, behind = self._swept(logs=logs), self._swept(back=True, logs=logs)
+        whole = ahead[self.last]
+        ends = [(at, at + size * self.n, word, w) for (size, at, word, _), w in zip(self.arcs, self.weights, strict=True)]
+        if logs:
+            return self._counted([np.exp(ahead[a] + w + behind[b] - whole[word]) for a, b, word, w in ends])
+        _, again = self._small(whole)
+        part = np.divide(1.0, whole, out=np.zeros(self.n), where=whole >= SMALL)
+        total = self._counted([ahead[a] * np.exp(w) * behind[b] * part[word] for a, b, word, w in ends])
+        return total + again.shares(logs=True) if again else total
+
+    def shares_alone(self) -> np.ndarray:
+        """The same for one long word."""
+        source, target, weight = self._flat()
+
+        def swept(order: np.ndarray, other: np.ndarray, node: np.ndarray, start: int) -> np.ndarray:
+            value = [-math.inf] * (self.wide + 1)
             value[start] = 0.0
-            for k in order:
-                x, y = value[other[k]] + weight[k], value[node[k]]
+            for o, k, w in zip(other[order].tolist(), node[order].tolist(), weight[order].tolist(), strict=True):
+                x, y = value[o] + w, value[k]
                 high, low = (x, y) if x > y else (y, x)
-                value[node[k]] = high + math.log1p(math.exp(low - high))
-            return value
+                value[k] = high + math.log1p(math.exp(low - high))
+            return np.array(value)
+
+        alpha = swept(np.argsort(target, kind="stable"), source, target, 0)
+        beta = swept(np.argsort(-source, kind="stable"), target, source, self.wide)
+        cuts = np.cumsum([len(at) for _, at, _, _ in self.arcs])[:-1]
+        return self._counted(np.split(np.exp(alpha[source] + weight + beta[target] - alpha[-1]), cuts))
 
-        alpha = np.array(swept(order, source, target, 0))
-        order = np.argsort(-self.source, kind="stable").tolist()
-        beta = np.array(swept(order, target, source, len(self.points)))
-        return self._counted(np.exp(alpha[self.source] + self.weight + beta[self.target] - alpha[-1]), size)
+
+def _strings(words: pa.Array | list[str]) -> pa.Array:
+    return words if isinstance(words, pa.Array) else pa.array(words, pa.string())
 
 
 def _vocabulary(model: bytes) -> Pieces:
@@ -431,7 +406,7 @@ def _lists(values: np.ndarray | pa.Array, cuts: np.ndarray, kind: pa.DataType) -
 _ARRAYS = "kind int, place int, keys array<long>, blocks array<int>, counts array<long>, words array<string>"
 
 
-def _rows(kind: int, place: np.ndarray, cuts: np.ndarray, keys: np.ndarray, counts: np.ndarray | None = None, blocks: np.ndarray | None = None, words: pa.Array | None = None) -> pa.RecordBatch:
+def _rows(kind: int, place: np.ndarray, cuts: np.ndarray, keys: np.ndarray | None = None, counts: np.ndarray | None = None, blocks: np.ndarray | None = None, words: pa.Array | None = None) -> pa.RecordBatch:
     """Rows of _ARRAYS, cut from flat arrays."""
     n = len(place)
     none = lambda kind: pa.nulls(n, pa.list_(kind))
@@ -439,7 +414,7 @@ def _rows(kind: int, place: np.ndarray, cuts: np.ndarray, keys: np.ndarray, coun
         [
             pa.array(np.full(n, kind, np.int32)),
             pa.array(place.astype(np.int32)),
-            _lists(keys.view(np.int64), cuts, pa.int64()),
+            none(pa.int64()) if keys is None else _lists(keys.view(np.int64), cuts, pa.int64()),
             none(pa.int32()) if blocks is None else _lists(blocks.astype(np.int32), cuts, pa.int32()),
             none(pa.int64()) if counts is None else _lists(counts, cuts, pa.int64()),
             none(pa.string()) if words is None else _lists(words, cuts, pa.string()),
@@ -473,18 +448,19 @@ def counted(train: DataFrame, model_file: str, n: int, block: Column, learn: boo
         counts, blocks = (None if x is None else x[order] for x in (counts, blocks))
         words = None if words is None else words.take(pa.array(order))
         at = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
-        return _rows(kind, places[at], np.append(at, len(keys)), keys, counts, blocks, words)
+        # words bring their hashes with them
+        return _rows(kind, places[at], np.append(at, len(keys)), keys if words is None else None, counts, blocks, words)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = None if learn else _vocabulary(shared.value)
         totals = np.zeros(0 if learn else vocabulary.v.size, np.int64)
         ends = 0
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {WORD: [], PAIR: []}
-        told: set[int] = set()
-        names: list[tuple[np.ndarray, list[str]]] = []
+        told = np.zeros(0, np.uint64)
+        names: list[tuple[np.ndarray, pa.Array]] = []
 
         def spelt() -> pa.RecordBatch:
-            return cut(SPELT, np.concatenate([k for k, _ in names]), words=pa.array([w for _, ws in names for w in ws], pa.string()))
+            return cut(SPELT, np.concatenate([k for k, _ in names]), words=pa.concat_arrays([w for _, w in names]))
 
         def hold(kind: int, keys: np.ndarray, which: np.ndarray, blocks: np.ndarray, use: np.ndarray) -> None:
             pairs, _, spot = distinct(which * n + blocks)
@@ -510,17 +486,17 @@ def counted(train: DataFrame, model_file: str, n: int, block: Column, learn: boo
                 times = np.bincount(inverse[use], minlength=len(uniq))
                 new = np.flatnonzero(times)
                 if learn:
-                    keys = uniq.tolist()
-                    new = np.array([k for k in new.tolist() if keys[k] not in told], np.int64)
-                    told.update(uniq[new].tolist())
+                    spot, known = _place(told, uniq[new])
+                    new = new[~known]
+                    told = np.insert(told, spot[~known], uniq[new])
                     if len(new):
                         names.append((uniq[new], _spelt(part, begin[first[new]], end[first[new]])))
                     if len(told) > CACHE:
                         yield spelt()
-                        told.clear()
+                        told = told[:0]
                         names.clear()
                 else:
-                    words = [MARK + w for w in _spelt(part, begin[first[new]], end[first[new]])]
+                    words = [MARK + w for w in _spelt(part, begin[first[new]], end[first[new]]).to_pylist()]
                     if len(vocabulary.words) > CACHE:
                         vocabulary._reset()
                     fresh = [w for w in dict.fromkeys(words) if w not in vocabulary.words]
@@ -553,11 +529,12 @@ def counted(train: DataFrame, model_file: str, n: int, block: Column, learn: boo
             if not parts:
                 return
             kind = now[1]
-            keys = np.concatenate([p.column(2).flatten().to_numpy(zero_copy_only=False) for p in parts]).view(np.uint64)
             if kind == SPELT:
-                keys, at = np.unique(keys, return_index=True)
-                yield _rows(SPELT, np.full(1, -1), np.array([0, len(keys)]), keys, words=pa.concat_arrays([p.column(5).flatten() for p in parts]).take(pa.array(at)))
+                words = pa.concat_arrays([p.column(5).flatten() for p in parts])
+                _, at, _ = distinct(word_hashes(*flat(words))[0])
+                yield _rows(SPELT, np.full(1, -1), np.array([0, len(at)]), words=words.take(pa.array(at)))
                 return
+            keys = np.concatenate([p.column(2).flatten().to_numpy(zero_copy_only=False) for p in parts]).view(np.uint64)
             counts = np.concatenate([p.column(4).flatten().to_numpy(zero_copy_only=False) for p in parts])
             if kind not in (WORD, PAIR):
                 yield _rows(kind, np.full(1, -1), np.array([0, len(keys)]), keys, counts)
@@ -619,7 +596,7 @@ def expected(words: DataFrame, model_file: str, shares: np.ndarray) -> np.ndarra
         lattice, total = None, np.zeros(0)
         for batch in tidied(batches):
             lattice = lattice or Lattice(_vocabulary(file.value), shared.value)
-            found = lattice.expected(batch.column(0).flatten().to_pylist())
+            found = lattice.expected(batch.column(0).flatten())
             total = total + found if len(total) else found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "n"])
@@ -678,8 +655,8 @@ def _found(held: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
     known, counts = held
     if not len(known):
         return np.zeros(len(keys), np.int64)
-    spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[spot] == keys, counts[spot], 0)
+    spot, held = _place(known, keys)
+    return np.where(held, counts[np.minimum(spot, len(known) - 1)], 0)
 
 
 def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "doc_id", text: str = "text", word_arcs: bool = False, learn: bool = False) -> DataFrame:
@@ -734,13 +711,7 @@ def scored(docs: DataFrame, model_file: str, training: Column, doc_id: str = "do
                     trained = part.column(6).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(bool)
                     hashes, offsets, begin, end = _words(texts)
                     uniq, first, inverse = distinct(hashes)
-                    cache.age()
-                    names = uniq.tolist()
-                    new = cache.lacks(names)
-                    if new:
-                        made = lattice.scores(_spelt(texts, begin[first[new]], end[first[new]]))
-                        cache.update(zip((names[k] for k in new), made.tolist(), strict=True))
-                    spelt = np.fromiter(map(cache.__getitem__, names), np.float64, len(names))
+                    spelt = cache.of(uniq, lambda new: lattice.scores(_spelt(texts, begin[first[new]], end[first[new]])))  # noqa: B023
                     n_words = np.diff(offsets)
                     tokens = n_words + 1
                     owner = np.repeat(np.arange(len(texts)), tokens)

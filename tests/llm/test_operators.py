@@ -569,3 +569,51 @@ def test_expected_pieces_are_those_of_all_cuts():
             assert np.allclose(lattice.Lattice(own, lattice.Model(logs, 0.0, 0, 0, 0)).expected(words), want, atol=1e-12)
         finally:
             lattice.LONG = before
+
+
+def by_order():
+    """The vocabulary, and a model by the order of its pieces."""
+    with open(PIECES, "rb") as f:
+        own = pieces.Pieces(f.read())
+    live = own.v.order >= 0
+    logs = np.full(own.v.size, -np.inf)
+    logs[live] = -np.log10((own.v.order[live] + 1.0) * (1 / (own.v.order[live] + 1.0)).sum())
+    return own, lattice.Model(logs, 0.0, 0, 0, 0)
+
+
+def test_lattices_of_a_vocabulary_share_their_tables():
+    """Each task and round of learning made them anew, a third of a second each."""
+    own, model = by_order()
+    first, second = lattice.Lattice(own, model), lattice.Lattice(own, lattice.Model(model.pieces - 1, 0.0, 0, 0, 0))
+    assert first.begun is second.begun
+    assert second.scores(["a"])[0] < first.scores(["a"])[0]
+
+
+def test_plain_recursions_go_over_to_logs_where_numbers_are_too_small(monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("thequickbrownfoxé漢🙂0") for _ in range(rng.randint(1, 200))) for _ in range(300)] + ["", "漢" * 250, "a" * 255]
+    found = lattice.Lattice(*by_order())
+    plain, shares = found.scores(words), found.expected(words)
+    assert (plain < np.log10(lattice.SMALL)).any() and (plain > np.log10(lattice.SMALL)).any()
+    monkeypatch.setattr(lattice, "SMALL", np.inf)
+    assert np.allclose(found.scores(words), plain, rtol=1e-12, atol=0)
+    assert np.allclose(found.expected(words), shares, rtol=1e-9, atol=1e-300)
+
+
+def test_remembered_scores_are_bounded_and_right(monkeypatch):
+    monkeypatch.setattr(lattice, "CACHE", 50)
+    rng, cache, made = np.random.default_rng(3), lattice.Remembered(), []
+    for _ in range(60):
+        keys = np.unique(np.append(rng.integers(0, 30, 20), rng.integers(0, 1 << 40, 20))).astype(np.uint64)
+        keys[-1] = 2**64 - 1
+        got = cache.of(keys, lambda new, keys=keys: made.extend(keys[new].tolist()) or np.sqrt(keys[new]))
+        assert (got == np.sqrt(keys)).all() and len(cache.keys) <= 2 * 50 + len(keys)
+    assert made.count(2**64 - 1) == 1 and len(made) < 60 * 25
+
+
+def test_spelt_words_travel_once_without_their_hashes(spark, docs):
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("training"))
+    found = lattice.counted(rows, PIECES, 3, F.lit(0), learn=True).where(F.col("kind") == lattice.SPELT).collect()
+    assert all(r["keys"] is None for r in found)
+    words = [w for r in found for w in r.words]
+    assert sorted(words) == sorted({w for _, t in DOCS for w in brute.words(t)})
