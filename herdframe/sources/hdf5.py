@@ -1,10 +1,11 @@
 """Detections and calibrations in HDF5 files, as a Spark data source.
 
 A file holds, for one recording and camera, `coordinates` (N, T, K, 2), `confidences` (N, T, K),
-`affinities` and `identities` (N, N, T, K). Reading is by ranges of frames: a partition seeks to its
-part of each dataset and hands on batches of bounded size, so a file of any length is many tasks. Files are opened by
-pyarrow's file systems, so any store that it knows will do. Writing is by file: each task lays its files out and
-fills them in place under a hidden name; they get their names when the whole job commits, and go if it aborts.
+`affinities` and `identities` (N, N, T, K). Its T frames begin with the number in the attribute `first_frame` of the
+coordinates, or with 0 where there is none, so a file is as long as what it holds, wherever that lies. Reading is by ranges of frames: a partition seeks to its
+parts of each dataset and hands on batches of bounded size, so a file of any length is many tasks, and many short files are one. Files are opened by
+pyarrow's file systems, so any store that it knows will do. Writing is by file: rows are packed by file where they are and
+move once; each task lays its files out and fills them in place under a hidden name; they get their names when the whole job commits, and go if it aborts.
 
 Read are files as they are written by default: superblocks of version 0 or 1, groups by symbol tables, datasets in one
 run or compact, numbers of the machine's order and strings of fixed length. Anything else, and a
@@ -14,7 +15,7 @@ file that is cut off, is an error that names the file and what it is.
 import json
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import prod
 
@@ -31,7 +32,8 @@ from herdframe.schemas import AFFINITIES, DETECTIONS, IDENTITIES, SERIES
 #: The signature of the format, and the sizes of its structures at the default settings.
 SIGNATURE, UNDEFINED = b"\x89HDF\r\n\x1a\n", 2**64 - 1
 SUPERBLOCK, TREE_NODE, SYMBOLS = 96, 544, 328
-SPACE, TYPE, FILL, LAYOUT, CONTINUED, FILTERS, TABLE = 0x01, 0x03, 0x05, 0x08, 0x10, 0x0B, 0x11
+SPACE, TYPE, FILL, LAYOUT, ATTRIBUTE, CONTINUED, FILTERS, TABLE = 0x01, 0x03, 0x05, 0x08, 0x0C, 0x10, 0x0B, 0x11
+FIRST = "first_frame"
 #: Frames of a partition, and rows of a batch.
 FRAMES, ROWS = 20_000, 1 << 16
 
@@ -46,6 +48,7 @@ class Dataset:
     dtype: np.dtype
     address: int
     inline: bytes | None = None
+    first: int = 0
 
 
 class File:
@@ -98,13 +101,28 @@ class File:
         return out
 
     def _object(self, address: int, name: str) -> None:
-        held = dict(self._messages(address))
+        messages = self._messages(address)
+        held = dict(messages)
         if TABLE in held:
             tree, heap = struct.unpack("<QQ", held[TABLE][:16])
             for child, place in self._members(tree, heap):
                 self._object(place, f"{name}/{child}".lstrip("/"))
         elif LAYOUT in held and SPACE in held and TYPE in held:
             self.datasets[name] = self._dataset(held, name)
+            for kind, body in messages:
+                if kind == ATTRIBUTE:
+                    self.datasets[name].first = self._first(body, self.datasets[name].first)
+
+    def _first(self, body: bytes, otherwise: int) -> int:
+        """The first frame, if this attribute says it: a whole number behind its name, type and space, each filled up to eight bytes in version 1."""
+        name, kind, space = struct.unpack_from("<HHH", body, 2)
+        place, filled = 8 + (body[0] == 3), lambda size: -(-size // 8) * 8 if body[0] == 1 else size
+        if body[place : place + name].rstrip(b"\0") != FIRST.encode():
+            return otherwise
+        place += filled(name)
+        if body[place] & 15 or body[place + 1] & 1 or struct.unpack_from("<I", body, place + 4)[0] != 8:
+            raise Hdf5Error(f"{self.path}: {FIRST} isn't a whole number of 64 bits in the machine's order")
+        return struct.unpack_from("<q", body, place + filled(kind) + filled(space))[0]
 
     def _members(self, tree: int, heap: int) -> Iterator[tuple[str, int]]:
         magic, names = struct.unpack("<4s20xQ", self._at(heap, 32))
@@ -206,9 +224,15 @@ def _group(place: int, members: dict[str, int]) -> bytes:
     return out + node + b"\0" * (TREE_NODE - len(node)) + table + b"\0" * (SYMBOLS - len(table))
 
 
-def _header(shapes: dict[str, tuple[int, ...]], types: dict[str, np.dtype] | None = None, group: str | None = None) -> tuple[bytes, dict[str, int], int]:
-    """The bytes in front of the data of a file with these datasets (doubles, or strings of fixed length), in the root or in one group; where each one's data begin, and where the file ends."""
-    names, types = sorted(shapes), types or {}
+def _attribute(name: str, value: int) -> bytes:
+    fill = lambda raw: raw + b"\0" * (-len(raw) % 8)
+    text, kind, space = name.encode() + b"\0", struct.pack("<BBBBIHH", 0x10, 8, 0, 0, 8, 0, 64), struct.pack("<B7x", 1)
+    return _message(ATTRIBUTE, struct.pack("<BxHHH", 1, len(text), len(kind), len(space)) + fill(text) + fill(kind) + space + struct.pack("<q", value))
+
+
+def _header(shapes: dict[str, tuple[int, ...]], types: dict[str, np.dtype] | None = None, group: str | None = None, first: dict[str, int] | None = None) -> tuple[bytes, dict[str, int], int]:
+    """The bytes in front of the data of a file with these datasets (doubles, or strings of fixed length), in the root or in one group, and with the first frame of those that have one; where each one's data begin, and where the file ends."""
+    names, types, first = sorted(shapes), types or {}, first or {}
     place = SUPERBLOCK + _group_size([group] if group else names)
     inner = place
     if group:
@@ -217,7 +241,7 @@ def _header(shapes: dict[str, tuple[int, ...]], types: dict[str, np.dtype] | Non
     for n in names:
         size[n] = np.dtype(types.get(n, np.float64)).itemsize
         kind = struct.pack("<BBBBI", 0x13, 1, 0, 0, size[n]) if n in types else struct.pack("<BBBBI HHBBBBI", 0x11, 0x20, 0x3F, 0, 8, 0, 64, 52, 11, 0, 52, 1023)
-        bodies[n] = _message(SPACE, struct.pack("<BBBx4x", 1, len(shapes[n]), 0) + struct.pack(f"<{len(shapes[n])}Q", *shapes[n])) + _message(TYPE, kind) + _message(FILL, struct.pack("<BBBB", 2, 2, 2, 0))
+        bodies[n] = _message(SPACE, struct.pack("<BBBx4x", 1, len(shapes[n]), 0) + struct.pack(f"<{len(shapes[n])}Q", *shapes[n])) + _message(TYPE, kind) + _message(FILL, struct.pack("<BBBB", 2, 2, 2, 0)) + (_attribute(FIRST, first[n]) if n in first else b"")
         objects[n] = place
         place += 16 + len(bodies[n]) + 32
     data, begin = {}, place
@@ -232,44 +256,59 @@ def _header(shapes: dict[str, tuple[int, ...]], types: dict[str, np.dtype] | Non
         out += _group(inner, objects)
     for n in names:
         layout = _message(LAYOUT, struct.pack("<BBQQ", 3, 1, data[n], size[n] * prod(shapes[n])))
-        out += struct.pack("<BxHII4x", 1, 4, 1, len(bodies[n]) + len(layout)) + bodies[n] + layout
+        out += struct.pack("<BxHII4x", 1, 4 + (n in first), 1, len(bodies[n]) + len(layout)) + bodies[n] + layout
     return out, data, begin
 
 
 @dataclass
 class Frames(InputPartition):
-    recording: str
-    camera: int
-    path: str
-    start: int
-    stop: int
+    """Ranges of frames: recording, camera, path, start and stop within the file."""
+
+    ranges: list[tuple[str, int, str, int, int]]
 
 
-WIDE = "recording string, camera long, frame long, keypoint long, instance long, x double, y double, confidence double, affinities array<double>, identities array<double>"
+ROW = "recording string, camera long, frame long, keypoint long, instance long"
+#: What is read of a file at a time: coordinates and confidences, or one of the two lists of weights.
+TABLES = {"detections": f"{ROW}, x double, y double, confidence double", "affinities": f"{ROW}, affinities array<double>", "identities": f"{ROW}, identities array<double>"}
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.files = json.loads(options["files"])
-        self.frames = int(options.get("frames", FRAMES))
+        self.frames, self.table = int(options.get("frames", FRAMES)), options["table"]
 
     def partitions(self) -> list[Frames]:
-        out = []
+        """Ranges in order of the files, as many as have `frames` frames together."""
+        out, room = [], 0
         for recording, camera, path in self.files:
             with File(path) as f:
                 n, t, k = _sizes(f)
                 for name, shape in {"coordinates": (n, t, k, 2), "affinities": (n, n, t, k), "identities": (n, n, t, k)}.items():
                     if f.dataset(name).shape != shape:
                         raise Hdf5Error(f"{path}: {name} is {f.dataset(name).shape}, not {shape}")
-                out += [Frames(recording, camera, path, a, min(t, a + self.frames)) for a in range(0, t, self.frames)]
+            for a in range(0, t, self.frames):
+                b = min(t, a + self.frames)
+                if b - a > room:
+                    out.append(Frames([]))
+                    room = self.frames
+                out[-1].ranges.append((recording, camera, path, a, b))
+                room -= b - a
         return out
 
     def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
-        with File(partition.path) as f:
-            n, _, k = _sizes(f)
-            step = max(1, ROWS // (n * k))
-            for start in range(partition.start, partition.stop, step):
-                yield _batch(f, partition, n, k, start, min(partition.stop, start + step))
+        held, rows = [], 0
+        for recording, camera, path, first, stop in partition.ranges:
+            with File(path) as f:
+                n, _, k = _sizes(f)
+                step = max(1, ROWS // (n * k))
+                for start in range(first, stop, step):
+                    held.append(_batch(f, self.table, recording, camera, n, k, start, min(stop, start + step)))
+                    rows += len(held[-1])
+                    if rows >= ROWS:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _sizes(f: File) -> tuple[int, int, int]:
@@ -279,18 +318,60 @@ def _sizes(f: File) -> tuple[int, int, int]:
     return shape
 
 
-def _batch(f: File, p: Frames, n: int, k: int, start: int, stop: int) -> pa.RecordBatch:
+def _batch(f: File, table: str, recording: str, camera: int, n: int, k: int, start: int, stop: int) -> pa.RecordBatch:
     """Rows in order of frame, keypoint and instance."""
-    t = stop - start
-    xy = f.frames("coordinates", 1, start, stop).transpose(1, 2, 0, 3).reshape(-1, 2)
-    confidence = f.frames("confidences", 1, start, stop).transpose(1, 2, 0).reshape(-1)
-    lists = [f.frames(name, 2, start, stop).transpose(2, 3, 0, 1).reshape(-1) for name in ("affinities", "identities")]
-    frame, keypoint, instance = (x.reshape(-1) for x in np.meshgrid(np.arange(start, stop), np.arange(k), np.arange(n), indexing="ij"))
+    t, first = stop - start, f.dataset("coordinates").first
     rows = t * k * n
-    at = pa.array(np.arange(rows + 1) * n, pa.int32())
     number = lambda v: pa.array(v, pa.float64(), mask=np.isnan(v))
-    cells = [pa.array([p.recording] * rows, pa.string()), pa.array(np.full(rows, p.camera)), *(pa.array(x.astype(np.int64)) for x in (frame, keypoint, instance)), number(xy[:, 0]), number(xy[:, 1]), number(confidence), *(pa.ListArray.from_arrays(at, number(v)) for v in lists)]
-    return pa.RecordBatch.from_arrays(cells, names=[c.split()[0] for c in WIDE.split(", ")])
+    if table == "detections":
+        xy = f.frames("coordinates", 1, start, stop).transpose(1, 2, 0, 3).reshape(-1, 2)
+        cells = [number(xy[:, 0]), number(xy[:, 1]), number(f.frames("confidences", 1, start, stop).transpose(1, 2, 0).reshape(-1))]
+    else:
+        weights = f.frames(table, 2, start, stop).transpose(2, 3, 0, 1).reshape(-1)
+        cells = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * n, pa.int32()), number(weights))]
+    places = np.meshgrid(np.arange(start, stop) + first, np.arange(k), np.arange(n), indexing="ij")
+    keys = [pa.array([recording], pa.string()).take(pa.array(np.zeros(rows, np.int64))), pa.array(np.full(rows, camera)), *(pa.array(x.reshape(-1).astype(np.int64)) for x in places)]
+    return pa.RecordBatch.from_arrays([*keys, *cells], names=[c.split()[0] for c in TABLES[table].split(", ")])
+
+
+#: Rows of one file on their way to it: first a row of the kind FILE with its first frame and number of frames, then rows of detections and of weights, packed.
+PACKED = "recording string, camera long, kind int, first long, rows long, held binary"
+FILE, COLUMNS = 0, {1: ("x", "y", "confidence"), 2: ("parent_instance", "weight"), 3: ("animal", "weight")}
+PLACE = ("frame", "keypoint", "instance")
+#: Rows of detections take 7 bytes at this level in the shuffle, 10 at the lowest.
+CODEC, LEVEL = "zstd", 6
+
+
+def _packed(kind: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: rows of detections or weights as one run of compressed columns a file and some ROWS rows."""
+    types = dict.fromkeys((*PLACE, "parent_instance", "animal"), np.int64)
+
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        recording, camera = t.column("recording").combine_chunks().dictionary_encode(), t.column("camera").to_numpy()
+        cameras, which = np.unique(camera, return_inverse=True)
+        file = recording.indices.to_numpy() * len(cameras) + which
+        order = np.argsort(file, kind="stable")
+        columns = [t.column(c).to_numpy().astype(types.get(c, np.float64), copy=False)[order].view(np.int64) for c in (*PLACE, *COLUMNS[kind])]
+        cuts = np.flatnonzero(np.diff(file[order], prepend=-1, append=-1))
+        lengths, top = np.diff(cuts), order[cuts[:-1]]
+        codec = pa.Codec(CODEC, LEVEL)
+        held = [codec.compress(np.stack([c[a:b] for c in columns]), asbytes=True) for a, b in zip(cuts, cuts[1:], strict=False)]
+        same = lambda v, kind: pa.array(np.full(len(held), v), kind)
+        cells = [recording.dictionary.take(recording.indices.take(pa.array(top))), pa.array(camera[top]), same(kind, pa.int32()), same(0, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(held, pa.binary())]
+        return pa.RecordBatch.from_arrays(cells, names=[c.split()[0] for c in PACKED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            held, rows = [*held, b], rows + len(b)
+            if rows >= ROWS:
+                yield packed(held)
+                held, rows = [], 0
+        if rows:
+            yield packed(held)
+
+    return run
 
 
 @dataclass
@@ -303,45 +384,61 @@ class _Writer(DataSourceArrowWriter):
         self.folder, self.n, self.k = options["path"].removeprefix("file://"), int(options["animals"]), int(options["keypoints"])
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        """Rows come by file, and each says how many frames its file has."""
+        """Rows come by file, first the one that says which frames it has; weights of a file without detections are left out."""
         from pyspark import TaskContext
 
         attempt, files, now, held = TaskContext.get().taskAttemptId(), [], None, None
         for batch in iterator:
-            keys = list(zip(batch.column("recording").to_pylist(), batch.column("camera").to_pylist(), strict=True))
-            cuts = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + [len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                part = batch.slice(a, b - a)
-                if keys[a] != now:
-                    now = keys[a]
+            for row in batch.to_pylist():
+                if (row["recording"], row["camera"]) != now:
+                    self._closed(held)
+                    now, held = (row["recording"], row["camera"]), None
+                if row["kind"] == FILE:
                     name = f"{now[0]}.{now[1]}.h5"
                     files.append((os.path.join(self.folder, f".{name}.{attempt}"), os.path.join(self.folder, name)))
-                    held = self._opened(files[-1][0], part.column("frames")[0].as_py())
-                self._put(held, part)
+                    held = self._opened(files[-1][0], row["first"], row["rows"])
+                elif held:
+                    self._put(held, row)
+        self._closed(held)
         return Written(files)
 
-    def _opened(self, path: str, t: int) -> dict[str, np.memmap]:
+    def _opened(self, path: str, first: int, t: int) -> dict[str, np.ndarray]:
         n, k = self.n, self.k
         shapes = {"coordinates": (n, t, k, 2), "confidences": (n, t, k), "affinities": (n, n, t, k), "identities": (n, n, t, k)}
-        head, data, end = _header(shapes)
+        head, data, end = _header(shapes, first={"coordinates": first})
         os.makedirs(self.folder, exist_ok=True)
         with open(path, "wb") as f:
             f.write(head)
             f.truncate(end)
         maps = {name: np.memmap(path, np.float64, "r+", data[name], shape) for name, shape in shapes.items()}
-        for k in range(n):  # what no row says is missing
-            maps["coordinates"][k] = np.nan
-        return maps
-
-    def _put(self, maps: dict[str, np.memmap], part: pa.RecordBatch) -> None:
-        t, k, i = (part.column(c).to_numpy() for c in ("frame", "keypoint", "instance"))
-        x, y, c = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "confidence"))
-        maps["coordinates"][i, t, k, 0], maps["coordinates"][i, t, k, 1] = x, y
-        maps["confidences"][i, t, k] = np.nan_to_num(c)
-        for name in ("affinities", "identities"):
-            values = np.array([v or [None] * self.n for v in part.column(name).to_pylist()], float).reshape(-1, self.n)
-            for j in range(self.n):
-                maps[name][i, j, t, k] = np.nan_to_num(values[:, j])
+        for name in ("coordinates", "affinities", "identities"):  # what no row says is missing
+            for part in maps[name]:
+                part[:] = np.nan
+        return maps | {"first": first, "seen": np.zeros(shapes["confidences"], bool)}
+
+    def _put(self, maps: dict[str, np.ndarray], row: dict) -> None:
+        """Of repeated weights the largest counts; those of detections that no row says anything of are left out."""
+        names, count = (*PLACE, *COLUMNS[row["kind"]]), row["rows"]
+        raw = np.frombuffer(pa.decompress(row["held"], count * len(names) * 8, CODEC), np.int64).reshape(len(names), count)
+        t, k, i = raw[0] - maps["first"], raw[1], raw[2]
+        if row["kind"] == 1:
+            x, y, c = raw[3:].view(np.float64)
+            maps["coordinates"][i, t, k, 0], maps["coordinates"][i, t, k, 1] = x, y
+            maps["confidences"][i, t, k] = np.nan_to_num(c)
+            maps["seen"][i, t, k] = True
+            return
+        weight, into = raw[4].view(np.float64), maps["affinities" if row["kind"] == 2 else "identities"]
+        inside = (t >= 0) & (t < maps["seen"].shape[1]) & ~np.isnan(weight)
+        inside[inside] = maps["seen"][i[inside], t[inside], k[inside]]
+        order = np.flatnonzero(inside)[np.argsort(weight[inside], kind="stable")]
+        place = i[order], raw[3][order], t[order], k[order]
+        into[place] = np.fmax(into[place], weight[order])
+
+    def _closed(self, maps: dict[str, np.ndarray] | None) -> None:
+        """Weights that no row says are 0."""
+        for name in ("affinities", "identities") if maps else ():
+            for part in maps[name]:
+                part[np.isnan(part)] = 0.0
 
     def commit(self, messages: list[Written | None]) -> None:
         for m in messages:
@@ -356,14 +453,14 @@ class _Writer(DataSourceArrowWriter):
 
 
 class KeypointFiles(DataSource):
-    """The format "keypoint_hdf5": reads `files` (JSON of [recording, camera, path]), writes a folder of one file a recording and camera."""
+    """The format "keypoint_hdf5": reads a `table` of `files` (JSON of [recording, camera, path]), writes a folder of one file a recording and camera."""
 
     @classmethod
     def name(cls) -> str:
         return "keypoint_hdf5"
 
     def schema(self) -> str:
-        return WIDE
+        return TABLES[self.options["table"]]
 
     def reader(self, schema: StructType) -> _Reader:
         return _Reader(self.options)
@@ -376,28 +473,28 @@ def read_hdf5(recordings: DataFrame, frames: int = FRAMES) -> tuple[DataFrame, D
     """(detections, affinities, identities) of the files of recordings (recording, camera, path). The driver reads each file's header; NaN is NULL, and the root's affinities are left as they are."""
     spark = recordings.sparkSession
     spark.dataSource.register(KeypointFiles)
-    files = sorted(tuple(r) for r in recordings.select("recording", F.col("camera").cast("long"), "path").collect())
-    rows = spark.read.format("keypoint_hdf5").option("files", json.dumps(files)).option("frames", frames).load()
+    files = json.dumps(sorted(tuple(r) for r in recordings.select("recording", F.col("camera").cast("long"), "path").collect()))
     key = [*SERIES, "frame"]
-    each = lambda name, other: rows.select(*key, F.posexplode(name).alias(other, "weight")).withColumn(other, F.col(other).cast("long"))
-    tables = rows.select(*key, "x", "y", "confidence"), each("affinities", "parent_instance"), each("identities", "animal")
+    rows = lambda table: spark.read.format("keypoint_hdf5").options(files=files, frames=frames, table=table).load()
+    each = lambda name, other: rows(name).select(*key, F.posexplode(name).alias(other, "weight")).withColumn(other, F.col(other).cast("long"))
+    tables = rows("detections"), each("affinities", "parent_instance"), each("identities", "animal")
     return tuple(t.select(*[f.split()[0] for f in schema.split(", ")]) for t, schema in zip(tables, (DETECTIONS, AFFINITIES, IDENTITIES), strict=True))
 
 
 def write_hdf5(detections: DataFrame, affinities: DataFrame, identities: DataFrame, folder: str, animals: int, keypoints: int) -> DataFrame:
     """Writes one file a recording and camera into a folder that all executors share, and returns (recording, camera, path).
 
-    Missing coordinates are NaN, missing weights 0. A file has frames up to its last one. Numbers beyond
+    Missing coordinates are NaN, missing weights 0. A file has frames from its first detection's to its last one's. Numbers beyond
     animals and keypoints are an error.
     """
     spark = detections.sparkSession
     spark.dataSource.register(KeypointFiles)
-    key = [*SERIES, "frame"]
-    wide = [t.groupBy(*key).agg(F.array(*[F.max(F.when(F.col(other) == a, F.col("weight"))) for a in range(animals)]).alias(name)) for t, other, name in ((affinities, "parent_instance", "affinities"), (identities, "animal", "identities"))]
-    files = detections.groupBy("recording", "camera").agg((F.max("frame") + 1).alias("frames"))
-    rows = detections.select(*key, "x", "y", "confidence").join(wide[0], key, "left").join(wide[1], key, "left").join(files, ["recording", "camera"])
-    names = [c.split()[0] for c in WIDE.split(", ")]
-    rows = rows.select(*names, "frames").repartition("recording", "camera").sortWithinPartitions("recording", "camera", "frame")
+    files = detections.groupBy("recording", "camera").agg(F.min("frame").alias("first"), (F.max("frame") - F.min("frame") + 1).alias("frames"))
+    rows = files.select("recording", "camera", F.lit(FILE).alias("kind"), "first", F.col("frames").alias("rows"), F.lit(None).cast("binary").alias("held"))
+    for kind, table in ((1, detections), (2, affinities), (3, identities)):
+        numbers = [F.col(c).cast("double" if c in ("x", "y", "confidence", "weight") else "long").alias(c) for c in ("camera", *PLACE, *COLUMNS[kind])]
+        rows = rows.unionByName(table.select("recording", *numbers).mapInArrow(_packed(kind), PACKED))
+    rows = rows.repartition("recording", "camera").sortWithinPartitions("recording", "camera", "kind")
     rows.write.format("keypoint_hdf5").options(animals=animals, keypoints=keypoints).mode("append").save(folder)
     return files.select("recording", "camera", F.concat(F.lit(folder.rstrip("/") + "/"), "recording", F.lit("."), F.col("camera").cast("string"), F.lit(".h5")).alias("path"))
 
