@@ -1,8 +1,10 @@
 """Kinematics models, which score where an animal's keypoints may be, and Gibbs sampling of identities with them."""
 
+from collections.abc import Callable
 from copy import copy
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -104,10 +106,10 @@ class BoneWalk(RandomWalk):
 
 
 class SpaceWalk:
-    """Keypoints in space: triangulated from all cameras, near their mean over the `reach` frames around, seen again in each camera."""
+    """Keypoints in space: triangulated (by `solved`) from all cameras, near their mean over the `reach` frames around, seen again in each camera."""
 
-    def __init__(self, projections: list[list[list[float]]], reach: int = 5, inlier_variance: float = 10.0, outlier_variance: float = 1e6, segment: int = 10_000):
-        self.projections, self.reach, self.inlier, self.outlier, self.segment = projections, reach, inlier_variance, outlier_variance, segment
+    def __init__(self, projections: list[list[list[float]]], reach: int = 5, inlier_variance: float = 10.0, outlier_variance: float = 1e6, segment: int = 10_000, solved: Callable[..., np.ndarray] = geometry.many_view_points):
+        self.projections, self.reach, self.inlier, self.outlier, self.segment, self.solved = projections, reach, inlier_variance, outlier_variance, segment, solved
         self.points: DataFrame | None = None
 
     def initialize(self, located: DataFrame) -> "SpaceWalk":
@@ -115,8 +117,8 @@ class SpaceWalk:
 
     def step(self, located: DataFrame) -> "SpaceWalk":
         by = W.partitionBy("recording", "keypoint", "animal", "segment").orderBy("frame").rangeBetween(-self.reach, self.reach)
-        new = SpaceWalk(self.projections, self.reach, self.inlier, self.outlier, self.segment)
-        points = _bordered(geometry.triangulated(located, self.projections), self.segment, self.reach)
+        new = copy(self)
+        points = _bordered(geometry.triangulated(located, self.projections, self.solved), self.segment, self.reach)
         new.points = points.select("recording", "frame", "keypoint", "animal", "own", *[F.avg(c).over(by).alias(c) for c in "xyz"]).where("own").drop("own")
         return new
 
